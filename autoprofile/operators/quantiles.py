@@ -22,7 +22,7 @@ from autoprofile.functions.numeric import any_of
 
 CELLS = 2048
 #: brackets of at most this many rows are counted value by value
-LEAF_ROWS = 1_000_000
+LEAF_ROWS = 50_000
 
 
 @dataclass(frozen=True)
