@@ -19,7 +19,7 @@ from autoprofile.functions.coerce import (
 )
 from autoprofile.functions.keys import DIGEST_LENGTH, text_key
 from autoprofile.functions.numeric import percent
-from autoprofile.operators.wide import empty_frame, per_column
+from autoprofile.operators.wide import empty_frame, local_frame, per_column
 
 IGNORED_TYPES = ("empty", "constant", "identifier", "nested")
 SAMPLE_SIZE = 5
@@ -218,11 +218,10 @@ def _measured(df: DataFrame, rules: SchemaRules) -> DataFrame:
     else:
         joined = facts.join(F.broadcast(distinct_profile(df)), "ordinal", "left")
         rows = [r.asDict() for r in joined.collect()]
-    schema = T.StructType.fromDDL(
-        FACTS_SCHEMA + ", unique_count long, sample_values array<string>"
-    )
-    rows = _with_sampled_texts(df, rows)
-    return spark.createDataFrame([tuple(r[n] for n in schema.names) for r in rows], schema)
+    schema = FACTS_SCHEMA + ", unique_count long, sample_values array<string>"
+    names = T.StructType.fromDDL(schema).names
+    rows = sorted(_with_sampled_texts(df, rows), key=lambda r: r["ordinal"])
+    return local_frame(spark, [tuple(r[n] for n in names) for r in rows], schema)
 
 
 def _inferred_type(rules: SchemaRules) -> Column:
@@ -285,8 +284,8 @@ def _anomalies(rules: SchemaRules) -> Column:
 def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
     """Data dictionary: one row per column with its business type, counts and samples.
 
-    Two passes run when called, both sharing one job: a scan for the facts and a shuffle for
-    the distinct values.  What comes back to the driver is one row per column.
+    One job runs when called: a scan for the facts beside a shuffle for the distinct values.
+    What comes back to the driver is one row per column, in table order.
     """
     rules = (config or Config()).schema
     clean = nan_to_null(df)
@@ -339,7 +338,6 @@ def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
         catalog.withColumn("ignore", label.isin(*IGNORED_TYPES))
         .withColumn("ignore_reason", reason)
         .select(*CATALOG_FIELDS)
-        .orderBy("ordinal")
     )
 
 
@@ -359,7 +357,7 @@ def type_distribution(catalog: DataFrame) -> DataFrame:
 
 def analysis_columns(catalog: DataFrame) -> list[tuple[str, str]]:
     """(column, type) of the columns that are not ignored, in table order."""
-    rows = catalog.where(~F.col("ignore")).orderBy("ordinal").collect()
+    rows = sorted(catalog.where(~F.col("ignore")).collect(), key=lambda r: r["ordinal"])
     return [(r["column_name"], r["inferred_type"]) for r in rows]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from autoprofile.functions.coerce import nan_to_null, number_columns, quoted
 from autoprofile.operators.numbers import Distribution, distributions
-from autoprofile.operators.wide import empty_frame, per_column
+from autoprofile.operators.wide import empty_frame, local_frame, per_column
 
 MIN_HISTOGRAM_VALUES = 5
 MAX_BINS = 50
@@ -68,7 +68,8 @@ def histogram_of(df: DataFrame, found: list[Distribution], digits: int = 4) -> D
         .groupBy("label", "bin")
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    frame = df.sparkSession.createDataFrame(
+    frame = local_frame(
+        df.sparkSession,
         [(i, f"b{i}", d.column, d.min, d.max, bin_count(d.count)) for i, d in enumerate(drawn)],
         "position int, label string, column string, low double, high double, bins int",
     )
@@ -104,7 +105,8 @@ def histogram_notes(df: DataFrame, found: list[Distribution], digits: int = 4) -
         if skew is not None and abs(skew) > 0.5:
             side = "right" if skew > 0 else "left"
         rows.append((d.column, d.mean, d.median, d.std, skew, side))
-    notes = df.sparkSession.createDataFrame(
+    notes = local_frame(
+        df.sparkSession,
         rows,
         "column string, mean double, median double, std double, skewness double, skewed string",
     )
@@ -227,6 +229,8 @@ def chart_plan(
     if totals:
         plan.append(("kpi_card", "KPI Overview", totals))
     rows = [(i + 1, *entry) for i, entry in enumerate(plan[:max_charts])]
-    return catalog.sparkSession.createDataFrame(
-        rows, "seq int, chart_type string, title string, columns array<string>"
+    return local_frame(
+        catalog.sparkSession,
+        rows,
+        "seq int, chart_type string, title string, columns array<string>",
     )

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from autoprofile.config import Config
 from autoprofile.functions.coerce import number_columns
 from autoprofile.operators.quantiles import exact_quantiles
-from autoprofile.operators.wide import per_column
+from autoprofile.operators.wide import local_frame, per_column
 
 MIN_OUTLIER_VALUES = 4
 MIN_BOX_VALUES = 10
@@ -104,7 +104,7 @@ def _frame(
 ) -> DataFrame:
     names = [part.split()[0] for part in schema.split(", ")]
     rows = [tuple(getattr(d, n) for n in names) for d in found]
-    frame = spark.createDataFrame(rows, schema)
+    frame = local_frame(spark, rows, schema)
     return frame.select(
         *[
             F.round(n, digits).alias(n) if kind == "double" else F.col(n)

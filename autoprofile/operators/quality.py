@@ -23,9 +23,8 @@ from autoprofile.functions.numeric import percent
 from autoprofile.operators.frequencies import label_variants
 from autoprofile.operators.numbers import Distribution, distributions, outlier_counts
 from autoprofile.operators.tables import null_profile
-from autoprofile.operators.wide import empty_frame, per_column, pin
+from autoprofile.operators.wide import local_frame, per_column, pin
 
-ISSUES_SCHEMA = "column string, severity string, rule string, value double, message string"
 OLDEST_PLAUSIBLE = dt.datetime(1900, 1, 1)
 
 # Points taken off the score.
@@ -117,10 +116,6 @@ def date_bounds(df: DataFrame, columns: list[str], as_of: dt.datetime | None = N
 # ------------------------------------------------------------------ all rules
 
 
-def _no_facts(df: DataFrame, schema: str) -> DataFrame:
-    return empty_frame(df.sparkSession, schema)
-
-
 def column_measurements(
     df: DataFrame,
     typed: list[tuple[str, str]],
@@ -145,8 +140,10 @@ def column_measurements(
         outliers = outlier_counts(df, found, rules.iqr_factor, rules.zscore_limit)
 
     spark = df.sparkSession
-    names = spark.createDataFrame(
-        [(i, c, t) for i, (c, t) in enumerate(typed)], "position int, column string, type string"
+    names = local_frame(
+        spark,
+        [(i, c, t) for i, (c, t) in enumerate(typed)],
+        "position int, column string, type string",
     )
     parts = [
         null_profile(df, [c for c, _ in typed]),
@@ -169,7 +166,8 @@ def column_measurements(
     for name, kind in defaults.items():
         if name not in result.columns:
             result = result.withColumn(name, F.lit(None).cast(kind))
-    figures = spark.createDataFrame(
+    figures = local_frame(
+        spark,
         [
             (d.column, d.mean, d.median, d.std, d.min, d.max, d.q1, d.q3, d.skewness, d.kurtosis)
             for d in found

@@ -179,8 +179,8 @@ def value_columns(catalog: DataFrame) -> list[str]:
     """Columns whose distinct values belong into the semantic layer."""
     rows = catalog.where(
         ~F.col("ignore") & F.col("inferred_type").isin("categorical", "boolean")
-    ).orderBy("ordinal")
-    return [r["column_name"] for r in rows.collect()]
+    ).collect()
+    return [r["column_name"] for r in sorted(rows, key=lambda r: r["ordinal"])]
 
 
 def build_semantic_layer(
@@ -193,8 +193,8 @@ def build_semantic_layer(
 
 
 def role_columns(fields: DataFrame, role: str) -> list[str]:
-    rows = fields.where(F.col("semantic_type") == role).orderBy("ordinal").collect()
-    return [r["raw_column"] for r in rows]
+    rows = fields.where(F.col("semantic_type") == role).collect()
+    return [r["raw_column"] for r in sorted(rows, key=lambda r: r["ordinal"])]
 
 
 def lineage(fields: DataFrame) -> DataFrame:
@@ -297,7 +297,7 @@ def evaluate_kpis(df: DataFrame, kpis: DataFrame, digits: int = 4) -> DataFrame:
     All scalar KPIs are one aggregation over the table; each record count is one grouped
     count, formed per task before its shuffle.
     """
-    rows = kpis.orderBy("seq").collect()
+    rows = sorted(kpis.collect(), key=lambda r: r["seq"])
     used = sorted({c for r in rows if r["operation"] != "count_by" for c in r["columns"]})
     values = number_columns(df, used)
     scalars = {}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from autoprofile.functions.coerce import as_timestamp, nan_to_null, quoted
 from autoprofile.functions.keys import row_fingerprint
 from autoprofile.functions.numeric import all_of, percent
-from autoprofile.operators.wide import per_column
+from autoprofile.operators.wide import local_frame, per_column
 
 DAY_IN_MICROS = 86_400_000_000
 
@@ -112,7 +112,8 @@ def dataset_summary(df: DataFrame, catalog: DataFrame, exact_distinct: bool = Tr
     total = rows[0]["total_rows"] if rows else df.count()
     complete = _complete_count(df, rows, total) if total else 0
     duplicates = _duplicate_count(df, rows, total, exact_distinct) if total else 0
-    summary = df.sparkSession.createDataFrame(
+    summary = local_frame(
+        df.sparkSession,
         [(total, len(df.columns), sum(not r["ignore"] for r in rows), complete, duplicates)],
         "rows long, columns int, analysis_columns int, complete_rows long, duplicate_rows long",
     )

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,8 +34,33 @@ def per_column(df: DataFrame, facts: list[list[Column]], fields_per_column: int)
     return reduce(DataFrame.unionByName, parts)
 
 
-def local_frame(spark: SparkSession, rows: list, schema: T.StructType | str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _arrow_type(dtype: T.DataType) -> pa.DataType:
+    if isinstance(dtype, T.ArrayType):
+        return pa.list_(_arrow_type(dtype.elementType))
+    return {
+        "integer": pa.int32(),
+        "long": pa.int64(),
+        "double": pa.float64(),
+        "string": pa.string(),
+        "boolean": pa.bool_(),
+        "date": pa.date32(),
+        "timestamp": pa.timestamp("us", tz="UTC"),
+    }[dtype.typeName()]
+
+
+def local_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small frame from driver rows.  Built through Arrow, so reading it needs no job."""
+    struct = T.StructType.fromDDL(schema)
+    columns = list(zip(*rows)) or [()] * len(struct)
+    arrays = [
+        pa.array(list(values), type=_arrow_type(field.dataType))
+        for values, field in zip(columns, struct)
+    ]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=struct.names), struct)
+
+
+def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
+    return local_frame(spark, [], schema)
 
 
 def pin(df: DataFrame) -> DataFrame:
@@ -43,8 +69,4 @@ def pin(df: DataFrame) -> DataFrame:
     Only for frames of that kind: they are read by several later steps and are far smaller
     than the work behind them.
     """
-    return df.sparkSession.createDataFrame(df.collect(), df.schema)
-
-
-def empty_frame(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], schema)
+    return df.sparkSession.createDataFrame(df.toArrow(), df.schema)

@@ -46,7 +46,7 @@ from autoprofile.operators.semantic import (
 )
 from autoprofile.operators.series import period_series, trend_fit, trends_of
 from autoprofile.operators.tables import dataset_summary, datetime_summary
-from autoprofile.operators.wide import empty_frame, pin
+from autoprofile.operators.wide import empty_frame, local_frame, pin
 from autoprofile.sources.readers import LoadedTable, load
 
 
@@ -228,8 +228,9 @@ def analyze_path(
 def _metadata(
     spark: SparkSession, name: str, rows_raw: int, rows: int, started: float
 ) -> DataFrame:
-    return spark.createDataFrame(
-        [(name, rows_raw, rows, dt.datetime.now(), round(time.time() - started, 2))],
+    return local_frame(
+        spark,
+        [(name, rows_raw, rows, dt.datetime.now(dt.timezone.utc), round(time.time() - started, 2))],
         "name string, rows_raw long, rows long, run_at timestamp, elapsed_seconds double",
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from autoprofile.functions.coerce import NUMBER_PATTERN, quoted, strip
+from autoprofile.operators.wide import empty_frame, local_frame
 from autoprofile.sources.names import clean_names
 from autoprofile.sources.typing import blank_markers, narrow_types
 
@@ -20,7 +21,7 @@ def read_tidy(spark: SparkSession, path: str, delimiter: str = ",", **options) -
     reader = spark.read.options(sep=delimiter, **options)
     header = reader.csv(path, header=False).take(1)
     if not header:
-        return spark.createDataFrame([], "unnamed string").drop("unnamed")
+        return empty_frame(spark, "unnamed string").drop("unnamed")
     names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(header[0])]
     table = reader.csv(path, header=True).toDF(*clean_names(names))
     return narrow_types(blank_markers(table))
@@ -105,7 +106,7 @@ def read_with_titles(
     headers = _header_of_each_file(lines, scan_rows, delimiter)
     layouts = headers.groupBy("header").agg(F.count(F.lit(1)).alias("files")).collect()
     if not layouts:
-        return spark.createDataFrame([], "unnamed string").drop("unnamed")
+        return empty_frame(spark, "unnamed string").drop("unnamed")
     names_of = {
         r["header"]: clean_names(
             [
@@ -117,7 +118,8 @@ def read_with_titles(
     }
     all_names = list(dict.fromkeys(n for names in names_of.values() for n in names))
     width = max(len(names) for names in names_of.values())
-    positions = spark.createDataFrame(
+    positions = local_frame(
+        spark,
         [
             (header, [names.index(n) if n in names else -1 for n in all_names])
             for header, names in names_of.items()
