@@ -17,12 +17,13 @@ from autoprofile.functions.coerce import (
     text_number,
     text_timestamp,
 )
-from autoprofile.functions.keys import DIGEST_LENGTH, text_key
+from autoprofile.functions.keys import DIGEST_LENGTH, text_key, texts_behind
 from autoprofile.functions.numeric import percent
 from autoprofile.operators.wide import empty_frame, local_frame, per_column
 
 IGNORED_TYPES = ("empty", "constant", "identifier", "nested")
 SAMPLE_SIZE = 5
+SKETCH_LOG_SIZE = 14
 
 #: categorical needs at most, identifier needs more than this many distinct numbers
 MAX_CATEGORY_NUMBERS = 30
@@ -33,7 +34,7 @@ MIN_IDENTIFIER_ROWS = 100
 FACTS_SCHEMA = (
     "ordinal int, column_name string, family string, fractional boolean, total_rows long, "
     "non_null_count long, beyond_01 long, not_truth_word long, date_count long, "
-    "number_count long, estimated_count long"
+    "number_count long"
 )
 DISTINCT_SCHEMA = "ordinal int, unique_count long, sample_values array<string>"
 CATALOG_FIELDS = [
@@ -57,7 +58,6 @@ def column_facts(df: DataFrame, rules: SchemaRules) -> DataFrame:
     """Everything the type decision needs except distinct counts, in one scan."""
     words = tuple(w.strip().lower() for w in (*rules.true_words, *rules.false_words))
     nothing = F.lit(None).cast("long")
-    approx = rules.distinct == "approx"
     facts = []
     for ordinal, field in enumerate(df.schema):
         column, kind = quoted(field.name), family(field.dataType)
@@ -68,8 +68,6 @@ def column_facts(df: DataFrame, rules: SchemaRules) -> DataFrame:
             not_word = F.count_if(~truth_word(column, words))
             dates = F.count(text_timestamp(column))
             numbers = F.count(text_number(column))
-        countable = kind not in ("nested", "void")
-        estimate = F.approx_count_distinct(column, 0.01) if approx and countable else nothing
         facts.append([
             F.lit(ordinal).alias("ordinal"),
             F.lit(field.name).alias("column_name"),
@@ -81,7 +79,6 @@ def column_facts(df: DataFrame, rules: SchemaRules) -> DataFrame:
             not_word.alias("not_truth_word"),
             dates.alias("date_count"),
             numbers.alias("number_count"),
-            estimate.alias("estimated_count"),
         ])
     if not facts:
         return empty_frame(df.sparkSession, FACTS_SCHEMA)
@@ -159,16 +156,23 @@ def distinct_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame
     return reduce(DataFrame.unionByName, [_count_and_sample(f) for f in frames])
 
 
-def _texts_behind(df: DataFrame, name: str, digests: list[str]) -> dict[str, str]:
-    """The texts with these digests: one filtered scan, one row per digest."""
-    key = text_key(quoted(name))
-    rows = (
-        df.where(key.isin(*digests))
-        .groupBy(key.alias("digest"))
-        .agg(F.any_value(quoted(name)).alias("text"))
-        .collect()
-    )
-    return {r["digest"]: r["text"] for r in rows}
+def estimated_distinct(df: DataFrame) -> DataFrame:
+    """Distinct counts from sketches, within about one percent; no shuffle of values."""
+    facts = []
+    for ordinal, field in enumerate(df.schema):
+        if _value_kind(field.dataType) is None:
+            continue
+        sketch = F.hll_sketch_agg(F.xxhash64(quoted(field.name)), F.lit(SKETCH_LOG_SIZE))
+        present = F.count(quoted(field.name))
+        # the hash of NULL is a value like any other, so it is taken off again
+        nulls = F.least(F.count(F.lit(1)) - present, F.lit(1))
+        facts.append([
+            F.lit(ordinal).alias("ordinal"),
+            F.greatest(F.hll_sketch_estimate(sketch) - nulls, F.lit(0)).alias("estimated_count"),
+        ])
+    if not facts:
+        return empty_frame(df.sparkSession, "ordinal int, estimated_count long")
+    return per_column(df, facts, fields_per_column=4)
 
 
 def _with_sampled_texts(df: DataFrame, rows: list[dict]) -> list[dict]:
@@ -176,7 +180,7 @@ def _with_sampled_texts(df: DataFrame, rows: list[dict]) -> list[dict]:
         values = row["sample_values"] or []
         digests = [v for v in values if len(v.encode()) == DIGEST_LENGTH]
         if row["family"] == "string" and digests:
-            texts = _texts_behind(df, row["column_name"], digests)
+            texts = texts_behind(df, row["column_name"], digests)
             row["sample_values"] = [texts.get(v, v) for v in values]
     return rows
 
@@ -185,7 +189,7 @@ def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
     """Columns whose sketch is too close to a threshold to decide the type."""
     doubtful = []
     for row in rows:
-        estimate, present = row["estimated_count"], row["non_null_count"]
+        estimate, present = row.get("estimated_count"), row["non_null_count"]
         if not estimate or not present:
             continue
         ratio = estimate / present
@@ -206,7 +210,8 @@ def _measured(df: DataFrame, rules: SchemaRules) -> DataFrame:
     spark = df.sparkSession
     facts = column_facts(df, rules)
     if rules.distinct == "approx":
-        rows = [r.asDict() for r in facts.collect()]
+        estimated = F.broadcast(estimated_distinct(df))  # one row per column
+        rows = [r.asDict() for r in facts.join(estimated, "ordinal", "left").collect()]
         doubtful = _columns_in_doubt(rows, rules)
         exact = {}
         if doubtful:

@@ -18,7 +18,8 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value as text, count) over the non-null values of ``columns``.
 
     One shuffle for all columns.  Repeated values are counted before it, so a value that
-    fills a third of the table costs one row per task.
+    fills a third of the table costs one row per task.  Meant for columns of labels; values
+    travel whole.
     """
     if not columns:
         return empty_frame(df.sparkSession, COUNTS_SCHEMA)

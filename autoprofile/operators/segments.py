@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import nan_to_null, number_columns, quoted
-from autoprofile.operators.wide import empty_frame
+from autoprofile.functions.coerce import family, nan_to_null, number_columns, quoted
+from autoprofile.functions.keys import DIGEST_LENGTH, text_key, texts_behind
+from autoprofile.operators.wide import empty_frame, local_frame, pin
 
 GRID_SCHEMA = (
     "dimension_no int, measure_no int, dimension string, measure string, rank int, "
@@ -31,12 +32,13 @@ def segment_grid(
     if not dimensions or not measures:
         return empty_frame(df.sparkSession, GRID_SCHEMA)
     clean = nan_to_null(df)
+    long_labels = _text_dimensions(clean, dimensions)
     values = number_columns(clean, measures)
     labels = [f"d{i}" for i in range(len(dimensions))]
     inputs = [f"m{i}" for i in range(len(measures))]
     narrow = clean.select(
         *[
-            F.coalesce(quoted(d).cast("string"), F.lit(null_label)).alias(label)
+            F.coalesce(_label(d, d in long_labels), F.lit(null_label)).alias(label)
             for d, label in zip(dimensions, labels)
         ],
         *[values[m].alias(name) for m, name in zip(measures, inputs)],
@@ -69,7 +71,7 @@ def segment_grid(
     )
     number = F.substring("label", 2, 10).cast("int")
     order = Window.partitionBy("dimension_no", "measure_no").orderBy(F.desc("total"), "segment")
-    return (
+    grid = (
         rolled.select(number.alias("dimension_no"), "segment", F.inline(cells))
         .withColumn("rank", F.row_number().over(order))
         .where(F.col("rank") <= top_n)
@@ -79,6 +81,47 @@ def segment_grid(
             "avg", "count",
         )
     )
+    return _with_long_labels(clean, grid, long_labels)
+
+
+def _text_dimensions(df: DataFrame, dimensions: list[str]) -> list[str]:
+    return [d for d in dimensions if family(df.schema[d].dataType) == "string"]
+
+
+def _label(dimension: str, is_text: bool) -> Column:
+    return text_key(quoted(dimension)) if is_text else quoted(dimension).cast("string")
+
+
+def _with_long_labels(df: DataFrame, grid: DataFrame, text_dimensions: list[str]) -> DataFrame:
+    """Puts the texts back in place of digests.
+
+    Long texts are rolled up by digest, so that whole texts are not shuffled.  Only when a
+    digest made it into the result, which has ``top_n`` rows per combination, is the text
+    column read once more for those few digests.
+    """
+    if not text_dimensions:
+        return grid
+    grid = pin(grid)
+    digests: dict[str, set[str]] = {}
+    for row in grid.select("dimension", "segment").distinct().collect():
+        if row["dimension"] in text_dimensions and len(row["segment"].encode()) == DIGEST_LENGTH:
+            digests.setdefault(row["dimension"], set()).add(row["segment"])
+    found = [
+        (dimension, digest, text)
+        for dimension, wanted in digests.items()
+        for digest, text in texts_behind(df, dimension, sorted(wanted)).items()
+    ]
+    if not found:
+        return grid
+    texts = local_frame(
+        df.sparkSession, found, "dimension string, segment string, full_text string"
+    )
+    return grid.join(F.broadcast(texts), ["dimension", "segment"], "left").select(
+        *[
+            F.coalesce("full_text", "segment").alias("segment") if c == "segment" else F.col(c)
+            for c in grid.columns
+        ]
+    )
 
 
 def segment_rollup(

@@ -41,7 +41,6 @@ DESCRIPTION_PREFIXES = {
 }
 GRANULARITIES = ("day", "month", "quarter", "year")
 
-ROLES = ("dimension", "measure", "time", "entity")
 #: how many names of each role the summary shows (None: all)
 SUMMARY_NAMES = {"dimension": 8, "measure": 8, "time": None, "entity": 5, "kpi": 0}
 
@@ -120,13 +119,19 @@ def description_of(name: Column, inferred: Column) -> Column:
     return F.concat(prefix, F.lit(": "), F.initcap(F.replace(name, F.lit("_"), F.lit(" "))))
 
 
+#: roles of the business types that are not dimensions
+ROLE_OF_TYPE = {"datetime": "time", "identifier": "entity", "numeric": "measure"}
+
+
+def role_name(inferred: str) -> str:
+    return ROLE_OF_TYPE.get(inferred, "dimension")
+
+
 def role_of(inferred: Column) -> Column:
-    return (
-        F.when(inferred == "datetime", "time")
-        .when(inferred == "identifier", "entity")
-        .when(inferred == "numeric", "measure")
-        .otherwise("dimension")
-    )
+    role = F.lit("dimension")
+    for label, name in ROLE_OF_TYPE.items():
+        role = F.when(inferred == label, name).otherwise(role)
+    return role
 
 
 def described_columns(catalog: DataFrame, rules: SemanticRules) -> DataFrame:
@@ -192,11 +197,6 @@ def build_semantic_layer(
     )
 
 
-def role_columns(fields: DataFrame, role: str) -> list[str]:
-    rows = fields.where(F.col("semantic_type") == role).collect()
-    return [r["raw_column"] for r in sorted(rows, key=lambda r: r["ordinal"])]
-
-
 def lineage(fields: DataFrame) -> DataFrame:
     """Raw column -> semantic name."""
     return fields.orderBy("ordinal").select("raw_column", "semantic_name")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -39,10 +40,9 @@ from autoprofile.operators.semantic import (
     evaluate_kpis,
     kpi_catalog,
     lineage,
-    role_columns,
+    role_name,
     semantic_fields,
     semantic_summary,
-    value_columns,
 )
 from autoprofile.operators.series import period_series, trend_fit, trends_of
 from autoprofile.operators.tables import dataset_summary, datetime_summary
@@ -99,9 +99,10 @@ def analyze(
 ) -> Results:
     """Profile, check and analyse a table.
 
-    The catalog is computed first because it decides which column plays which role.  After
-    that every section is its own aggregation over just the columns it needs; what is kept
-    between sections is one row per column, segment, period or top value, never table rows.
+    The catalog is computed first because it decides which column plays which role.  After that
+    every section is its own aggregation over just the columns it needs, and the sections are
+    submitted side by side.  What is kept between them is one row per column, segment, period
+    or top value, never table rows.
     """
     cfg = config or Config()
     spark, started = df.sparkSession, time.time()
@@ -109,47 +110,32 @@ def analyze(
 
     catalog = pin(column_catalog(df, cfg))
     typed = analysis_columns(catalog)
-    numeric = [c for c, t in typed if t == "numeric"]
+    measures = [c for c, t in typed if t == "numeric"]
     times = [c for c, t in typed if t == "datetime"]
-    valued = value_columns(catalog)
+    dimensions = [c for c, t in typed if role_name(t) == "dimension"]
+    valued = [c for c, t in typed if t in ("categorical", "boolean")]
 
-    found = distributions(df, numeric)
-    outliers = None
-    if found:
-        outliers = pin(
-            outlier_counts(df, found, cfg.quality.iqr_factor, cfg.quality.zscore_limit)
+    with ThreadPoolExecutor(max_workers=6) as sections:
+        numbers_job = sections.submit(_numbers_and_quality, df, typed, measures, cfg, as_of)
+        labels_job = sections.submit(_labels, df, catalog, valued, cfg)
+        summary_job = sections.submit(
+            lambda: pin(dataset_summary(df, catalog, cfg.schema.distinct == "exact"))
         )
-    judged = judge_columns(df, typed, cfg, as_of, found, outliers)
-    issues = issues_of(judged)
-    overview = quality_overview(
-        catalog.select("total_rows", "null_count"), issues
-    )
-
-    counts = value_counts(df, valued).persist()
-    top = pin(with_share(counts, max(cfg.analysis.top_n, BAR_CATEGORIES)))
-    known = pin(dimension_values_of(counts))
-    counts.unpersist()
-    semantic = pin(semantic_fields(catalog, cfg, known))
-    kpis = pin(kpi_catalog(semantic, cfg))
-    measures = role_columns(semantic, "measure")
-    dimensions = role_columns(semantic, "dimension")
+        triangle_job = sections.submit(_correlations, df, measures, cfg)
+        series_job = sections.submit(_series_and_trends, df, times, measures, cfg)
+        grid_job = sections.submit(
+            lambda: pin(first_grid(df, dimensions, measures, cfg.analysis))
+        )
+        found, outliers, judged = numbers_job.result()
+        top, semantic, kpis = labels_job.result()
+        summary, triangle = summary_job.result(), triangle_job.result()
+        (series, trends), grid = series_job.result(), grid_job.result()
 
-    summary = pin(dataset_summary(df, catalog, cfg.schema.distinct == "exact"))
+    issues = issues_of(judged)
+    overview = quality_overview(catalog.select("total_rows", "null_count"), issues)
     numbers = summary_frame(spark, found)
     top_shown = top.where(F.col("rank") <= cfg.analysis.top_n)
-    if len(measures) >= cfg.analysis.min_correlation_columns:
-        triangle = pin(upper_triangle(df, measures))
-    else:
-        triangle = upper_triangle(df, [])
     strong = strong_of(triangle, cfg.analysis.strong_correlation)
-    series = pin(
-        period_series(
-            df, times, measures, cfg.analysis.min_time_points, cfg.analysis.granularity
-        )
-    )
-    trends = pin(trends_of(series))
-    grid = pin(first_grid(df, dimensions, measures, cfg.analysis))
-
     positions = pin(judged.select("position", "column", "null_pct"))
     ranked = _ranked_insights(
         cfg, summary, positions, numbers, triangle, trends, times, grid,
@@ -225,6 +211,37 @@ def analyze_path(
     return analyze(loaded.df, config, loaded.name, as_of, loaded.rows_raw)
 
 
+def _numbers_and_quality(df, typed, measures, cfg: Config, as_of):
+    found = distributions(df, measures)
+    outliers = None
+    if found:
+        outliers = pin(
+            outlier_counts(df, found, cfg.quality.iqr_factor, cfg.quality.zscore_limit)
+        )
+    return found, outliers, judge_columns(df, typed, cfg, as_of, found, outliers)
+
+
+def _labels(df: DataFrame, catalog: DataFrame, valued: list[str], cfg: Config):
+    counts = value_counts(df, valued).persist()
+    top = pin(with_share(counts, max(cfg.analysis.top_n, BAR_CATEGORIES)))
+    known = pin(dimension_values_of(counts))
+    counts.unpersist()
+    semantic = pin(semantic_fields(catalog, cfg, known))
+    return top, semantic, pin(kpi_catalog(semantic, cfg))
+
+
+def _correlations(df: DataFrame, measures: list[str], cfg: Config) -> DataFrame:
+    if len(measures) < cfg.analysis.min_correlation_columns:
+        return upper_triangle(df, [])
+    return pin(upper_triangle(df, measures))
+
+
+def _series_and_trends(df: DataFrame, times: list[str], measures: list[str], cfg: Config):
+    rules = cfg.analysis
+    series = pin(period_series(df, times, measures, rules.min_time_points, rules.granularity))
+    return series, pin(trends_of(series))
+
+
 def _metadata(
     spark: SparkSession, name: str, rows_raw: int, rows: int, started: float
 ) -> DataFrame:

@@ -89,10 +89,10 @@ def summary_with_gaps(spark, sf_dir):
 
 @query(
     "numeric_summary_text",
-    summary_sql(TEXT_ORDERS_SQL + " AS t", [("price", f"({sql_number('price')})")], 2),
+    summary_sql(TEXT_ORDERS_SQL + " AS t", [("price", f"({sql_number('price')})")], 3),
 )
 def summary_of_texts(spark, sf_dir):
-    return numeric_summary(text_orders(spark, sf_dir), ["price"], digits=2)
+    return numeric_summary(text_orders(spark, sf_dir), ["price"], digits=3)
 
 
 def moments_sql(source, columns):

@@ -83,7 +83,7 @@ def series_sql(source, time, measures, granularity="month", digits=4):
     label = PERIODS[granularity].format(time)
     parts = [
         f"""SELECT '{time}' AS time_column, '{m}' AS measure, {label} AS period,
-        {r(f'coalesce(sum({m}), 0)', digits)} AS value FROM {source}
+        {r(f'coalesce(sum(cast({m} AS DOUBLE)), 0)', digits)} AS value FROM {source}
         WHERE {time} IS NOT NULL GROUP BY {label}"""
         for m in measures
     ]
