@@ -36,7 +36,10 @@ FACTS_SCHEMA = (
     "non_null_count long, beyond_01 long, not_truth_word long, date_count long, "
     "number_count long"
 )
-DISTINCT_SCHEMA = "ordinal int, unique_count long, sample_values array<string>"
+DISTINCT_SCHEMA = (
+    "ordinal int, unique_count long, short_not_word long, short_dates long, short_numbers long, "
+    "sample_values array<string>"
+)
 CATALOG_FIELDS = [
     "column_name", "ordinal", "inferred_type", "total_rows", "null_count", "non_null_count",
     "null_pct", "non_null_pct", "unique_count", "unique_ratio", "sample_values", "anomalies",
@@ -54,9 +57,17 @@ def truth_word(text: Column, words: tuple[str, ...]) -> Column:
 # ------------------------------------------------------------------ column facts
 
 
-def column_facts(df: DataFrame, rules: SchemaRules) -> DataFrame:
-    """Everything the type decision needs except distinct counts, in one scan."""
-    words = tuple(w.strip().lower() for w in (*rules.true_words, *rules.false_words))
+def _truth_words(rules: SchemaRules) -> tuple[str, ...]:
+    return tuple(w.strip().lower() for w in (*rules.true_words, *rules.false_words))
+
+
+def column_facts(df: DataFrame, rules: SchemaRules, long_texts_only: bool = False) -> DataFrame:
+    """Everything the type decision needs except distinct counts, in one scan.
+
+    With ``long_texts_only`` the tests for words, dates and numbers skip texts that are their
+    own distinct key; :func:`distinct_profile` tests those once per distinct value.
+    """
+    words = _truth_words(rules)
     nothing = F.lit(None).cast("long")
     facts = []
     for ordinal, field in enumerate(df.schema):
@@ -65,9 +76,12 @@ def column_facts(df: DataFrame, rules: SchemaRules) -> DataFrame:
         if kind == "number":
             beyond_01 = F.count_if(~column.isin(0, 1))
         elif kind == "string":
-            not_word = F.count_if(~truth_word(column, words))
-            dates = F.count(text_timestamp(column))
-            numbers = F.count(text_number(column))
+            text = column
+            if long_texts_only:
+                text = F.when(F.octet_length(column) >= DIGEST_LENGTH, column)
+            not_word = F.count_if(~truth_word(text, words))
+            dates = F.count(text_timestamp(text))
+            numbers = F.count(text_number(text))
         facts.append([
             F.lit(ordinal).alias("ordinal"),
             F.lit(field.name).alias("column_name"),
@@ -100,7 +114,7 @@ def _value_kind(dtype: T.DataType) -> str | None:
 
 
 def distinct_values(df: DataFrame, names: list[str] | None = None) -> list[DataFrame]:
-    """(ordinal, value) of every distinct non-null value, one frame per kind of value.
+    """(ordinal, value, count) of every distinct non-null value, one frame per kind of value.
 
     Each kind is one unpivot and one shuffle for all its columns together.  The map side
     already drops repeated values, so a value that fills a third of the table sends one row
@@ -121,15 +135,35 @@ def distinct_values(df: DataFrame, names: list[str] | None = None) -> list[DataF
         frames.append(
             narrow.unpivot([], [quoted(str(o)) for o, _ in members], "ordinal", "value")
             .where(F.col("value").isNotNull())
-            .select(F.col("ordinal").cast("int").alias("ordinal"), "value")
-            .distinct()
+            .groupBy(F.col("ordinal").cast("int").alias("ordinal"), "value")
+            .agg(F.count(F.lit(1)).alias("count"))
         )
     return frames
 
 
-def _count_and_sample(frame: DataFrame) -> DataFrame:
-    """Distinct count and the smallest values per column; both read the same shuffle."""
-    counts = frame.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+def _count_and_sample(frame: DataFrame, words: tuple[str, ...]) -> DataFrame:
+    """Distinct count and the smallest values per column; both read the same shuffle.
+
+    For texts also how many rows hold a short text that is no truth word, a date, a number:
+    each distinct text is tested once, however often it occurs.
+    """
+    tests = [F.lit(None).cast("long")] * 3
+    if dict(frame.dtypes)["value"] == "string":
+        value = F.when(F.octet_length("value") < DIGEST_LENGTH, F.col("value"))
+        tests = [
+            F.sum(F.when(passed, F.col("count")).otherwise(0))
+            for passed in (
+                ~truth_word(value, words),
+                text_timestamp(value).isNotNull(),
+                text_number(value).isNotNull(),
+            )
+        ]
+    counts = frame.groupBy("ordinal").agg(
+        F.count(F.lit(1)).alias("unique_count"),
+        tests[0].cast("long").alias("short_not_word"),
+        tests[1].cast("long").alias("short_dates"),
+        tests[2].cast("long").alias("short_numbers"),
+    )
     order = Window.partitionBy("ordinal").orderBy("value")
     smallest = (
         frame.withColumn("place", F.row_number().over(order))
@@ -138,13 +172,14 @@ def _count_and_sample(frame: DataFrame) -> DataFrame:
         .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("smallest"))
     )
     return counts.join(smallest, "ordinal").select(
-        "ordinal",
-        "unique_count",
+        *counts.columns,
         F.transform("smallest", lambda s: s["value"].cast("string")).alias("sample_values"),
     )
 
 
-def distinct_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame:
+def distinct_profile(
+    df: DataFrame, names: list[str] | None = None, rules: SchemaRules = SchemaRules()
+) -> DataFrame:
     """Exact distinct count and the five smallest distinct values of every column.
 
     Columns of long texts are sampled by digest; the texts behind those few digests are
@@ -153,7 +188,8 @@ def distinct_profile(df: DataFrame, names: list[str] | None = None) -> DataFrame
     frames = distinct_values(df, names)
     if not frames:
         return empty_frame(df.sparkSession, DISTINCT_SCHEMA)
-    return reduce(DataFrame.unionByName, [_count_and_sample(f) for f in frames])
+    words = _truth_words(rules)
+    return reduce(DataFrame.unionByName, [_count_and_sample(f, words) for f in frames])
 
 
 def estimated_distinct(df: DataFrame) -> DataFrame:
@@ -208,8 +244,8 @@ def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
 def _measured(df: DataFrame, rules: SchemaRules) -> DataFrame:
     """Facts and distinct counts, one local row per column."""
     spark = df.sparkSession
-    facts = column_facts(df, rules)
     if rules.distinct == "approx":
+        facts = column_facts(df, rules)
         estimated = F.broadcast(estimated_distinct(df))  # one row per column
         rows = [r.asDict() for r in facts.join(estimated, "ordinal", "left").collect()]
         doubtful = _columns_in_doubt(rows, rules)
@@ -221,8 +257,19 @@ def _measured(df: DataFrame, rules: SchemaRules) -> DataFrame:
             row["unique_count"] = found["unique_count"] if found else row["estimated_count"]
             row["sample_values"] = found["sample_values"] if found else None
     else:
-        joined = facts.join(F.broadcast(distinct_profile(df)), "ordinal", "left")
-        rows = [r.asDict() for r in joined.collect()]
+        profile = F.broadcast(distinct_profile(df, rules=rules))  # one row per column
+        joined = column_facts(df, rules, long_texts_only=True).join(profile, "ordinal", "left")
+        rows = [
+            r.asDict()
+            for r in joined.withColumns({
+                long: F.col(long) + F.coalesce(short, F.lit(0))
+                for long, short in (
+                    ("not_truth_word", "short_not_word"),
+                    ("date_count", "short_dates"),
+                    ("number_count", "short_numbers"),
+                )
+            }).collect()
+        ]
     schema = FACTS_SCHEMA + ", unique_count long, sample_values array<string>"
     names = T.StructType.fromDDL(schema).names
     rows = sorted(_with_sampled_texts(df, rows), key=lambda r: r["ordinal"])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +21,7 @@ from autoprofile.functions.coerce import (
     text_timestamp,
 )
 from autoprofile.functions.numeric import percent
-from autoprofile.operators.frequencies import label_variants
+from autoprofile.operators.frequencies import value_counts, variants_of
 from autoprofile.operators.numbers import Distribution, distributions, outlier_counts
 from autoprofile.operators.tables import null_profile
 from autoprofile.operators.wide import local_frame, per_column, pin
@@ -49,6 +50,19 @@ def text_shape(text: Column) -> Column:
     )
 
 
+def shape_counts_of(counts: DataFrame) -> DataFrame:
+    """The same from value frequencies: every distinct label is looked at once."""
+    shaped = counts.withColumn("shape", text_shape(F.col("value")))
+    return shaped.groupBy("column").agg(
+        *[
+            F.sum(F.when(F.col("shape") == s, F.col("count")).otherwise(0))
+            .cast("long")
+            .alias(f"{s}_count")
+            for s in (*SHAPES, "text")
+        ]
+    )
+
+
 def shape_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """How many non-null texts of each column have each shape, in one scan."""
     facts = []
@@ -72,7 +86,10 @@ def mixed_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
     Two or more shapes besides plain text are a mix of value types; numbers of one shape are
     worth a note when plain texts stand next to them.
     """
-    counts = shape_counts(df, columns)
+    return shape_verdicts(shape_counts(df, columns))
+
+
+def shape_verdicts(counts: DataFrame) -> DataFrame:
     found = F.array_compact(
         F.array(*[F.when(F.col(f"{s}_count") > 0, F.lit(s)) for s in SHAPES])
     )
@@ -99,6 +116,14 @@ def whitespace_values(df: DataFrame, columns: list[str]) -> DataFrame:
     return per_column(df, facts, fields_per_column=1)
 
 
+def whitespace_of(counts: DataFrame) -> DataFrame:
+    """The same from value frequencies."""
+    padded = F.col("value") != strip(F.col("value"))
+    return counts.groupBy("column").agg(
+        F.sum(F.when(padded, F.col("count")).otherwise(0)).cast("long").alias("padded_count")
+    )
+
+
 def date_bounds(df: DataFrame, columns: list[str], as_of: dt.datetime | None = None) -> DataFrame:
     """Dates after ``as_of`` (default: now) and before 1900, per time column."""
     now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
@@ -126,12 +151,14 @@ def column_measurements(
 ) -> DataFrame:
     """One row per analysed column with everything the rules look at.
 
-    Each check scans only the columns of the type it applies to.
+    Each check scans only the columns of the type it applies to.  Labels repeat, so all text
+    checks on them run over one shared table of distinct labels and their counts.
     """
     rules = config.quality
     strings = [c for c, _ in typed if family(df.schema[c].dataType) == "string"]
-    shaped = [c for c, t in typed if t in ("text", "categorical") and c in strings]
     labels = [c for c, t in typed if t == "categorical" and c in strings]
+    others = [c for c in strings if c not in labels]
+    texts = [c for c, t in typed if t == "text" and c in strings]
     numbers = [c for c, t in typed if t == "numeric"]
     times = [c for c, t in typed if t == "datetime"]
     if found is None:
@@ -145,12 +172,22 @@ def column_measurements(
         [(i, c, t) for i, (c, t) in enumerate(typed)],
         "position int, column string, type string",
     )
+    counts = value_counts(df, labels)
+    spaces, shapes = [], []
+    if labels:
+        spaces.append(whitespace_of(counts))
+        shapes.append(shape_counts_of(counts))
+    if others:
+        spaces.append(whitespace_values(df, others))
+    if texts:
+        shapes.append(shape_counts(df, texts))
+    verdicts = [shape_verdicts(s).select("column", "shapes", "verdict") for s in shapes]
     parts = [
         null_profile(df, [c for c, _ in typed]),
-        whitespace_values(df, strings) if strings else None,
-        mixed_shapes(df, shaped).select("column", "shapes", "verdict") if shaped else None,
+        reduce(DataFrame.unionByName, spaces) if spaces else None,
+        reduce(DataFrame.unionByName, verdicts) if verdicts else None,
         date_bounds(df, times, as_of) if times else None,
-        label_variants(df, labels).select("column", "variants") if labels else None,
+        variants_of(counts).select("column", "variants") if labels else None,
         outliers.drop("whisker_low", "whisker_high") if outliers is not None else None,
     ]
     defaults = {
