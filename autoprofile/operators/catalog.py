@@ -94,9 +94,7 @@ def column_facts(df: DataFrame, rules: SchemaRules, long_texts_only: bool = Fals
             dates.alias("date_count"),
             numbers.alias("number_count"),
         ])
-    if not facts:
-        return empty_frame(df.sparkSession, FACTS_SCHEMA)
-    return per_column(df, facts, fields_per_column=6)
+    return per_column(df, facts, fields_per_column=6, schema=FACTS_SCHEMA)
 
 
 # ------------------------------------------------------------------ distinct values
@@ -206,9 +204,8 @@ def estimated_distinct(df: DataFrame) -> DataFrame:
             F.lit(ordinal).alias("ordinal"),
             F.greatest(F.hll_sketch_estimate(sketch) - nulls, F.lit(0)).alias("estimated_count"),
         ])
-    if not facts:
-        return empty_frame(df.sparkSession, "ordinal int, estimated_count long")
-    return per_column(df, facts, fields_per_column=4)
+    schema = "ordinal int, estimated_count long"
+    return per_column(df, facts, fields_per_column=4, schema=schema)
 
 
 def _with_sampled_texts(df: DataFrame, rows: list[dict]) -> list[dict]:

@@ -179,13 +179,12 @@ def scatter_fit(
 def kpi_card(df: DataFrame, measures: list[str], digits: int = 4) -> DataFrame:
     """Sum of the first measures that hold any number."""
     shown = measures[:KPI_MEASURES]
-    if not shown:
-        return empty_frame(df.sparkSession, "column string, total double")
     facts = [
         [F.lit(name).alias("column"), F.round(F.sum(value), digits).alias("total")]
         for name, value in number_columns(df, shown).items()
     ]
-    return per_column(df, facts, fields_per_column=1).where(F.col("total").isNotNull())
+    schema = "column string, total double"
+    return per_column(df, facts, fields_per_column=1, schema=schema).where(F.col("total").isNotNull())
 
 
 def chart_plan(

@@ -99,6 +99,12 @@ MOMENTS_SCHEMA = (
 )
 
 
+OUTLIER_SCHEMA = (
+    "column string, iqr_outlier_count long, zscore_outlier_count long, iqr_lower double, "
+    "iqr_upper double, whisker_low double, whisker_high double"
+)
+
+
 def _frame(
     spark: SparkSession, found: list[Distribution], schema: str, digits: int
 ) -> DataFrame:
@@ -169,7 +175,7 @@ def outlier_counts(
             F.min(F.when(~outside, value)).alias("whisker_low"),
             F.max(F.when(~outside, value)).alias("whisker_high"),
         ])
-    return per_column(df, facts, fields_per_column=6)
+    return per_column(df, facts, fields_per_column=6, schema=OUTLIER_SCHEMA)
 
 
 def detect_outliers(

@@ -77,7 +77,8 @@ def shape_counts(df: DataFrame, columns: list[str]) -> DataFrame:
                 for shape in (*SHAPES, "text")
             ]
         )
-    return per_column(shaped, facts, fields_per_column=5)
+    schema = ", ".join(["column string", *[f"{s}_count long" for s in (*SHAPES, "text")]])
+    return per_column(shaped, facts, fields_per_column=5, schema=schema)
 
 
 def mixed_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -113,7 +114,7 @@ def whitespace_values(df: DataFrame, columns: list[str]) -> DataFrame:
         ]
         for c in columns
     ]
-    return per_column(df, facts, fields_per_column=1)
+    return per_column(df, facts, fields_per_column=1, schema="column string, padded_count long")
 
 
 def whitespace_of(counts: DataFrame) -> DataFrame:
@@ -135,7 +136,8 @@ def date_bounds(df: DataFrame, columns: list[str], as_of: dt.datetime | None = N
             F.count_if(moment > now).alias("future_count"),
             F.count_if(moment < F.lit(OLDEST_PLAUSIBLE).cast("timestamp")).alias("old_count"),
         ])
-    return per_column(df, facts, fields_per_column=2)
+    schema = "column string, future_count long, old_count long"
+    return per_column(df, facts, fields_per_column=2, schema=schema)
 
 
 # ------------------------------------------------------------------ all rules
@@ -163,7 +165,7 @@ def column_measurements(
     times = [c for c, t in typed if t == "datetime"]
     if found is None:
         found = distributions(df, numbers)
-    if outliers is None and numbers:
+    if outliers is None:
         outliers = outlier_counts(df, found, rules.iqr_factor, rules.zscore_limit)
 
     spark = df.sparkSession
@@ -188,13 +190,11 @@ def column_measurements(
         reduce(DataFrame.unionByName, verdicts) if verdicts else None,
         date_bounds(df, times, as_of) if times else None,
         variants_of(counts).select("column", "variants") if labels else None,
-        outliers.drop("whisker_low", "whisker_high") if outliers is not None else None,
+        outliers.drop("whisker_low", "whisker_high"),
     ]
     defaults = {
         "padded_count": "long", "shapes": "array<string>", "verdict": "string",
         "future_count": "long", "old_count": "long", "variants": "long",
-        "iqr_outlier_count": "long", "zscore_outlier_count": "long",
-        "iqr_lower": "double", "iqr_upper": "double",
     }
     result = names
     for part in parts:
@@ -351,14 +351,13 @@ def quality_overview(nulls: DataFrame, issues: DataFrame) -> DataFrame:
 
     ``nulls`` has one row per column of the table, ignored columns included.
     """
-    cells = nulls.agg(
+    cells = nulls.select("total_rows", "null_count")
+    joined = cells.unionByName(issues.select("severity"), allowMissingColumns=True).agg(
         F.max("total_rows").alias("total_rows"),
-        F.count(F.lit(1)).cast("int").alias("total_columns"),
+        F.count("total_rows").cast("int").alias("total_columns"),
         F.sum("total_rows").alias("total_cells"),
         F.sum("null_count").alias("total_nulls"),
-    )
-    counted = issues.agg(
-        F.count(F.lit(1)).alias("total_issues"),
+        F.count("severity").alias("total_issues"),
         *[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in PENALTIES],
     )
     null_share = F.coalesce(
@@ -368,9 +367,6 @@ def quality_overview(nulls: DataFrame, issues: DataFrame) -> DataFrame:
     score = F.lit(100.0) - null_share * NULL_PENALTY
     for severity, points in PENALTIES.items():
         score = score - F.col(f"{severity}s") * points
-    joined = cells.withColumn("one", F.lit(1)).join(
-        F.broadcast(counted.withColumn("one", F.lit(1))), "one"
-    )
     return joined.select(
         "total_rows",
         "total_columns",

@@ -225,14 +225,10 @@ def _kpi(group: int, name, formula, description, fmt, sources, operation, column
     ]
 
 
-def _first_measure(measures: DataFrame, words: tuple[str, ...], prefix: str) -> DataFrame:
-    """The first measure whose semantic name holds one of ``words`` (no row if none)."""
-    return (
-        measures.where(_has_any(F.col("semantic_name"), words))
-        .agg(F.min_by(F.struct("raw_column", "semantic_name"), "ordinal").alias(prefix))
-        .where(F.col(prefix).isNotNull())
-        .withColumn("one", F.lit(1))
-    )
+def _first_measure(words: tuple[str, ...]) -> Column:
+    """The first measure whose semantic name holds one of ``words`` (NULL if none)."""
+    place = F.when(_has_any(F.col("semantic_name"), words), F.col("ordinal"))
+    return F.min_by(F.struct("raw_column", "semantic_name"), place)
 
 
 def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
@@ -260,8 +256,11 @@ def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
     )
     over, under = F.col("revenue.raw_column"), F.col("units.raw_column")
     ratio = (
-        _first_measure(measures, REVENUE_WORDS, "revenue")
-        .join(F.broadcast(_first_measure(measures, UNIT_WORDS, "units")), "one")
+        measures.agg(
+            _first_measure(REVENUE_WORDS).alias("revenue"),
+            _first_measure(UNIT_WORDS).alias("units"),
+        )
+        .where(F.col("revenue").isNotNull() & F.col("units").isNotNull())
         .withColumn("ordinal", F.lit(0))
         .select(
             *_kpi(
@@ -388,19 +387,21 @@ def semantic_document(fields: DataFrame, kpis: DataFrame) -> DataFrame:
                                 "semantic_type"]),
     }
 
-    def listed(rows: DataFrame, order: str, names: list[str], alias: str) -> DataFrame:
-        entry = F.struct(F.col(order).alias("position"), F.struct(*names).alias("entry"))
-        return rows.agg(
-            F.transform(F.array_sort(F.collect_list(entry)), lambda e: e["entry"]).alias(alias)
-        ).withColumn("one", F.lit(1))
-
-    parts = [
-        listed(fields.where(F.col("semantic_type") == role), "ordinal", names, alias)
-        for alias, (role, names) in sections.items()
-    ]
     kpi_names = ["name", "semantic_type", "formula", "description", "format", "source_measures"]
-    parts.append(listed(kpis, "seq", kpi_names, "kpis"))
-    joined = reduce(lambda a, b: a.join(F.broadcast(b), "one"), parts)
+    both = fields.unionByName(
+        kpis.withColumn("ordinal", F.col("seq")).drop("operation", "columns", "seq"),
+        allowMissingColumns=True,
+    )
+
+    def listed(role: str, names: list[str], alias: str) -> Column:
+        entry = F.struct(F.col("ordinal").alias("position"), F.struct(*names).alias("entry"))
+        members = F.collect_list(F.when(F.col("semantic_type") == role, entry))
+        return F.transform(F.array_sort(members), lambda e: e["entry"]).alias(alias)
+
+    joined = both.agg(
+        *[listed(role, names, alias) for alias, (role, names) in sections.items()],
+        listed("kpi", kpi_names, "kpis"),
+    )
     body = F.struct(F.lit("1.0").alias("version"), *[F.col(a) for a in (*sections, "kpis")])
     document = F.to_json(F.struct(body.alias("semantic_layer")))
     return joined.select(document.alias("document"))

@@ -26,7 +26,8 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
         for name in names
     ]
     missing = F.col("total_rows") - F.col("present")
-    return per_column(clean, facts, fields_per_column=2).select(
+    schema = "column string, total_rows long, present long"
+    return per_column(clean, facts, fields_per_column=2, schema=schema).select(
         "column",
         "total_rows",
         missing.alias("null_count"),
@@ -47,7 +48,9 @@ def datetime_summary(df: DataFrame, columns: list[str]) -> DataFrame:
         ])
     span = F.unix_micros("last") - F.unix_micros("first")
     return (
-        per_column(df, facts, fields_per_column=2)
+        per_column(
+            df, facts, fields_per_column=2, schema="column string, first timestamp, last timestamp"
+        )
         .where(F.col("first").isNotNull())
         .select(
             "column",

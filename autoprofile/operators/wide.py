@@ -22,8 +22,15 @@ def chunked(items: list, size: int) -> list[list]:
     return [items[i : i + size] for i in range(0, len(items), max(size, 1))]
 
 
-def per_column(df: DataFrame, facts: list[list[Column]], fields_per_column: int) -> DataFrame:
-    """``facts``: for each column the same list of aliased aggregates."""
+def per_column(
+    df: DataFrame, facts: list[list[Column]], fields_per_column: int, schema: str = ""
+) -> DataFrame:
+    """``facts``: for each column the same list of aliased aggregates.
+
+    Without columns the result is an empty frame of ``schema``.
+    """
+    if not facts:
+        return empty_frame(df.sparkSession, schema)
     parts = []
     for group in chunked(facts, max(1, FIELD_BUDGET // fields_per_column)):
         structs = [F.struct(*columns).alias(f"c{i}") for i, columns in enumerate(group)]

@@ -159,14 +159,7 @@ def analyze(
         dataset_summary=summary,
         numeric_summary=numbers,
         top_values=top_shown,
-        datetime_summary=(
-            datetime_summary(df, times)
-            if times
-            else empty_frame(
-                spark,
-                "column string, date_min date, date_max date, date_range_days long",
-            )
-        ),
+        datetime_summary=datetime_summary(df, times),
         correlations=mirrored(triangle).orderBy("i", "j").drop("i", "j"),
         strong_correlations=strong,
         series=series.drop("measure_no").withColumn("value", F.round("value", 4)),
@@ -180,11 +173,7 @@ def analyze(
         null_ranking=charts.null_ranking(catalog),
         histograms=charts.histogram_of(df, found[: charts.HISTOGRAMS]),
         histogram_notes=charts.histogram_notes(df, found[: charts.HISTOGRAMS]),
-        box_stats=(
-            box_frame(df, found[: charts.BOX_PLOTS], outliers)
-            if outliers is not None
-            else empty_frame(spark, BOX_SCHEMA)
-        ),
+        box_stats=box_frame(df, found[: charts.BOX_PLOTS], outliers),
         category_bars=category_share(top),
         segment_bars=segment_bars(grid),
         scatter_fits=_scatter_fits(df, strong_pairs, dimensions),
@@ -192,12 +181,6 @@ def analyze(
     )
 
 
-BOX_SCHEMA = (
-    "column string, q1 double, median double, q3 double, mean double, whisker_low double, "
-    "whisker_high double, outliers long"
-)
-
-
 def analyze_path(
     spark: SparkSession,
     path: str,
@@ -213,11 +196,9 @@ def analyze_path(
 
 def _numbers_and_quality(df, typed, measures, cfg: Config, as_of):
     found = distributions(df, measures)
-    outliers = None
-    if found:
-        outliers = pin(
-            outlier_counts(df, found, cfg.quality.iqr_factor, cfg.quality.zscore_limit)
-        )
+    outliers = pin(
+        outlier_counts(df, found, cfg.quality.iqr_factor, cfg.quality.zscore_limit)
+    )
     return found, outliers, judge_columns(df, typed, cfg, as_of, found, outliers)
 
 
