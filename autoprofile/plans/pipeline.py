@@ -214,7 +214,7 @@ def _labels(df: DataFrame, catalog: DataFrame, valued: list[str], cfg: Config):
 def _correlations(df: DataFrame, measures: list[str], cfg: Config) -> DataFrame:
     if len(measures) < cfg.analysis.min_correlation_columns:
         return upper_triangle(df, [])
-    return pin(upper_triangle(df, measures))
+    return upper_triangle(df, measures)
 
 
 def _series_and_trends(df: DataFrame, times: list[str], measures: list[str], cfg: Config):

@@ -39,6 +39,36 @@ def test_pairwise_complete_correlation(spark):
     ]
 
 
+def test_hard_correlations(spark):
+    """Far from zero, constant on the shared rows only, and of very different size."""
+    rng = np.random.default_rng(5)
+    far = 1e9 + rng.normal(size=300)
+    rows = [
+        (float(f), float(f) * -3.0, 0.1, None if i % 3 else 0.7, 1e-12 * float(f), float(i))
+        for i, f in enumerate(far)
+    ]
+    names = ["far", "mirror", "same", "part", "tiny", "place"]
+    frame = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).repartition(3)
+    found = {(r["col1"], r["col2"]): r["correlation"]
+             for r in correlation_matrix(frame, names).collect()}
+    assert found["far", "mirror"] == -1.0 and found["far", "tiny"] == 1.0
+    assert found["far", "same"] is None and found["part", "place"] is None
+    assert found["part", "part"] is None and found["place", "place"] == 1.0
+    expected = np.corrcoef(far, np.arange(300))[0, 1]
+    assert found["far", "place"] == pytest.approx(expected, abs=1e-4)
+
+
+def test_correlation_on_a_shifted_subset(spark):
+    """The rows shared with another column lie far from the column's own mean."""
+    rng = np.random.default_rng(6)
+    noise = rng.normal(size=100)
+    rows = [(1e7 + float(v), float(v)) for v in noise] + [(-1e7, None)] * 100
+    frame = spark.createDataFrame(rows, "x double, y double")
+    found = {(r["col1"], r["col2"]): r["correlation"]
+             for r in correlation_matrix(frame, ["x", "y"]).collect()}
+    assert found["x", "y"] == 1.0
+
+
 def test_constant_measures_have_no_correlation(spark):
     frame = spark.createDataFrame([(1.0, 5.0, -1.0), (2.0, 5.0, -2.0)],
                                   "a double, b double, c double")
