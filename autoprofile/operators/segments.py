@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from autoprofile.config import AnalysisRules
 from autoprofile.functions.coerce import family, nan_to_null, number_columns, quoted
 from autoprofile.functions.keys import DIGEST_LENGTH, text_key, texts_behind
 from autoprofile.operators.wide import empty_frame, local_frame, pin
@@ -138,7 +139,7 @@ def segment_rollup(
 
 
 def first_grid(
-    df: DataFrame, dimensions: list[str], measures: list[str], rules
+    df: DataFrame, dimensions: list[str], measures: list[str], rules: AnalysisRules
 ) -> DataFrame:
     """The grid over the first dimensions and measures the rules allow."""
     return segment_grid(
@@ -152,14 +153,9 @@ def first_grid(
 
 def segment_bars(grid: DataFrame, results: int = 4, shown: int = 15) -> DataFrame:
     """Bars of the first ``results`` dimension and measure combinations."""
-    order = Window.orderBy("dimension_no", "measure_no")
-    combinations = (
-        grid.select("dimension_no", "measure_no").distinct()
-        .withColumn("result_no", F.row_number().over(order))
-        .where(F.col("result_no") <= results)
-    )
+    order = Window.orderBy("dimension_no", "measure_no")  # a grid has few rows
     return (
-        grid.where(F.col("rank") <= shown)
-        .join(F.broadcast(combinations), ["dimension_no", "measure_no"])
+        grid.withColumn("result_no", F.dense_rank().over(order))
+        .where((F.col("result_no") <= results) & (F.col("rank") <= shown))
         .select("result_no", "dimension", "measure", "rank", "segment", "total", "avg")
     )

@@ -47,7 +47,8 @@ from autoprofile.operators.semantic import (
 from autoprofile.operators.series import period_series, trend_fit, trends_of
 from autoprofile.operators.tables import dataset_summary, datetime_summary
 from autoprofile.operators.wide import empty_frame, local_frame, pin
-from autoprofile.sources.readers import LoadedTable, load
+from autoprofile.sources.readers import LoadedTable, is_row_format, load
+from autoprofile.sources.sinks import stage
 
 
 @dataclass(frozen=True)
@@ -189,9 +190,10 @@ def analyze_path(
     as_of: dt.datetime | None = None,
     **options,
 ) -> Results:
-    """Load a table and analyse it."""
+    """Load a table and analyse it.  Tables from text or JSON are staged as Parquet first."""
     loaded: LoadedTable = load(spark, path, format, config=config, **options)
-    return analyze(loaded.df, config, loaded.name, as_of, loaded.rows_raw)
+    df = stage(loaded.df) if is_row_format(path, format) else loaded.df
+    return analyze(df, config, loaded.name, as_of, loaded.rows_raw)
 
 
 def _numbers_and_quality(df, typed, measures, cfg: Config, as_of):

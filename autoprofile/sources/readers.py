@@ -38,6 +38,11 @@ def _format_of(path: str, given: str | None) -> str:
     return name
 
 
+def is_row_format(path: str, given: str | None = None) -> bool:
+    """Must files of this format be parsed whole to read one column?"""
+    return _format_of(path, given) in ("csv", "json")
+
+
 def read_table(
     spark: SparkSession,
     path: str,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame
@@ -24,6 +25,22 @@ def write_sections(
     return written
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """The table written once as Parquet and read back, where the cluster has a shared folder.
+
+    An analysis scans a table many times, each time only a few columns.  Text and JSON files
+    would be parsed in full every time; the Parquet copy is pruned, and a lost executor costs
+    no parsing again.  The copy goes below ``spark.checkpoint.dir`` and is the caller's to
+    remove; without that setting the table is used as it is.
+    """
+    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not shared or not df.columns:
+        return df
+    folder = f"{shared.rstrip('/')}/autoprofile/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def write_semantic_layer(fields: DataFrame, kpis: DataFrame, path: str) -> None:
     """The semantic layer as one JSON document."""
     semantic_document(fields, kpis).coalesce(1).write.mode("overwrite").text(path)

@@ -39,6 +39,18 @@ def results(sales, spark, tmp_path_factory):
     return analyze_path(spark, folder, "csv", as_of=AS_OF)
 
 
+def test_text_files_are_staged_on_shared_storage(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("a,b\n" + "".join(f"{i % 3},{i}\n" for i in range(30)))
+    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
+    try:
+        results = analyze_path(spark, str(tmp_path / "t.csv"), as_of=AS_OF)
+        assert results.dataset_summary.first()["rows"] == 30
+        staged = list((tmp_path / "shared" / "autoprofile").iterdir())
+        assert len(staged) == 1
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 def test_types(results):
     types = {r["column_name"]: r["inferred_type"] for r in results.column_catalog.collect()}
     assert types == {
