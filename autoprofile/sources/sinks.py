@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from autoprofile.operators.semantic import semantic_document
 
@@ -25,6 +25,12 @@ def write_sections(
     return written
 
 
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder on shared storage the cluster names for checkpoints, if it names one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return folder.rstrip("/") if folder else None
+
+
 def stage(df: DataFrame) -> DataFrame:
     """The table written once as Parquet and read back, where the cluster has a shared folder.
 
@@ -33,10 +39,10 @@ def stage(df: DataFrame) -> DataFrame:
     no parsing again.  The copy goes below ``spark.checkpoint.dir`` and is the caller's to
     remove; without that setting the table is used as it is.
     """
-    shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    shared = shared_folder(df.sparkSession)
     if not shared or not df.columns:
         return df
-    folder = f"{shared.rstrip('/')}/autoprofile/{uuid.uuid4().hex}"
+    folder = f"{shared}/autoprofile/{uuid.uuid4().hex}"
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 

@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from autoprofile.functions.coerce import WHITESPACE
+from autoprofile.sources.sinks import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,8 +39,7 @@ def scratch(spark: SparkSession) -> str:
 
     Only a session without that setting, as in local tests, gets a local folder.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    base = shared.rstrip("/") if shared else tempfile.mkdtemp(prefix="autoprofile-")
+    base = shared_folder(spark) or tempfile.mkdtemp(prefix="autoprofile-")
     return f"{base}/{uuid.uuid4().hex}"
 
 

@@ -6,6 +6,7 @@ from autoprofile.config import Config, ReportRules, SchemaRules
 from autoprofile.operators.insights import confidence_score
 from autoprofile.operators.tables import null_profile
 from autoprofile.plans.pipeline import analyze, analyze_path
+from autoprofile.sources import sinks
 from autoprofile.sources.sinks import write_sections
 
 AS_OF = dt.datetime(2024, 6, 1)
@@ -39,16 +40,13 @@ def results(sales, spark, tmp_path_factory):
     return analyze_path(spark, folder, "csv", as_of=AS_OF)
 
 
-def test_text_files_are_staged_on_shared_storage(spark, tmp_path):
+def test_text_files_are_staged_on_shared_storage(spark, tmp_path, monkeypatch):
     (tmp_path / "t.csv").write_text("a,b\n" + "".join(f"{i % 3},{i}\n" for i in range(30)))
-    spark.conf.set("spark.checkpoint.dir", str(tmp_path / "shared"))
-    try:
-        results = analyze_path(spark, str(tmp_path / "t.csv"), as_of=AS_OF)
-        assert results.dataset_summary.first()["rows"] == 30
-        staged = list((tmp_path / "shared" / "autoprofile").iterdir())
-        assert len(staged) == 1
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    monkeypatch.setattr(sinks, "shared_folder", lambda session: str(tmp_path / "shared"))
+    results = analyze_path(spark, str(tmp_path / "t.csv"), as_of=AS_OF)
+    assert results.dataset_summary.first()["rows"] == 30
+    staged = list((tmp_path / "shared" / "autoprofile").iterdir())
+    assert len(staged) == 1
 
 
 def test_types(results):
