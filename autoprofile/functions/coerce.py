@@ -57,6 +57,18 @@ def family(dtype: T.DataType) -> str:
     return "nested"
 
 
+def value_kind(dtype: T.DataType) -> str | None:
+    """The common type in which distinct values of this type are compared."""
+    kind = family(dtype)
+    if kind in ("nested", "void"):
+        return None
+    if isinstance(dtype, T.IntegralType):
+        return "long"
+    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DateType)):
+        return dtype.typeName()
+    return "timestamp" if kind == "datetime" else "string"
+
+
 def quoted(name: str) -> Column:
     """The column called ``name``, whatever characters the name holds."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -20,18 +20,6 @@ def text_key(text: Column) -> Column:
     return F.when(F.octet_length(text) < DIGEST_LENGTH, text).otherwise(F.sha2(text, 256))
 
 
-def texts_behind(df: DataFrame, name: str, digests: list[str]) -> dict[str, str]:
-    """The texts of column ``name`` with these digests: one filtered scan, a row per digest."""
-    key = text_key(quoted(name))
-    rows = (
-        df.where(key.isin(*digests))
-        .groupBy(key.alias("digest"))
-        .agg(F.any_value(quoted(name)).alias("text"))
-        .collect()
-    )
-    return {r["digest"]: r["text"] for r in rows}
-
-
 def row_fingerprint(df: DataFrame) -> list[Column]:
     """Two seeded 64-bit hashes over all columns; equal rows have equal fingerprints.
 

@@ -16,9 +16,11 @@ from autoprofile.functions.coerce import (
     strip,
     text_number,
     text_timestamp,
+    value_kind,
 )
-from autoprofile.functions.keys import DIGEST_LENGTH, text_key, texts_behind
+from autoprofile.functions.keys import DIGEST_LENGTH, text_key
 from autoprofile.functions.numeric import percent
+from autoprofile.operators.digests import texts_behind
 from autoprofile.operators.wide import empty_frame, local_frame, per_column
 
 IGNORED_TYPES = ("empty", "constant", "identifier", "nested")
@@ -100,17 +102,6 @@ def column_facts(df: DataFrame, rules: SchemaRules, long_texts_only: bool = Fals
 # ------------------------------------------------------------------ distinct values
 
 
-def _value_kind(dtype: T.DataType) -> str | None:
-    kind = family(dtype)
-    if kind in ("nested", "void"):
-        return None
-    if isinstance(dtype, T.IntegralType):
-        return "long"
-    if isinstance(dtype, (T.FloatType, T.DoubleType, T.DateType)):
-        return dtype.typeName()
-    return "timestamp" if kind == "datetime" else "string"
-
-
 def distinct_values(df: DataFrame, names: list[str] | None = None) -> list[DataFrame]:
     """(ordinal, value, count) of every distinct non-null value, one frame per kind of value.
 
@@ -120,7 +111,7 @@ def distinct_values(df: DataFrame, names: list[str] | None = None) -> list[DataF
     """
     groups: dict[str, list[tuple[int, Column]]] = {}
     for ordinal, field in enumerate(df.schema):
-        kind = _value_kind(field.dataType)
+        kind = value_kind(field.dataType)
         if kind is None or (names is not None and field.name not in names):
             continue
         column = quoted(field.name)
@@ -194,7 +185,7 @@ def estimated_distinct(df: DataFrame) -> DataFrame:
     """Distinct counts from sketches, within about one percent; no shuffle of values."""
     facts = []
     for ordinal, field in enumerate(df.schema):
-        if _value_kind(field.dataType) is None:
+        if value_kind(field.dataType) is None:
             continue
         sketch = F.hll_sketch_agg(F.xxhash64(quoted(field.name)), F.lit(SKETCH_LOG_SIZE))
         present = F.count(quoted(field.name))

@@ -190,7 +190,7 @@ def kpi_card(df: DataFrame, measures: list[str], digits: int = 4) -> DataFrame:
 def chart_plan(
     catalog: DataFrame,
     found: list[Distribution],
-    filled_dimensions: list[str],
+    dimensions: list[str],
     trends: list[tuple[str, str]],
     strong_pairs: list[tuple[str, str]],
     segments: list[tuple[str, str]],
@@ -198,8 +198,8 @@ def chart_plan(
 ) -> DataFrame:
     """Which charts to draw, in order, with the columns each one reads.
 
-    ``found`` covers the measures, ``filled_dimensions`` the dimensions with any value,
-    ``trends`` (time column, measure) in order, ``segments`` (dimension, measure) in order.
+    ``found`` covers the measures, ``dimensions`` the dimensions (an analysed column always has
+    values), ``trends`` (time column, measure) and ``segments`` (dimension, measure) in order.
     """
     plan: list[tuple[str, str, list[str]]] = []
     gaps = [r["column"] for r in null_ranking(catalog).collect()]
@@ -211,7 +211,7 @@ def chart_plan(
     for d in found[:BOX_PLOTS]:
         if d.count >= 10:
             plan.append(("box", f"Box Plot: {d.column}", [d.column]))
-    for name in filled_dimensions[:BAR_CHARTS]:
+    for name in dimensions[:BAR_CHARTS]:
         plan.append(("bar", f"Distribution of {name}", [name]))
     seen: dict[str, int] = {}
     for time_column, measure in trends:

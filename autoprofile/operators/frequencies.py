@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import family, nan_to_null, quoted, strip
+from autoprofile.functions.coerce import family, nan_to_null, quoted, strip, value_kind
+from autoprofile.functions.keys import text_key
 from autoprofile.functions.numeric import percent
-from autoprofile.operators.wide import empty_frame, local_frame
+from autoprofile.operators.digests import with_full_texts
+from autoprofile.operators.wide import empty_frame, local_frame, pin
 
 COUNTS_SCHEMA = "column string, value string, count long"
 DIMENSION_VALUES = 50
@@ -17,18 +21,33 @@ BAR_CATEGORIES = 15
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column, value as text, count) over the non-null values of ``columns``.
 
-    One shuffle for all columns.  Repeated values are counted before it, so a value that
-    fills a third of the table costs one row per task.  Meant for columns of labels; values
-    travel whole.
+    One shuffle for all columns of a kind; numbers become text only after it.  Repeated values
+    are counted before it, so a value that fills a third of the table costs one row per task.
+    Meant for columns of labels, which travel whole; :func:`top_texts` is for long texts.
     """
-    if not columns:
+    return _counts(df, {c: quoted(c) for c in columns})
+
+
+def _counts(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+    clean = nan_to_null(df)
+    groups: dict[str, list[str]] = {}
+    for name in values:
+        kind = value_kind(df.schema[name].dataType)
+        if kind is not None:
+            groups.setdefault(kind, []).append(name)
+    if not groups:
         return empty_frame(df.sparkSession, COUNTS_SCHEMA)
-    texts = nan_to_null(df).select(*[quoted(c).cast("string").alias(c) for c in columns])
-    return (
-        texts.unpivot([], [quoted(c) for c in columns], "column", "value")
-        .where(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
+    return reduce(
+        DataFrame.unionByName,
+        [
+            clean.select(*[values[c].cast(kind).alias(c) for c in members])
+            .unpivot([], [quoted(c) for c in members], "column", "value")
+            .where(F.col("value").isNotNull())
+            .groupBy("column", "value")
+            .agg(F.count(F.lit(1)).alias("count"))
+            .select("column", F.col("value").cast("string").alias("value"), "count")
+            for kind, members in groups.items()
+        ],
     )
 
 
@@ -62,6 +81,16 @@ def with_share(counts: DataFrame, top_n: int = 15) -> DataFrame:
     )
 
 
+def top_texts(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
+    """:func:`top_values` for columns of long texts.
+
+    Texts are counted by digest, so that whole texts are not shuffled; only the few that are
+    among the most frequent are looked up again.
+    """
+    counts = _counts(df, {c: text_key(quoted(c)) for c in columns})
+    return with_full_texts(df, pin(with_share(counts, top_n)), "column", "value")
+
+
 def top_value(top: DataFrame, columns: list[str]) -> DataFrame:
     """The most frequent value per column; NULL and 0 for a column without values."""
     names = local_frame(top.sparkSession, [(c,) for c in columns], "column string")

@@ -150,6 +150,7 @@ def column_measurements(
     as_of: dt.datetime | None,
     found: list[Distribution] | None,
     outliers: DataFrame | None,
+    catalog: DataFrame | None,
 ) -> DataFrame:
     """One row per analysed column with everything the rules look at.
 
@@ -185,7 +186,7 @@ def column_measurements(
         shapes.append(shape_counts(df, texts))
     verdicts = [shape_verdicts(s).select("column", "shapes", "verdict") for s in shapes]
     parts = [
-        null_profile(df, [c for c, _ in typed]),
+        null_profile(df, [c for c, _ in typed]) if catalog is None else catalog_counts(catalog),
         reduce(DataFrame.unionByName, spaces) if spaces else None,
         reduce(DataFrame.unionByName, verdicts) if verdicts else None,
         date_bounds(df, times, as_of) if times else None,
@@ -194,7 +195,7 @@ def column_measurements(
     ]
     defaults = {
         "padded_count": "long", "shapes": "array<string>", "verdict": "string",
-        "future_count": "long", "old_count": "long", "variants": "long",
+        "future_count": "long", "old_count": "long", "variants": "long", "unique_count": "long",
     }
     result = names
     for part in parts:
@@ -220,6 +221,13 @@ def column_measurements(
     return result.join(F.broadcast(stats), "column", "left")
 
 
+def catalog_counts(catalog: DataFrame) -> DataFrame:
+    return catalog.select(
+        F.col("column_name").alias("column"),
+        "total_rows", "null_count", "non_null_count", "null_pct", "unique_count",
+    )
+
+
 def _candidate(
     applies: Column, severity: str, rule: str, value: Column, message: Column
 ) -> Column:
@@ -303,6 +311,7 @@ def column_quality_of(judged: DataFrame) -> DataFrame:
         "non_null_count",
         "null_pct",
         F.round(100 - F.col("null_pct"), 2).alias("non_null_pct"),
+        "unique_count",
         F.transform("found", lambda i: i["message"]).alias("issues"),
         "numeric_stats",
         F.when(
@@ -324,11 +333,16 @@ def judge_columns(
     as_of: dt.datetime | None = None,
     found: list[Distribution] | None = None,
     outliers: DataFrame | None = None,
+    catalog: DataFrame | None = None,
 ) -> DataFrame:
-    """Measurements and issues of every analysed column, materialised (one row each)."""
+    """Measurements and issues of every analysed column, materialised (one row each).
+
+    ``found``, ``outliers`` and ``catalog`` save the scans behind them where they are known;
+    without a catalog the distinct counts stay NULL.
+    """
     cfg = config or Config()
     return pin(
-        with_issues(column_measurements(df, typed, cfg, as_of, found, outliers), cfg)
+        with_issues(column_measurements(df, typed, cfg, as_of, found, outliers, catalog), cfg)
     )
 
 

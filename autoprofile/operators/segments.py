@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from autoprofile.config import AnalysisRules
 from autoprofile.functions.coerce import family, nan_to_null, number_columns, quoted
-from autoprofile.functions.keys import DIGEST_LENGTH, text_key, texts_behind
-from autoprofile.operators.wide import empty_frame, local_frame, pin
+from autoprofile.functions.keys import text_key
+from autoprofile.operators.digests import with_full_texts
+from autoprofile.operators.wide import empty_frame, pin
 
 GRID_SCHEMA = (
     "dimension_no int, measure_no int, dimension string, measure string, rank int, "
@@ -82,7 +83,8 @@ def segment_grid(
             "avg", "count",
         )
     )
-    return _with_long_labels(clean, grid, long_labels)
+    # texts are rolled up by digest; the grid has top_n rows per combination
+    return with_full_texts(clean, pin(grid), "dimension", "segment") if long_labels else grid
 
 
 def _text_dimensions(df: DataFrame, dimensions: list[str]) -> list[str]:
@@ -93,38 +95,6 @@ def _label(dimension: str, is_text: bool) -> Column:
     return text_key(quoted(dimension)) if is_text else quoted(dimension).cast("string")
 
 
-def _with_long_labels(df: DataFrame, grid: DataFrame, text_dimensions: list[str]) -> DataFrame:
-    """Puts the texts back in place of digests.
-
-    Long texts are rolled up by digest, so that whole texts are not shuffled.  Only when a
-    digest made it into the result, which has ``top_n`` rows per combination, is the text
-    column read once more for those few digests.
-    """
-    if not text_dimensions:
-        return grid
-    grid = pin(grid)
-    digests: dict[str, set[str]] = {}
-    for row in grid.select("dimension", "segment").distinct().collect():
-        if row["dimension"] in text_dimensions and len(row["segment"].encode()) == DIGEST_LENGTH:
-            digests.setdefault(row["dimension"], set()).add(row["segment"])
-    found = [
-        (dimension, digest, text)
-        for dimension, wanted in digests.items()
-        for digest, text in texts_behind(df, dimension, sorted(wanted)).items()
-    ]
-    if not found:
-        return grid
-    texts = local_frame(
-        df.sparkSession, found, "dimension string, segment string, full_text string"
-    )
-    return grid.join(F.broadcast(texts), ["dimension", "segment"], "left").select(
-        *[
-            F.coalesce("full_text", "segment").alias("segment") if c == "segment" else F.col(c)
-            for c in grid.columns
-        ]
-    )
-
-
 def segment_rollup(
     df: DataFrame,
     dimension: str,

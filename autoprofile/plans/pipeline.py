@@ -19,6 +19,7 @@ from autoprofile.operators.frequencies import (
     BAR_CATEGORIES,
     category_share,
     dimension_values_of,
+    top_texts,
     top_value,
     value_counts,
     with_share,
@@ -117,19 +118,24 @@ def analyze(
     valued = [c for c, t in typed if t in ("categorical", "boolean")]
 
     with ThreadPoolExecutor(max_workers=6) as sections:
-        numbers_job = sections.submit(_numbers_and_quality, df, typed, measures, cfg, as_of)
+        numbers_job = sections.submit(
+            _numbers_and_quality, df, catalog, typed, measures, cfg, as_of
+        )
         labels_job = sections.submit(_labels, df, catalog, valued, cfg)
         summary_job = sections.submit(
             lambda: pin(dataset_summary(df, catalog, cfg.schema.distinct == "exact"))
         )
         triangle_job = sections.submit(_correlations, df, measures, cfg)
         series_job = sections.submit(_series_and_trends, df, times, measures, cfg)
+        texts = [c for c in dimensions[: charts.BAR_CHARTS] if c not in valued]
+        texts_job = sections.submit(lambda: pin(top_texts(df, texts, BAR_CATEGORIES)))
         grid_job = sections.submit(
             lambda: pin(first_grid(df, dimensions, measures, cfg.analysis))
         )
         found, outliers, judged = numbers_job.result()
         top, semantic, kpis = labels_job.result()
         summary, triangle = summary_job.result(), triangle_job.result()
+        text_bars = texts_job.result()
         (series, trends), grid = series_job.result(), grid_job.result()
 
     issues = issues_of(judged)
@@ -169,13 +175,17 @@ def analyze(
         insights=ranked,
         confidence=insights.confidence_score(positions, total),
         chart_plan=_chart_plan(
-            cfg, catalog, found, top, dimensions, trends, times, measures, strong_pairs, grid
+            cfg, catalog, found, dimensions, trends, times, measures, strong_pairs, grid
         ),
         null_ranking=charts.null_ranking(catalog),
         histograms=charts.histogram_of(df, found[: charts.HISTOGRAMS]),
         histogram_notes=charts.histogram_notes(df, found[: charts.HISTOGRAMS]),
         box_stats=box_frame(df, found[: charts.BOX_PLOTS], outliers),
-        category_bars=category_share(top),
+        category_bars=category_share(
+            top.unionByName(text_bars).where(
+                F.col("column").isin(*dimensions[: charts.BAR_CHARTS])
+            )
+        ),
         segment_bars=segment_bars(grid),
         scatter_fits=_scatter_fits(df, strong_pairs, dimensions),
         kpi_card=charts.kpi_card(df, measures),
@@ -196,12 +206,12 @@ def analyze_path(
     return analyze(df, config, loaded.name, as_of, loaded.rows_raw)
 
 
-def _numbers_and_quality(df, typed, measures, cfg: Config, as_of):
+def _numbers_and_quality(df, catalog, typed, measures, cfg: Config, as_of):
     found = distributions(df, measures)
     outliers = pin(
         outlier_counts(df, found, cfg.quality.iqr_factor, cfg.quality.zscore_limit)
     )
-    return found, outliers, judge_columns(df, typed, cfg, as_of, found, outliers)
+    return found, outliers, judge_columns(df, typed, cfg, as_of, found, outliers, catalog)
 
 
 def _labels(df: DataFrame, catalog: DataFrame, valued: list[str], cfg: Config):
@@ -267,16 +277,15 @@ def _ranked_insights(
 
 
 def _chart_plan(
-    cfg, catalog, found, top, dimensions, trends, times, measures, strong_pairs, grid
+    cfg, catalog, found, dimensions, trends, times, measures, strong_pairs, grid
 ) -> DataFrame:
-    filled = {r["column"] for r in top.select("column").distinct().collect()}
     have_trend = {(r["time_column"], r["measure"]) for r in trends.collect()}
     drawn = {(r["dimension_no"], r["measure_no"], r["dimension"], r["measure"])
              for r in grid.where(F.col("rank") == 1).collect()}
     return charts.chart_plan(
         catalog,
         found,
-        [d for d in dimensions if d in filled],
+        dimensions,
         [(t, m) for t in times for m in measures if (t, m) in have_trend],
         strong_pairs,
         [(d, m) for _, _, d, m in sorted(drawn)],

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from pathlib import PurePosixPath
 
@@ -15,7 +15,7 @@ from autoprofile.config import Config
 from autoprofile.functions.coerce import nan_to_null, quoted
 from autoprofile.functions.numeric import any_of
 from autoprofile.operators.tables import null_profile
-from autoprofile.sources.delimited import read_messy, read_tidy
+from autoprofile.sources.delimited import detect_headers, read_messy, read_tidy
 from autoprofile.sources.names import clean_headers, renamed
 
 FORMATS = ("csv", "parquet", "json", "orc", "table")
@@ -28,6 +28,7 @@ class LoadedTable:
     df: DataFrame
     name: str
     rows_raw: int
+    skipped_rows: int = 0
     warnings: list[str] = field(default_factory=list)
 
 
@@ -80,7 +81,18 @@ def load(
     spark: SparkSession, path: str, format: str | None = None, **options
 ) -> LoadedTable:
     """Read, clean the headers, drop empty columns and rows."""
-    return tidy(read_table(spark, path, format, **options), path)
+    loaded = tidy(read_table(spark, path, format, **options), path)
+    if not options.get("header_detection"):
+        return loaded
+    rules = (options.get("config") or Config()).ingest
+    found = detect_headers(
+        spark, path, rules.header_scan_rows, options.get("delimiter", ",")
+    ).agg(F.max("header_row").alias("skipped"), F.count_if(F.col("header_row") > 0).alias("files"))
+    skipped, files = found.first()
+    if not skipped:
+        return loaded
+    note = f"Skipped up to {skipped} title row(s) above the header in {files} file(s)."
+    return replace(loaded, skipped_rows=skipped, warnings=[note, *loaded.warnings])
 
 
 def tidy(df: DataFrame, name: str) -> LoadedTable:
@@ -88,7 +100,7 @@ def tidy(df: DataFrame, name: str) -> LoadedTable:
     warnings = renamed(df.columns)
     clean = nan_to_null(clean_headers(df))
     if not clean.columns:
-        return LoadedTable(clean, name, 0, [f"'{name}' appears to be empty."])
+        return LoadedTable(clean, name, 0, warnings=[f"'{name}' appears to be empty."])
     profile = null_profile(clean).collect()
     raw_rows = profile[0]["total_rows"]
     empty = {r["column"] for r in profile if r["non_null_count"] == 0}
@@ -102,7 +114,7 @@ def tidy(df: DataFrame, name: str) -> LoadedTable:
         if dropped:
             warnings.append(f"Dropped {dropped} fully-empty row(s).")
             kept = kept.where(filled)
-    return LoadedTable(kept, name, raw_rows, warnings)
+    return LoadedTable(kept, name, raw_rows, warnings=warnings)
 
 
 def score_tables(candidates: Mapping[str, DataFrame]) -> DataFrame:

@@ -8,6 +8,7 @@ from autoprofile.operators.frequencies import (
     category_share,
     dimension_values,
     label_variants,
+    top_texts,
     top_value,
     top_values,
 )
@@ -338,3 +339,15 @@ def values_of_dimensions(spark, sf_dir):
 def time_spans(spark, sf_dir):
     orders = datetime_summary(table(spark, sf_dir, "orders"), ["o_orderdate"])
     return orders.unionByName(datetime_summary(table(spark, sf_dir, "events"), ["ts"]))
+
+
+@query(
+    "top_texts",
+    top_sql("(SELECT text FROM documents UNION ALL SELECT text FROM conversations) AS t",
+            ["text"], 3),
+)
+def top_of_texts(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select("text")
+    texts = texts.unionByName(table(spark, sf_dir, "conversations").select("text"))
+    # ties among texts that occur equally often go by digest, so only the counts are compared
+    return top_texts(texts, ["text"], 3)

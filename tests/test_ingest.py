@@ -79,6 +79,9 @@ def test_header_detection_through_reader(spark, tmp_path):
     path = written(tmp_path / "t.csv", "Title\nid,name\n1,x\n2,y\n")
     table = read_table(spark, path, header_detection=True, config=Config())
     assert sorted(map(tuple, table.collect())) == [(1, "x"), (2, "y")]
+    loaded = load(spark, path, header_detection=True)
+    assert loaded.skipped_rows == 1
+    assert loaded.warnings == ["Skipped up to 1 title row(s) above the header in 1 file(s)."]
 
 
 @pytest.mark.parametrize(

@@ -68,6 +68,18 @@ def test_summary_and_quality(results):
     assert results.metadata.first()["rows_raw"] == 1010
 
 
+def test_column_quality_has_distinct_counts(results):
+    unique = {r["column"]: r["unique_count"] for r in results.column_quality.collect()}
+    assert unique["region"] == 5 and unique["channel"] == 3
+
+
+def test_text_columns_have_bars(spark):
+    frame = spark.range(60).selectExpr("concat('a longer remark ', id % 40) AS remark", "id AS m")
+    results = analyze(frame, as_of=AS_OF)
+    assert results.category_bars.where("column = 'remark'").count() == 15
+    assert "Distribution of remark" in [r["title"] for r in results.chart_plan.collect()]
+
+
 def test_kpis_and_insights(results):
     names = [r["name"] for r in results.kpis.collect()]
     assert "total_revenue" in names and "revenue_per_unit" in names

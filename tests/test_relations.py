@@ -10,6 +10,7 @@ from autoprofile.operators.correlation import (
 from autoprofile.operators.frequencies import (
     category_share,
     dimension_values,
+    top_texts,
     top_value,
     top_values,
 )
@@ -186,6 +187,27 @@ def test_top_values(spark):
     assert tops == {"c": ("x", 42.86), "b": ("true", 75.0), "none": (None, 0.0)}
 
 
+def test_top_texts_come_back_whole(spark):
+    rows = [("x" * 100,)] * 3 + [("é" * 50,)] * 2 + [("short",), (None,)]
+    frame = spark.createDataFrame(rows, "t string")
+    found = [(r["value"], r["count"]) for r in top_texts(frame, ["t"]).orderBy("rank").collect()]
+    assert found == [("x" * 100, 3), ("é" * 50, 2), ("short", 1)]
+    assert top_texts(frame, []).count() == 0
+
+
+def test_values_of_all_kinds_as_text(spark):
+    frame = spark.range(2).selectExpr(
+        "id", "id + 0.5D AS d", "CAST(id AS DECIMAL(5,2)) AS e", "id = 0 AS b",
+        "DATE '2024-01-01' AS at", "array(id) AS nested",
+    )
+    found = {(r["column"], r["value"]): r["count"]
+             for r in top_values(frame, frame.columns).collect()}
+    assert found == {
+        ("id", "0"): 1, ("id", "1"): 1, ("d", "0.5"): 1, ("d", "1.5"): 1, ("e", "0.00"): 1,
+        ("e", "1.00"): 1, ("b", "true"): 1, ("b", "false"): 1, ("at", "2024-01-01"): 2,
+    }
+
+
 def test_dimension_values_are_capped_and_sorted(spark):
     frame = spark.range(200).selectExpr("lpad(id, 3, '0') AS c")
     values = dimension_values(frame, ["c"]).first()["values"]
