@@ -343,11 +343,16 @@ def time_spans(spark, sf_dir):
 
 @query(
     "top_texts",
-    top_sql("(SELECT text FROM documents UNION ALL SELECT text FROM conversations) AS t",
-            ["text"], 3),
+    f"""SELECT 'text' AS "column", cast(rank AS INTEGER) AS rank, text AS value, n AS count,
+        {pct('n', 'total')} AS pct
+        FROM (SELECT text, n, sum(n) OVER () AS total, row_number() OVER (ORDER BY n DESC,
+                CASE WHEN strlen(text) < 64 THEN text ELSE sha256(text) END) AS rank
+              FROM (SELECT text, count(*) AS n FROM
+                      (SELECT text FROM documents UNION ALL SELECT text FROM conversations) AS t
+                    GROUP BY text) AS counted) AS ranked
+        WHERE rank <= 10""",
 )
 def top_of_texts(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("text")
     texts = texts.unionByName(table(spark, sf_dir, "conversations").select("text"))
-    # ties among texts that occur equally often go by digest, so only the counts are compared
-    return top_texts(texts, ["text"], 3)
+    return top_texts(texts, ["text"], 10)
