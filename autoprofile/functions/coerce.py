@@ -7,6 +7,8 @@ free text is rejected on its first characters and never reaches a cast.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -115,6 +117,14 @@ def text_timestamp(text: Column) -> Column:
     return F.coalesce(*attempts)
 
 
+def moment(value: dt.datetime) -> Column:
+    """A timestamp literal; a naive ``value`` is read in the session's time zone."""
+    if value.tzinfo is not None:
+        since = (value - dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)).total_seconds()
+        return F.timestamp_micros(F.lit(round(since * 1_000_000)))
+    return F.lit(value.isoformat(sep=" ")).cast("timestamp")
+
+
 def as_number(name: str, dtype: T.DataType, strip_commas: bool = True) -> Column:
     """Column ``name`` as a double, NaN and unparsable text as NULL."""
     column = quoted(name)

@@ -14,6 +14,7 @@ from autoprofile.functions.coerce import (
     INTEGER_PATTERN,
     as_timestamp,
     family,
+    moment,
     nan_to_null,
     quoted,
     strip,
@@ -127,14 +128,14 @@ def whitespace_of(counts: DataFrame) -> DataFrame:
 
 def date_bounds(df: DataFrame, columns: list[str], as_of: dt.datetime | None = None) -> DataFrame:
     """Dates after ``as_of`` (default: now) and before 1900, per time column."""
-    now = F.current_timestamp() if as_of is None else F.lit(as_of).cast("timestamp")
+    now = F.current_timestamp() if as_of is None else moment(as_of)
     facts = []
     for name in columns:
-        moment = as_timestamp(name, df.schema[name].dataType)
+        date = as_timestamp(name, df.schema[name].dataType)
         facts.append([
             F.lit(name).alias("column"),
-            F.count_if(moment > now).alias("future_count"),
-            F.count_if(moment < F.lit(OLDEST_PLAUSIBLE).cast("timestamp")).alias("old_count"),
+            F.count_if(date > now).alias("future_count"),
+            F.count_if(date < moment(OLDEST_PLAUSIBLE)).alias("old_count"),
         ])
     schema = "column string, future_count long, old_count long"
     return per_column(df, facts, fields_per_column=2, schema=schema)

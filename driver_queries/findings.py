@@ -11,7 +11,7 @@ from autoprofile.plans.pipeline import analyze
 from driver_queries.inputs import GAPPY_LINES_SQL, gappy_lines
 from driver_queries.numbers import nulls_sql, top_sql
 from driver_queries.registry import pct, query, r, table
-from driver_queries.relations import grid_sql
+from driver_queries.relations import grid_sql, trend_sql
 
 AS_OF = dt.datetime(2030, 1, 1)
 
@@ -105,6 +105,32 @@ def insights_with_gaps(spark, sf_dir):
     return _brief(analyze(gap_source(spark, sf_dir), Config(schema=rules), as_of=AS_OF))
 
 
+RISING_SOURCE = """(SELECT l_shipdate, l_returnflag,
+  date_diff('month', DATE '1990-01-01', cast(l_shipdate AS DATE)) * 100.0::DOUBLE
+    / count(*) OVER (PARTITION BY date_trunc('month', l_shipdate)) AS rising
+  FROM lineitem) AS t"""
+
+
+@query(
+    "insights_trend",
+    f"""SELECT 3 AS priority, 'Trend' AS category, measure AS subject, r_squared AS value
+        FROM ({trend_sql(RISING_SOURCE, 'l_shipdate', ['rising'])}) AS t WHERE r_squared > 0.5""",
+)
+def insights_of_a_trend(spark, sf_dir):
+    """A measure whose monthly sum grows by the month."""
+    lines = table(spark, sf_dir, "lineitem").withColumn(
+        "start", F.date_trunc("month", "l_shipdate")
+    )
+    rows = lines.groupBy("start").agg(F.count(F.lit(1)).alias("lines"))
+    number = (F.year("start") - 1990) * 12 + F.month("start") - 1
+    rising = lines.join(F.broadcast(rows), "start").select(  # one row per month
+        "l_shipdate", "l_returnflag", (number * 100.0 / F.col("lines")).alias("rising")
+    )
+    rules = SchemaRules(type_overrides={"rising": "numeric"})
+    results = analyze(rising, Config(schema=rules), as_of=AS_OF)
+    return _brief(results).where("category = 'Trend'")
+
+
 @query(
     "confidence_score",
     f"""SELECT {r('''greatest(0.5, least(1.0, 1.0 - avg(null_pct) / 100 * 0.3 -

@@ -123,6 +123,10 @@ def test_all_sections_can_be_written(results, spark, tmp_path):
         ([(None, None, None)] * 3, "a int, b string, c double"),
         ([([1.0],), ([2.0],)], "v array<double>"),
         ([("only text",), ("more text",)], "t string"),
+        (
+            [(float(i), i % 3, f"k{i % 2}", f"2024-{i % 12 + 1:02d}-01") for i in range(24)],
+            "`a.b` double, `c d` int, `e``f` string, `Größe (%)` string",
+        ),
     ],
 )
 def test_odd_tables_run_through(spark, rows, schema):
