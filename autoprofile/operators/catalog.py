@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -26,6 +27,8 @@ from autoprofile.operators.wide import empty_frame, local_frame, per_column
 IGNORED_TYPES = ("empty", "constant", "identifier", "nested")
 SAMPLE_SIZE = 5
 SKETCH_LOG_SIZE = 14
+#: texts with at most this share of distinct values are tested once per distinct value
+REPEATING_SHARE = 0.01
 
 #: categorical needs at most, identifier needs more than this many distinct numbers
 MAX_CATEGORY_NUMBERS = 30
@@ -102,7 +105,7 @@ def column_facts(df: DataFrame, rules: SchemaRules, long_texts_only: bool = Fals
 # ------------------------------------------------------------------ distinct values
 
 
-def distinct_values(df: DataFrame, names: list[str] | None = None) -> list[DataFrame]:
+def distinct_values(df: DataFrame, names: Collection[str] | None = None) -> list[DataFrame]:
     """(ordinal, value, count) of every distinct non-null value, one frame per kind of value.
 
     Each kind is one unpivot and one shuffle for all its columns together.  The map side
@@ -167,7 +170,7 @@ def _count_and_sample(frame: DataFrame, words: tuple[str, ...]) -> DataFrame:
 
 
 def distinct_profile(
-    df: DataFrame, names: list[str] | None = None, rules: SchemaRules = SchemaRules()
+    df: DataFrame, names: Collection[str] | None = None, rules: SchemaRules = SchemaRules()
 ) -> DataFrame:
     """Exact distinct count and the five smallest distinct values of every column.
 
@@ -209,11 +212,21 @@ def _with_sampled_texts(df: DataFrame, rows: list[dict]) -> list[dict]:
     return rows
 
 
+def _repeating_texts(rows: list[dict]) -> list[str]:
+    """Text columns so repetitive that counting them exactly moves next to nothing."""
+    return [
+        r["column_name"]
+        for r in rows
+        if r["family"] == "string"
+        and (r["estimated_count"] or 0) <= REPEATING_SHARE * r["non_null_count"]
+    ]
+
+
 def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
     """Columns whose sketch is too close to a threshold to decide the type."""
     doubtful = []
     for row in rows:
-        estimate, present = row.get("estimated_count"), row["non_null_count"]
+        estimate, present = row["estimated_count"], row["non_null_count"]
         if not estimate or not present:
             continue
         ratio = estimate / present
@@ -229,39 +242,70 @@ def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
 # ------------------------------------------------------------------ dictionary
 
 
+TEXT_TESTS = {
+    "not_truth_word": "short_not_word",
+    "date_count": "short_dates",
+    "number_count": "short_numbers",
+}
+
+
+def _exactly_measured(df: DataFrame, rules: SchemaRules) -> list[dict]:
+    profile = F.broadcast(distinct_profile(df, rules=rules))  # one row per column
+    joined = column_facts(df, rules, long_texts_only=True).join(profile, "ordinal", "left")
+    rows = [r.asDict() for r in joined.collect()]
+    for row in rows:
+        _add_short_texts(row)
+    return rows
+
+
+def _add_short_texts(row: dict) -> None:
+    """Long and short texts are tested apart; the type decision needs their sum."""
+    for test, short in TEXT_TESTS.items():
+        if row[short] is not None and row[test] is not None:
+            row[test] += row[short]
+
+
+def _roughly_measured(df: DataFrame, rules: SchemaRules) -> list[dict]:
+    """Sketches first; then exact counts where a sketch cannot decide or counting is cheap.
+
+    Text columns that hardly repeat are tested row by row, in one scan without a shuffle.
+    """
+    estimated = F.broadcast(estimated_distinct(df))  # one row per column
+    facts = column_facts(df, rules, long_texts_only=True).join(estimated, "ordinal", "left")
+    rows = [r.asDict() for r in facts.collect()]
+    repeating = set(_repeating_texts(rows))
+    counted = repeating | set(_columns_in_doubt(rows, rules))
+    exact = {}
+    if counted:
+        exact = {r["ordinal"]: r.asDict() for r in distinct_profile(df, counted, rules).collect()}
+    varied = [
+        r["column_name"] for r in rows
+        if r["family"] == "string" and r["column_name"] not in counted
+    ]
+    tested = {}
+    if varied:
+        plain = df.select(*[quoted(c) for c in varied])
+        tested = {r["column_name"]: r.asDict() for r in column_facts(plain, rules).collect()}
+    for row in rows:
+        found = exact.get(row["ordinal"])
+        row["unique_count"] = found["unique_count"] if found else row["estimated_count"]
+        row["sample_values"] = found["sample_values"] if found else None
+        if found:
+            row.update({short: found[short] for short in TEXT_TESTS.values()})
+            _add_short_texts(row)
+        elif row["column_name"] in tested:
+            row.update({test: tested[row["column_name"]][test] for test in TEXT_TESTS})
+    return rows
+
+
 def _measured(df: DataFrame, rules: SchemaRules) -> DataFrame:
     """Facts and distinct counts, one local row per column."""
-    spark = df.sparkSession
-    if rules.distinct == "approx":
-        facts = column_facts(df, rules)
-        estimated = F.broadcast(estimated_distinct(df))  # one row per column
-        rows = [r.asDict() for r in facts.join(estimated, "ordinal", "left").collect()]
-        doubtful = _columns_in_doubt(rows, rules)
-        exact = {}
-        if doubtful:
-            exact = {r["ordinal"]: r for r in distinct_profile(df, doubtful).collect()}
-        for row in rows:
-            found = exact.get(row["ordinal"])
-            row["unique_count"] = found["unique_count"] if found else row["estimated_count"]
-            row["sample_values"] = found["sample_values"] if found else None
-    else:
-        profile = F.broadcast(distinct_profile(df, rules=rules))  # one row per column
-        joined = column_facts(df, rules, long_texts_only=True).join(profile, "ordinal", "left")
-        rows = [
-            r.asDict()
-            for r in joined.withColumns({
-                long: F.col(long) + F.coalesce(short, F.lit(0))
-                for long, short in (
-                    ("not_truth_word", "short_not_word"),
-                    ("date_count", "short_dates"),
-                    ("number_count", "short_numbers"),
-                )
-            }).collect()
-        ]
+    measure = _roughly_measured if rules.distinct == "approx" else _exactly_measured
+    rows = _with_sampled_texts(df, measure(df, rules))
     schema = FACTS_SCHEMA + ", unique_count long, sample_values array<string>"
     names = T.StructType.fromDDL(schema).names
-    rows = sorted(_with_sampled_texts(df, rows), key=lambda r: r["ordinal"])
-    return local_frame(spark, [tuple(r[n] for n in names) for r in rows], schema)
+    rows.sort(key=lambda r: r["ordinal"])
+    return local_frame(df.sparkSession, [tuple(r[n] for n in names) for r in rows], schema)
 
 
 def _inferred_type(rules: SchemaRules) -> Column:

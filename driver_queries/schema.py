@@ -83,9 +83,12 @@ def infer_types_measures(spark, sf_dir):
     return infer_types(table(spark, sf_dir, "orders"), Config(schema=rules))
 
 
-@query("infer_types_approx", None)
+# sketches decide only far from a threshold, so the types equal the exact ones
+@query(
+    "infer_types_approx",
+    f"SELECT column_name, inferred_type FROM ({types_sql('lineitem', COLUMNS['lineitem'])}) AS c",
+)
 def infer_types_approx(spark, sf_dir):
-    """Types decided from sketches; equal to the exact types by design."""
     rules = SchemaRules(distinct="approx")
     return infer_types(table(spark, sf_dir, "lineitem"), Config(schema=rules))
 

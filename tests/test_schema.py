@@ -148,6 +148,10 @@ def test_approximate_types_agree(spark):
         "IF(id % 3 = 0, NULL, id * 0.37) AS measure",
         "IF(id % 2 = 0, 1, 0) AS flag",
         "concat('t', id % 1250) AS text",
+        "concat('name ', id) AS name",
+        "date_format(date_add(DATE '2000-01-01', CAST(id AS INT)), 'yyyy-MM-dd') AS day",
+        "IF(id % 2 = 0, 'yes', 'no ') AS word",
+        "CAST(id * 1.25 AS STRING) AS digits",
         "timestamp_seconds(id * 60) AS at",
         "array(id) AS list",
     )
