@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from autoprofile import messages
 from autoprofile.config import Config, SchemaRules
 from autoprofile.functions.coerce import (
     family,
@@ -354,13 +355,12 @@ def _anomalies(rules: SchemaRules) -> Column:
     noisy_dates = F.when(
         reached & (date_share > 0) & (date_share < rules.datetime_share),
         F.format_string(
-            "Mixed datetime parsing success (%s%%); may be noisy dates.",
-            F.round(date_share * 100).cast("int").cast("string"),
+            messages.NOISY_DATES, F.round(date_share * 100).cast("int").cast("string")
         ),
     )
     text_numbers = F.when(
         reached & (date_share < rules.datetime_share) & (number_share >= rules.numeric_share),
-        F.lit("Numeric values stored as text; will be coerced during analysis."),
+        F.lit(messages.TEXT_NUMBERS),
     )
     return F.array_compact(F.array(noisy_dates, text_numbers))
 
@@ -399,23 +399,15 @@ def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
         ratio.alias("full_ratio"),
     )
     label = F.col("inferred_type")
+    only_value = F.coalesce(F.get("sample_values", F.lit(0)), F.lit("N/A"))
     reason = (
-        F.when(label == "empty", "Column is fully empty")
-        .when(
-            label == "constant",
-            F.concat(
-                F.lit("Column has only one unique value: "),
-                F.coalesce(F.get("sample_values", F.lit(0)), F.lit("N/A")),
-            ),
-        )
+        F.when(label == "empty", messages.EMPTY_COLUMN)
+        .when(label == "constant", F.format_string(messages.CONSTANT_COLUMN, only_value))
         .when(
             label == "identifier",
-            F.format_string(
-                "High-cardinality identifier column (unique ratio=%.2f%%)",
-                F.col("full_ratio") * 100,
-            ),
+            F.format_string(messages.IDENTIFIER_COLUMN, F.col("full_ratio") * 100),
         )
-        .when(label == "nested", "Nested type")
+        .when(label == "nested", messages.NESTED_COLUMN)
         .otherwise("")
     )
     return (

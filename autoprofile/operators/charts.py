@@ -7,6 +7,7 @@ from math import isqrt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from autoprofile import messages
 from autoprofile.functions.coerce import nan_to_null, number_columns, quoted
 from autoprofile.operators.numbers import Distribution, distributions
 from autoprofile.operators.wide import empty_frame, local_frame, per_column
@@ -204,29 +205,30 @@ def chart_plan(
     plan: list[tuple[str, str, list[str]]] = []
     gaps = [r["column"] for r in null_ranking(catalog).collect()]
     if gaps:
-        plan.append(("bar_horizontal", "Missing Value Analysis", gaps))
+        plan.append(("bar_horizontal", messages.NULLS_CHART, gaps))
     for d in found[:HISTOGRAMS]:
         if d.count >= MIN_HISTOGRAM_VALUES:
-            plan.append(("histogram", f"Distribution of {d.column}", [d.column]))
+            plan.append(("histogram", messages.HISTOGRAM_CHART.format(d.column), [d.column]))
     for d in found[:BOX_PLOTS]:
         if d.count >= 10:
-            plan.append(("box", f"Box Plot: {d.column}", [d.column]))
+            plan.append(("box", messages.BOX_CHART.format(d.column), [d.column]))
     for name in dimensions[:BAR_CHARTS]:
-        plan.append(("bar", f"Distribution of {name}", [name]))
+        plan.append(("bar", messages.BAR_CHART.format(name), [name]))
     seen: dict[str, int] = {}
     for time_column, measure in trends:
         seen[time_column] = seen.get(time_column, 0) + 1
         if seen[time_column] <= TRENDS_PER_TIME_COLUMN:
-            plan.append(("line", f"Time Trend: {measure}", [time_column, measure]))
+            plan.append(("line", messages.LINE_CHART.format(measure), [time_column, measure]))
     if len(found) >= 2:
-        plan.append(("heatmap", "Correlation Heatmap", [d.column for d in found]))
+        plan.append(("heatmap", messages.HEATMAP_CHART, [d.column for d in found]))
     for x, y in strong_pairs[:SCATTER_PLOTS]:
-        plan.append(("scatter", f"Scatter: {x} vs {y}", [x, y]))
+        plan.append(("scatter", messages.SCATTER_CHART.format(x, y), [x, y]))
     for dimension, measure in segments[:SEGMENT_BARS]:
-        plan.append(("bar_segment", f"{measure} by {dimension}", [dimension, measure]))
+        title = messages.SEGMENT_CHART.format(measure, dimension)
+        plan.append(("bar_segment", title, [dimension, measure]))
     totals = [d.column for d in found[:KPI_MEASURES] if d.count]
     if totals:
-        plan.append(("kpi_card", "KPI Overview", totals))
+        plan.append(("kpi_card", messages.KPI_CHART, totals))
     rows = [(i + 1, *entry) for i, entry in enumerate(plan[:max_charts])]
     return local_frame(
         catalog.sparkSession,

@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from autoprofile import messages
 from autoprofile.config import Config, SemanticRules
 from autoprofile.functions.coerce import WHITESPACE, nan_to_null, number_columns, quoted
 from autoprofile.operators.frequencies import dimension_values
@@ -209,19 +210,32 @@ def _plain(name: Column) -> Column:
     return F.replace(name, F.lit("_"), F.lit(" "))
 
 
-def _kpi(group: int, name, formula, description, fmt, sources, operation, columns) -> list[Column]:
-    none = F.array().cast("array<string>")
+def _kpi(
+    group: int,
+    wording: tuple[str, str, str],
+    named: list[Column],
+    columns: list[Column],
+    described: list[Column],
+    fmt: Column,
+    sources: Column,
+    operation: str,
+) -> list[Column]:
+    """Columns of a KPI row; ``wording`` is the format of its name, formula, description."""
+
+    def worded(text: str, parts: list[Column]) -> Column:
+        return F.format_string(text, *parts) if parts else F.lit(text)
+
     return [
         F.lit(group).alias("kpi_group"),
         F.col("ordinal"),
-        name.alias("name"),
+        worded(wording[0], named).alias("name"),
         F.lit("kpi").alias("semantic_type"),
-        formula.alias("formula"),
-        description.alias("description"),
+        worded(wording[1], columns).alias("formula"),
+        worded(wording[2], described).alias("description"),
         fmt.alias("format"),
-        F.coalesce(sources, none).alias("source_measures"),
+        sources.cast("array<string>").alias("source_measures"),
         F.lit(operation).alias("operation"),
-        columns.alias("columns"),
+        F.array(*columns).alias("columns"),
     ]
 
 
@@ -236,25 +250,22 @@ def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
     if not (config or Config()).semantic.auto_kpis:
         return empty_frame(fields.sparkSession, KPI_SCHEMA)
     raw, semantic = F.col("raw_column"), F.col("semantic_name")
+    plain = _plain(raw)
     measures = fields.where(F.col("semantic_type") == "measure")
     dimensions = fields.where(F.col("semantic_type") == "dimension")
-    totals = measures.where(F.col("aggregation") == "sum").select(
-        *_kpi(
-            1, F.concat(F.lit("total_"), semantic), F.concat(F.lit("SUM("), raw, F.lit(")")),
-            F.concat(F.lit("Total "), _plain(raw), F.lit(" across all records")),
-            F.col("format"), F.array(semantic), "sum", F.array(raw),
+
+    def of_measure(group: int, wording: tuple[str, str, str], operation: str) -> list[Column]:
+        shown = F.col("format")
+        return _kpi(
+            group, wording, [semantic], [raw], [plain], shown, F.array(semantic), operation
         )
+
+    totals = measures.where(F.col("aggregation") == "sum").select(
+        *of_measure(1, messages.TOTAL_KPI, "sum")
     )
     averages = measures.where(
         (F.col("aggregation") == "avg") & (F.col("format") != "currency")
-    ).select(
-        *_kpi(
-            2, F.concat(F.lit("avg_"), semantic), F.concat(F.lit("AVG("), raw, F.lit(")")),
-            F.concat(F.lit("Average "), _plain(raw)),
-            F.col("format"), F.array(semantic), "avg", F.array(raw),
-        )
-    )
-    over, under = F.col("revenue.raw_column"), F.col("units.raw_column")
+    ).select(*of_measure(2, messages.AVERAGE_KPI, "avg"))
     ratio = (
         measures.agg(
             _first_measure(REVENUE_WORDS).alias("revenue"),
@@ -264,21 +275,17 @@ def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
         .withColumn("ordinal", F.lit(0))
         .select(
             *_kpi(
-                3, F.lit("revenue_per_unit"),
-                F.concat(F.lit("SUM("), over, F.lit(") / SUM("), under, F.lit(")")),
-                F.lit("Average revenue generated per unit sold"),
+                3, messages.RATIO_KPI, [],
+                [F.col("revenue.raw_column"), F.col("units.raw_column")], [],
                 F.lit("currency"),
-                F.array("revenue.semantic_name", "units.semantic_name"),
-                "ratio", F.array(over, under),
+                F.array("revenue.semantic_name", "units.semantic_name"), "ratio",
             )
         )
     )
     counts = dimensions.orderBy("ordinal").limit(2).select(
         *_kpi(
-            4, F.concat(F.lit("record_count_by_"), semantic),
-            F.concat(F.lit("COUNT(*) GROUP BY "), raw),
-            F.concat(F.lit("Number of records per "), _plain(raw)),
-            F.lit("number"), F.lit(None).cast("array<string>"), "count_by", F.array(raw),
+            4, messages.COUNT_KPI, [semantic], [raw], [plain], F.lit("number"), F.array(),
+            "count_by",
         )
     )
     everything = reduce(DataFrame.unionByName, [totals, averages, ratio, counts])
