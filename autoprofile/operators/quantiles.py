@@ -43,20 +43,29 @@ def _is_wide(low: float, high: float) -> bool:
     return math.isinf(high - low) or (low > 0) != (high > 0) or large > 1000 * small
 
 
-def _squash(value: float) -> float:
-    return math.copysign(math.log1p(min(abs(value), sys.float_info.max)), value)
+def _magnitude(value: Column, low: float, high: float) -> tuple[Column, float, float]:
+    """A scale on which every order of magnitude takes the same room, growing with the value.
+
+    Plain logarithms where all values have one sign, else logarithms flattened around zero.
+    """
+    top = sys.float_info.max
+    if low > 0:
+        return F.ln(F.least(value, F.lit(top))), math.log(low), math.log(min(high, top))
+    if high < 0:
+        mirrored = F.least(-value, F.lit(top))
+        return -F.ln(mirrored), -math.log(min(-low, top)), -math.log(-high)
+    flattened = F.signum(value) * F.log1p(F.least(F.abs(value), F.lit(top)))
+    ends = [math.copysign(math.log1p(min(abs(v), top)), v) for v in (low, high)]
+    return flattened, ends[0], ends[1]
 
 
 def _cell(value: Column, bracket: Bracket, leaf_rows: int) -> Column:
     """Cell number inside the bracket, growing with the value; the value itself in a leaf."""
     if bracket.rows <= leaf_rows:
         return value
-    if _is_wide(bracket.low, bracket.high):
-        top = F.lit(sys.float_info.max)
-        position = F.signum(value) * F.log1p(F.least(F.abs(value), top))
-        low, high = _squash(bracket.low), _squash(bracket.high)
-    else:
-        position, low, high = value, bracket.low, bracket.high
+    position, low, high = value, bracket.low, bracket.high
+    if _is_wide(low, high):
+        position, low, high = _magnitude(value, low, high)
     cell = F.floor((position - F.lit(low)) / F.lit(high - low) * CELLS).cast("double")
     return F.greatest(F.lit(0.0), F.least(F.lit(CELLS - 1.0), cell))
 

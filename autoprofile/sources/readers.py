@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from functools import reduce
 from pathlib import PurePosixPath
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, SparkRuntimeException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +15,7 @@ from autoprofile.config import Config
 from autoprofile.functions.coerce import nan_to_null, quoted
 from autoprofile.functions.numeric import any_of
 from autoprofile.operators.tables import null_profile
+from autoprofile.operators.wide import empty_frame
 from autoprofile.sources.delimited import detect_headers, read_messy, read_tidy
 from autoprofile.sources.names import clean_headers, renamed
 
@@ -117,6 +118,17 @@ def tidy(df: DataFrame, name: str) -> LoadedTable:
     return LoadedTable(kept, name, raw_rows, warnings=warnings)
 
 
+def open_candidates(spark: SparkSession, paths: Mapping[str, str]) -> dict[str, DataFrame]:
+    """Candidate tables by name; one that cannot be opened takes part as an empty table."""
+    opened = {}
+    for name, path in paths.items():
+        try:
+            opened[name] = read_table(spark, path)
+        except (AnalysisException, OSError, SparkRuntimeException, ValueError):
+            opened[name] = empty_frame(spark, "nothing int").drop("nothing")
+    return opened
+
+
 def score_tables(candidates: Mapping[str, DataFrame]) -> DataFrame:
     """Non-empty cells + rows + columns of the first rows of every candidate table."""
     parts = []

@@ -1,10 +1,18 @@
 import pytest
+from pyspark.sql import functions as F
 
 from autoprofile.config import Config
 from autoprofile.sources.cleaning import drop_empty
 from autoprofile.sources.delimited import detect_headers, read_messy, read_tidy
 from autoprofile.sources.names import clean_headers, clean_names, sanitized_name, unique_names
-from autoprofile.sources.readers import load, pick_table, read_table, tidy
+from autoprofile.sources.readers import (
+    load,
+    open_candidates,
+    pick_table,
+    read_table,
+    score_tables,
+    tidy,
+)
 from autoprofile.sources.typing import narrow_types
 
 
@@ -70,6 +78,28 @@ def test_each_file_has_its_own_header(spark, tmp_path):
     assert rows == {("x", 1, None), ("Name", 2, None), ("y", 7, "Rome, IT")}
 
 
+def test_files_split_into_many_blocks(spark, tmp_path):
+    """Title rows are dropped from the first block of each file only."""
+    for n in range(3):
+        titles = "Title of it\n" * n
+        rows = "".join(f"{n},{i},Title of it\n" for i in range(2000))
+        written(tmp_path / f"{n}.csv", f"{titles}file,place,text\n{rows}")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        table = read_messy(spark, str(tmp_path))
+        assert table.rdd.getNumPartitions() > 10
+        found = {
+            (r["file"], r["count"], r["places"])
+            for r in table.groupBy("file")
+            .agg(F.count("*").alias("count"), F.countDistinct("place").alias("places"))
+            .collect()
+        }
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert found == {(0, 2000, 2000), (1, 2000, 2000), (2, 2000, 2000)}
+
+
 def test_numbers_do_not_make_a_header(spark, tmp_path):
     path = written(tmp_path / "n.csv", "1,2,x\nid,size,name\n3,4,y\n")
     assert detect_headers(spark, path).first()["header_row"] == 1
@@ -150,6 +180,19 @@ def test_pick_table(spark):
     assert pick_table(candidates, prefer_largest=False).first()["name"] == "empty"
 
 
+def test_unreadable_candidates_never_win(spark, tmp_path):
+    paths = {
+        "missing": str(tmp_path / "missing.csv"),
+        "strange": written(tmp_path / "strange.xyz", "?"),
+        "good": written(tmp_path / "good.csv", "a,b\n1,2\n"),
+    }
+    candidates = open_candidates(spark, paths)
+    assert pick_table(candidates).first()["name"] == "good"
+    assert pick_table(candidates, prefer_largest=False).first()["name"] == "good"
+    scores = {r["name"]: r["score"] for r in score_tables(candidates).collect()}
+    assert scores == {"missing": 0, "strange": 0, "good": 5}
+
+
 def test_row_cap_and_catalog_table(spark):
     spark.range(50).createOrReplaceTempView("fifty")
     assert read_table(spark, "fifty", format="table").count() == 50

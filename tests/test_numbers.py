@@ -49,6 +49,7 @@ SAMPLES = {
     "near": 1e9 + RNG.integers(0, 3000, 3000) * 1e-6,
     "few": np.array([3.0, 1.0, 2.0]),
     "single": np.array([4.0]),
+    "negative": -np.exp(RNG.normal(0, 12, 1000)),
     "tiny": 10.0 ** RNG.uniform(-300, -200, 500),
 }
 
