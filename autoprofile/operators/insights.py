@@ -13,11 +13,6 @@ from pyspark.sql import functions as F
 
 from autoprofile import messages
 
-INSIGHT_SCHEMA = (
-    "rule_no int, item_no int, priority int, category string, title string, detail string, "
-    "confidence double, subject string, value double"
-)
-
 # Limits of the rules.
 HIGH_NULL_PCT = 30
 EXTREME_FACTOR = 5

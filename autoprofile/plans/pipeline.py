@@ -85,6 +85,7 @@ class Results:
     box_stats: DataFrame
     category_bars: DataFrame
     segment_bars: DataFrame
+    scatter_points: DataFrame
     scatter_fits: DataFrame
     kpi_card: DataFrame
 
@@ -187,6 +188,7 @@ def analyze(
             )
         ),
         segment_bars=segment_bars(grid),
+        scatter_points=_scatter_points(df, strong_pairs, dimensions, cfg),
         scatter_fits=_scatter_fits(df, strong_pairs, dimensions),
         kpi_card=charts.kpi_card(df, measures),
     )
@@ -293,6 +295,22 @@ def _chart_plan(
     )
 
 
+def _scatter_points(
+    df: DataFrame, strong_pairs: list[tuple[str, str]], dimensions: list[str], cfg: Config
+) -> DataFrame:
+    color = dimensions[0] if dimensions else None
+    points = empty_frame(
+        df.sparkSession,
+        "x double, y double, color string, x_column string, y_column string",
+    )
+    for x, y in strong_pairs[: charts.SCATTER_PLOTS]:
+        drawn = charts.scatter_sample(df, x, y, color, cfg.charts.max_scatter_points)
+        points = points.unionByName(
+            drawn.withColumn("x_column", F.lit(x)).withColumn("y_column", F.lit(y))
+        )
+    return points
+
+
 def _scatter_fits(
     df: DataFrame, strong_pairs: list[tuple[str, str]], dimensions: list[str]
 ) -> DataFrame:

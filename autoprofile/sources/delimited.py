@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from autoprofile.functions.coerce import NUMBER_PATTERN, quoted, strip
 from autoprofile.operators.wide import empty_frame, local_frame
 from autoprofile.sources.names import clean_names
-from autoprofile.sources.typing import blank_markers, narrow_types
+from autoprofile.sources.texttypes import blank_markers, narrow_types
 
 #: most file headers that are broadcast to the lines; beyond it Spark picks the join
 BROADCAST_FILES = 100_000
@@ -99,7 +99,7 @@ def read_with_titles(
 
     Columns are matched by cleaned name over all files; a file without a column has NULL
     there.  All columns are text: pass the result on to
-    :func:`autoprofile.sources.typing.narrow_types`.  Quoted line breaks are not supported.
+    :func:`autoprofile.sources.texttypes.narrow_types`.  Quoted line breaks are not supported.
     Write the result once if several analyses follow, each use parses the text again.
     """
     lines = _lines(spark, path)

@@ -1,7 +1,5 @@
 """Chart data."""
 
-from pyspark.sql import functions as F
-
 from autoprofile.operators.catalog import column_catalog
 from autoprofile.operators.charts import (
     chart_plan,

@@ -116,10 +116,6 @@ def summary_of_roles(spark, sf_dir):
 
 # ------------------------------------------------------------------ KPIs
 
-SALES_COLUMNS = [
-    ("order_amount", "double"), ("units_sold", "number"), ("tax_rate", "double"),
-    ("flag", "string"), ("status", "string"),
-]
 SALES_SQL = """(
 SELECT l_extendedprice AS order_amount, cast(l_quantity AS BIGINT) AS units_sold,
   l_tax * (l_linenumber + 10) AS tax_rate, l_returnflag AS flag, l_linestatus AS status

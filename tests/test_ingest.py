@@ -13,7 +13,7 @@ from autoprofile.sources.readers import (
     score_tables,
     tidy,
 )
-from autoprofile.sources.typing import narrow_types
+from autoprofile.sources.texttypes import narrow_types
 
 
 def written(path, text):

@@ -2,7 +2,7 @@ import datetime as dt
 
 import pytest
 
-from autoprofile.config import Config, ReportRules, SchemaRules
+from autoprofile.config import ChartRules, Config, ReportRules, SchemaRules
 from autoprofile.operators.insights import confidence_score
 from autoprofile.operators.tables import null_profile
 from autoprofile.plans.pipeline import analyze, analyze_path
@@ -160,3 +160,15 @@ def test_confidence(spark, rows, score):
 def test_confidence_never_below_half(spark):
     frame = spark.createDataFrame([(None,)] * 3, "a int")
     assert confidence_score(null_profile(frame), 3).first()[0] == 0.5
+
+
+def test_strong_pairs_have_points_and_lines(spark):
+    frame = spark.range(400).selectExpr(
+        "id % 60 AS a", "(id % 60) * 2 + id % 2 AS b", "concat('k', id % 3) AS kind"
+    )
+    config = Config(charts=ChartRules(max_scatter_points=100))
+    results = analyze(frame, config, as_of=AS_OF)
+    assert results.scatter_points.count() == 100
+    fits = results.scatter_fits.collect()
+    assert {r["color"] for r in fits} == {"k0", "k1", "k2"}
+    assert sum(r["points"] for r in fits) == 400
