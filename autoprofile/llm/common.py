@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: the characters that separate words: space, tab, line feed, vertical tab, form feed, return
@@ -80,3 +80,30 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def code_points(text: Column) -> Column:
     return F.length(F.coalesce(text, F.lit(""))).cast("long")
+
+
+def running_sums(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """The rows with ``{value}_until`` for each value: its sum over all rows up to the row.
+
+    The order is global, yet no task sees more than its range of it: rows are range-partitioned
+    and written, the totals of the ranges (one row for each) are summed, and inside a range the
+    sum runs on.  Rows that tie in ``order`` are taken one after the other in any order, so the
+    order should name whatever tells rows apart.
+    """
+    placed = settle(
+        df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    )
+    totals = placed.groupBy("_range").agg(*[F.sum(v).alias(v) for v in values])
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    begins = totals.select(
+        "_range", *[F.coalesce(F.sum(v).over(earlier), F.lit(0)).alias(f"_{v}") for v in values]
+    )
+    inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    summed = placed.select("*", *[F.sum(v).over(inside).alias(f"{v}_until") for v in values])
+    return (
+        summed.join(F.broadcast(begins), "_range")  # a row for each range
+        .withColumns({f"{v}_until": F.col(f"{v}_until") + F.col(f"_{v}") for v in values})
+        .drop("_range", *[f"_{v}" for v in values])
+    )

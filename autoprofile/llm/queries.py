@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from autoprofile.llm import byte_bpe, exact_dedup
+from autoprofile.llm import byte_bpe, exact_dedup, language_id, mixing
 from autoprofile.llm.common import table
 
 
@@ -17,17 +17,67 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
+    return documents.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = language_id.evaluate_split(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
+    "op6_mix_sources": op6_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_language_id": op10_language_id,
 }
 
 #: exact twins in SQL, where SQL can express the operator
 SQL = {
+    "op6_mix_sources": r"""
+WITH d AS (
+  SELECT doc_id, source, md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS shuffled,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+sized AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM d GROUP BY source),
+weighted AS (
+  SELECT source, words, 3 * words AS cap,
+         CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3
+           WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight FROM sized),
+whole AS (SELECT sum(words) AS budget, sum(weight) AS weights FROM weighted),
+levels AS (
+  SELECT cap / weight AS reach, source,
+         (budget - (sum(cap) OVER w - cap)) / CAST(weights - (sum(weight) OVER w - weight) AS DOUBLE)
+           AS level
+  FROM weighted, whole WINDOW w AS (ORDER BY cap / weight, source NULLS LAST)),
+level AS (SELECT level FROM levels WHERE level <= reach ORDER BY reach, source LIMIT 1),
+targets AS (
+  SELECT source, words, weight,
+         least(weight * coalesce((SELECT level FROM level), 0), CAST(cap AS DOUBLE)) AS target
+  FROM weighted),
+placed AS (
+  SELECT d.doc_id, d.source, d.size, d.shuffled, t.words, t.weight,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.shuffled) AS until
+  FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source WHERE d.size > 0),
+copies AS (
+  SELECT doc_id, source, size, shuffled, epoch, (epoch * words + until) / weight AS finish
+  FROM placed, (VALUES (0), (1), (2)) AS e(epoch)),
+queue AS (
+  SELECT doc_id, size, sum(size) OVER (
+    ORDER BY finish, source NULLS LAST, epoch, shuffled
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS until FROM copies),
+taken AS (
+  SELECT doc_id, count(*) AS copies FROM queue, whole WHERE until - size / 2 <= budget
+  GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, t.words AS source_size, t.target,
+       CAST(d.size * coalesce(c.copies, 0) AS BIGINT) AS taken
+FROM d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+LEFT JOIN taken c ON d.doc_id = c.doc_id""",
     "op9_exact_dedup": r"""
 WITH t AS (
   SELECT doc_id, coalesce(length(text), 0) AS n,
