@@ -11,6 +11,8 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from hashlib import sha256
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,9 @@ from autoprofile.llm.common import column, ranges, text_parts
 
 NO_PAIR = np.int32(2**31 - 1)
 #: bytes of text that a task works on at a time
-PART_BYTES = 24 << 20
+PART_BYTES = 8 << 20
+#: distinct pre-tokens that a Python worker keeps from part to part before it starts anew
+MOST_KEPT = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,20 +39,28 @@ class RankBuckets:
     """Positions by merge rank; a bitmap of three levels of 64-bit words tells which have any."""
 
     def __init__(self, ranks: int):
-        self.buckets: list[list[int]] = [[] for _ in range(ranks)]
+        self.buckets: list[list[np.ndarray]] = [[] for _ in range(ranks)]
         self.levels = [[0] * (-(-ranks // 64**k)) for k in (1, 2, 3)]
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets[rank]
-        if not bucket:
-            for level in self.levels:
-                word, bit = rank >> 6, 1 << (rank & 63)
-                level[word] |= bit
-                rank = word
-        bucket.append(position)
-
-    def pop(self) -> tuple[int, list[int]] | None:
-        """The lowest rank that has positions, and these."""
+    def push(self, ranks: np.ndarray, positions: np.ndarray) -> None:
+        """Put each position into the bucket of its rank."""
+        order = np.argsort(ranks, kind="stable")
+        ordered, positions = ranks[order], positions[order]
+        cuts = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1
+        starts = [0, *cuts.tolist()]
+        for rank, first, last in zip(
+            ordered[starts].tolist(), starts, [*starts[1:], len(ordered)], strict=True
+        ):
+            bucket = self.buckets[rank]
+            if not bucket:
+                for level in self.levels:
+                    word, bit = rank >> 6, 1 << (rank & 63)
+                    level[word] |= bit
+                    rank = word
+            bucket.append(positions[first:last])
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """The lowest rank that has positions, and these in order, each once."""
         for top, word in enumerate(self.levels[2]):
             if word:
                 break
@@ -65,7 +77,16 @@ class RankBuckets:
             if level[at >> 6]:
                 break
             at >>= 6
-        return rank, positions
+        found = np.sort(np.concatenate(positions)) if len(positions) > 1 else positions[0]
+        return rank, found[np.append(True, found[1:] != found[:-1])]
+
+
+class Numbers(dict):
+    """Numbers its keys in the order in which they are first asked for."""
+
+    def __missing__(self, key: str) -> int:
+        number = self[key] = len(self)
+        return number
 
 
 class ByteBpe:
@@ -97,6 +118,14 @@ class ByteBpe:
         np.minimum.at(lowest, self.pair_keys // self.size, self.pair_ranks)
         np.minimum.at(lowest, self.pair_keys % self.size, self.pair_ranks)
         self.ascending = lowest > np.arange(self.size)
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop the pre-tokens that are kept from part to part."""
+        self.numbers = Numbers()
+        self.flat = np.zeros(0, np.int32)
+        self.starts = np.zeros(0, np.int64)
+        self.counts = np.zeros(0, np.int64)
 
     def pair_rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         keys = left.astype(np.int64) * self.size + right
@@ -120,12 +149,11 @@ class ByteBpe:
         alive = np.ones(n + 1, dtype=bool)
         queue = RankBuckets(self.size)
         first = np.flatnonzero(rank != NO_PAIR)
-        for r, position in zip(rank[first].tolist(), first.tolist(), strict=True):
-            queue.push(r, position)
+        if len(first):
+            queue.push(rank[first], first)
         while (lowest := queue.pop()) is not None:
-            r, listed = lowest
-            at = np.array(listed)
-            at = np.unique(at[rank[at] == r])  # the rest are stale
+            r, at = lowest
+            at = at[rank[at] == r]  # the rest are stale
             if not len(at):
                 continue
             if len(at) > 1:
@@ -137,8 +165,8 @@ class ByteBpe:
                     now = (place - run) % 2 == 0
                 else:
                     now = np.append(True, word[at[1:]] != word[at[:-1]])
-                    for position in at[~now].tolist():
-                        queue.push(r, position)
+                    if not now.all():
+                        queue.push(rank[at[~now]], at[~now])
                 at = at[now]
             gone = after[at]
             token[at] = r
@@ -149,7 +177,7 @@ class ByteBpe:
             before[behind] = at
             front = before[at]
             front = front[(front >= 0) & (word[front] == word[at])]
-            changed = np.unique(np.concatenate([at, front]))
+            changed = np.concatenate([at, front])
             follow = after[changed]
             found = np.where(
                 word[follow] == word[changed],
@@ -158,34 +186,39 @@ class ByteBpe:
             )
             rank[changed] = found
             kept = found != NO_PAIR
-            for new, position in zip(found[kept].tolist(), changed[kept].tolist(), strict=True):
-                queue.push(new, position)
+            if kept.any():
+                queue.push(found[kept], changed[kept])
         alive = alive[:-1]
         counts = np.bincount(word[:-1][alive], minlength=len(words))
         return token[:-1][alive], counts
 
     def encode_all(self, texts: Iterable[str | None]) -> Iterator[np.ndarray]:
         """The token ids of each text; null counts as empty."""
-        number: dict[str, int] = {}
-        rows = []
-        for text in texts:
-            pieces = self.pieces(text) if text else []
-            rows.append(
-                np.fromiter((number.setdefault(p, len(number)) for p in pieces), np.int64)
-            )
-        words = [p.encode() for p in number]
-        split = [k for k, w in enumerate(words) if w not in self.whole]
+        if len(self.numbers) > MOST_KEPT:
+            self.forget()
+        number = self.numbers.__getitem__
+        rows = [
+            np.array(list(map(number, self.pieces(text))) if text else [], dtype=np.int64)
+            for text in texts
+        ]
+        known = len(self.counts)
+        words = [p.encode() for p in islice(self.numbers, known, None)]
+        ids = [self.whole.get(w) for w in words]
+        split = [k for k, own in enumerate(ids) if own is None]
+        whole = [k for k, own in enumerate(ids) if own is not None]
         merged, merged_counts = self.merge([words[k] for k in split])
         counts = np.ones(len(words), dtype=np.int64)
         counts[split] = merged_counts
         ends = np.cumsum(counts)
-        flat = np.zeros(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
         starts = ends - counts
+        flat = np.zeros(int(counts.sum()), dtype=np.int32)
         flat[ranges(starts[split], merged_counts)] = merged
-        whole = [k for k, w in enumerate(words) if w in self.whole]
-        flat[starts[whole]] = [self.whole[words[k]] for k in whole]
+        flat[starts[whole]] = [ids[k] for k in whole]
+        self.starts = np.concatenate([self.starts, starts + len(self.flat)])
+        self.counts = np.concatenate([self.counts, counts])
+        self.flat = np.concatenate([self.flat, flat])
         for row in rows:
-            yield flat[ranges(starts[row], counts[row])]
+            yield self.flat[ranges(self.starts[row], self.counts[row])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
@@ -269,20 +302,28 @@ def decode(
 def round_trip(
     df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """Per row: key, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them."""
-    ids = encode(df, vocabulary, pattern, text=text, keep=(key,), ids="ids")
-    ids = ids.select(
-        F.struct(
-            column(ids, key).alias("id"),
-            (F.octet_length("ids") / 4).cast("long").alias("n"),
-            F.sha2("ids", 256).alias("sha"),
-        ).alias("row"),
-        "ids",
-    )
-    back = decode(ids, vocabulary, pattern, ids="ids", keep=("row",), content="content")
-    return back.select(
-        F.col("row.id").alias(key),
-        F.col("row.n").alias("n_tokens"),
-        F.col("row.sha").alias("ids_sha256"),
-        F.sha2("content", 256).alias("decoded_sha256"),
-    )
+    """Per row: key, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them.
+
+    Null and empty texts have no tokens and the digests of no bytes.  Ids are decoded in the
+    task that made them, and only the digests leave it.
+    """
+    source = df.select(column(df, key).alias("k"), column(df, text).alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = load(vocabulary, pattern)
+        for part in text_parts(batches, "t", PART_BYTES):
+            counts, encoded, decoded = [], [], []
+            for ids in bpe.encode_all(part["t"].to_pylist()):
+                counts.append(len(ids))
+                encoded.append(sha256(ids.astype("<u4").tobytes()).hexdigest())
+                decoded.append(sha256(bpe.decode(ids)).hexdigest())
+            yield from pa.table(
+                [part["k"], pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)],
+                names=["k", "n_tokens", "ids_sha256", "decoded_sha256"],
+            ).to_batches()
+
+    schema = source.select(
+        "k", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"),
+        F.lit("").alias("decoded_sha256"),
+    ).schema
+    return source.mapInArrow(run, schema).withColumnRenamed("k", key)
