@@ -5,10 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from autoprofile.llm import byte_bpe, exact_dedup, language_id, mixing
+from autoprofile.llm import byte_bpe, exact_dedup, jaccard_join, language_id, mixing
 from autoprofile.llm.common import table
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(
         table(spark, sf_dir, "documents"),
@@ -32,6 +36,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op6_mix_sources": op6_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
