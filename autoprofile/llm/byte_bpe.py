@@ -300,9 +300,15 @@ def decode(
 
 
 def round_trip(
-    df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text"
+    df: DataFrame,
+    vocabulary: str,
+    pattern: str,
+    key: str = "doc_id",
+    text: str = "text",
+    with_ids: bool = False,
 ) -> DataFrame:
-    """Per row: key, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them.
+    """Per row: key, n_tokens, and the SHA-256 of the ids and of the bytes decoded from them;
+    with ``with_ids`` also token_ids (little-endian unsigned 32-bit, binary).
 
     Null and empty texts have no tokens and the digests of no bytes.  Ids are decoded in the
     task that made them, and only the digests leave it.
@@ -312,18 +318,21 @@ def round_trip(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(vocabulary, pattern)
         for part in text_parts(batches, "t", PART_BYTES):
-            counts, encoded, decoded = [], [], []
+            counts, encoded, decoded, blobs = [], [], [], []
             for ids in bpe.encode_all(part["t"].to_pylist()):
                 counts.append(len(ids))
-                encoded.append(sha256(ids.astype("<u4").tobytes()).hexdigest())
+                blob = ids.astype("<u4").tobytes()
+                encoded.append(sha256(blob).hexdigest())
                 decoded.append(sha256(bpe.decode(ids)).hexdigest())
-            yield from pa.table(
-                [part["k"], pa.array(counts, pa.int64()), pa.array(encoded), pa.array(decoded)],
-                names=["k", "n_tokens", "ids_sha256", "decoded_sha256"],
-            ).to_batches()
+                blobs.append(blob)
+            columns = [part["k"], pa.array(counts, pa.int64()), pa.array(encoded, pa.string()),
+                       pa.array(decoded, pa.string()), pa.array(blobs, pa.binary())]
+            names = ["k", "n_tokens", "ids_sha256", "decoded_sha256", "token_ids"]
+            last = 5 if with_ids else 4
+            yield from pa.table(columns[:last], names=names[:last]).to_batches()
 
     schema = source.select(
         "k", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"),
-        F.lit("").alias("decoded_sha256"),
+        F.lit("").alias("decoded_sha256"), *[F.lit(b"").alias("token_ids")] * with_ids,
     ).schema
     return source.mapInArrow(run, schema).withColumnRenamed("k", key)

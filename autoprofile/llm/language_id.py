@@ -373,6 +373,19 @@ def identify(
     return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(out)])
 
 
+def accepted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text the model does not reject, with all their columns."""
+    names = [f"k{i}" for i in range(len(df.columns))]
+    source = df.select(
+        *[column(df, c).alias(n) for n, c in zip(names, df.columns, strict=True)],
+        column(df, text).cast("string").alias("t"),
+    )
+    judged = _judged(source, names, model, df.sparkSession)
+    return judged.filter(~F.col(f"c{len(names) + 3}")).select(
+        *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
+    )
+
+
 def fold(key: Column) -> Column:
     """The third of the documents a key belongs to: crc32 of its text, modulo 3."""
     return F.crc32(key.cast("string").cast("binary")) % 3
