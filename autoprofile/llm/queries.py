@@ -6,7 +6,14 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from autoprofile.llm import byte_bpe, exact_dedup, jaccard_join, language_id, mixing
+from autoprofile.llm import (
+    byte_bpe,
+    exact_dedup,
+    fingerprints,
+    jaccard_join,
+    language_id,
+    mixing,
+)
 from autoprofile.llm.common import table
 
 
@@ -22,6 +29,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -39,6 +50,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_fingerprints": op4_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
