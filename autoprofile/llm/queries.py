@@ -13,6 +13,7 @@ from autoprofile.llm import (
     jaccard_join,
     language_id,
     mixing,
+    token_counts,
 )
 from autoprofile.llm.common import table
 
@@ -38,6 +39,12 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model")
+    )
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +59,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
     "op6_mix_sources": op6_mix_sources,
+    "op7_token_counts": op7_token_counts,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
