@@ -13,6 +13,7 @@ from autoprofile.llm import (
     jaccard_join,
     language_id,
     mixing,
+    pseudonyms,
     token_counts,
 )
 from autoprofile.llm.common import table
@@ -45,6 +46,15 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: the key of the registered query; a real one is a secret of who runs the job
+PSEUDONYM_KEY = "registered query"
+
+
+def op8_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = pseudonyms.PseudonymRules(key=PSEUDONYM_KEY)
+    return pseudonyms.pseudonymise(table(spark, sf_dir, "documents"), rules)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +70,7 @@ QUERIES = {
     "op4_fingerprints": op4_fingerprints,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_counts": op7_token_counts,
+    "op8_pseudonyms": op8_pseudonyms,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "pipeline": corpus_pipeline.run,
