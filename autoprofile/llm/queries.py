@@ -13,6 +13,7 @@ from autoprofile.llm import (
     jaccard_join,
     language_id,
     mixing,
+    packing,
     pseudonyms,
     token_counts,
 )
@@ -35,6 +36,14 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op5_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(
+        table(spark, sf_dir, "documents"),
+        public_tokenizers.path("byte_bpe_50k.tiktoken"),
+        public_tokenizers.PATTERN,
+    )
+
+
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return documents.select("doc_id", "size", "source_size", "target", "taken")
@@ -68,6 +77,7 @@ QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
     "op4_fingerprints": op4_fingerprints,
+    "op5_packed_ids": op5_packed_ids,
     "op6_mix_sources": op6_mix_sources,
     "op7_token_counts": op7_token_counts,
     "op8_pseudonyms": op8_pseudonyms,
