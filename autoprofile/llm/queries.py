@@ -15,6 +15,7 @@ from autoprofile.llm import (
     mixing,
     packing,
     pseudonyms,
+    quotations,
     token_counts,
 )
 from autoprofile.llm.common import table
@@ -32,6 +33,10 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
+
+
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_edits(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_fingerprints": op4_fingerprints,
     "op5_packed_ids": op5_packed_ids,
     "op6_mix_sources": op6_mix_sources,
