@@ -1,22 +0,0 @@
-from autoprofile.functions.coerce import (
-    as_number,
-    as_timestamp,
-    family,
-    nan_to_null,
-    strip,
-    text_number,
-    text_timestamp,
-)
-from autoprofile.functions.numeric import percent, round_half_up
-
-__all__ = [
-    "as_number",
-    "as_timestamp",
-    "family",
-    "nan_to_null",
-    "percent",
-    "round_half_up",
-    "strip",
-    "text_number",
-    "text_timestamp",
-]

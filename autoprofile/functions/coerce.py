@@ -26,8 +26,9 @@ ISO_PATTERN = (
     r"^\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d{1,9})?)?(Z|[+-]\d{2}:\d{2})?)?$"
 )
 
-# Accepted non-ISO date layouts (shape, format), first success wins.  A
-# purely numeric text is never a date.
+# Accepted non-ISO date layouts (shape, format).  A purely numeric text is
+# never a date.  A column has one layout: the one most of its values have, the first of
+# equals.
 DATE_LAYOUTS = (
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
@@ -106,15 +107,20 @@ def text_number(text: Column, strip_commas: bool = True) -> Column:
     )
 
 
-def text_timestamp(text: Column) -> Column:
-    """Date or time written in ``text``, else NULL."""
+def layout_timestamps(text: Column) -> list[Column]:
+    """For each layout, ISO first, the date or time that ``text`` writes in it, else NULL."""
     stripped = strip(text)
-    attempts = [F.when(stripped.rlike(ISO_PATTERN), stripped.try_cast("timestamp"))]
-    attempts += [
-        F.when(stripped.rlike(shape), F.try_to_timestamp(stripped, F.lit(layout)))
+    dated = stripped.rlike(r"^(\d|[A-Z][a-z]{2} )")
+    found = [F.when(dated & stripped.rlike(ISO_PATTERN), stripped.try_cast("timestamp"))]
+    return found + [
+        F.when(dated & stripped.rlike(shape), F.try_to_timestamp(stripped, F.lit(layout)))
         for shape, layout in DATE_LAYOUTS
     ]
-    return F.coalesce(*attempts)
+
+
+def text_timestamp(text: Column) -> Column:
+    """Date or time written in ``text`` in any layout, else NULL."""
+    return F.coalesce(*layout_timestamps(text))
 
 
 def moment(value: dt.datetime) -> Column:
@@ -140,11 +146,11 @@ def as_number(name: str, dtype: T.DataType, strip_commas: bool = True) -> Column
     return column.cast("double")
 
 
-def as_timestamp(name: str, dtype: T.DataType) -> Column:
-    """Column ``name`` as a timestamp, unparsable text as NULL."""
+def as_timestamp(name: str, dtype: T.DataType, layout: int | None = None) -> Column:
+    """Column ``name`` as a timestamp; text in the given layout, other text as NULL."""
     kind = family(dtype)
-    if kind == "string":
-        return text_timestamp(quoted(name))
+    if kind == "string" and layout is not None:
+        return layout_timestamps(quoted(name))[layout]
     if kind == "datetime":
         return quoted(name).cast("timestamp")
     return F.lit(None).cast("timestamp")

@@ -2,8 +2,9 @@
 
 What crosses the network when distinct things are counted is the key, so its width must
 not grow with the value.  Short texts are their own key, a long text is replaced by its
-SHA-256 (64 hex digits, a length no short text has), and a whole row by a 128-bit
-fingerprint.
+first characters and its SHA-256 (a length no short text has), and a whole row by a 128-bit
+fingerprint.  Keys say whether texts are equal; what order texts have only their first
+characters tell, and where these are equal only the texts themselves.
 """
 
 from __future__ import annotations
@@ -13,11 +14,23 @@ from pyspark.sql import functions as F
 
 from autoprofile.functions.coerce import family, quoted
 
-DIGEST_LENGTH = 64
+#: texts from this many bytes on are replaced; they have HEAD_CHARS characters at least
+LONG_TEXT = 64
+HEAD_CHARS = LONG_TEXT // 4
 
 
 def text_key(text: Column) -> Column:
-    return F.when(F.octet_length(text) < DIGEST_LENGTH, text).otherwise(F.sha2(text, 256))
+    digest = F.concat(F.substring(text, 1, HEAD_CHARS), F.sha2(text, 256))
+    return F.when(F.octet_length(text) < LONG_TEXT, text).otherwise(digest)
+
+
+def is_digest(key: str) -> bool:
+    return len(key.encode()) >= LONG_TEXT
+
+
+def head(key: Column) -> Column:
+    """Orders keys as their texts are ordered, except that texts that begin alike tie."""
+    return F.substring(key, 1, HEAD_CHARS)
 
 
 def row_fingerprint(df: DataFrame) -> list[Column]:

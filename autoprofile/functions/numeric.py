@@ -6,10 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def round_half_up(value: Column, digits: int = 4) -> Column:
-    return F.round(value, digits)
-
-
 def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     """``part`` of ``whole`` in percent; 0 for an empty whole."""
     share = F.try_divide(part.cast("double") * 100, whole.cast("double"))

@@ -17,19 +17,22 @@ from autoprofile.functions.coerce import (
     quoted,
     strip,
     text_number,
-    text_timestamp,
     value_kind,
 )
-from autoprofile.functions.keys import DIGEST_LENGTH, text_key
+from autoprofile.functions.keys import head, is_digest, text_key
 from autoprofile.functions.numeric import percent
+from autoprofile.operators.dates import layout_counts
 from autoprofile.operators.digests import texts_behind
 from autoprofile.operators.wide import empty_frame, local_frame, per_column
 
 IGNORED_TYPES = ("empty", "constant", "identifier", "nested")
 SAMPLE_SIZE = 5
 SKETCH_LOG_SIZE = 14
-#: texts with at most this share of distinct values are tested once per distinct value
-REPEATING_SHARE = 0.01
+#: a sketch this close to a threshold (as a share of it) does not decide a type; it is four
+#: times the sketch's standard error
+SKETCH_DOUBT = 0.033
+#: texts that begin alike at the edge of the samples: more are found by smallest_values
+SAMPLE_TIES = 64
 
 #: categorical needs at most, identifier needs more than this many distinct numbers
 MAX_CATEGORY_NUMBERS = 30
@@ -40,15 +43,13 @@ MIN_IDENTIFIER_ROWS = 100
 FACTS_SCHEMA = (
     "ordinal int, column_name string, family string, fractional boolean, total_rows long, "
     "non_null_count long, beyond_01 long, not_truth_word long, date_count long, "
-    "number_count long"
-)
-DISTINCT_SCHEMA = (
-    "ordinal int, unique_count long, short_not_word long, short_dates long, short_numbers long, "
-    "sample_values array<string>"
+    "number_count long, estimated_count long"
 )
+DISTINCT_SCHEMA = "ordinal int, unique_count long, sample_values array<string>"
 CATALOG_FIELDS = [
     "column_name", "ordinal", "inferred_type", "total_rows", "null_count", "non_null_count",
-    "null_pct", "non_null_pct", "unique_count", "unique_ratio", "sample_values", "anomalies",
+    "null_pct", "non_null_pct", "unique_count", "unique_is_estimate", "unique_ratio",
+    "sample_values", "anomalies",
     "ignore", "ignore_reason",
 ]
 
@@ -67,27 +68,33 @@ def _truth_words(rules: SchemaRules) -> tuple[str, ...]:
     return tuple(w.strip().lower() for w in (*rules.true_words, *rules.false_words))
 
 
-def column_facts(df: DataFrame, rules: SchemaRules, long_texts_only: bool = False) -> DataFrame:
-    """Everything the type decision needs except distinct counts, in one scan.
+def _sketched(column: Column) -> Column:
+    """Aggregate: the number of distinct values, estimated within one percent."""
+    sketch = F.hll_sketch_agg(F.xxhash64(column), F.lit(SKETCH_LOG_SIZE))
+    # the hash of NULL is a value like any other, so it is taken off again
+    nulls = F.least(F.count(F.lit(1)) - F.count(column), F.lit(1))
+    return F.greatest(F.hll_sketch_estimate(sketch) - nulls, F.lit(0))
+
 
-    With ``long_texts_only`` the tests for words, dates and numbers skip texts that are their
-    own distinct key; :func:`distinct_profile` tests those once per distinct value.
+def column_facts(df: DataFrame, rules: SchemaRules, sketch: bool = False) -> DataFrame:
+    """Everything the type decision needs but exact distinct counts, in one scan.
+
+    With ``sketch`` also estimated distinct counts.
     """
     words = _truth_words(rules)
     nothing = F.lit(None).cast("long")
     facts = []
     for ordinal, field in enumerate(df.schema):
         column, kind = quoted(field.name), family(field.dataType)
-        beyond_01 = not_word = dates = numbers = nothing
+        beyond_01 = not_word = dates = numbers = estimate = nothing
         if kind == "number":
             beyond_01 = F.count_if(~column.isin(0, 1))
         elif kind == "string":
-            text = column
-            if long_texts_only:
-                text = F.when(F.octet_length(column) >= DIGEST_LENGTH, column)
-            not_word = F.count_if(~truth_word(text, words))
-            dates = F.count(text_timestamp(text))
-            numbers = F.count(text_number(text))
+            not_word = F.count_if(~truth_word(column, words))
+            dates = F.array_max(layout_counts(column))
+            numbers = F.count(text_number(column))
+        if sketch and value_kind(field.dataType) is not None:
+            estimate = _sketched(column)
         facts.append([
             F.lit(ordinal).alias("ordinal"),
             F.lit(field.name).alias("column_name"),
@@ -99,8 +106,9 @@ def column_facts(df: DataFrame, rules: SchemaRules, long_texts_only: bool = Fals
             not_word.alias("not_truth_word"),
             dates.alias("date_count"),
             numbers.alias("number_count"),
+            estimate.alias("estimated_count"),
         ])
-    return per_column(df, facts, fields_per_column=6, schema=FACTS_SCHEMA)
+    return per_column(df, facts, fields_per_column=8, schema=FACTS_SCHEMA)
 
 
 # ------------------------------------------------------------------ distinct values
@@ -134,33 +142,19 @@ def distinct_values(df: DataFrame, names: Collection[str] | None = None) -> list
     return frames
 
 
-def _count_and_sample(frame: DataFrame, words: tuple[str, ...]) -> DataFrame:
+def _count_and_sample(frame: DataFrame) -> DataFrame:
     """Distinct count and the smallest values per column; both read the same shuffle.
 
-    For texts also how many rows hold a short text that is no truth word, a date, a number:
-    each distinct text is tested once, however often it occurs.
+    Texts are ordered by how they begin, and all that tie at the fifth are taken.
     """
-    tests = [F.lit(None).cast("long")] * 3
-    if dict(frame.dtypes)["value"] == "string":
-        value = F.when(F.octet_length("value") < DIGEST_LENGTH, F.col("value"))
-        tests = [
-            F.sum(F.when(passed, F.col("count")).otherwise(0))
-            for passed in (
-                ~truth_word(value, words),
-                text_timestamp(value).isNotNull(),
-                text_number(value).isNotNull(),
-            )
-        ]
-    counts = frame.groupBy("ordinal").agg(
-        F.count(F.lit(1)).alias("unique_count"),
-        tests[0].cast("long").alias("short_not_word"),
-        tests[1].cast("long").alias("short_dates"),
-        tests[2].cast("long").alias("short_numbers"),
-    )
-    order = Window.partitionBy("ordinal").orderBy("value")
+    counts = frame.groupBy("ordinal").agg(F.count(F.lit(1)).alias("unique_count"))
+    text = dict(frame.dtypes)["value"] == "string"
+    order = Window.partitionBy("ordinal").orderBy(head(F.col("value")) if text else "value")
     smallest = (
-        frame.withColumn("place", F.row_number().over(order))
+        frame.withColumn("place", F.rank().over(order))
         .where(F.col("place") <= SAMPLE_SIZE)
+        .withColumn("number", F.row_number().over(order))
+        .where(F.col("number") <= SAMPLE_TIES)
         .groupBy("ordinal")
         .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("smallest"))
     )
@@ -170,57 +164,66 @@ def _count_and_sample(frame: DataFrame, words: tuple[str, ...]) -> DataFrame:
     )
 
 
-def distinct_profile(
-    df: DataFrame, names: Collection[str] | None = None, rules: SchemaRules = SchemaRules()
-) -> DataFrame:
+def distinct_profile(df: DataFrame, names: Collection[str] | None = None) -> DataFrame:
     """Exact distinct count and the five smallest distinct values of every column.
 
-    Columns of long texts are sampled by digest; the texts behind those few digests are
-    looked up when the dictionary is built.
+    Texts are sampled by key, with those that begin like the fifth; which of these are smallest
+    the texts behind them decide when the dictionary is built.
     """
     frames = distinct_values(df, names)
     if not frames:
         return empty_frame(df.sparkSession, DISTINCT_SCHEMA)
-    words = _truth_words(rules)
-    return reduce(DataFrame.unionByName, [_count_and_sample(f, words) for f in frames])
+    return reduce(DataFrame.unionByName, [_count_and_sample(f) for f in frames])
 
 
 def estimated_distinct(df: DataFrame) -> DataFrame:
     """Distinct counts from sketches, within about one percent; no shuffle of values."""
-    facts = []
-    for ordinal, field in enumerate(df.schema):
-        if value_kind(field.dataType) is None:
-            continue
-        sketch = F.hll_sketch_agg(F.xxhash64(quoted(field.name)), F.lit(SKETCH_LOG_SIZE))
-        present = F.count(quoted(field.name))
-        # the hash of NULL is a value like any other, so it is taken off again
-        nulls = F.least(F.count(F.lit(1)) - present, F.lit(1))
-        facts.append([
-            F.lit(ordinal).alias("ordinal"),
-            F.greatest(F.hll_sketch_estimate(sketch) - nulls, F.lit(0)).alias("estimated_count"),
-        ])
+    facts = [
+        [F.lit(ordinal).alias("ordinal"), _sketched(quoted(field.name)).alias("estimated_count")]
+        for ordinal, field in enumerate(df.schema)
+        if value_kind(field.dataType) is not None
+    ]
     schema = "ordinal int, estimated_count long"
     return per_column(df, facts, fields_per_column=4, schema=schema)
 
 
-def _with_sampled_texts(df: DataFrame, rows: list[dict]) -> list[dict]:
-    for row in rows:
-        values = row["sample_values"] or []
-        digests = [v for v in values if len(v.encode()) == DIGEST_LENGTH]
-        if row["family"] == "string" and digests:
-            texts = texts_behind(df, row["column_name"], digests)
-            row["sample_values"] = [texts.get(v, v) for v in values]
-    return rows
-
-
-def _repeating_texts(rows: list[dict]) -> list[str]:
-    """Text columns so repetitive that counting them exactly moves next to nothing."""
-    return [
-        r["column_name"]
-        for r in rows
-        if r["family"] == "string"
-        and (r["estimated_count"] or 0) <= REPEATING_SHARE * r["non_null_count"]
-    ]
+def smallest_values(df: DataFrame, names: list[str], size: int = SAMPLE_SIZE) -> dict[str, list]:
+    """The ``size`` smallest distinct values of columns, as text, without any shuffle of values.
+
+    Every round is one scan for the smallest value above the last one, for all columns at once.
+    """
+    found: dict[str, list[str]] = {n: [] for n in names}
+    last: dict[str, object] = {}
+    left = list(names)
+    for _ in range(size):
+        if not left:
+            break
+        least = []
+        for i, name in enumerate(left):
+            column = quoted(name)
+            if name in last:
+                column = F.when(column > F.lit(last[name]), column)
+            least.append(F.min(column).alias(f"v{i}"))
+        row = df.agg(*least).select(
+            *[F.col(f"v{i}") for i in range(len(left))],
+            *[F.col(f"v{i}").cast("string").alias(f"s{i}") for i in range(len(left))],
+        ).first()
+        for i, name in enumerate(list(left)):
+            if row[f"v{i}"] is None:
+                left.remove(name)
+            else:
+                last[name] = row[f"v{i}"]
+                found[name].append(row[f"s{i}"])
+    return found
+
+
+def _sampled_texts(df: DataFrame, name: str, keys: list[str]) -> list[str]:
+    """The smallest texts of a column from the keys of the candidates."""
+    if len(keys) >= SAMPLE_TIES:
+        return smallest_values(df, [name])[name]
+    digests = [k for k in keys if is_digest(k)]
+    texts = texts_behind(df, name, digests) if digests else {}
+    return sorted((texts.get(k, k) for k in keys), key=str.encode)[:SAMPLE_SIZE]
 
 
 def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
@@ -232,7 +235,7 @@ def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
             continue
         ratio = estimate / present
         near_ratio = any(
-            abs(ratio - limit) <= 0.05 * limit
+            abs(ratio - limit) <= SKETCH_DOUBT * limit
             for limit in (rules.categorical_max_ratio, rules.identifier_min_ratio)
         )
         if near_ratio or estimate <= 2 * MIN_IDENTIFIER_NUMBERS:
@@ -243,67 +246,35 @@ def _columns_in_doubt(rows: list[dict], rules: SchemaRules) -> list[str]:
 # ------------------------------------------------------------------ dictionary
 
 
-TEXT_TESTS = {
-    "not_truth_word": "short_not_word",
-    "date_count": "short_dates",
-    "number_count": "short_numbers",
-}
+def _measured(df: DataFrame, rules: SchemaRules, exact: bool, samples: bool) -> DataFrame:
+    """Facts and distinct counts, one local row per column.
 
-
-def _exactly_measured(df: DataFrame, rules: SchemaRules) -> list[dict]:
-    profile = F.broadcast(distinct_profile(df, rules=rules))  # one row per column
-    joined = column_facts(df, rules, long_texts_only=True).join(profile, "ordinal", "left")
-    rows = [r.asDict() for r in joined.collect()]
-    for row in rows:
-        _add_short_texts(row)
-    return rows
-
-
-def _add_short_texts(row: dict) -> None:
-    """Long and short texts are tested apart; the type decision needs their sum."""
-    for test, short in TEXT_TESTS.items():
-        if row[short] is not None and row[test] is not None:
-            row[test] += row[short]
-
-
-def _roughly_measured(df: DataFrame, rules: SchemaRules) -> list[dict]:
-    """Sketches first; then exact counts where a sketch cannot decide or counting is cheap.
-
-    Text columns that hardly repeat are tested row by row, in one scan without a shuffle.
+    One scan for the facts; distinct values are shuffled for all columns if ``exact``, else only
+    for those a sketch cannot decide.  Columns that are not counted are sampled by scans.
     """
-    estimated = F.broadcast(estimated_distinct(df))  # one row per column
-    facts = column_facts(df, rules, long_texts_only=True).join(estimated, "ordinal", "left")
-    rows = [r.asDict() for r in facts.collect()]
-    repeating = set(_repeating_texts(rows))
-    counted = repeating | set(_columns_in_doubt(rows, rules))
-    exact = {}
-    if counted:
-        exact = {r["ordinal"]: r.asDict() for r in distinct_profile(df, counted, rules).collect()}
-    varied = [
-        r["column_name"] for r in rows
-        if r["family"] == "string" and r["column_name"] not in counted
-    ]
-    tested = {}
-    if varied:
-        plain = df.select(*[quoted(c) for c in varied])
-        tested = {r["column_name"]: r.asDict() for r in column_facts(plain, rules).collect()}
+    rows = [r.asDict() for r in column_facts(df, rules, sketch=not exact).collect()]
+    counted = None if exact else set(_columns_in_doubt(rows, rules))
+    profile = {}
+    if counted is None or counted:
+        profile = {r["ordinal"]: r.asDict() for r in distinct_profile(df, counted).collect()}
+    kinds = {f.name: value_kind(f.dataType) for f in df.schema}
+    scanned = {}
+    if samples and not exact:
+        scanned = smallest_values(df, [
+            r["column_name"] for r in rows
+            if r["ordinal"] not in profile and kinds[r["column_name"]]
+        ])
     for row in rows:
-        found = exact.get(row["ordinal"])
+        name, found = row["column_name"], profile.get(row["ordinal"])
+        row["unique_is_estimate"] = found is None and not exact and kinds[name] is not None
         row["unique_count"] = found["unique_count"] if found else row["estimated_count"]
-        row["sample_values"] = found["sample_values"] if found else None
-        if found:
-            row.update({short: found[short] for short in TEXT_TESTS.values()})
-            _add_short_texts(row)
-        elif row["column_name"] in tested:
-            row.update({test: tested[row["column_name"]][test] for test in TEXT_TESTS})
-    return rows
-
-
-def _measured(df: DataFrame, rules: SchemaRules) -> DataFrame:
-    """Facts and distinct counts, one local row per column."""
-    measure = _roughly_measured if rules.distinct == "approx" else _exactly_measured
-    rows = _with_sampled_texts(df, measure(df, rules))
-    schema = FACTS_SCHEMA + ", unique_count long, sample_values array<string>"
+        row["sample_values"] = found["sample_values"] if found else scanned.get(name)
+        if samples and found and row["family"] == "string":
+            row["sample_values"] = _sampled_texts(df, name, found["sample_values"])
+    schema = (
+        FACTS_SCHEMA + ", unique_count long, unique_is_estimate boolean, "
+        "sample_values array<string>"
+    )
     names = T.StructType.fromDDL(schema).names
     rows.sort(key=lambda r: r["ordinal"])
     return local_frame(df.sparkSession, [tuple(r[n] for n in names) for r in rows], schema)
@@ -368,10 +339,15 @@ def _anomalies(rules: SchemaRules) -> Column:
 def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
     """Data dictionary: one row per column with its business type, counts and samples.
 
-    One job runs when called: a scan for the facts beside a shuffle for the distinct values.
-    What comes back to the driver is one row per column, in table order.
+    Runs when called: a scan for the facts and a shuffle for the distinct values.  What comes
+    back to the driver is one row per column, in table order.  With ``distinct="approx"``
+    distinct counts far from any threshold are estimates (``unique_is_estimate``).
     """
     rules = (config or Config()).schema
+    return _catalog(df, rules, exact=rules.distinct == "exact", samples=True)
+
+
+def _catalog(df: DataFrame, rules: SchemaRules, exact: bool, samples: bool) -> DataFrame:
     clean = nan_to_null(df)
     total, present = F.col("total_rows"), F.col("non_null_count")
     inferred = _inferred_type(rules)
@@ -382,7 +358,7 @@ def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
         F.try_divide(unique.cast("double"), present.cast("double")), F.lit(0.0)
     )
     null_pct = percent(total - present, total)
-    catalog = _measured(clean, rules).select(
+    catalog = _measured(clean, rules, exact, samples).select(
         "column_name",
         "ordinal",
         inferred.alias("inferred_type"),
@@ -392,6 +368,7 @@ def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
         null_pct.alias("null_pct"),
         F.round(100 - null_pct, 2).alias("non_null_pct"),
         unique.alias("unique_count"),
+        F.coalesce("unique_is_estimate", F.lit(False)).alias("unique_is_estimate"),
         F.round(ratio, 4).alias("unique_ratio"),
         F.coalesce("sample_values", F.array().cast("array<string>")).alias("sample_values"),
         _anomalies(rules).alias("anomalies"),
@@ -418,8 +395,13 @@ def column_catalog(df: DataFrame, config: Config | None = None) -> DataFrame:
 
 
 def infer_types(df: DataFrame, config: Config | None = None) -> DataFrame:
-    """column_name -> inferred_type."""
-    return column_catalog(df, config).select("column_name", "inferred_type")
+    """column_name -> inferred_type.
+
+    Sketches decide all columns that are far from a threshold, whatever ``distinct`` says; the
+    types are those of the exact counts.
+    """
+    rules = (config or Config()).schema
+    return _catalog(df, rules, exact=False, samples=False).select("column_name", "inferred_type")
 
 
 def type_distribution(catalog: DataFrame) -> DataFrame:

@@ -1,17 +1,22 @@
-"""Putting texts back in place of the digests they were counted by."""
+"""Putting texts back in place of the keys they were counted by, and ranking by the texts."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import quoted
-from autoprofile.functions.keys import DIGEST_LENGTH, text_key
+from autoprofile.functions.coerce import family, quoted
+from autoprofile.functions.keys import head, is_digest, text_key
 from autoprofile.operators.wide import local_frame
 
+#: candidates up to this many are resolved on the driver, more of them by a join
+LOCAL_CANDIDATES = 10_000
+
 
 def texts_behind(df: DataFrame, name: str, digests: list[str]) -> dict[str, str]:
-    """The texts of column ``name`` with these digests: one filtered scan, a row per digest."""
+    """The texts of column ``name`` with these keys: one filtered scan, a row per key."""
     key = text_key(quoted(name))
     rows = (
         df.where(key.isin(*digests))
@@ -22,31 +27,72 @@ def texts_behind(df: DataFrame, name: str, digests: list[str]) -> dict[str, str]
     return {r["digest"]: r["text"] for r in rows}
 
 
-def with_full_texts(
-    df: DataFrame, result: DataFrame, column_field: str, value_field: str
-) -> DataFrame:
-    """Replaces digests in ``value_field`` by the texts of the column ``column_field`` names.
-
-    ``result`` is a top-N result held locally; the text columns are read once more only if a
-    digest made it into the result.
-    """
+def _looked_up(df: DataFrame, rows: list, column_field: str, key_field: str) -> DataFrame:
+    """(column, key, text) of the digests among few candidates."""
     digests: dict[str, set[str]] = {}
-    for row in result.select(column_field, value_field).collect():
-        if len(row[value_field].encode()) == DIGEST_LENGTH:
-            digests.setdefault(row[column_field], set()).add(row[value_field])
+    for row in rows:
+        if is_digest(row[key_field]):
+            digests.setdefault(row[column_field], set()).add(row[key_field])
     found = [
         (name, digest, text)
         for name, wanted in digests.items()
         for digest, text in texts_behind(df, name, sorted(wanted)).items()
     ]
-    if not found:
-        return result
-    texts = local_frame(
-        df.sparkSession, found, f"{column_field} string, {value_field} string, full_text string"
+    schema = f"{column_field} string, {key_field} string, full_text string"
+    return F.broadcast(local_frame(df.sparkSession, found, schema))  # a row per digest
+
+
+def _joined_up(
+    df: DataFrame, candidates: DataFrame, column_field: str, key_field: str
+) -> DataFrame:
+    """(column, key, text) for any number of candidates."""
+    wanted = candidates.select(column_field, key_field).distinct()
+    names = [r[0] for r in candidates.select(column_field).distinct().collect()]
+    texts = [
+        df.select(
+            F.lit(name).alias(column_field), text_key(quoted(name)).alias(key_field),
+            quoted(name).alias("full_text"),
+        )
+        for name in names
+        if family(df.schema[name].dataType) == "string"
+    ]
+    return (
+        reduce(DataFrame.unionByName, texts)
+        .join(wanted, [column_field, key_field], "left_semi")
+        .groupBy(column_field, key_field)
+        .agg(F.any_value("full_text").alias("full_text"))
     )
-    return result.join(F.broadcast(texts), [column_field, value_field], "left").select(
+
+
+def first_by_text(
+    df: DataFrame,
+    counted: DataFrame,
+    groups: list[str],
+    order: list[Column],
+    column_field: str,
+    key_field: str,
+    top_n: int,
+) -> DataFrame:
+    """The first ``top_n`` rows of every group by ``order`` and then by text, with ``rank``.
+
+    ``counted`` has keys of texts in ``key_field``, ``column_field`` names the text's column.
+    Rows are pre-selected by the head of the key, with all that tie at the cut; the texts behind
+    these are looked up in one scan, and the rank is decided by the texts themselves.
+    """
+    before = Window.partitionBy(*groups).orderBy(*order, head(F.col(key_field)))
+    chosen = counted.withColumn("rank", F.rank().over(before)).where(F.col("rank") <= top_n)
+    few = chosen.limit(LOCAL_CANDIDATES + 1).toArrow()
+    if few.num_rows <= LOCAL_CANDIDATES:
+        chosen = df.sparkSession.createDataFrame(few, chosen.schema)
+        rows = few.select([column_field, key_field]).to_pylist()
+        texts = _looked_up(df, rows, column_field, key_field)
+    else:
+        texts = _joined_up(df, chosen, column_field, key_field)
+    full = chosen.join(texts, [column_field, key_field], "left").select(
         *[
-            F.coalesce("full_text", value_field).alias(c) if c == value_field else F.col(c)
-            for c in result.columns
+            F.coalesce("full_text", key_field).alias(c) if c == key_field else F.col(c)
+            for c in counted.columns
         ]
     )
+    final = Window.partitionBy(*groups).orderBy(*order, key_field)
+    return full.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= top_n)

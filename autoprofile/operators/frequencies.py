@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from autoprofile.functions.coerce import family, nan_to_null, quoted, strip, value_kind
 from autoprofile.functions.keys import text_key
 from autoprofile.functions.numeric import percent
-from autoprofile.operators.digests import with_full_texts
+from autoprofile.operators.digests import first_by_text
 from autoprofile.operators.wide import empty_frame, local_frame, pin
 
 COUNTS_SCHEMA = "column string, value string, count long"
@@ -67,10 +67,13 @@ def top_values(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
 
 
 def with_share(counts: DataFrame, top_n: int = 15) -> DataFrame:
+    return _shared(top_of(counts, top_n), counts)
+
+
+def _shared(top: DataFrame, counts: DataFrame) -> DataFrame:
     totals = counts.groupBy("column").agg(F.sum("count").alias("non_null_count"))
     return (
-        top_of(counts, top_n)
-        .join(F.broadcast(totals), "column")  # one row per column
+        top.join(F.broadcast(totals), "column")  # one row per column
         .select(
             "column",
             "rank",
@@ -85,10 +88,11 @@ def top_texts(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
     """:func:`top_values` for columns of long texts.
 
     Texts are counted by digest, so that whole texts are not shuffled; only the few that are
-    among the most frequent are looked up again.
+    among the most frequent are looked up again.  Ties go by text.
     """
     counts = _counts(df, {c: text_key(quoted(c)) for c in columns})
-    return with_full_texts(df, pin(with_share(counts, top_n)), "column", "value")
+    top = first_by_text(df, counts, ["column"], [F.desc("count")], "column", "value", top_n)
+    return pin(_shared(top, counts))
 
 
 def top_value(top: DataFrame, columns: list[str]) -> DataFrame:

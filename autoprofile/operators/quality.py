@@ -12,7 +12,6 @@ from autoprofile import messages
 from autoprofile.config import Config
 from autoprofile.functions.coerce import (
     INTEGER_PATTERN,
-    as_timestamp,
     family,
     moment,
     nan_to_null,
@@ -22,6 +21,7 @@ from autoprofile.functions.coerce import (
     text_timestamp,
 )
 from autoprofile.functions.numeric import percent
+from autoprofile.operators.dates import date_columns
 from autoprofile.operators.frequencies import value_counts, variants_of
 from autoprofile.operators.numbers import Distribution, distributions, outlier_counts
 from autoprofile.operators.tables import null_profile
@@ -130,8 +130,7 @@ def date_bounds(df: DataFrame, columns: list[str], as_of: dt.datetime | None = N
     """Dates after ``as_of`` (default: now) and before 1900, per time column."""
     now = F.current_timestamp() if as_of is None else moment(as_of)
     facts = []
-    for name in columns:
-        date = as_timestamp(name, df.schema[name].dataType)
+    for name, date in date_columns(df, columns).items():
         facts.append([
             F.lit(name).alias("column"),
             F.count_if(date > now).alias("future_count"),

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from autoprofile.config import AnalysisRules
 from autoprofile.functions.coerce import family, nan_to_null, number_columns, quoted
 from autoprofile.functions.keys import text_key
-from autoprofile.operators.digests import with_full_texts
-from autoprofile.operators.wide import empty_frame, pin
+from autoprofile.operators.digests import first_by_text
+from autoprofile.operators.wide import empty_frame
 
 GRID_SCHEMA = (
     "dimension_no int, measure_no int, dimension string, measure string, rank int, "
@@ -72,19 +72,21 @@ def segment_grid(
         ]
     )
     number = F.substring("label", 2, 10).cast("int")
-    order = Window.partitionBy("dimension_no", "measure_no").orderBy(F.desc("total"), "segment")
-    grid = (
-        rolled.select(number.alias("dimension_no"), "segment", F.inline(cells))
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= top_n)
-        .withColumn("dimension", F.array(*[F.lit(d) for d in dimensions])[F.col("dimension_no")])
-        .select(
-            "dimension_no", "measure_no", "dimension", "measure", "rank", "segment", "total",
-            "avg", "count",
-        )
+    names = F.array(*[F.lit(d) for d in dimensions])
+    grid = rolled.select(number.alias("dimension_no"), "segment", F.inline(cells)).withColumn(
+        "dimension", names[F.col("dimension_no")]
+    )
+    groups, by_total = ["dimension_no", "measure_no"], F.desc("total")
+    if long_labels:
+        # texts are rolled up by digest; ties go by the texts themselves
+        grid = first_by_text(clean, grid, groups, [by_total], "dimension", "segment", top_n)
+    else:
+        order = Window.partitionBy(*groups).orderBy(by_total, "segment")
+        grid = grid.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
+    return grid.select(
+        "dimension_no", "measure_no", "dimension", "measure", "rank", "segment", "total",
+        "avg", "count",
     )
-    # texts are rolled up by digest; the grid has top_n rows per combination
-    return with_full_texts(clean, pin(grid), "dimension", "segment") if long_labels else grid
 
 
 def _text_dimensions(df: DataFrame, dimensions: list[str]) -> list[str]:

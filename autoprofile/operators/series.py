@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import as_timestamp, number_columns, quoted
+from autoprofile.functions.coerce import number_columns
+from autoprofile.operators.dates import date_columns
 from autoprofile.operators.wide import empty_frame
 
 SERIES_SCHEMA = (
@@ -29,49 +30,48 @@ def period_label(start: Column, granularity: str) -> Column:
 
 
 def _one_series(
-    df: DataFrame, time_column: str, measures: list[str], min_points: int, granularity: str
+    df: DataFrame,
+    time_column: str,
+    moment: Column,
+    measures: list[str],
+    min_points: int,
+    granularity: str,
 ) -> DataFrame:
-    moment = as_timestamp(time_column, df.schema[time_column].dataType)
     values = number_columns(df, measures)
-    inputs = {m: f"m{i}" for i, m in enumerate(measures)}
+    inputs = [f"m{i}" for i in range(len(measures))]
     totals = (
         df.select(
             F.date_trunc(granularity, moment).alias("start"),
-            *[values[m].alias(inputs[m]) for m in measures],
+            *[values[m].alias(name) for m, name in zip(measures, inputs)],
         )
         .where(F.col("start").isNotNull())
         .groupBy("start")
         .agg(
             F.count(F.lit(1)).alias("points"),
-            *[F.coalesce(F.sum(inputs[m]), F.lit(0.0)).alias(m) for m in measures],
+            *[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in inputs],
         )
     )
     # from here on there is one row per calendar period, so one task may see them all
-    every_period = Window.partitionBy("time_column")
-    enough = (
-        totals.withColumn("time_column", F.lit(time_column))
-        .withColumn("all_points", F.sum("points").over(every_period))
-        .where(F.col("all_points") >= min_points)
+    every_period = Window.partitionBy(F.lit(1))
+    enough = totals.withColumn("all_points", F.sum("points").over(every_period)).where(
+        F.col("all_points") >= min_points
     )
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("measure_no"),
                 F.lit(m).alias("measure"),
-                quoted(m).alias("value"),
+                F.col(name).alias("value"),
             )
-            for i, m in enumerate(measures)
+            for i, (m, name) in enumerate(zip(measures, inputs))
         ]
     )
-    return (
-        enough.select("time_column", "start", F.inline(cells))
-        .select(
-            "time_column",
-            "measure_no",
-            "measure",
-            period_label(F.col("start"), granularity).alias("period"),
-            "value",
-        )
+    return enough.select("start", F.inline(cells)).select(
+        F.lit(time_column).alias("time_column"),
+        "measure_no",
+        "measure",
+        period_label(F.col("start"), granularity).alias("period"),
+        "value",
     )
 
 
@@ -93,7 +93,10 @@ def period_series(
         return empty_frame(df.sparkSession, SERIES_SCHEMA)
     return reduce(
         DataFrame.unionByName,
-        [_one_series(df, t, measures, min_points, granularity) for t in time_columns],
+        [
+            _one_series(df, t, moment, measures, min_points, granularity)
+            for t, moment in date_columns(df, time_columns).items()
+        ],
     )
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import as_timestamp, nan_to_null, quoted
+from autoprofile.functions.coerce import nan_to_null, quoted
 from autoprofile.functions.keys import row_fingerprint
 from autoprofile.functions.numeric import all_of, percent
+from autoprofile.operators.dates import date_columns
 from autoprofile.operators.wide import local_frame, per_column
 
 DAY_IN_MICROS = 86_400_000_000
@@ -39,8 +40,7 @@ def null_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def datetime_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """First and last date and the whole days between, per time column."""
     facts = []
-    for name in columns:
-        moment = as_timestamp(name, df.schema[name].dataType)
+    for name, moment in date_columns(df, columns).items():
         facts.append([
             F.lit(name).alias("column"),
             F.min(moment).alias("first"),

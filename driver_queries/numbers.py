@@ -345,8 +345,8 @@ def time_spans(spark, sf_dir):
     "top_texts",
     f"""SELECT 'text' AS "column", cast(rank AS INTEGER) AS rank, text AS value, n AS count,
         {pct('n', 'total')} AS pct
-        FROM (SELECT text, n, sum(n) OVER () AS total, row_number() OVER (ORDER BY n DESC,
-                CASE WHEN strlen(text) < 64 THEN text ELSE sha256(text) END) AS rank
+        FROM (SELECT text, n, sum(n) OVER () AS total,
+                row_number() OVER (ORDER BY n DESC, text) AS rank
               FROM (SELECT text, count(*) AS n FROM
                       (SELECT text FROM documents UNION ALL SELECT text FROM conversations) AS t
                     GROUP BY text) AS counted) AS ranked

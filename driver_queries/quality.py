@@ -23,7 +23,17 @@ from driver_queries.inputs import (
     text_orders,
 )
 from driver_queries.numbers import nulls_sql, outliers_sql, population_skewness, variants_sql
-from driver_queries.registry import COLUMNS, pct, query, r, sql_date, sql_number, stripped, table
+from driver_queries.registry import (
+    COLUMNS,
+    pct,
+    query,
+    r,
+    sql_any_date,
+    sql_date,
+    sql_number,
+    stripped,
+    table,
+)
 
 AS_OF = dt.datetime(1998, 6, 1)
 AS_OF_SQL = "TIMESTAMP '1998-06-01 00:00:00'"
@@ -60,7 +70,7 @@ def shapes_sql(source, names):
         shape = f"""CASE WHEN lower({text}) IN ('true', 'false') THEN 'bool'
           WHEN regexp_matches({text}, '{INTEGER_PATTERN}') THEN 'int'
           WHEN regexp_matches({text}, '^[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?$') THEN 'float'
-          WHEN {sql_date(n)} IS NOT NULL THEN 'date' ELSE 'text' END"""
+          WHEN {sql_any_date(n)} IS NOT NULL THEN 'date' ELSE 'text' END"""
         parts.append(
             f"""SELECT '{n}' AS "column", {shape} AS shape FROM {source} WHERE {n} IS NOT NULL"""
         )
@@ -194,7 +204,7 @@ TEXT_TYPES = [
 TEXT_ISSUES_SQL = issue_parts(
     TEXT_ORDERS_SQL + " AS t",
     [("price", f"({sql_number('price')})")],
-    [("ordered", f"({sql_date('ordered')})")],
+    [("ordered", f"({sql_date('ordered', TEXT_ORDERS_SQL + ' AS o')})")],
     [c for c, _ in TEXT_TYPES],
     ["priority", "mixed", "note"],
     [c for c, _ in TEXT_TYPES],

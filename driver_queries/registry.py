@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -35,11 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder on shared storage: below the checkpoint folder the cluster names.
-
-    Only a session without that setting, as in local tests, gets a local folder.
-    """
-    base = shared_folder(spark) or tempfile.mkdtemp(prefix="autoprofile-")
+    """A new folder on shared storage: below the checkpoint folder the cluster names, else below
+    the warehouse."""
+    base = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{base}/{uuid.uuid4().hex}"
 
 
@@ -76,15 +73,39 @@ def sql_number(column: str) -> str:
     )
 
 
-def sql_date(column: str) -> str:
+def sql_layouts(column: str) -> list[str]:
+    """The date that a text writes, for each layout the inputs have, in documented order."""
     text = stripped(column)
-    return (
-        f"CASE WHEN regexp_matches({text}, '{ISO_DATE}') THEN try_cast({text} AS TIMESTAMP) "
-        f"WHEN regexp_matches({text}, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$') "
-        f"THEN coalesce(try_strptime({text}, '%m/%d/%Y'), try_strptime({text}, '%d/%m/%Y')) "
-        f"WHEN regexp_matches({text}, '^\\d{{1,2}} [A-Z][a-z]{{2}} \\d{{4}}$') "
-        f"THEN try_strptime({text}, '%d %b %Y') END"
-    )
+    return [
+        f"CASE WHEN regexp_matches({text}, '{ISO_DATE}') THEN try_cast({text} AS TIMESTAMP) END",
+        f"CASE WHEN regexp_matches({text}, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$') "
+        f"THEN try_strptime({text}, '%m/%d/%Y') END",
+        f"CASE WHEN regexp_matches({text}, '^\\d{{1,2}}/\\d{{1,2}}/\\d{{4}}$') "
+        f"THEN try_strptime({text}, '%d/%m/%Y') END",
+        f"CASE WHEN regexp_matches({text}, '^\\d{{1,2}} [A-Z][a-z]{{2}} \\d{{4}}$') "
+        f"THEN try_strptime({text}, '%d %b %Y') END",
+    ]
+
+
+def sql_any_date(column: str) -> str:
+    """A date in any layout."""
+    return f"coalesce({', '.join(sql_layouts(column))})"
+
+
+def sql_date_count(column: str) -> str:
+    """Aggregate: values in the layout that most of the column has."""
+    return f"greatest({', '.join(f'count({x})' for x in sql_layouts(column))})"
+
+
+def sql_date(column: str, source: str) -> str:
+    """A date in the layout that most of the column of ``source`` has, the first of equals."""
+    layouts = sql_layouts(column)
+    counts = ", ".join(f"count({x}) AS n{i}" for i, x in enumerate(layouts))
+    most = f"greatest({', '.join(f'n{i}' for i in range(len(layouts)))})"
+    chosen = " ".join(f"WHEN n{i} = {most} THEN {i}" for i in range(len(layouts)))
+    layout = f"(SELECT CASE {chosen} END FROM (SELECT {counts} FROM {source}) AS counted)"
+    picked = " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(layouts))
+    return f"CASE {layout} {picked} END"
 
 
 def facts_sql(source: str, columns: list[tuple[str, str]]) -> str:
@@ -99,7 +120,7 @@ def facts_sql(source: str, columns: list[tuple[str, str]]) -> str:
         beyond = f"count(*) FILTER ({name} NOT IN (0, 1))" if number else "NULL"
         words = f"lower({stripped(name)})"
         miss = f"count(*) FILTER ({words} NOT IN {TRUTH})" if text else "NULL"
-        dates = f"count({sql_date(name)})" if text else "NULL"
+        dates = sql_date_count(name) if text else "NULL"
         numbers = f"count({sql_number(name)})" if text else "NULL"
         parts.append(
             f"SELECT {ordinal} AS ordinal, '{name}' AS column_name, "

@@ -130,6 +130,27 @@ def series_with_gaps(spark, sf_dir):
     return monthly_series(orders, ["ordered"], ["customers"])
 
 
+@query(
+    "series_reserved_names",
+    """SELECT 'start' AS time_column, 'points' AS measure, strftime(l_shipdate, '%Y-%m') AS period,
+         round(sum(l_quantity), 4) AS value FROM lineitem GROUP BY period
+       UNION ALL
+       SELECT 'start', 'all_points', strftime(l_shipdate, '%Y-%m') AS period,
+         round(sum(l_tax), 4) AS value FROM lineitem GROUP BY period
+       UNION ALL
+       SELECT 'start', 'time_column', strftime(l_shipdate, '%Y-%m') AS period,
+         round(sum(l_discount), 4) AS value FROM lineitem GROUP BY period""",
+)
+def series_reserved_names(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_shipdate").alias("start"),
+        F.col("l_quantity").alias("points"),
+        F.col("l_tax").alias("all_points"),
+        F.col("l_discount").alias("time_column"),
+    )
+    return monthly_series(lines, ["start"], ["points", "all_points", "time_column"])
+
+
 @query("daily_series", series_sql("events", "ts", ["value"], "day"))
 def daily_series(spark, sf_dir):
     return monthly_series(table(spark, sf_dir, "events"), ["ts"], ["value"], granularity="day")
@@ -221,6 +242,20 @@ def rollup_of_lines(spark, sf_dir):
     )
 
 
+# every segment has the same total and begins alike: only the whole text tells the first ones
+TITLED_SQL = """(SELECT concat(repeat('shared title ', 8), o_orderkey) AS label, 1 AS one
+  FROM orders) AS t"""
+
+
+@query("segment_ties_texts", grid_sql(TITLED_SQL, ["label"], ["one"]))
+def ties_of_titles(spark, sf_dir):
+    titled = table(spark, sf_dir, "orders").select(
+        F.concat(F.repeat(F.lit("shared title "), 8), F.col("o_orderkey")).alias("label"),
+        F.lit(1).alias("one"),
+    )
+    return segment_grid(titled, ["label"], ["one"])
+
+
 GRID_DIMENSIONS = ["l_linenumber", "l_returnflag", "l_linestatus", "l_suppkey"]
 GRID_MEASURES = ["l_quantity", "l_discount", "l_partkey"]
 

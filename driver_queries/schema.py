@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from autoprofile.config import Config, SchemaRules
-from autoprofile.functions.coerce import as_number, as_timestamp, text_number
+from autoprofile.functions.coerce import as_number, text_number
 from autoprofile.operators.catalog import (
     column_catalog,
     distinct_profile,
@@ -12,6 +12,7 @@ from autoprofile.operators.catalog import (
     truth_word,
     type_distribution,
 )
+from autoprofile.operators.dates import date_columns, with_timestamps
 from driver_queries.inputs import (
     GAPPY_LINES_SQL,
     TEXT_ORDERS_COLUMNS,
@@ -26,6 +27,7 @@ from driver_queries.registry import (
     query,
     r,
     sql_date,
+    sql_date_count,
     sql_number,
     stripped,
     table,
@@ -198,9 +200,8 @@ def sample_values(spark, sf_dir):
 
 @query(
     "sample_texts",
-    """SELECT 'text' AS column_name, string_agg(text, '|' ORDER BY k) AS samples FROM (
-         SELECT DISTINCT text, CASE WHEN strlen(text) < 64 THEN text ELSE sha256(text) END AS k
-         FROM documents ORDER BY k LIMIT 5) AS d""",
+    """SELECT 'text' AS column_name, string_agg(text, '|' ORDER BY text) AS samples FROM (
+         SELECT DISTINCT text FROM documents ORDER BY text LIMIT 5) AS d""",
 )
 def sample_texts(spark, sf_dir):
     return column_catalog(table(spark, sf_dir, "documents").select("text")).select(
@@ -248,23 +249,42 @@ def text_number_check(spark, sf_dir):
     )
 
 
+ORDERED_SQL = sql_date("ordered", TEXT_ORDERS_SQL + " AS o")
+
+
 @query(
     "text_date_check",
-    f"""SELECT count(*) AS n_rows, count({sql_date('ordered')}) AS dates,
-        count({sql_date('mixed')}) AS mixed_dates,
-        cast(min({sql_date('ordered')}) AS DATE) AS first_day,
-        cast(max({sql_date('ordered')}) AS DATE) AS last_day
+    f"""SELECT count(*) AS n_rows, count({ORDERED_SQL}) AS dates,
+        {sql_date_count('mixed')} AS mixed_dates,
+        cast(min({ORDERED_SQL}) AS DATE) AS first_day,
+        cast(max({ORDERED_SQL}) AS DATE) AS last_day
         FROM {TEXT_ORDERS_SQL} AS t""",
 )
 def text_date_check(spark, sf_dir):
     orders = text_orders(spark, sf_dir)
-    ordered = as_timestamp("ordered", orders.schema["ordered"].dataType)
+    dates = date_columns(orders, ["ordered", "mixed"])
     return orders.agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.count(ordered).alias("dates"),
-        F.count(as_timestamp("mixed", orders.schema["mixed"].dataType)).alias("mixed_dates"),
-        F.to_date(F.min(ordered)).alias("first_day"),
-        F.to_date(F.max(ordered)).alias("last_day"),
+        F.count(dates["ordered"]).alias("dates"),
+        F.count(dates["mixed"]).alias("mixed_dates"),
+        F.to_date(F.min(dates["ordered"])).alias("first_day"),
+        F.to_date(F.max(dates["ordered"])).alias("last_day"),
+    )
+
+
+# every third date has a day that could be a month: only the whole column tells which it is
+@query(
+    "text_dates_day_first",
+    """SELECT strftime(o_orderdate, '%Y-%m') AS period, count(*) AS orders FROM orders
+       GROUP BY period""",
+)
+def text_dates_day_first(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("day")
+    )
+    days = with_timestamps(orders, ["day"])
+    return days.groupBy(F.date_format("day", "yyyy-MM").alias("period")).agg(
+        F.count("day").alias("orders")
     )
 
 

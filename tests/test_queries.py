@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from driver_queries import QUERIES, SQL
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
 TABLES = (
@@ -44,15 +45,15 @@ def sortable(row):
     return tuple((v is None, str(v)) for v in row)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    frame = entry.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     plan = plan_of(frame)
     assert not [word for word in FORBIDDEN if word in plan]
     columns = sorted(frame.columns)
     rows = sorted((tuple(r[c] for c in columns) for r in frame.collect()), key=sortable)
     assert rows
-    sql = entry.oracle_sql().get(name)
+    sql = SQL.get(name)
     if sql is None:
         return
     relation = duck.sql(sql)
