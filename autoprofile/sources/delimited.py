@@ -3,30 +3,61 @@
 from __future__ import annotations
 
 import csv
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from autoprofile.functions.coerce import NUMBER_PATTERN, quoted, strip
-from autoprofile.operators.wide import empty_frame, local_frame
+from autoprofile.operators.wide import empty_frame, local_frame, pin
 from autoprofile.sources.names import clean_names
 from autoprofile.sources.texttypes import blank_markers, narrow_types
 
-#: most file headers that are broadcast to the lines; beyond it Spark picks the join
-BROADCAST_FILES = 100_000
-
 
 def read_tidy(spark: SparkSession, path: str, delimiter: str = ",", **options) -> DataFrame:
-    """Files whose first line is the header, with clean names and inferred types."""
-    reader = spark.read.options(sep=delimiter, **options)
-    header = reader.csv(path, header=False).take(1)
-    if not header:
+    """Files whose first line is the header, with clean names and inferred types.
+
+    One look at the text finds the header of every file and whether quoted cells hold line
+    breaks.  Files are read by their own header and matched by cleaned name; a file without a
+    column has NULL there.  Files with line breaks inside quotes are read as wholes, the others
+    in blocks.
+    """
+    layouts = _layouts(spark, path)
+    if not layouts:
         return empty_frame(spark, "unnamed string").drop("unnamed")
-    names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(header[0])]
-    table = reader.csv(path, header=True).toDF(*clean_names(names))
+    parts = []
+    for (header, broken), files in sorted(layouts.items()):
+        settings = {"sep": delimiter, **({"multiLine": "true"} if broken else {}), **options}
+        reader = spark.read.options(**settings)
+        source = path if len(layouts) == 1 else files
+        first = reader.csv(files[:1], header=False).take(1)
+        if not first:
+            continue
+        names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(first[0])]
+        parts.append(reader.csv(source, header=True).toDF(*clean_names(names)))
+    if not parts:
+        return empty_frame(spark, "unnamed string").drop("unnamed")
+    table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return narrow_types(blank_markers(table))
 
 
+def _layouts(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]]:
+    """The files by their first line that is not blank and by whether a line leaves a quote open.
+
+    One row per file comes back; the driver lists the files in any case.
+    """
+    filled = _lines(spark, path).where(strip(F.col("value")) != "")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    found = filled.groupBy("file").agg(
+        F.min_by("value", F.struct("block_start", "line_id")).alias("header"),
+        F.bool_or(quotes % 2 == 1).alias("broken"),
+    )
+    layouts: dict[tuple[str, bool], list[str]] = {}
+    for row in sorted(found.collect()):
+        layouts.setdefault((row["header"], row["broken"]), []).append(row["file"])
+    return layouts
+
+
 # ------------------------------------------------------------------ title rows
 
 
@@ -99,14 +130,23 @@ def read_with_titles(
 
     Columns are matched by cleaned name over all files; a file without a column has NULL
     there.  All columns are text: pass the result on to
-    :func:`autoprofile.sources.texttypes.narrow_types`.  Quoted line breaks are not supported.
-    Write the result once if several analyses follow, each use parses the text again.
+    :func:`autoprofile.sources.texttypes.narrow_types`.  A line that leaves a quote open raises
+    an error when it is read: such files are for :func:`read_tidy`.  Write the result once if
+    several analyses follow, each use parses the text again.
     """
+    return titled_table(spark, path, scan_rows, delimiter)[0]
+
+
+def titled_table(
+    spark: SparkSession, path: str, scan_rows: int = 20, delimiter: str = ","
+) -> tuple[DataFrame, DataFrame]:
+    """:func:`read_with_titles` and the headers it found, looked for once."""
     lines = _lines(spark, path)
-    headers = _header_of_each_file(lines, scan_rows, delimiter)
+    # one row per file, which the driver lists in any case; the same listing serves the rows
+    headers = pin(_header_of_each_file(lines, scan_rows, delimiter))
     layouts = headers.groupBy("header").agg(F.count(F.lit(1)).alias("files")).collect()
     if not layouts:
-        return empty_frame(spark, "unnamed string").drop("unnamed")
+        return empty_frame(spark, "unnamed string").drop("unnamed"), headers
     names_of = {
         r["header"]: clean_names(
             [
@@ -129,13 +169,17 @@ def read_with_titles(
     by_file = headers.join(F.broadcast(positions), "header").select(
         "file", "header_id", "positions"
     )
-    if sum(r["files"] for r in layouts) <= BROADCAST_FILES:
-        by_file = F.broadcast(by_file)
     raw = ", ".join(f"c{i} string" for i in range(width))
     parsed = F.from_csv("value", raw, {"sep": delimiter})
     cells = F.array(*[F.col(f"row.c{i}") for i in range(width)])
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    whole = F.when(
+        quotes % 2 == 1,
+        F.raise_error(F.concat(F.lit("a quoted line break in "), "file")).cast("string"),
+    ).otherwise(F.col("value"))
     rows = (
-        lines.join(by_file, "file")
+        lines.join(F.broadcast(by_file), "file")  # one row per file
+        .withColumn("value", whole)
         .where((F.col("block_start") > 0) | (F.col("line_id") > F.col("header_id")))
         .where(strip(F.col("value")) != "")
         .select(parsed.alias("row"), "positions")
@@ -147,7 +191,7 @@ def read_with_titles(
             for k, name in enumerate(all_names)
         ]
     )
-    return blank_markers(table)
+    return blank_markers(table), headers
 
 
 def read_messy(

@@ -16,12 +16,11 @@ from autoprofile.functions.coerce import nan_to_null, quoted
 from autoprofile.functions.numeric import any_of
 from autoprofile.operators.tables import null_profile
 from autoprofile.operators.wide import empty_frame
-from autoprofile.sources.delimited import detect_headers, read_messy, read_tidy
+from autoprofile.sources.delimited import read_messy, read_tidy, titled_table
 from autoprofile.sources.names import clean_headers, renamed
+from autoprofile.sources.texttypes import narrow_types
 
 FORMATS = ("csv", "parquet", "json", "orc", "table")
-#: rows looked at when candidate tables are compared
-CANDIDATE_ROWS = 500
 
 
 @dataclass(frozen=True)
@@ -82,13 +81,18 @@ def load(
     spark: SparkSession, path: str, format: str | None = None, **options
 ) -> LoadedTable:
     """Read, clean the headers, drop empty columns and rows."""
-    loaded = tidy(read_table(spark, path, format, **options), path)
-    if not options.get("header_detection"):
-        return loaded
+    if not options.get("header_detection") or _format_of(path, format) != "csv":
+        return tidy(read_table(spark, path, format, **options), path)
     rules = (options.get("config") or Config()).ingest
-    found = detect_headers(
+    limit = options.get("max_rows") or rules.max_rows
+    raw, headers = titled_table(
         spark, path, rules.header_scan_rows, options.get("delimiter", ",")
-    ).agg(F.max("header_row").alias("skipped"), F.count_if(F.col("header_row") > 0).alias("files"))
+    )
+    table = narrow_types(raw)
+    loaded = tidy(table if limit is None else table.limit(limit), path)
+    found = headers.agg(
+        F.max("header_row").alias("skipped"), F.count_if(F.col("header_row") > 0).alias("files")
+    )
     skipped, files = found.first()
     if not skipped:
         return loaded
@@ -129,11 +133,18 @@ def open_candidates(spark: SparkSession, paths: Mapping[str, str]) -> dict[str,
     return opened
 
 
-def score_tables(candidates: Mapping[str, DataFrame]) -> DataFrame:
-    """Non-empty cells + rows + columns of the first rows of every candidate table."""
+def score_tables(
+    candidates: Mapping[str, DataFrame], first_rows: int | None = None
+) -> DataFrame:
+    """Non-empty cells + rows + columns of every candidate table.
+
+    ``first_rows`` looks at no more rows than that; which ones, is the source's choice.
+    """
     parts = []
     for ordinal, (name, df) in enumerate(candidates.items()):
-        head = nan_to_null(df).limit(CANDIDATE_ROWS)
+        head = nan_to_null(df)
+        if first_rows is not None:
+            head = head.limit(first_rows)
         cells = reduce(
             lambda a, b: a + b, [F.count(quoted(c)) for c in df.columns], F.lit(0).cast("long")
         )
@@ -146,14 +157,16 @@ def score_tables(candidates: Mapping[str, DataFrame]) -> DataFrame:
 
 
 def pick_table(
-    candidates: Mapping[str, DataFrame], prefer_largest: bool = True
+    candidates: Mapping[str, DataFrame],
+    prefer_largest: bool = True,
+    first_rows: int | None = None,
 ) -> DataFrame:
     """The candidate most likely to be the main table, as one row (ordinal, name, score).
 
     The highest score wins, or with ``prefer_largest=False`` the first that is not empty; the
     first candidate wins ties.
     """
-    scored = score_tables(candidates)
+    scored = score_tables(candidates, first_rows)
     if prefer_largest:
         order = [F.desc("score"), F.asc("ordinal")]
     else:

@@ -21,10 +21,38 @@ from driver_queries.registry import COLUMNS, query, scratch, table, types_sql
 )
 def csv_scan(spark, sf_dir):
     folder = scratch(spark)
-    table(spark, sf_dir, "customer").repartition(4, "c_custkey").write.csv(folder, header=True)
+    table(spark, sf_dir, "customer").write.csv(folder, header=True)
     return read_table(spark, folder, "csv")
 
 
+@query("csv_header_orders", "SELECT s_suppkey, s_name, s_acctbal FROM supplier")
+def csv_header_orders(spark, sf_dir):
+    """Two kinds of files in one folder: the columns in either order."""
+    folder = scratch(spark)
+    names = ["s_suppkey", "s_name", "s_acctbal"]
+    suppliers = table(spark, sf_dir, "supplier").select(*names)
+    even = F.col("s_suppkey") % 2 == 0
+    suppliers.where(even).write.csv(folder, header=True)
+    suppliers.where(~even).select(*reversed(names)).write.mode("append").csv(folder, header=True)
+    return read_table(spark, folder, "csv")
+
+
+@query(
+    "csv_quoted_breaks",
+    """SELECT s_suppkey, concat(s_name, chr(10), 'of "', s_nationkey, '", abroad') AS address,
+         s_acctbal FROM supplier""",
+)
+def csv_quoted_breaks(spark, sf_dir):
+    folder = scratch(spark)
+    address = F.concat(
+        F.col("s_name"), F.lit('\nof "'), F.col("s_nationkey"), F.lit('", abroad')
+    )
+    table(spark, sf_dir, "supplier").select(
+        "s_suppkey", address.alias("address"), "s_acctbal"
+    ).write.csv(folder, header=True, escape='"')
+    return read_table(spark, folder, "csv", escape='"')
+
+
 @query(
     "format_scan",
     """SELECT f AS format, count(*) AS n_rows, cast(sum(s_suppkey) AS BIGINT) AS keys,
@@ -50,10 +78,10 @@ def format_scan(spark, sf_dir):
 @query(
     "pick_table",
     """SELECT name, score FROM (
-       SELECT 0 AS ordinal, 'region' AS name, least(count(*), 500) * 3 + 2 AS score FROM region
-       UNION ALL SELECT 1, 'nation', least(count(*), 500) * 4 + 3 FROM nation
-       UNION ALL SELECT 2, 'customer', least(count(*), 500) * 6 + 5 FROM customer
-       UNION ALL SELECT 3, 'supplier', least(count(*), 500) * 5 + 4 FROM supplier
+       SELECT 0 AS ordinal, 'region' AS name, count(*) * 3 + 2 AS score FROM region
+       UNION ALL SELECT 1, 'nation', count(*) * 4 + 3 FROM nation
+       UNION ALL SELECT 2, 'customer', count(*) * 6 + 5 FROM customer
+       UNION ALL SELECT 3, 'supplier', count(*) * 5 + 4 FROM supplier
        ) AS scored ORDER BY score DESC, ordinal LIMIT 1""",
 )
 def pick(spark, sf_dir):
@@ -61,12 +89,17 @@ def pick(spark, sf_dir):
     return pick_table({n: table(spark, sf_dir, n) for n in names}).select("name", "score")
 
 
+FILES_PER_SEGMENT = 4
+
+
 def _untidy_files(spark, sf_dir):
-    """Customers as one delimited file per market segment, each below two title lines."""
+    """Customers as a few delimited files per market segment, each below two title lines."""
     customers = table(spark, sf_dir, "customer")
     names = ["c_custkey", "c_name", "c_nationkey", "c_acctbal"]
+    part = (F.col("c_custkey") % FILES_PER_SEGMENT).alias("part")
     body = customers.select(
         F.col("c_mktsegment").alias("segment"),
+        part,
         F.lit(9).alias("place"),
         csv_line(customers.select(*names)).alias("line"),
     )
@@ -75,16 +108,16 @@ def _untidy_files(spark, sf_dir):
         F.struct(F.lit(1).alias("place"), F.lit("").alias("line")),
         F.struct(F.lit(2).alias("place"), F.lit("Cust Key,Name,Nation Key,Name").alias("line")),
     )
-    head = customers.select("c_mktsegment").distinct().select(
-        F.col("c_mktsegment").alias("segment"), F.inline(title)
+    head = customers.select("c_mktsegment", part).distinct().select(
+        F.col("c_mktsegment").alias("segment"), "part", F.inline(title)
     )
     folder = scratch(spark)
     (
         body.unionByName(head)
-        .repartition("segment")
-        .sortWithinPartitions("segment", "place")
-        .select("segment", "line")
-        .write.partitionBy("segment")
+        .repartition("segment", "part")
+        .sortWithinPartitions("segment", "part", "place")
+        .select("segment", "part", "line")
+        .write.partitionBy("segment", "part")
         .text(folder)
     )
     return folder
@@ -92,8 +125,8 @@ def _untidy_files(spark, sf_dir):
 
 @query(
     "header_rows",
-    """SELECT 2 AS header_row, 'Cust Key,Name,Nation Key,Name' AS header,
-       count(DISTINCT c_mktsegment) AS files FROM customer""",
+    f"""SELECT 2 AS header_row, 'Cust Key,Name,Nation Key,Name' AS header, count(*) AS files
+       FROM (SELECT DISTINCT c_mktsegment, c_custkey % {FILES_PER_SEGMENT} FROM customer) AS f""",
 )
 def header_rows(spark, sf_dir):
     found = detect_headers(spark, _untidy_files(spark, sf_dir))
