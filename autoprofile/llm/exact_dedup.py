@@ -235,10 +235,11 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     if verified.filter("texts > 1").limit(1).count():
         raise ValueError("different texts share a SHA-256 digest")
     place = F.struct(-F.col("n"), F.col("id").isNull(), F.col("id"), F.col("row"))
-    groups = (
-        rows.join(verified.select("sha"), "sha", "left_semi")
-        .groupBy("sha")
+    groups = settle(
+        rows.groupBy("sha")
         .agg(F.min(place).alias("best"), F.count("*").alias("size"))
+        .filter("size > 1")
+        .join(verified.select("sha"), "sha", "left_semi")
         .select("sha", "size", F.col("best.id").alias("keep"), F.col("best.row").alias("first"))
     )
     alone = F.col("size").isNull()
