@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from math import isqrt
+from dataclasses import dataclass
+from math import isfinite, isqrt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from autoprofile import messages
-from autoprofile.functions.coerce import nan_to_null, number_columns, quoted
+from autoprofile.functions.coerce import nan_to_null, number_columns, quoted, value_kind
 from autoprofile.operators.numbers import Distribution, distributions
-from autoprofile.operators.wide import empty_frame, local_frame, per_column
+from autoprofile.operators.wide import empty_frame, local_frame, per_column, pin
 
 MIN_HISTOGRAM_VALUES = 5
 MAX_BINS = 50
 SAMPLE_SEED = 42
+#: hex digits of the draw that the first cut looks at
+DRAW_DIGITS = 12
 HISTOGRAM_SCHEMA = "column string, bin int, bin_from double, bin_to double, count long"
 
 # How many charts of each kind, in this order.
@@ -43,11 +46,51 @@ def bin_count(values: int) -> int:
     return min(MAX_BINS, isqrt(values) + 10)
 
 
+@dataclass(frozen=True)
+class Extent:
+    """The finite numbers of a column, and how many are infinite."""
+
+    column: str
+    count: int
+    min: float | None
+    max: float | None
+    not_finite: int
+
+
+def extents(df: DataFrame, columns: list[str]) -> list[Extent]:
+    """One scan; one row per column comes back."""
+    facts = []
+    for name, value in number_columns(df, columns).items():
+        infinite = value.isin(float("inf"), float("-inf"))
+        finite = F.when(~infinite, value)
+        facts.append([
+            F.lit(name).alias("column"),
+            F.count(finite).alias("count"),
+            F.min(finite).alias("min"),
+            F.max(finite).alias("max"),
+            F.count_if(infinite).alias("not_finite"),
+        ])
+    schema = "column string, count long, min double, max double, not_finite long"
+    rows = per_column(df, facts, fields_per_column=4, schema=schema).collect()
+    return [Extent(**r.asDict()) for r in rows]
+
+
+def _extents_of(df: DataFrame, found: list[Distribution]) -> list[Extent]:
+    """What the distributions know; only columns with an infinite number are looked at again."""
+    odd = [d.column for d in found if d.count and not (isfinite(d.min) and isfinite(d.max))]
+    looked = {e.column: e for e in extents(df, odd)} if odd else {}
+    return [
+        looked.get(d.column) or Extent(d.column, d.count, d.min, d.max, 0) for d in found
+    ]
+
+
 def histogram_of(df: DataFrame, found: list[Distribution], digits: int = 4) -> DataFrame:
-    """Equal-width bins over columns whose extent is known; empty bins included.
+    """Equal-width bins over the finite values of columns; empty bins included."""
+    return _binned(df, _extents_of(df, found), digits)
 
-    Only bin numbers are counted, at most fifty per column, so the shuffle stays tiny.
-    """
+
+def _binned(df: DataFrame, found: list[Extent], digits: int) -> DataFrame:
+    """Only bin numbers are counted, at most fifty per column, so the shuffle stays tiny."""
     drawn = [d for d in found if d.count >= MIN_HISTOGRAM_VALUES]
     if not drawn:
         return empty_frame(df.sparkSession, HISTOGRAM_SCHEMA)
@@ -55,12 +98,13 @@ def histogram_of(df: DataFrame, found: list[Distribution], digits: int = 4) -> D
     placed = []
     for i, d in enumerate(drawn):
         bins, spread = bin_count(d.count), d.max - d.min
+        inside = values[d.column].between(d.min, d.max)
         if spread > 0:
             share = (values[d.column] - F.lit(d.min)) / F.lit(spread)
             number = F.least(F.floor(share * bins).cast("int"), F.lit(bins - 1))
         else:
-            number = F.when(values[d.column].isNotNull(), F.lit(0))
-        placed.append(number.alias(f"b{i}"))
+            number = F.lit(0)
+        placed.append(F.when(inside, number).alias(f"b{i}"))
     labels = [f"b{i}" for i in range(len(drawn))]
     counted = (
         df.select(*placed)
@@ -90,12 +134,15 @@ def histogram_of(df: DataFrame, found: list[Distribution], digits: int = 4) -> D
 
 
 def histogram(df: DataFrame, columns: list[str], digits: int = 4) -> DataFrame:
-    return histogram_of(df, distributions(df, columns), digits)
+    """Needs only the extent and number of values: one scan for these, one for the bins."""
+    return _binned(df, extents(df, columns), digits)
 
 
 def histogram_notes(df: DataFrame, found: list[Distribution], digits: int = 4) -> DataFrame:
-    """Mean, median, spread and sample-adjusted skewness shown under each histogram."""
+    """Mean, median, spread and sample-adjusted skewness shown under each histogram, and how
+    many infinite values it leaves out."""
     rows = []
+    infinite = {e.column: e.not_finite for e in _extents_of(df, found)}
     for d in found:
         if d.count < MIN_HISTOGRAM_VALUES:
             continue
@@ -105,28 +152,32 @@ def histogram_notes(df: DataFrame, found: list[Distribution], digits: int = 4) -
         side = None
         if skew is not None and abs(skew) > 0.5:
             side = "right" if skew > 0 else "left"
-        rows.append((d.column, d.mean, d.median, d.std, skew, side))
+        rows.append((d.column, d.mean, d.median, d.std, skew, side, infinite[d.column]))
     notes = local_frame(
         df.sparkSession,
         rows,
-        "column string, mean double, median double, std double, skewness double, skewed string",
+        "column string, mean double, median double, std double, skewness double, "
+        "skewed string, not_finite long",
     )
     return notes.select(
         "column",
         *[F.round(n, digits).alias(n) for n in ("mean", "median", "std", "skewness")],
         "skewed",
+        "not_finite",
     )
 
 
 # ------------------------------------------------------------------ scatter
 
 
-def _pairs(df: DataFrame, x: str, y: str, color: str | None) -> DataFrame:
+def _pairs(
+    df: DataFrame, x: str, y: str, color: str | None, *more: Column
+) -> DataFrame:
     clean = nan_to_null(df)
     values = number_columns(clean, [x, y])
     label = quoted(color).cast("string") if color else F.lit(None).cast("string")
     return clean.select(
-        values[x].alias("x"), values[y].alias("y"), label.alias("color")
+        values[x].alias("x"), values[y].alias("y"), label.alias("color"), *more
     ).where(F.col("x").isNotNull() & F.col("y").isNotNull())
 
 
@@ -137,20 +188,34 @@ def scatter_sample(
     color: str | None = None,
     max_points: int = 5000,
     seed: int = SAMPLE_SEED,
+    identity: list[str] | None = None,
 ) -> DataFrame:
     """A uniform sample of exactly ``max_points`` pairs (all pairs if there are fewer).
 
-    Each pair gets a seeded random number and the smallest numbers are kept.  A first cut keeps
-    about twice the points needed, so the final selection handles thousands of rows however
-    many the table has; should the cut ever keep too few, the selection runs without it.
+    Every row draws the SHA-256 of the seed and its values in ``identity`` (default: all
+    columns), and the smallest draws are kept: the same rows, however the table is laid out.
+    Rows equal in all of these are interchangeable.  A first cut keeps about twice the points
+    needed, so the selection handles thousands of rows however many the table has; should the
+    cut ever keep too few, the selection runs without it.
     """
-    drawn = _pairs(df, x, y, color).withColumn("draw", F.rand(seed))
+    clean = nan_to_null(df)
+    names = identity or [
+        f.name for f in clean.schema if value_kind(f.dataType) is not None
+    ]
+    parts = [F.coalesce(quoted(n).cast("string"), F.lit("")) for n in names]
+    draw = F.sha2(F.concat_ws("|", F.lit(str(seed)), *parts), 256)
+    drawn = _pairs(clean, x, y, color, draw.alias("draw"))
     total = drawn.count()
     if total <= max_points:
         return drawn.drop("draw")
-    cut = drawn.where(F.col("draw") < 2.0 * max_points / total)
-    chosen = cut if cut.count() >= max_points else drawn
-    return chosen.orderBy("draw").limit(max_points).drop("draw")
+    order = ["draw", "x", "y", "color"]
+    share = min(1.0, 2.0 * max_points / total)
+    limit = f"{min(16**DRAW_DIGITS - 1, int(share * 16**DRAW_DIGITS)):0{DRAW_DIGITS}x}"
+    cut = drawn.where(F.substring("draw", 1, DRAW_DIGITS) <= limit)
+    chosen = pin(cut.orderBy(*order).limit(max_points))
+    if chosen.count() < max_points:
+        chosen = drawn.orderBy(*order).limit(max_points)
+    return chosen.drop("draw")
 
 
 def scatter_fit(

@@ -61,7 +61,7 @@ def bins_of_documents(spark, sf_dir):
     f"""SELECT 'value' AS "column", {r('avg(value)')} AS mean, {r('median(value)')} AS median,
         {r('stddev_samp(value)')} AS std, {r('skewness(value)')} AS skewness,
         CASE WHEN skewness(value) > 0.5 THEN 'right' WHEN skewness(value) < -0.5 THEN 'left' END
-          AS skewed FROM events""",
+          AS skewed, 0::BIGINT AS not_finite FROM events""",
 )
 def notes(spark, sf_dir):
     events = table(spark, sf_dir, "events")

@@ -304,10 +304,22 @@ def fit_by_flag(spark, sf_dir):
     return scatter_fit(gappy_lines(spark, sf_dir), "quantity", "weight", "returnflag")
 
 
-@query("scatter_sample")
+LINE_IDENTITY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+
+
+@query(
+    "scatter_sample",
+    f"""SELECT l_quantity AS x, l_extendedprice AS y, l_returnflag AS color FROM (
+          SELECT *, sha256(concat_ws('|', '42', {', '.join(
+              f"CAST({c} AS VARCHAR)" for c in LINE_IDENTITY)})) AS draw FROM lineitem) AS drawn
+        WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL
+        ORDER BY draw, x, y, color LIMIT 5000""",
+)
 def sample_points(spark, sf_dir):
-    """A random sample of points; which ones has no twin in SQL."""
-    return scatter_sample(gappy_lines(spark, sf_dir), "quantity", "weight", "returnflag")
+    lines = table(spark, sf_dir, "lineitem")
+    return scatter_sample(
+        lines, "l_quantity", "l_extendedprice", "l_returnflag", identity=LINE_IDENTITY
+    )
 
 
 @query(

@@ -1,7 +1,13 @@
 import numpy as np
 import pytest
 
-from autoprofile.operators.charts import scatter_fit, scatter_sample
+from autoprofile.operators.charts import (
+    histogram,
+    histogram_notes,
+    histogram_of,
+    scatter_fit,
+    scatter_sample,
+)
 from autoprofile.operators.correlation import (
     correlation_matrix,
     heatmap,
@@ -15,6 +21,8 @@ from autoprofile.operators.frequencies import (
     top_values,
 )
 from autoprofile.operators.segments import segment_bars, segment_grid, segment_rollup
+from autoprofile.operators.numbers import distributions
+from autoprofile.operators.dates import with_timestamps
 from autoprofile.operators.series import monthly_series, monthly_trend
 
 
@@ -226,6 +234,46 @@ def test_scatter_sample_is_exact_in_size(spark):
     assert scatter_sample(frame.limit(50), "x", "y").count() == 50
 
 
+def test_scatter_sample_does_not_depend_on_the_layout(spark):
+    frame = spark.range(20000).selectExpr("id % 977 AS x", "id * 0.5 AS y", "id % 3 AS c")
+    drawn = [
+        sorted(map(tuple, scatter_sample(frame.repartition(n), "x", "y", "c", 500).collect()))
+        for n in (3, 8)
+    ]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 500
+
+
+def test_histogram_leaves_infinite_values_out(spark):
+    values = [float(v) for v in range(100)] + [float("inf"), float("-inf"), None]
+    frame = spark.createDataFrame([(v,) for v in values], "v double")
+    for bins in (histogram(frame, ["v"]), histogram_of(frame, distributions(frame, ["v"]))):
+        rows = bins.collect()
+        assert sum(r["count"] for r in rows) == 100
+        assert (rows[0]["bin_from"], rows[-1]["bin_to"]) == (0.0, 99.0)
+    notes = histogram_notes(frame, distributions(frame, ["v"])).first()
+    assert notes["not_finite"] == 2
+
+
+@pytest.mark.parametrize("name", ["points", "start", "all_points", "time_column", "m0"])
+def test_series_of_any_column_name(spark, name):
+    rows = [(f"2024-{1 + i % 3:02d}-05", float(i)) for i in range(12)]
+    frame = spark.createDataFrame(rows, f"day string, {name} double")
+    found = monthly_series(frame, ["day"], [name]).collect()
+    assert {(r["measure"], r["period"]): r["value"] for r in found} == {
+        (name, "2024-01"): 18.0, (name, "2024-02"): 22.0, (name, "2024-03"): 26.0,
+    }
+
+
+def test_dates_are_read_in_the_layout_of_their_column(spark):
+    days = spark.range(365).selectExpr(
+        "date_add(DATE '2023-01-01', CAST(id AS INT)) AS day",
+    ).selectExpr("day", "date_format(day, 'dd/MM/yyyy') AS text")
+    found = with_timestamps(days, ["text"])
+    assert found.filter("text <> day OR text IS NULL").count() == 0
+    mixed = spark.createDataFrame([("2024-05-01",), ("2024-05-02",), ("3/5/2024",)], "t string")
+    assert with_timestamps(mixed, ["t"]).filter("t IS NULL").count() == 1
+
+
 def test_scatter_sample_of_one_repeated_point(spark):
     frame = spark.range(5000).selectExpr("1 AS x", "2 AS y")
     assert scatter_sample(frame, "x", "y", max_points=100).count() == 100
