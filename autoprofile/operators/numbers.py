@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 from math import sqrt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autoprofile.config import Config
-from autoprofile.functions.coerce import number_columns
-from autoprofile.operators.quantiles import exact_quantiles
-from autoprofile.operators.wide import local_frame, per_column
+from autoprofile.functions.coerce import number_columns, quoted
+from autoprofile.operators.quantiles import CHUNK, exact_quantiles
+from autoprofile.operators.wide import chunked, local_frame, per_column
 
 MIN_OUTLIER_VALUES = 4
 MIN_BOX_VALUES = 10
@@ -49,31 +50,47 @@ class Distribution:
         return self.q1 - factor * spread, self.q3 + factor * spread
 
 
+MOMENT_NAMES = ("count", "sum", "std", "min", "max", "skewness", "kurtosis")
+
+
 def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, sum, extremes and the first four moments per column, in one scan.
 
     Skewness and kurtosis are the population figures, kurtosis as excess over the normal.
+    Columns are turned into rows first, so a wide table needs no wide aggregation; what is
+    shuffled is one row per task and column.
     """
-    facts = []
-    for name, value in number_columns(df, columns).items():
-        facts.append([
-            F.lit(name).alias("column"),
-            F.count(value).alias("count"),
-            F.sum(value).alias("sum"),
-            F.stddev_samp(value).alias("std"),
-            F.min(value).alias("min"),
-            F.max(value).alias("max"),
-            F.skewness(value).alias("skewness"),
-            F.kurtosis(value).alias("kurtosis"),
-        ])
-    return per_column(df, facts, fields_per_column=16)
+    parts = []
+    for names in chunked(list(columns), CHUNK):
+        values = number_columns(df, names)
+        slots = [str(i) for i in range(len(names))]
+        labels = F.array(*[F.lit(n) for n in names])
+        parts.append(
+            df.select(*[values[n].alias(s) for n, s in zip(names, slots)])
+            .unpivot([], [quoted(s) for s in slots], "slot", "value")
+            .groupBy(F.col("slot").cast("int").alias("slot"))
+            .agg(
+                F.count("value").alias("count"),
+                F.sum("value").alias("sum"),
+                F.stddev_samp("value").alias("std"),
+                F.min("value").alias("min"),
+                F.max("value").alias("max"),
+                F.skewness("value").alias("skewness"),
+                F.kurtosis("value").alias("kurtosis"),
+            )
+            .select(F.get(labels, F.col("slot")).alias("column"), *MOMENT_NAMES)
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def distributions(df: DataFrame, columns: list[str]) -> list[Distribution]:
     """Moments and exact quartiles; a handful of small jobs, one result per column."""
     if not columns:
         return []
-    rows = {r["column"]: r for r in moments(df, columns).collect()}
+    # a table without rows has no row per column
+    nothing = {**dict.fromkeys(MOMENT_NAMES), "count": 0}
+    found = {r["column"]: r.asDict() for r in moments(df, columns).collect()}
+    rows = {c: found.get(c) or {"column": c, **nothing} for c in columns}
     quartiles = exact_quantiles(
         df,
         number_columns(df, columns),
@@ -82,7 +99,7 @@ def distributions(df: DataFrame, columns: list[str]) -> list[Distribution]:
     )
     results = []
     for name in columns:
-        row = rows[name].asDict()
+        row = rows[name]
         q1, median, q3 = quartiles[name]
         mean = row["sum"] / row["count"] if row["count"] else None
         results.append(Distribution(mean=mean, q1=q1, median=median, q3=q3, **row))

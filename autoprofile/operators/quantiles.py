@@ -4,8 +4,10 @@ The built-in exact percentile keeps a map of every distinct value and merges all
 task.  Here the rows that hold the wanted ranks are closed in on instead: a histogram with a
 fixed number of cells per column tells which cell holds each rank, and only rows of that cell
 are looked at in the next round, until a bracket is small enough to count value by value.
-Every round is a pruned scan with a small grouped count; every bracket splits at each round
-because its smallest and largest value land in different cells, so the search always ends.
+Every round is one scan of the columns still open with a small grouped count.  Every bracket
+splits at each round because its smallest and largest value land in different cells, so the
+search always ends: with n rows it takes about log(n / LEAF_ROWS) / log(CELLS) rounds and one
+more for the leaves, two or three for a trillion rows that are spread evenly.
 """
 
 from __future__ import annotations
@@ -14,13 +16,17 @@ import math
 import sys
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autoprofile.functions.numeric import any_of
+from autoprofile.functions.coerce import quoted
+from autoprofile.operators.wide import chunked
 
 CELLS = 2048
+#: columns that one aggregation goes through; a wider table takes several in one job
+CHUNK = 32
 #: brackets of at most this many rows are counted value by value
 LEAF_ROWS = 50_000
 
@@ -37,88 +43,130 @@ class Bracket:
     ranks: tuple[int, ...]
 
 
+#: how the cell of a value is found: the value itself, equal steps, or equal steps of a
+#: logarithm for values above zero, below zero, or on both sides
+LEAF, LINEAR, POSITIVE, NEGATIVE, BOTH = range(5)
+TOP = sys.float_info.max
+
+
 def _is_wide(low: float, high: float) -> bool:
     """Does the range span so many magnitudes that equal cells would be mostly empty?"""
     small, large = sorted((abs(low), abs(high)))
     return math.isinf(high - low) or (low > 0) != (high > 0) or large > 1000 * small
 
 
-def _magnitude(value: Column, low: float, high: float) -> tuple[Column, float, float]:
-    """A scale on which every order of magnitude takes the same room, growing with the value.
-
-    Plain logarithms where all values have one sign, else logarithms flattened around zero.
-    """
-    top = sys.float_info.max
+def _scale(bracket: Bracket, leaf_rows: int) -> tuple[int, float, float]:
+    """The kind of cells of a bracket, and its ends on their scale."""
+    low, high = bracket.low, bracket.high
+    if bracket.rows <= leaf_rows:
+        return LEAF, 0.0, 1.0
+    if not _is_wide(low, high):
+        return LINEAR, low, high
     if low > 0:
-        return F.ln(F.least(value, F.lit(top))), math.log(low), math.log(min(high, top))
+        return POSITIVE, math.log(low), math.log(min(high, TOP))
     if high < 0:
-        mirrored = F.least(-value, F.lit(top))
-        return -F.ln(mirrored), -math.log(min(-low, top)), -math.log(-high)
-    flattened = F.signum(value) * F.log1p(F.least(F.abs(value), F.lit(top)))
-    ends = [math.copysign(math.log1p(min(abs(v), top)), v) for v in (low, high)]
-    return flattened, ends[0], ends[1]
+        return NEGATIVE, -math.log(min(-low, TOP)), -math.log(-high)
+    ends = [math.copysign(math.log1p(min(abs(v), TOP)), v) for v in (low, high)]
+    return BOTH, ends[0], ends[1]
+
+
+def _listed(values: Sequence[float | int | None]) -> Column:
+    """A constant array, as one expression however long it is."""
 
+    def written(v: float | int | None) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, int):
+            return f"{v}L"
+        if math.isinf(v):
+            return f"double('{'-' if v < 0 else ''}Infinity')"
+        return f"{v!r}D"
 
-def _cell(value: Column, bracket: Bracket, leaf_rows: int) -> Column:
+    return F.expr(f"array({', '.join(map(written, values))})")
+
+
+def _cell(value: Column, bracket: Column, scales: list[tuple[int, float, float]]) -> Column:
     """Cell number inside the bracket, growing with the value; the value itself in a leaf."""
-    if bracket.rows <= leaf_rows:
-        return value
-    position, low, high = value, bracket.low, bracket.high
-    if _is_wide(low, high):
-        position, low, high = _magnitude(value, low, high)
-    cell = F.floor((position - F.lit(low)) / F.lit(high - low) * CELLS).cast("double")
-    return F.greatest(F.lit(0.0), F.least(F.lit(CELLS - 1.0), cell))
+    kinds = _listed([k for k, _, _ in scales])
+    low = F.get(_listed([float(a) for _, a, _ in scales]), bracket)
+    spread = F.get(_listed([float(b - a) for _, a, b in scales]), bracket)
+    kind = F.get(kinds, bracket)
+    size = F.least(F.abs(value), F.lit(TOP))
+    position = (
+        F.when(kind == LINEAR, value)
+        .when(kind == POSITIVE, F.ln(size))
+        .when(kind == NEGATIVE, -F.ln(size))
+        .otherwise(F.signum(value) * F.log1p(size))
+    )
+    cell = F.floor((position - low) / spread * CELLS).cast("double")
+    inside = F.greatest(F.lit(0.0), F.least(F.lit(CELLS - 1.0), cell))
+    return F.when(kind == LEAF, value).otherwise(inside)
+
+
+def counted_cells(
+    df: DataFrame,
+    values: Mapping[str, Column],
+    brackets: Sequence[Bracket],
+    leaf_rows: int = LEAF_ROWS,
+) -> DataFrame:
+    """(bracket, cell, rows, low, high) of the cells that any row of a bracket falls into.
+
+    Columns are turned into rows (slot, value), and what belongs to a slot is looked up in
+    constant arrays, so the expressions do not grow with the number of columns.
+    """
+    scales = [_scale(b, leaf_rows) for b in brackets]
+    parts = []
+    for columns in chunked(sorted({b.column for b in brackets}), CHUNK):
+        own: dict[str, list[int]] = {c: [] for c in columns}
+        for number, b in enumerate(brackets):
+            if b.column in own:
+                own[b.column].append(number)
+        slot, value = F.col("slot").cast("int"), F.col("value")
+        bracket = None
+        for k in range(max(map(len, own.values()))):
+            numbers = [n[k] if k < len(n) else None for n in own.values()]
+            low, high = (
+                F.get(_listed([None if n is None else float(getattr(brackets[n], end))
+                               for n in numbers]), slot)
+                for end in ("low", "high")
+            )
+            inside, number = value.between(low, high), F.get(_listed(numbers), slot)
+            bracket = F.when(inside, number) if bracket is None else bracket.when(inside, number)
+        names = [str(i) for i in range(len(columns))]
+        parts.append(
+            df.select(*[values[c].alias(n) for c, n in zip(columns, names)])
+            .unpivot([], [quoted(n) for n in names], "slot", "value")
+            .select(bracket.cast("int").alias("bracket"), "value")
+            .where(F.col("bracket").isNotNull())
+            .select("bracket", _cell(value, F.col("bracket"), scales).alias("cell"), "value")
+            .groupBy("bracket", "cell")
+            .agg(
+                F.count(F.lit(1)).alias("rows"),
+                F.min("value").alias("low"),
+                F.max("value").alias("high"),
+            )
+        )
+    return reduce(DataFrame.unionByName, parts)
 
 
 def _found_cells(
     df: DataFrame, values: Mapping[str, Column], brackets: Sequence[Bracket], leaf_rows: int
 ) -> list:
     """The cells that hold a wanted rank, with their extent: a few rows per bracket."""
-    columns = sorted({b.column for b in brackets})
-    inputs = {c: f"v{i}" for i, c in enumerate(columns)}
-    narrow = df.select(*[values[c].alias(inputs[c]) for c in columns])
-
-    placed = []
-    hits = []
-    for column in columns:
-        value, cell = F.col(inputs[column]), None
-        for number, bracket in enumerate(brackets):
-            if bracket.column != column:
-                continue
-            inside = value.between(bracket.low, bracket.high)
-            hits.append(inside)
-            entry = F.struct(
-                F.lit(number).alias("bracket"),
-                _cell(value, bracket, leaf_rows).alias("cell"),
-                value.alias("value"),
-            )
-            cell = F.when(inside, entry) if cell is None else cell.when(inside, entry)
-        placed.append(cell.alias(column))
-
-    ranks = F.create_map(
-        *[
-            F.lit(part)
-            for number, b in enumerate(brackets)
-            for part in (number, [r - b.rows_below for r in b.ranks])
-        ]
-    )
+    width = max(len(b.ranks) for b in brackets)
+    wanted = [
+        F.get(_listed([b.ranks[k] - b.rows_below if k < len(b.ranks) else None
+                       for b in brackets]), F.col("bracket"))
+        for k in range(width)
+    ]
     upto = Window.partitionBy("bracket").orderBy("cell")
     return (
-        narrow.where(any_of(hits))
-        .select(F.explode(F.array(*placed)).alias("entry"))
-        .where(F.col("entry").isNotNull())
-        .select("entry.*")
-        .groupBy("bracket", "cell")
-        .agg(
-            F.count(F.lit(1)).alias("rows"),
-            F.min("value").alias("low"),
-            F.max("value").alias("high"),
-        )
+        counted_cells(df, values, brackets, leaf_rows)
         .withColumn("before", F.sum("rows").over(upto) - F.col("rows"))
         .withColumn(
             "held",
             F.filter(
-                ranks[F.col("bracket")],
+                F.array_compact(F.array(*wanted)),
                 lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("rows")),
             ),
         )

@@ -6,6 +6,9 @@ import re
 
 import pytest
 
+from autoprofile.functions.coerce import number_columns
+from autoprofile.operators.charts import histogram
+from autoprofile.operators.quantiles import Bracket, counted_cells
 from autoprofile.operators.catalog import distinct_profile
 from autoprofile.operators.correlation import _over_pairs, _pair_sums
 from autoprofile.operators.frequencies import top_values
@@ -91,3 +94,20 @@ def test_very_wide_tables_are_split(spark):
     result = per_column(frame, facts, fields_per_column=2)
     assert result.count() == 250
     assert {r["column"]: r["s"] for r in result.collect()}["c249"] == 45 + 2490
+
+
+def test_quantile_rounds_do_not_grow_with_the_columns(spark):
+    names = [f"c{i}" for i in range(100)]
+    frame = spark.range(10).select(*[(F.col("id") + i).cast("double").alias(n)
+                                     for i, n in enumerate(names)])
+    brackets = [Bracket(n, float(i), float(i + 9), 10, 0, (2, 5)) for i, n in enumerate(names)]
+    cells = counted_cells(frame, number_columns(frame, names), brackets)
+    plan = plan_of(cells)
+    assert "Generate" not in plan and "partial_count" in plan
+    assert plan.count("CASE WHEN") < 20
+    assert cells.count() == 1000
+
+
+def test_histograms_need_no_quartiles(wide_table):
+    plan = plan_of(histogram(wide_table, ["m1", "m2"]))
+    assert "percentile" not in plan
