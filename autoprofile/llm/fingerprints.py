@@ -31,9 +31,7 @@ LINE_END = r"(?<=\n)"
 
 def _piece_end(words: int) -> str:
     """Pieces: at most so many words with the white space after each, or up to a sentence end."""
-    return (
-        r"(?:[^\s]*[^\s.!?][.!?,;]?\s+){0,%d}[^\s]*(?:\s+|$)" % (words - 1)
-    )
+    return r"(?:\S*+(?<![.!?])\s++){0,%d}+\S*+\s*+" % (words - 1)
 
 
 def leaves(text: Column, rules: TreeRules) -> Column:
@@ -83,12 +81,12 @@ def _once(value: Column, use) -> Column:
 
 
 def fingerprint(text: Column, rules: TreeRules = TreeRules()) -> Column:
-    """The root in hex, then the branches: sections apart by ``/``, paragraphs by ``.``, a fixed
-    number of hex digits for each piece.  Null counts as empty."""
+    """The root in hex, then the branches: sections apart by ``/``, paragraphs by ``.``, pieces by
+    ``,``, a fixed number of hex digits for each piece.  Null counts as empty."""
 
     def paragraph(pieces: Column) -> Column:
         return F.array_join(
-            F.transform(pieces, lambda h: F.substring(h, 1, rules.digits)), ""
+            F.transform(pieces, lambda h: F.substring(h, 1, rules.digits)), ","
         )
 
     def section(paragraphs: Column) -> Column:
@@ -101,13 +99,10 @@ def fingerprint(text: Column, rules: TreeRules = TreeRules()) -> Column:
     return _once(tree(F.coalesce(text, F.lit("")), rules), printed)
 
 
-def _pieces(print_: Column, rules: TreeRules) -> Column:
+def _pieces(print_: Column) -> Column:
     """The pieces' digits of a fingerprint, without the tree above them."""
-    flat = F.translate(F.substring_index(print_, ":", -1), "./", "")
-    count = (F.length(flat) / rules.digits).cast("int")
-    places = F.sequence(F.lit(1), count * rules.digits, F.lit(rules.digits))
-    pieces = _once(flat, lambda x: F.transform(places, lambda i: F.substring(x, i, rules.digits)))
-    return F.when(count > 0, pieces).otherwise(F.array().cast("array<string>"))
+    flat = F.translate(F.substring_index(print_, ":", -1), "./", ",,")
+    return F.filter(F.split(flat, ","), lambda piece: piece != "")
 
 
 def _numbered(pieces: Column) -> Column:
@@ -131,7 +126,7 @@ def _numbered(pieces: Column) -> Column:
     return F.when(F.size(pieces) > 0, _once(F.sort_array(pieces), runs)).otherwise(pieces)
 
 
-def likeness(one: Column, other: Column, rules: TreeRules = TreeRules()) -> Column:
+def likeness(one: Column, other: Column) -> Column:
     """How much two fingerprints share, from 0 to 1; equal ones 1, without looking further.
 
     The pieces that both have, repeats counted, as a share of the larger of the two.
@@ -143,7 +138,7 @@ def likeness(one: Column, other: Column, rules: TreeRules = TreeRules()) -> Colu
         shared = F.size(F.array_intersect(a, b)).cast("double")
         return F.when(most > 0, shared / most).otherwise(F.lit(0.0))
 
-    a, b = (_numbered(_pieces(x, rules)) for x in (one, other))
+    a, b = (_numbered(_pieces(x)) for x in (one, other))
     pair = F.struct(a.alias("a"), b.alias("b"))
     return F.when(one == other, F.lit(1.0)).otherwise(_once(pair, share))
 
@@ -209,16 +204,16 @@ def with_next(df: DataFrame, key: str, text: str, rules: TreeRules) -> DataFrame
             F.coalesce(F.lag("range").over(before), F.last("range").over(last)).alias("to"),
         )
     )
-    rows = rows.withColumn("p", fingerprint(F.col("t"), rules))
     lent = (
         rows.join(F.broadcast(firsts), "range")  # a row for each range
         .filter(order == F.col("first"))
         .groupBy("to")
-        .agg(F.min(F.struct("first", "t", "p")).alias("x"))
-        .select(F.col("x.first.id").alias("id"), F.col("x.t").alias("t"),
-                F.col("x.p").alias("p"), F.col("to").alias("range"), F.lit(True).alias("lent"))
+        .agg(F.min(F.struct("first", "t")).alias("x"))
+        .select(F.col("x.first.id").alias("id"), F.col("x.t").alias("t"), F.col("to").alias("range"),
+                F.lit(True).alias("lent"))
     )
     both = rows.withColumn("lent", F.lit(False)).unionByName(lent)
+    both = both.withColumn("p", fingerprint(F.col("t"), rules))
     ordered = Window.partitionBy("range").orderBy(
         "lent", F.col("id").asc_nulls_first(), F.xxhash64("t"), "t"
     )
@@ -257,6 +252,6 @@ def compare_with_edits(
         F.col("sha").alias("edited_sha256"),
         F.col("own").alias("fingerprint"),
         F.col("edited").alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("edited"), rules).alias("near_edited"),
-        likeness(F.col("own"), F.col("following"), rules).alias("near_next"),
+        likeness(F.col("own"), F.col("edited")).alias("near_edited"),
+        likeness(F.col("own"), F.col("following")).alias("near_next"),
     )
