@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autoprofile.llm.common import column, ranges, text_parts
+from autoprofile.llm.common import column, nullable, ranges, text_parts
 
 NO_PAIR = np.int32(2**31 - 1)
 #: bytes of text that a task works on at a time
@@ -77,7 +77,7 @@ class RankBuckets:
             if level[at >> 6]:
                 break
             at >>= 6
-        found = np.sort(np.concatenate(positions)) if len(positions) > 1 else positions[0]
+        found = np.sort(np.concatenate(positions))
         return rank, found[np.append(True, found[1:] != found[:-1])]
 
 
@@ -259,7 +259,7 @@ def encode(
             out = part.select(names).append_column("ids", blobs)
             yield from out.to_batches(max_chunksize=2048)
 
-    schema = source.select(*names, F.lit(b"").alias("ids")).schema
+    schema = nullable(source.select(*names, F.lit(b"").alias("ids")))
     done = source.mapInArrow(run, schema)
     return done.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("ids").alias(ids)
@@ -292,7 +292,7 @@ def decode(
                 [*columns, pa.array(bytes_of, pa.binary())], names=[*names, "content"]
             )
 
-    schema = source.select(*names, F.lit(b"").alias("content")).schema
+    schema = nullable(source.select(*names, F.lit(b"").alias("content")))
     done = source.mapInArrow(run, schema)
     return done.select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], F.col("content").alias(content)
@@ -331,8 +331,8 @@ def round_trip(
             last = 5 if with_ids else 4
             yield from pa.table(columns[:last], names=names[:last]).to_batches()
 
-    schema = source.select(
+    schema = nullable(source.select(
         "k", F.lit(0).cast("long").alias("n_tokens"), F.lit("").alias("ids_sha256"),
         F.lit("").alias("decoded_sha256"), *[F.lit(b"").alias("token_ids")] * with_ids,
-    ).schema
+    ))
     return source.mapInArrow(run, schema).withColumnRenamed("k", key)

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: the characters that separate words: space, tab, line feed, vertical tab, form feed, return
 WHITE = r"\x20\x09-\x0D"
@@ -44,6 +45,11 @@ def column(df: DataFrame, name: str) -> Column:
     return df["`" + name.replace("`", "``") + "`"]
 
 
+def nullable(df: DataFrame) -> T.StructType:
+    """The schema of a frame with every column nullable, for results that come from Python."""
+    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
+
+
 def text_parts(
     batches: Iterator[pa.RecordBatch], text: str, most_bytes: int
 ) -> Iterator[pa.Table]:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autoprofile.llm.common import WHITE, column, settle, text_parts
+from autoprofile.llm.common import WHITE, column, nullable, settle, text_parts
 
 #: what is deleted before texts are compared: space, tab, line feed, vertical tab, form feed,
 #: return
@@ -210,7 +210,9 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     read; an empty table gives an empty result.
     """
     source = df.select(column(df, key).alias("id"), column(df, text).cast("string").alias("t"))
-    schema = source.select("id", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sha")).schema
+    schema = nullable(
+        source.select("id", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sha"))
+    )
     rows = settle(
         source.mapInArrow(_digests, schema).withColumn("row", F.monotonically_increasing_id())
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from autoprofile.llm.byte_bpe import read_ranks
-from autoprofile.llm.common import column, text_parts
+from autoprofile.llm.common import column, nullable, text_parts
 
 PART_BYTES = 4 << 20
 #: text that is packed in one task
@@ -141,9 +141,9 @@ def token_pieces(
                 "ids": pa.array(blobs, pa.binary()),
             }).to_batches(max_chunksize=4096)
 
-    schema = source.select(
+    schema = nullable(source.select(
         "k", F.lit(0).alias("piece"), F.lit(0).alias("n_tokens"), F.lit(b"").alias("ids")
-    ).schema
+    ))
     return source.mapInArrow(run, schema).withColumnRenamed("k", key)
 
 

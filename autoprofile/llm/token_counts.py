@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from autoprofile.llm.common import byte_lengths, column, settle, text_parts
+from autoprofile.llm.common import byte_lengths, column, nullable, settle, text_parts
 
 #: text of a block
 BLOCK_BYTES = 8 << 20
@@ -209,13 +209,11 @@ def token_counts(
     )
     size = source.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     buckets = max(1, -(-size // BUCKET_BYTES))
-    schema = source.select(
+    schema = nullable(source.select(
         F.lit("").alias("block"), F.lit(None).cast("int").alias("bucket"),
         F.array("k").alias("keys"), F.array(F.lit(0).cast("long")).alias("sizes"),
         F.lit(b"").alias("data"),
-    ).schema
-    for field in schema:
-        field.nullable = True
+    ))
     blocks = settle(source.mapInArrow(_blocks(buckets), schema))
     answers = (
         blocks.filter("bucket IS NOT NULL")
@@ -226,9 +224,9 @@ def token_counts(
         .agg(F.collect_list("answer").alias("answers"))
     )
     documents = blocks.filter("bucket IS NULL").select("block", "keys", "sizes", "data")
-    result = source.select(
+    result = nullable(source.select(
         "k", F.lit(0).cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_tokens")
-    ).schema
+    ))
     summed = (
         documents.join(answers, "block", "left")
         .select("keys", "sizes", "data", "answers")
