@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from math import isfinite, isqrt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autoprofile import messages
@@ -253,6 +253,13 @@ def kpi_card(df: DataFrame, measures: list[str], digits: int = 4) -> DataFrame:
     return per_column(df, facts, fields_per_column=1, schema=schema).where(F.col("total").isNotNull())
 
 
+def kpi_card_of(spark: SparkSession, found: list[Distribution], digits: int = 4) -> DataFrame:
+    """The same from distributions, without a scan."""
+    rows = [(d.column, d.sum) for d in found[:KPI_MEASURES] if d.sum is not None]
+    totals = local_frame(spark, rows, "column string, total double")
+    return totals.withColumn("total", F.round("total", digits))
+
+
 def chart_plan(
     catalog: DataFrame,
     found: list[Distribution],

@@ -151,11 +151,12 @@ def column_measurements(
     found: list[Distribution] | None,
     outliers: DataFrame | None,
     catalog: DataFrame | None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """One row per analysed column with everything the rules look at.
 
     Each check scans only the columns of the type it applies to.  Labels repeat, so all text
-    checks on them run over one shared table of distinct labels and their counts.
+    checks on them run over one shared table of distinct labels and their ``counts``.
     """
     rules = config.quality
     strings = [c for c, _ in typed if family(df.schema[c].dataType) == "string"]
@@ -175,7 +176,10 @@ def column_measurements(
         [(i, c, t) for i, (c, t) in enumerate(typed)],
         "position int, column string, type string",
     )
-    counts = value_counts(df, labels)
+    if counts is None:
+        counts = value_counts(df, labels)
+    else:
+        counts = counts.where(F.col("column").isin(*labels))
     spaces, shapes = [], []
     if labels:
         spaces.append(whitespace_of(counts))
@@ -334,16 +338,16 @@ def judge_columns(
     found: list[Distribution] | None = None,
     outliers: DataFrame | None = None,
     catalog: DataFrame | None = None,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Measurements and issues of every analysed column, materialised (one row each).
 
-    ``found``, ``outliers`` and ``catalog`` save the scans behind them where they are known;
-    without a catalog the distinct counts stay NULL.
+    ``found``, ``outliers``, ``catalog`` and ``counts`` (of the labels) save the scans behind
+    them where they are known; without a catalog the distinct counts stay NULL.
     """
     cfg = config or Config()
-    return pin(
-        with_issues(column_measurements(df, typed, cfg, as_of, found, outliers, catalog), cfg)
-    )
+    measured = column_measurements(df, typed, cfg, as_of, found, outliers, catalog, counts)
+    return pin(with_issues(measured, cfg))
 
 
 def quality_issues(

@@ -297,13 +297,35 @@ def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
     )
 
 
-def evaluate_kpis(df: DataFrame, kpis: DataFrame, digits: int = 4) -> DataFrame:
+def _from_sums(row, sums: Mapping[str, tuple[float | None, int]]) -> float | None:
+    """A scalar KPI from the sums and counts of its columns."""
+    total, count = sums[row["columns"][0]]
+    if total is None or row["operation"] == "sum":
+        return total
+    below = count if row["operation"] == "avg" else sums[row["columns"][1]][0]
+    return total / below if below else None
+
+
+def evaluate_kpis(
+    df: DataFrame,
+    kpis: DataFrame,
+    digits: int = 4,
+    sums: Mapping[str, tuple[float | None, int]] | None = None,
+) -> DataFrame:
     """(name, segment, value) of every KPI; scalar KPIs have a NULL segment.
 
-    All scalar KPIs are one aggregation over the table; each record count is one grouped
-    count, formed per task before its shuffle.
+    All scalar KPIs are one aggregation over the table, or none where ``sums`` already has the
+    sum and count of every measure; each record count is one grouped count, formed per task
+    before its shuffle.
     """
     rows = sorted(kpis.collect(), key=lambda r: r["seq"])
+    known = []
+    if sums is not None:
+        known = [
+            r for r in rows
+            if r["operation"] != "count_by" and all(c in sums for c in r["columns"])
+        ]
+        rows = [r for r in rows if r not in known]
     used = sorted({c for r in rows if r["operation"] != "count_by" for c in r["columns"]})
     values = number_columns(df, used)
     scalars = {}
@@ -316,6 +338,12 @@ def evaluate_kpis(df: DataFrame, kpis: DataFrame, digits: int = 4) -> DataFrame:
         elif r["operation"] == "ratio":
             scalars[r["name"]] = F.try_divide(F.sum(inputs[0]), F.sum(inputs[1]))
     parts = []
+    if known:
+        values_known = [(r["name"], None, _from_sums(r, sums)) for r in known]
+        frame = local_frame(
+            df.sparkSession, values_known, "name string, segment string, value double"
+        )
+        parts.append(frame.withColumn("value", F.round("value", digits)))
     if scalars:
         wide = df.agg(*[value.alias(f"k{i}") for i, value in enumerate(scalars.values())])
         cells = [

@@ -15,6 +15,7 @@ from autoprofile.functions.coerce import nan_to_null
 from autoprofile.operators import charts, insights
 from autoprofile.operators.catalog import analysis_columns, column_catalog, type_distribution
 from autoprofile.operators.correlation import mirrored, strong_of, upper_triangle
+from autoprofile.operators.dates import with_timestamps
 from autoprofile.operators.frequencies import (
     BAR_CATEGORIES,
     category_share,
@@ -52,6 +53,10 @@ from autoprofile.sources.readers import LoadedTable, is_row_format, load
 from autoprofile.sources.sinks import stage
 
 
+#: labels up to this many are kept on the driver while the sections read them
+LOCAL_LABELS = 100_000
+
+
 @dataclass(frozen=True)
 class Results:
     """Every section of an analysis as a DataFrame."""
@@ -118,16 +123,18 @@ def analyze(
     dimensions = [c for c, t in typed if role_name(t) == "dimension"]
     valued = [c for c, t in typed if t in ("categorical", "boolean")]
 
+    dated = with_timestamps(df, times)  # the layout of text dates is found once
     with ThreadPoolExecutor(max_workers=6) as sections:
+        counts_job = sections.submit(_label_counts, df, catalog, valued)
         numbers_job = sections.submit(
-            _numbers_and_quality, df, catalog, typed, measures, cfg, as_of
+            _numbers_and_quality, df, catalog, typed, measures, cfg, as_of, counts_job
         )
-        labels_job = sections.submit(_labels, df, catalog, valued, cfg)
+        labels_job = sections.submit(_labels, counts_job, catalog, cfg)
         summary_job = sections.submit(
             lambda: pin(dataset_summary(df, catalog, cfg.schema.distinct == "exact"))
         )
         triangle_job = sections.submit(_correlations, df, measures, cfg)
-        series_job = sections.submit(_series_and_trends, df, times, measures, cfg)
+        series_job = sections.submit(_series_and_trends, dated, times, measures, cfg)
         texts = [c for c in dimensions[: charts.BAR_CHARTS] if c not in valued]
         texts_job = sections.submit(lambda: pin(top_texts(df, texts, BAR_CATEGORIES)))
         grid_job = sections.submit(
@@ -162,12 +169,12 @@ def analyze(
         semantic_fields=semantic,
         lineage=lineage(semantic),
         kpis=kpis,
-        kpi_values=evaluate_kpis(df, kpis),
+        kpi_values=evaluate_kpis(df, kpis, sums={d.column: (d.sum, d.count) for d in found}),
         semantic_summary=semantic_summary(semantic, kpis),
         dataset_summary=summary,
         numeric_summary=numbers,
         top_values=top_shown,
-        datetime_summary=datetime_summary(df, times),
+        datetime_summary=datetime_summary(dated, times),
         correlations=mirrored(triangle).orderBy("i", "j").drop("i", "j"),
         strong_correlations=strong,
         series=series.drop("measure_no").withColumn("value", F.round("value", 4)),
@@ -190,7 +197,7 @@ def analyze(
         segment_bars=segment_bars(grid),
         scatter_points=_scatter_points(df, strong_pairs, dimensions, cfg),
         scatter_fits=_scatter_fits(df, strong_pairs, dimensions),
-        kpi_card=charts.kpi_card(df, measures),
+        kpi_card=charts.kpi_card_of(spark, found),
     )
 
 
@@ -208,19 +215,34 @@ def analyze_path(
     return analyze(df, config, loaded.name, as_of, loaded.rows_raw)
 
 
-def _numbers_and_quality(df, catalog, typed, measures, cfg: Config, as_of):
+def _numbers_and_quality(df, catalog, typed, measures, cfg: Config, as_of, counts_job):
     found = distributions(df, measures)
     outliers = pin(
         outlier_counts(df, found, cfg.quality.iqr_factor, cfg.quality.zscore_limit)
     )
-    return found, outliers, judge_columns(df, typed, cfg, as_of, found, outliers, catalog)
+    counts = counts_job.result()
+    return found, outliers, judge_columns(
+        df, typed, cfg, as_of, found, outliers, catalog, counts
+    )
+
+
+def _label_counts(df: DataFrame, catalog: DataFrame, valued: list[str]) -> DataFrame:
+    """The frequencies of all labels, which several sections read.
+
+    Counted once: kept on the driver where the catalog says they are few, else written to the
+    folder the cluster shares; a session without one counts them for each section.
+    """
+    counts = value_counts(df, valued)
+    labels = sum(
+        r["unique_count"] for r in catalog.collect() if r["column_name"] in set(valued)
+    )
+    return pin(counts) if labels <= LOCAL_LABELS else stage(counts)
 
 
-def _labels(df: DataFrame, catalog: DataFrame, valued: list[str], cfg: Config):
-    counts = value_counts(df, valued).persist()
+def _labels(counts_job, catalog: DataFrame, cfg: Config):
+    counts = counts_job.result()
     top = pin(with_share(counts, max(cfg.analysis.top_n, BAR_CATEGORIES)))
     known = pin(dimension_values_of(counts))
-    counts.unpersist()
     semantic = pin(semantic_fields(catalog, cfg, known))
     return top, semantic, pin(kpi_catalog(semantic, cfg))
 

@@ -273,6 +273,19 @@ def top_of_parts(spark, sf_dir):
     return top_values(table(spark, sf_dir, "part"), ["p_name", "p_brand", "p_type"])
 
 
+FLAGS_SQL = """(SELECT quality = 1 AS good, CASE WHEN toxic = 1 THEN doc_id % 2 = 0 END AS even
+  FROM labels) AS t"""
+
+
+@query("top_values_booleans", top_sql(FLAGS_SQL, ["good", "even"]))
+def top_of_flags(spark, sf_dir):
+    flags = table(spark, sf_dir, "labels").select(
+        (F.col("quality") == 1).alias("good"),
+        F.when(F.col("toxic") == 1, F.col("doc_id") % 2 == 0).alias("even"),
+    )
+    return top_values(flags, ["good", "even"])
+
+
 @query("top_values_gaps", top_sql(GAPPY_LINES_SQL + " AS t", ["returnflag", "tax"], 4))
 def top_with_gaps(spark, sf_dir):
     return top_values(gappy_lines(spark, sf_dir), ["returnflag", "tax"], 4)
