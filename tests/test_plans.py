@@ -10,7 +10,7 @@ from autoprofile.functions.coerce import number_columns
 from autoprofile.operators.charts import histogram
 from autoprofile.operators.quantiles import Bracket, counted_cells
 from autoprofile.operators.catalog import distinct_profile
-from autoprofile.operators.correlation import _over_pairs, _pair_sums
+from autoprofile.operators.correlation import _over_pairs, pearson
 from autoprofile.operators.frequencies import top_values
 from autoprofile.operators.segments import segment_grid
 from autoprofile.operators.series import monthly_series
@@ -82,7 +82,8 @@ def test_duplicates_shuffle_fingerprints_only(wide_table):
 
 def test_correlation_needs_no_keyed_shuffle(wide_table):
     centred = wide_table.select(F.col("m1").alias("v0"), F.col("m2").alias("v1"))
-    plan = plan_of(_over_pairs(centred, [(0, 0), (0, 1), (1, 1)], _pair_sums))
+    pairs = [(0, 0), (0, 1), (1, 1)]
+    plan = plan_of(_over_pairs(centred, pairs, lambda x, y: [pearson(x, y).alias("r")]))
     assert "hashpartitioning" not in plan
     assert read_columns(plan) == {"m1", "m2"}
 

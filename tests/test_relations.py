@@ -286,3 +286,18 @@ def test_scatter_fit_per_color(spark):
     fits = {r["color"]: (r["points"], r["slope"], r["intercept"])
             for r in scatter_fit(frame, "x", "y", "c").collect()}
     assert fits == {"a": (5, 2.0, 1.0), "b": (5, -1.0, 3.0)}
+
+
+def test_correlation_over_many_blocks(spark):
+    rng = np.random.default_rng(11)
+    data = rng.normal(size=(300, 150))
+    data[:, 149] = data[:, 0] - 0.5 * data[:, 70]
+    names = [f"c{i}" for i in range(150)]
+    frame = spark.createDataFrame([tuple(map(float, row)) for row in data],
+                                  ", ".join(f"{n} double" for n in names)).repartition(3)
+    found = {(r["col1"], r["col2"]): r["correlation"]
+             for r in correlation_matrix(frame, names).collect()}
+    expected = np.corrcoef(data.T)
+    assert len(found) == 150 * 150
+    for i, j in ((0, 0), (0, 149), (70, 149), (63, 64), (128, 5)):
+        assert abs(found[f"c{i}", f"c{j}"] - expected[i, j]) < 1e-4
