@@ -25,11 +25,13 @@ from autoprofile.llm.components import components
 PART_BYTES = 8 << 20
 #: distinct words whose hashes a task keeps before it starts anew
 MOST_WORDS = 400_000
-#: the sketch of token frequencies: 2**SKETCH_BITS counters, cut into slices for the merge
-SKETCH_BITS = 22
-SLICE_BITS = 16
-#: tokens of the matrix that one task works on
-BUCKET_TOKENS = 1 << 20
+#: token frequencies are counted by the first COUNT_BITS bits of the hash, in 2**SLICE_BITS
+#: slices, and kept as the highest among those that share the first LEVEL_BITS bits
+COUNT_BITS, SLICE_BITS, LEVEL_BITS = 30, 8, 25
+#: tokens that a task gathers before it writes their places down
+GATHERED = 4 << 20
+#: tokens of the matrix that one task works on, and the fewest buckets they are dealt to
+BUCKET_TOKENS, LEAST_BUCKETS = 1 << 20, 64
 #: what one opened block of a group holds: members, and tokens of their sets
 BLOCK_MEMBERS = 256
 BLOCK_TOKENS = 1 << 20
@@ -46,15 +48,19 @@ class JaccardRules:
     words: int = 4
     threshold: int = 85
     whole: int = 100
-    sketch_bits: int = SKETCH_BITS
 
     def least(self, n):
         """The smallest set that can link with a set of n tokens."""
         return -(-self.threshold * n // self.whole)
 
+    def extra(self, n):
+        """Tokens of a set that enter the matrix beyond those that any link needs; linked sets
+        share as many more, so that chance hits do not open a group."""
+        return 1 + n // 20
+
     def prefix(self, n):
         """Tokens of a set that enter the matrix: linked sets share at least one of them."""
-        return n - self.least(n) + 1
+        return n - self.least(n) + self.extra(n)
 
 
 def scrambled(x: np.ndarray, salt: int) -> np.ndarray:
@@ -126,83 +132,120 @@ def _summaries(sets: list[np.ndarray]) -> tuple[np.ndarray, ...]:
     return n, *digest
 
 
+DESCRIBED = "id long, n long, d1 long, d2 long, m long, slice int, places binary"
+
+
 def _describe(rules: JaccardRules):
-    """A row for each document, and the slices of the task's sketch of token frequencies."""
-    shift = U(64 - rules.sketch_bits)
+    """A row for each document, and the places of the task's tokens, slice by slice."""
+    names = [field.split()[0] for field in DESCRIBED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(rules.words), set()
-        counters = np.zeros(1 << rules.sketch_bits, dtype=np.uint32)
-        empty, ids = 0, None
+        held: list[np.ndarray] = []
+
+        def places() -> pa.RecordBatch:
+            found = np.sort(np.concatenate(held))
+            held.clear()
+            edges = np.arange(1, 1 << SLICE_BITS, dtype=np.uint32) << U(COUNT_BITS - SLICE_BITS)
+            pieces = np.split(found, np.searchsorted(found, edges.astype(np.uint32)))
+            used = [k for k, piece in enumerate(pieces) if len(piece)]
+            empty = pa.nulls(len(used), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [empty] * 5 + [pa.array(used, pa.int32()),
+                               pa.array([_packed(pieces[k]) for k in used], pa.binary())],
+                names=names,
+            )
+
         for part in text_parts(batches, "t", PART_BYTES):
             sets = shingler.sets(part["t"].cast(pa.binary()).to_pylist())
             n, one, two, least = _summaries(sets)
-            fresh = []
             for i, name in enumerate(zip(one.tolist(), two.tolist(), strict=True)):
-                if name not in seen:
+                if n[i] and name not in seen:
                     seen.add(name)
-                    fresh.append(sets[i])
-            slots = np.concatenate(fresh) >> shift if fresh else np.zeros(0, np.uint64)
-            np.add.at(counters, slots.astype(np.int64), np.uint32(1))
-            ids = part["id"].combine_chunks()
+                    held.append((sets[i] >> U(64 - COUNT_BITS)).astype(np.uint32))
             yield from pa.table(
-                [ids, pa.array(n), _signed(one), _signed(two), _signed(least),
+                [part["id"], pa.array(n), _signed(one), _signed(two), _signed(least),
                  pa.nulls(len(n), pa.int32()), pa.nulls(len(n), pa.binary())],
-                names=["id", "n", "d1", "d2", "m", "slice", "counts"],
+                names=names,
             ).to_batches()
-        if ids is None:
-            return
-        size = 1 << min(SLICE_BITS, rules.sketch_bits)
-        for number, start in enumerate(range(0, len(counters), size)):
-            piece = counters[start : start + size]
-            if piece.any():
-                empty = pa.nulls(1, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(1, ids.type), empty, empty, empty, empty,
-                     pa.array([number], pa.int32()),
-                     pa.array([zlib.compress(piece.tobytes(), 1)], pa.binary())],
-                    names=["id", "n", "d1", "d2", "m", "slice", "counts"],
-                )
+            if sum(map(len, held)) >= GATHERED:
+                yield places()
+        if held:
+            yield places()
 
     return run
 
 
-def _summed(slices: Iterator[pa.RecordBatch] | pa.Table) -> pa.Table:
-    total = None
-    for blob in slices["counts"]:
-        piece = np.frombuffer(zlib.decompress(blob.as_py()), np.uint32).astype(np.uint64)
-        total = piece if total is None else total + piece
-    total = np.minimum(total, 0xFFFFFFFF).astype(np.uint32)
-    return pa.table({
-        "slice": pa.array([slices["slice"][0].as_py()], pa.int32()),
-        "counts": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary()),
-    })
+def _packed(ordered: np.ndarray) -> bytes:
+    """Numbers in order as their steps, in as many bytes as the largest step needs."""
+    steps = np.diff(ordered, prepend=ordered[:1])
+    kind = "<u2" if steps.max() < 1 << 16 else "<u4"
+    return ordered[:1].astype("<u4").tobytes() + kind[-1].encode() + steps.astype(kind).tobytes()
 
 
-def frequency_levels(described: DataFrame, rules: JaccardRules) -> np.ndarray:
-    """For each counter of the sketch how far its count is above the mean, by powers of two.
+def _unpacked_steps(blob: bytes) -> np.ndarray:
+    steps = np.frombuffer(blob, f"<u{blob[4:5].decode()}", -1, 5)
+    return np.cumsum(steps, dtype=np.int64) + int(np.frombuffer(blob, "<u4", 1)[0])
 
-    The sketch has a fixed size, whatever the table's.  It only decides the order of tokens:
-    any order gives the same links, a good one keeps frequent tokens out of the matrix.
+
+def _levels_of_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of each slice; rows come sorted by slice and are counted one by one."""
+    size = 1 << (COUNT_BITS - SLICE_BITS)
+
+    def finished(number: int, counts: np.ndarray) -> pa.RecordBatch:
+        # two steps for each power of two; what occurs in one set only is at 0
+        above = np.flatnonzero(counts > 1)
+        levels = np.zeros(size, dtype=np.uint8)
+        levels[above] = np.minimum(60, 2 * np.log2(counts[above])).astype(np.uint8)
+        highest = levels.reshape(-1, 1 << (COUNT_BITS - LEVEL_BITS)).max(axis=1)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int32()),
+             pa.array([zlib.compress(highest.tobytes(), 1)], pa.binary())],
+            names=["slice", "levels"],
+        )
+
+    number, counts = None, None
+    for batch in batches:
+        for own, blob in zip(
+            batch.column("slice").to_pylist(), batch.column("places").to_pylist(), strict=True
+        ):
+            if own != number:
+                if counts is not None:
+                    yield finished(number, counts)
+                number, counts = own, np.zeros(size, dtype=np.int64)
+            places = _unpacked_steps(blob) - number * size  # in order
+            first = np.flatnonzero(np.append(True, places[1:] != places[:-1]))
+            counts[places[first]] += np.diff(np.append(first, len(places)))
+    if counts is not None:
+        yield finished(number, counts)
+
+
+def frequency_levels(described: DataFrame) -> np.ndarray:
+    """How frequent a token is by the first bits of its hash: 0 for once, two steps for each
+    power of two.
+
+    The table has a fixed size, whatever the input's.  It only decides the order of tokens: any
+    order gives the same links, a good one keeps frequent tokens out of the matrix.
     """
     merged = (
         described.filter("slice IS NOT NULL")
-        .groupBy("slice")
-        .applyInArrow(_summed, "slice int, counts binary")
+        .select("slice", "places")
+        .repartition("slice")
+        .sortWithinPartitions("slice")
+        .mapInArrow(_levels_of_slices, "slice int, levels binary")
         .collect()
     )
-    counts = np.zeros(1 << rules.sketch_bits, dtype=np.int64)
-    size = 1 << min(SLICE_BITS, rules.sketch_bits)
+    levels = np.zeros(1 << LEVEL_BITS, dtype=np.uint8)
+    size = 1 << (LEVEL_BITS - SLICE_BITS)
     for row in merged:
         start = row["slice"] * size
-        counts[start : start + size] = np.frombuffer(zlib.decompress(row["counts"]), np.uint32)
-    usual = 4 * max(1.0, counts.mean())
-    return np.floor(np.log2(np.maximum(1.0, counts / usual))).astype(np.uint8)
+        levels[start : start + size] = np.frombuffer(zlib.decompress(row["levels"]), np.uint8)
+    return levels
 
 
 def _matrix_rows(rules: JaccardRules, shared, buckets: int):
     """The rarest tokens of every set, packed by bucket of the token."""
-    shift = U(64 - rules.sketch_bits)
+    shift = U(64 - LEVEL_BITS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(rules.words), set()
@@ -255,7 +298,10 @@ def _unpacked(blob: bytes) -> tuple[np.ndarray, ...]:
 
 
 def _overlaps(bucket: pa.Table) -> pa.Table:
-    """For the tokens of a bucket: how many each set shares with each group but its own."""
+    """For the tokens of a bucket: how many each set shares with each group, a row for each set.
+
+    Of its own group only tokens count that another member has as well.
+    """
     parts = [_unpacked(x) for x in bucket["rows"].to_pylist()]
     offset = np.cumsum([0, *[len(p[2]) for p in parts]])
     token = np.concatenate([p[0] for p in parts])
@@ -276,11 +322,12 @@ def _overlaps(bucket: pa.Table) -> pa.Table:
     groups, of = np.unique(group, return_inverse=True)
     # the matrix: distinct (token, group)
     line = np.cumsum(np.append(True, token[1:] != token[:-1])) - 1
-    cells = np.unique(line * len(groups) + of[owner])
+    cells, sharing = np.unique(line * len(groups) + of[owner], return_counts=True)
     cell_line, cell_group = cells // len(groups), cells % len(groups)
     begin = np.searchsorted(cell_line, np.arange(line[-1] + 1))
     width = np.diff(np.append(begin, len(cells)))
-    asked = np.flatnonzero(width[line] > 1)
+    crowd = np.bincount(line)
+    asked = np.flatnonzero(crowd[line] > 1)
     found = []
     reach = np.cumsum(width[line[asked]])
     for start in range(0, int(reach[-1]) if len(reach) else 0, 1 << 22):
@@ -288,25 +335,69 @@ def _overlaps(bucket: pa.Table) -> pa.Table:
                     np.searchsorted(reach, start + (1 << 22), "right")]
         at = ranges(begin[line[lot]], width[line[lot]])
         who = np.repeat(owner[lot], width[line[lot]])
-        other = cell_group[at] != of[who]
+        other = (cell_group[at] != of[who]) | (sharing[at] > 1)
         found.append(np.unique(who[other] * len(groups) + cell_group[at][other],
                                return_counts=True))
     pairs = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.int64)
     hits = np.concatenate([f[1] for f in found]) if found else np.zeros(0, np.int64)
-    who, met = pairs // len(groups), pairs % len(groups)
+    order = np.argsort(pairs, kind="stable")
+    who, met, hits = pairs[order] // len(groups), pairs[order] % len(groups), hits[order]
+    sets, starts = np.unique(who, return_index=True)
+    ends = np.append(starts, len(who))[1:]
+    blobs = [
+        groups[met[i:j]].astype("<u8").tobytes() + hits[i:j].astype("<u8").tobytes()
+        for i, j in zip(starts.tolist(), ends.tolist(), strict=True)
+    ]
     return pa.table(
-        [_signed(one[who]), _signed(two[who]), pa.array(n[who]), _signed(groups[met]),
-         pa.array(hits)],
-        names=["d1", "d2", "n", "g", "hits"],
+        [_signed(one[sets]), _signed(two[sets]), pa.array(n[sets]), pa.array(blobs, pa.binary())],
+        names=["d1", "d2", "n", "shared"],
     )
 
 
+def _sums_of_sets(rules: JaccardRules):
+    """What a set shares with each group over all buckets; rows come sorted by set.
+
+    Groups that share too little for a link with a set of any size are left out here.
+    """
+
+    def summed(name: tuple[int, int, int], blobs: list[bytes]) -> pa.RecordBatch:
+        both = [np.frombuffer(b, "<u8").reshape(2, -1) for b in blobs]
+        groups, at = np.unique(np.concatenate([x[0] for x in both]), return_inverse=True)
+        hits = np.bincount(at, np.concatenate([x[1] for x in both])).astype(np.int64)
+        n = name[2]
+        fewest = -(-(n + rules.least(n)) * rules.threshold // (rules.whole + rules.threshold))
+        keep = hits >= fewest - rules.least(n) + rules.extra(n) - 1
+        count = int(keep.sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([v] * count, pa.int64()) for v in name]
+            + [_signed(groups[keep]), pa.array(hits[keep])],
+            names=["d1", "d2", "n", "g", "hits"],
+        )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, name = [], None
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("d1", "d2", "n", "shared")]
+            for *own, blob in zip(*columns, strict=True):
+                if tuple(own) != name and held:
+                    yield summed(name, held)
+                    held = []
+                name = tuple(own)
+                held.append(blob)
+        if held:
+            yield summed(name, held)
+
+    return run
+
+
 def _links(sets: list[np.ndarray], ids: list[int], copies: np.ndarray, member: np.ndarray,
-           query: np.ndarray, rules: JaccardRules) -> tuple[list[int], np.ndarray]:
-    """The smallest row linked with each row within a block, and each row's linked documents."""
+           query: np.ndarray, rules: JaccardRules) -> tuple[np.ndarray, np.ndarray]:
+    """The first row linked with each row within a block, and each row's linked documents."""
     n = np.array([len(s) for s in sets])
     ids = np.array(ids)
     members = np.flatnonzero(member)
+    if not len(members):  # the hash left this block empty
+        return np.arange(len(sets)), np.zeros(len(sets), dtype=np.int64)
     token = np.concatenate([sets[i] for i in members])
     owner = np.repeat(np.arange(len(members)), n[members])
     order = np.argsort(token, kind="stable")
@@ -390,10 +481,7 @@ def jaccard_join(
     source = df.select(
         column(df, key).cast("long").alias("id"), column(df, text).cast("string").alias("t")
     )
-    described = settle(source.mapInArrow(
-        _describe(rules),
-        "id long, n long, d1 long, d2 long, m long, slice int, counts binary",
-    ))
+    described = settle(source.mapInArrow(_describe(rules), DESCRIBED))
     rows = described.filter("slice IS NULL").select("id", "n", "d1", "d2", "m")
     classes = settle(
         rows.filter("n > 0 AND id IS NOT NULL")
@@ -408,10 +496,12 @@ def jaccard_join(
         )
     )
 
-    # which groups can hold a set that links with a set of another group
-    levels = spark.sparkContext.broadcast(frequency_levels(described, rules))
-    total = classes.agg(F.sum(F.col("n") - _least(F.col("n"), rules) + 1)).first()[0] or 0
-    buckets = max(1, int(total // BUCKET_TOKENS) + 1)
+    # which groups can hold a set that links; that the tokens of a set beyond its prefix may
+    # exceed those of a larger set by one is allowed for
+    levels = spark.sparkContext.broadcast(frequency_levels(described))
+    prefix = F.col("n") - _least(F.col("n"), rules) + _extra(F.col("n"))
+    total = classes.agg(F.sum(prefix)).first()[0] or 0
+    buckets = max(LEAST_BUCKETS, int(total // BUCKET_TOKENS) + 1)
     at_least = F.greatest("least", _least(F.col("n"), rules))
     shared = F.ceil(
         (F.col("n") + at_least) * F.lit(rules.threshold) / F.lit(rules.whole + rules.threshold)
@@ -419,19 +509,18 @@ def jaccard_join(
     opened = (
         source.mapInArrow(_matrix_rows(rules, levels, buckets), "bucket long, rows binary")
         .groupBy("bucket")
-        .applyInArrow(_overlaps, "d1 long, d2 long, n long, g long, hits long")
-        .groupBy("d1", "d2", "g")
-        .agg(F.min("n").alias("n"), F.sum("hits").alias("hits"))
+        .applyInArrow(_overlaps, "d1 long, d2 long, n long, shared binary")
+        .repartition("d1", "d2")
+        .sortWithinPartitions("d1", "d2")
+        .mapInArrow(_sums_of_sets(rules), "d1 long, d2 long, n long, g long, hits long")
         .join(groups, "g")
         .filter((F.col("least") <= F.col("n")) & (F.col("most") >= _least(F.col("n"), rules)))
-        .filter(F.col("hits") >= shared - _least(F.col("n"), rules) + 1)
+        .filter(F.col("hits") >= shared - _least(F.col("n"), rules) + _extra(F.col("n")) - 1)
         .select("d1", "d2", "g")
     )
-    opened = opened.join(classes.select("d1", "d2", "rep", "n", "copies"), ["d1", "d2"])
-    inside = classes.join(groups.filter("members > 1").select("g"), "g")
     asked = settle(
-        opened.select("rep", "d1", "n", "copies", "g")
-        .union(inside.select("rep", "d1", "n", "copies", "g"))
+        opened.join(classes.select("d1", "d2", "rep", "n", "copies"), ["d1", "d2"])
+        .select("rep", "d1", "n", "copies", "g")
     )
 
     # cut groups into blocks of members, and the sets that ask a block into lots
@@ -494,3 +583,7 @@ def jaccard_join(
 
 def _least(n, rules: JaccardRules):
     return F.ceil(n * rules.threshold / rules.whole)
+
+
+def _extra(n):
+    return F.floor(n / 20) + 1
