@@ -16,14 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from autoprofile.llm.common import column, settle, text_parts
+from autoprofile.llm.common import column, nullable, settle, text_parts
 
 ORDER = 5
 SYMBOL_BITS = 12
 SEPARATOR, RARE = 0, 1
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1000
-PART_BYTES = 2 << 20
+PART_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -221,7 +221,7 @@ def _grams(symbol_of: np.ndarray):
     """Counts of the n-grams of the highest order, by language, for a part of a task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in text_parts(batches, "t", 4 * PART_BYTES):
+        for part in text_parts(batches, "t", 8 * PART_BYTES):
             labels = np.array(part["label"].to_pylist(), dtype=object)
             for name in sorted(set(labels)):
                 texts = [t for t, own in zip(part["t"].to_pylist(), labels == name, strict=True)
@@ -344,13 +344,13 @@ def _judged(source: DataFrame, keep: list[str], model: Model, spark: SparkSessio
                  pa.array(rejected, pa.bool_())],
                 names=[f"c{i}" for i in range(kept + 4)],
             )
-            yield from table.to_batches(max_chunksize=10_000)
+            yield from table.to_batches(max_chunksize=1024)
 
-    schema = source.select(
+    schema = nullable(source.select(
         *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)],
         F.lit("").alias(f"c{kept}"), F.lit(0.0).alias(f"c{kept + 1}"),
         F.lit(0.0).alias(f"c{kept + 2}"), F.lit(True).alias(f"c{kept + 3}"),
-    ).schema
+    ))
     return source.mapInArrow(run, schema)
 
 
