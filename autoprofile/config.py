@@ -64,6 +64,9 @@ class SemanticRules:
     match: str = "token"
     #: also describe identifier columns, as entities
     include_identifiers: bool = False
+    #: values listed for a dimension, and dimensions whose values are counted as KPIs
+    dimension_values: int = 50
+    count_kpis: int = 2
 
 
 @dataclass(frozen=True)
@@ -80,8 +83,32 @@ class AnalysisRules:
 
 @dataclass(frozen=True)
 class ChartRules:
+    """How many charts of each kind there are at most, and what they show."""
+
     max_charts: int = 30
     max_scatter_points: int = 5000
+    histograms: int = 6
+    box_plots: int = 6
+    bar_charts: int = 6
+    bar_categories: int = 15
+    trends_per_time_column: int = 3
+    scatter_plots: int = 2
+    segment_bars: int = 4
+    kpi_measures: int = 6
+
+
+@dataclass(frozen=True)
+class InsightRules:
+    """From where on a finding is worth a sentence, and how many of a kind there are."""
+
+    high_null_pct: float = 30
+    extreme_factor: float = 5
+    correlations: int = 3
+    trends_per_time_column: int = 2
+    min_trend_r2: float = 0.5
+    segment_results: int = 3
+    dominant_pct: float = 60
+    names: int = 5
 
 
 @dataclass(frozen=True)
@@ -97,6 +124,7 @@ class Config:
     semantic: SemanticRules = field(default_factory=SemanticRules)
     analysis: AnalysisRules = field(default_factory=AnalysisRules)
     charts: ChartRules = field(default_factory=ChartRules)
+    insights: InsightRules = field(default_factory=InsightRules)
     report: ReportRules = field(default_factory=ReportRules)
 
     @classmethod

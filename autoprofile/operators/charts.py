@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from autoprofile import messages
+from autoprofile.config import ChartRules
 from autoprofile.functions.coerce import nan_to_null, number_columns, quoted, value_kind
 from autoprofile.operators.numbers import Distribution, distributions
 from autoprofile.operators.wide import empty_frame, local_frame, per_column, pin
@@ -20,15 +21,6 @@ SAMPLE_SEED = 42
 DRAW_DIGITS = 12
 HISTOGRAM_SCHEMA = "column string, bin int, bin_from double, bin_to double, count long"
 
-# How many charts of each kind, in this order.
-HISTOGRAMS = 6
-BOX_PLOTS = 6
-BAR_CHARTS = 6
-TRENDS_PER_TIME_COLUMN = 3
-SCATTER_PLOTS = 2
-SEGMENT_BARS = 4
-KPI_MEASURES = 6
-
 
 def null_ranking(catalog: DataFrame) -> DataFrame:
     """Analysed columns with nulls, the emptiest first."""
@@ -242,9 +234,11 @@ def scatter_fit(
 # ------------------------------------------------------------------ KPI card and chart plan
 
 
-def kpi_card(df: DataFrame, measures: list[str], digits: int = 4) -> DataFrame:
+def kpi_card(
+    df: DataFrame, measures: list[str], digits: int = 4, rules: ChartRules = ChartRules()
+) -> DataFrame:
     """Sum of the first measures that hold any number."""
-    shown = measures[:KPI_MEASURES]
+    shown = measures[: rules.kpi_measures]
     facts = [
         [F.lit(name).alias("column"), F.round(F.sum(value), digits).alias("total")]
         for name, value in number_columns(df, shown).items()
@@ -253,9 +247,14 @@ def kpi_card(df: DataFrame, measures: list[str], digits: int = 4) -> DataFrame:
     return per_column(df, facts, fields_per_column=1, schema=schema).where(F.col("total").isNotNull())
 
 
-def kpi_card_of(spark: SparkSession, found: list[Distribution], digits: int = 4) -> DataFrame:
+def kpi_card_of(
+    spark: SparkSession,
+    found: list[Distribution],
+    digits: int = 4,
+    rules: ChartRules = ChartRules(),
+) -> DataFrame:
     """The same from distributions, without a scan."""
-    rows = [(d.column, d.sum) for d in found[:KPI_MEASURES] if d.sum is not None]
+    rows = [(d.column, d.sum) for d in found[: rules.kpi_measures] if d.sum is not None]
     totals = local_frame(spark, rows, "column string, total double")
     return totals.withColumn("total", F.round("total", digits))
 
@@ -267,7 +266,7 @@ def chart_plan(
     trends: list[tuple[str, str]],
     strong_pairs: list[tuple[str, str]],
     segments: list[tuple[str, str]],
-    max_charts: int = 30,
+    rules: ChartRules = ChartRules(),
 ) -> DataFrame:
     """Which charts to draw, in order, with the columns each one reads.
 
@@ -278,30 +277,30 @@ def chart_plan(
     gaps = [r["column"] for r in null_ranking(catalog).collect()]
     if gaps:
         plan.append(("bar_horizontal", messages.NULLS_CHART, gaps))
-    for d in found[:HISTOGRAMS]:
+    for d in found[: rules.histograms]:
         if d.count >= MIN_HISTOGRAM_VALUES:
             plan.append(("histogram", messages.HISTOGRAM_CHART.format(d.column), [d.column]))
-    for d in found[:BOX_PLOTS]:
+    for d in found[: rules.box_plots]:
         if d.count >= 10:
             plan.append(("box", messages.BOX_CHART.format(d.column), [d.column]))
-    for name in dimensions[:BAR_CHARTS]:
+    for name in dimensions[: rules.bar_charts]:
         plan.append(("bar", messages.BAR_CHART.format(name), [name]))
     seen: dict[str, int] = {}
     for time_column, measure in trends:
         seen[time_column] = seen.get(time_column, 0) + 1
-        if seen[time_column] <= TRENDS_PER_TIME_COLUMN:
+        if seen[time_column] <= rules.trends_per_time_column:
             plan.append(("line", messages.LINE_CHART.format(measure), [time_column, measure]))
     if len(found) >= 2:
         plan.append(("heatmap", messages.HEATMAP_CHART, [d.column for d in found]))
-    for x, y in strong_pairs[:SCATTER_PLOTS]:
+    for x, y in strong_pairs[: rules.scatter_plots]:
         plan.append(("scatter", messages.SCATTER_CHART.format(x, y), [x, y]))
-    for dimension, measure in segments[:SEGMENT_BARS]:
+    for dimension, measure in segments[: rules.segment_bars]:
         title = messages.SEGMENT_CHART.format(measure, dimension)
         plan.append(("bar_segment", title, [dimension, measure]))
-    totals = [d.column for d in found[:KPI_MEASURES] if d.count]
+    totals = [d.column for d in found[: rules.kpi_measures] if d.count]
     if totals:
         plan.append(("kpi_card", messages.KPI_CHART, totals))
-    rows = [(i + 1, *entry) for i, entry in enumerate(plan[:max_charts])]
+    rows = [(i + 1, *entry) for i, entry in enumerate(plan[: rules.max_charts])]
     return local_frame(
         catalog.sparkSession,
         rows,

@@ -12,17 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autoprofile import messages
-
-# Limits of the rules.
-HIGH_NULL_PCT = 30
-EXTREME_FACTOR = 5
-CORRELATIONS_SHOWN = 3
-TRENDS_PER_TIME_COLUMN = 2
-MIN_TREND_R2 = 0.5
-SEGMENT_RESULTS = 3
-DOMINANT_PCT = 60
-NAMES_SHOWN = 5
-
+from autoprofile.config import InsightRules
 
 def _finding(
     rule_no: int, item_no: Column, priority: int, category: str, title: Column, detail: Column,
@@ -57,14 +47,14 @@ def overview_insight(summary: DataFrame) -> DataFrame:
     )
 
 
-def null_insight(columns: DataFrame) -> DataFrame:
+def null_insight(columns: DataFrame, rules: InsightRules = InsightRules()) -> DataFrame:
     """One finding for all columns with many nulls.  ``columns``: position, column, null_pct."""
     named = F.format_string("'%s' (%.0f%%)", "column", "null_pct")
-    high = columns.where(F.col("null_pct") > HIGH_NULL_PCT).agg(
+    high = columns.where(F.col("null_pct") > rules.high_null_pct).agg(
         F.count(F.lit(1)).alias("found"),
         F.array_sort(F.collect_list(F.struct("position", named.alias("text")))).alias("names"),
     )
-    first = F.array_join(F.transform(F.slice("names", 1, NAMES_SHOWN), lambda n: n["text"]), ", ")
+    first = F.array_join(F.transform(F.slice("names", 1, rules.names), lambda n: n["text"]), ", ")
     return high.where(F.col("found") > 0).select(
         *_finding(
             2, F.lit(0), 2, "Data Quality",
@@ -75,10 +65,12 @@ def null_insight(columns: DataFrame) -> DataFrame:
     )
 
 
-def extreme_insights(columns: DataFrame, numbers: DataFrame) -> DataFrame:
+def extreme_insights(
+    columns: DataFrame, numbers: DataFrame, rules: InsightRules = InsightRules()
+) -> DataFrame:
     """``numbers``: rounded numeric summary (column, mean, max)."""
     mean, top = F.col("mean"), F.col("max")
-    extreme = (mean != 0) & (top != 0) & (top > mean * EXTREME_FACTOR)
+    extreme = (mean != 0) & (top != 0) & (top > mean * rules.extreme_factor)
     return (
         columns.select("position", "column")
         .join(F.broadcast(numbers), "column")
@@ -97,12 +89,14 @@ def extreme_insights(columns: DataFrame, numbers: DataFrame) -> DataFrame:
     )
 
 
-def correlation_insights(strong: DataFrame) -> DataFrame:
+def correlation_insights(
+    strong: DataFrame, rules: InsightRules = InsightRules()
+) -> DataFrame:
     """``strong``: strong pairs with their matrix position (i, j)."""
     order = Window.orderBy("i", "j")  # pairs of columns, not table rows
     return (
         strong.withColumn("place", F.row_number().over(order))
-        .where(F.col("place") <= CORRELATIONS_SHOWN)
+        .where(F.col("place") <= rules.correlations)
         .select(
             *_finding(
                 4, F.col("place"), 3, "Correlation",
@@ -117,15 +111,17 @@ def correlation_insights(strong: DataFrame) -> DataFrame:
     )
 
 
-def trend_insights(trends: DataFrame, time_columns: list[str]) -> DataFrame:
-    """First two measures of every time column, if a line explains most of the variance."""
+def trend_insights(
+    trends: DataFrame, time_columns: list[str], rules: InsightRules = InsightRules()
+) -> DataFrame:
+    """The first measures of every time column, if a line explains most of the variance."""
     r2 = F.col("r_squared")
     position = F.array_position(F.array(*[F.lit(t) for t in time_columns]), F.col("time_column"))
     return trends.where(
-        (F.col("measure_no") < TRENDS_PER_TIME_COLUMN) & (r2 > MIN_TREND_R2)
+        (F.col("measure_no") < rules.trends_per_time_column) & (r2 > rules.min_trend_r2)
     ).select(
         *_finding(
-            5, position * TRENDS_PER_TIME_COLUMN + F.col("measure_no"), 3, "Trend",
+            5, position * rules.trends_per_time_column + F.col("measure_no"), 3, "Trend",
             F.format_string(messages.TREND_TITLE, "measure", "trend_direction", r2),
             F.format_string(messages.TREND_DETAIL, r2 * 100, "measure"),
             0.85, F.col("measure"), r2,
@@ -133,8 +129,8 @@ def trend_insights(trends: DataFrame, time_columns: list[str]) -> DataFrame:
     )
 
 
-def segment_insights(grid: DataFrame) -> DataFrame:
-    """Share of the top segment in the segments shown, first three combinations."""
+def segment_insights(grid: DataFrame, rules: InsightRules = InsightRules()) -> DataFrame:
+    """Share of the top segment in the segments shown, first combinations."""
     shown = Window.partitionBy("dimension_no", "measure_no")  # at most top_n rows
     combinations = Window.orderBy("dimension_no", "measure_no")
     share = F.try_divide(F.col("total") * 100, F.col("shown_total"))
@@ -142,7 +138,7 @@ def segment_insights(grid: DataFrame) -> DataFrame:
         grid.withColumn("shown_total", F.sum("total").over(shown))
         .where(F.col("rank") == 1)
         .withColumn("result_no", F.row_number().over(combinations))
-        .where((F.col("result_no") <= SEGMENT_RESULTS) & (F.col("shown_total") != 0))
+        .where((F.col("result_no") <= rules.segment_results) & (F.col("shown_total") != 0))
         .withColumn("share", share)
         .select(
             *_finding(
@@ -155,12 +151,14 @@ def segment_insights(grid: DataFrame) -> DataFrame:
     )
 
 
-def dominant_insights(columns: DataFrame, tops: DataFrame) -> DataFrame:
+def dominant_insights(
+    columns: DataFrame, tops: DataFrame, rules: InsightRules = InsightRules()
+) -> DataFrame:
     """``tops``: column, top_value, top_value_pct of categorical and boolean columns."""
     return (
         columns.select("position", "column")
         .join(F.broadcast(tops), "column")
-        .where(F.col("top_value_pct") > DOMINANT_PCT)
+        .where(F.col("top_value_pct") > rules.dominant_pct)
         .select(
             *_finding(
                 7, F.col("position"), 4, "Distribution",

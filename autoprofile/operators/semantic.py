@@ -247,7 +247,8 @@ def _first_measure(words: tuple[str, ...]) -> Column:
 
 def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
     """Totals, averages, revenue per unit and record counts the fields allow."""
-    if not (config or Config()).semantic.auto_kpis:
+    rules = (config or Config()).semantic
+    if not rules.auto_kpis:
         return empty_frame(fields.sparkSession, KPI_SCHEMA)
     raw, semantic = F.col("raw_column"), F.col("semantic_name")
     plain = _plain(raw)
@@ -282,7 +283,7 @@ def kpi_catalog(fields: DataFrame, config: Config | None = None) -> DataFrame:
             )
         )
     )
-    counts = dimensions.orderBy("ordinal").limit(2).select(
+    counts = dimensions.orderBy("ordinal").limit(rules.count_kpis).select(
         *_kpi(
             4, messages.COUNT_KPI, [semantic], [raw], [plain], F.lit("number"), F.array(),
             "count_by",

@@ -17,7 +17,6 @@ from autoprofile.operators.catalog import analysis_columns, column_catalog, type
 from autoprofile.operators.correlation import mirrored, strong_of, upper_triangle
 from autoprofile.operators.dates import with_timestamps
 from autoprofile.operators.frequencies import (
-    BAR_CATEGORIES,
     category_share,
     dimension_values_of,
     top_texts,
@@ -135,8 +134,8 @@ def analyze(
         )
         triangle_job = sections.submit(_correlations, df, measures, cfg)
         series_job = sections.submit(_series_and_trends, dated, times, measures, cfg)
-        texts = [c for c in dimensions[: charts.BAR_CHARTS] if c not in valued]
-        texts_job = sections.submit(lambda: pin(top_texts(df, texts, BAR_CATEGORIES)))
+        texts = [c for c in dimensions[: cfg.charts.bar_charts] if c not in valued]
+        texts_job = sections.submit(lambda: pin(top_texts(df, texts, cfg.charts.bar_categories)))
         grid_job = sections.submit(
             lambda: pin(first_grid(df, dimensions, measures, cfg.analysis))
         )
@@ -186,18 +185,19 @@ def analyze(
             cfg, catalog, found, dimensions, trends, times, measures, strong_pairs, grid
         ),
         null_ranking=charts.null_ranking(catalog),
-        histograms=charts.histogram_of(df, found[: charts.HISTOGRAMS]),
-        histogram_notes=charts.histogram_notes(df, found[: charts.HISTOGRAMS]),
-        box_stats=box_frame(df, found[: charts.BOX_PLOTS], outliers),
+        histograms=charts.histogram_of(df, found[: cfg.charts.histograms]),
+        histogram_notes=charts.histogram_notes(df, found[: cfg.charts.histograms]),
+        box_stats=box_frame(df, found[: cfg.charts.box_plots], outliers),
         category_bars=category_share(
             top.unionByName(text_bars).where(
-                F.col("column").isin(*dimensions[: charts.BAR_CHARTS])
-            )
+                F.col("column").isin(*dimensions[: cfg.charts.bar_charts])
+            ),
+            cfg.charts.bar_categories,
         ),
-        segment_bars=segment_bars(grid),
+        segment_bars=segment_bars(grid, cfg.charts.segment_bars),
         scatter_points=_scatter_points(df, strong_pairs, dimensions, cfg),
-        scatter_fits=_scatter_fits(df, strong_pairs, dimensions),
-        kpi_card=charts.kpi_card_of(spark, found),
+        scatter_fits=_scatter_fits(df, strong_pairs, dimensions, cfg),
+        kpi_card=charts.kpi_card_of(spark, found, rules=cfg.charts),
     )
 
 
@@ -241,8 +241,8 @@ def _label_counts(df: DataFrame, catalog: DataFrame, valued: list[str]) -> DataF
 
 def _labels(counts_job, catalog: DataFrame, cfg: Config):
     counts = counts_job.result()
-    top = pin(with_share(counts, max(cfg.analysis.top_n, BAR_CATEGORIES)))
-    known = pin(dimension_values_of(counts))
+    top = pin(with_share(counts, max(cfg.analysis.top_n, cfg.charts.bar_categories)))
+    known = pin(dimension_values_of(counts, cfg.semantic.dimension_values))
     semantic = pin(semantic_fields(catalog, cfg, known))
     return top, semantic, pin(kpi_catalog(semantic, cfg))
 
@@ -287,16 +287,17 @@ def _ranked_insights(
         F.round(r, 4).alias("correlation"),
         F.when(r >= limit, "strong positive").otherwise("strong negative").alias("strength"),
     )
+    limits = cfg.insights
     rules = [
         insights.overview_insight(summary),
-        insights.null_insight(positions),
-        insights.extreme_insights(positions, numbers),
-        insights.correlation_insights(strong),
-        insights.segment_insights(grid),
-        insights.dominant_insights(positions, tops),
+        insights.null_insight(positions, limits),
+        insights.extreme_insights(positions, numbers, limits),
+        insights.correlation_insights(strong, limits),
+        insights.segment_insights(grid, limits),
+        insights.dominant_insights(positions, tops, limits),
     ]
     if times:
-        rules.append(insights.trend_insights(trends, times))
+        rules.append(insights.trend_insights(trends, times, limits))
     return pin(insights.ranked(rules, cfg.report.max_insights))
 
 
@@ -313,7 +314,7 @@ def _chart_plan(
         [(t, m) for t in times for m in measures if (t, m) in have_trend],
         strong_pairs,
         [(d, m) for _, _, d, m in sorted(drawn)],
-        cfg.charts.max_charts,
+        cfg.charts,
     )
 
 
@@ -325,7 +326,7 @@ def _scatter_points(
         df.sparkSession,
         "x double, y double, color string, x_column string, y_column string",
     )
-    for x, y in strong_pairs[: charts.SCATTER_PLOTS]:
+    for x, y in strong_pairs[: cfg.charts.scatter_plots]:
         drawn = charts.scatter_sample(df, x, y, color, cfg.charts.max_scatter_points)
         points = points.unionByName(
             drawn.withColumn("x_column", F.lit(x)).withColumn("y_column", F.lit(y))
@@ -334,7 +335,7 @@ def _scatter_points(
 
 
 def _scatter_fits(
-    df: DataFrame, strong_pairs: list[tuple[str, str]], dimensions: list[str]
+    df: DataFrame, strong_pairs: list[tuple[str, str]], dimensions: list[str], cfg: Config
 ) -> DataFrame:
     color = dimensions[0] if dimensions else None
     parts = empty_frame(
@@ -342,7 +343,7 @@ def _scatter_fits(
         "x_column string, y_column string, color string, points long, slope double, "
         "intercept double",
     )
-    for x, y in strong_pairs[: charts.SCATTER_PLOTS]:
+    for x, y in strong_pairs[: cfg.charts.scatter_plots]:
         fit = charts.scatter_fit(df, x, y, color)
         parts = parts.unionByName(
             fit.withColumn("x_column", F.lit(x)).withColumn("y_column", F.lit(y))
