@@ -1,4 +1,6 @@
-"""The wording of results, as format strings.
+"""The wording of results, as format strings.
+
+Fixed values: all but the ``*_DETAIL`` texts and NESTED_COLUMN, which are our own wording.
 
 ``%`` placeholders are filled by ``F.format_string``; texts with thousands separators are
 put together with ``F.format_number`` where they are used.
