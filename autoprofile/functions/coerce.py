@@ -107,13 +107,22 @@ def text_number(text: Column, strip_commas: bool = True) -> Column:
     )
 
 
+def maybe_date(text: Column) -> Column:
+    """The stripped text if it begins as a date does, else NULL."""
+    stripped = strip(text)
+    return F.when(stripped.rlike(r"^(\d|[A-Z][a-z]{2} )"), stripped)
+
+
 def layout_timestamps(text: Column) -> list[Column]:
     """For each layout, ISO first, the date or time that ``text`` writes in it, else NULL."""
-    stripped = strip(text)
-    dated = stripped.rlike(r"^(\d|[A-Z][a-z]{2} )")
-    found = [F.when(dated & stripped.rlike(ISO_PATTERN), stripped.try_cast("timestamp"))]
+    return timestamps_of(maybe_date(text))
+
+
+def timestamps_of(candidate: Column) -> list[Column]:
+    """The same from :func:`maybe_date`."""
+    found = [F.when(candidate.rlike(ISO_PATTERN), candidate.try_cast("timestamp"))]
     return found + [
-        F.when(dated & stripped.rlike(shape), F.try_to_timestamp(stripped, F.lit(layout)))
+        F.when(candidate.rlike(shape), F.try_to_timestamp(candidate, F.lit(layout)))
         for shape, layout in DATE_LAYOUTS
     ]
 

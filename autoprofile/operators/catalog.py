@@ -13,6 +13,7 @@ from autoprofile import messages
 from autoprofile.config import Config, SchemaRules
 from autoprofile.functions.coerce import (
     family,
+    maybe_date,
     nan_to_null,
     quoted,
     strip,
@@ -84,14 +85,23 @@ def column_facts(df: DataFrame, rules: SchemaRules, sketch: bool = False) -> Dat
     words = _truth_words(rules)
     nothing = F.lit(None).cast("long")
     facts = []
+    # what several tests look at is computed once per value, below the aggregation
+    prepared = df.select(
+        *[quoted(f.name).alias(f"v{i}") for i, f in enumerate(df.schema)],
+        *[
+            maybe_date(quoted(f.name)).alias(f"d{i}")
+            for i, f in enumerate(df.schema)
+            if family(f.dataType) == "string"
+        ],
+    )
     for ordinal, field in enumerate(df.schema):
-        column, kind = quoted(field.name), family(field.dataType)
+        column, kind = F.col(f"v{ordinal}"), family(field.dataType)
         beyond_01 = not_word = dates = numbers = estimate = nothing
         if kind == "number":
             beyond_01 = F.count_if(~column.isin(0, 1))
         elif kind == "string":
             not_word = F.count_if(~truth_word(column, words))
-            dates = F.array_max(layout_counts(column))
+            dates = F.array_max(layout_counts(F.col(f"d{ordinal}")))
             numbers = F.count(text_number(column))
         if sketch and value_kind(field.dataType) is not None:
             estimate = _sketched(column)
@@ -108,7 +118,7 @@ def column_facts(df: DataFrame, rules: SchemaRules, sketch: bool = False) -> Dat
             numbers.alias("number_count"),
             estimate.alias("estimated_count"),
         ])
-    return per_column(df, facts, fields_per_column=8, schema=FACTS_SCHEMA)
+    return per_column(prepared, facts, fields_per_column=8, schema=FACTS_SCHEMA)
 
 
 # ------------------------------------------------------------------ distinct values

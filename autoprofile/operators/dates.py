@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import as_timestamp, family, layout_timestamps, quoted
+from autoprofile.functions.coerce import (
+    as_timestamp,
+    family,
+    maybe_date,
+    quoted,
+    timestamps_of,
+)
 from autoprofile.operators.wide import per_column
 
 
-def layout_counts(text: Column) -> Column:
-    """Aggregate: how many values each layout reads."""
-    return F.array(*[F.count(found) for found in layout_timestamps(text)])
+def layout_counts(candidate: Column) -> Column:
+    """Aggregate over :func:`maybe_date`: how many values each layout reads."""
+    return F.array(*[F.count(found) for found in timestamps_of(candidate)])
 
 
 def date_layouts(df: DataFrame, names: list[str]) -> dict[str, int | None]:
@@ -22,11 +28,13 @@ def date_layouts(df: DataFrame, names: list[str]) -> dict[str, int | None]:
     texts = [n for n in names if family(df.schema[n].dataType) == "string"]
     if not texts:
         return {}
+    candidates = df.select(*[maybe_date(quoted(n)).alias(f"t{i}") for i, n in enumerate(texts)])
     facts = [
-        [F.lit(n).alias("name"), layout_counts(quoted(n)).alias("counts")] for n in texts
+        [F.lit(n).alias("name"), layout_counts(F.col(f"t{i}")).alias("counts")]
+        for i, n in enumerate(texts)
     ]
     found = {}
-    for row in per_column(df, facts, fields_per_column=10).collect():
+    for row in per_column(candidates, facts, fields_per_column=10).collect():
         most = max(row["counts"])
         found[row["name"]] = row["counts"].index(most) if most else None
     return found
