@@ -32,6 +32,22 @@ PATTERNS = {
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|[ -]\d)",
 }
 
+#: groups in a row that may hold several numbers with check digits, and what stands beside them
+RUNS = {
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}[A-Z0-9]{0,31}+(?!\w)(?: [A-Z0-9]{1,35}+(?!\w))*+",
+    "card": r"(?<![\w.])(?=\d(?:[ -]?\d){12})\d{1,19}+(?!\w)(?:[ -]\d{1,19}+(?!\w))*+",
+}
+#: card numbers as they are written: in one, 4-4-4-4, 4-6-5 or 4-6-4 digits
+CARD_LAYOUTS = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: characters of an IBAN by country
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
 
 @dataclass(frozen=True)
 class PseudonymRules:
@@ -336,6 +352,132 @@ def pseudonym(text: Column, kind: Column, rules: PseudonymRules) -> Column:
     return out
 
 
+def _card_fits(text: Column, layouts: bool) -> Column:
+    digits = _digits(text)
+    fits = F.length(digits).between(13, 19)
+    if layouts:
+        fits &= text.rlike(CARD_LAYOUTS)
+    return fits & F.when(fits, luhn_valid(digits))
+
+
+def _iban_fits(text: Column, of_country: bool) -> Column:
+    fits = text.rlike(_whole(PATTERNS["iban"]))
+    if of_country:
+        size = F.length(F.regexp_replace(text, " ", ""))
+        country = F.substring(text, 1, 2)
+        fits &= F.coalesce(*[
+            F.when(country.isin(names.split()), size == n) for n, names in IBAN_LENGTHS.items()
+        ], F.lit(False))
+    return fits & F.when(fits, _iban_rest(*_iban_parts(text)) == 1)
+
+
+def _parts(run: Column, kind: str, groups: str, begin: str, most: int, fits: list) -> Column:
+    """A run taken apart: structs of a text and its kind, NULL for what is none.
+
+    From left to right, the groups from each one on that fit together are one number: by the
+    first rule in ``fits`` that any count of groups (at most ``most``) meets, the longest.
+    """
+
+    def taken_apart(tokens: Column) -> Column:
+        def joined(start: Column, n: Column) -> Column:
+            return F.array_join(F.slice(tokens, start + 1, n), "")
+
+        def part(text: Column, of: str | None) -> Column:
+            return F.struct(text.alias("old"), F.lit(of).cast("string").alias("kind"))
+
+        def turn(state: Column, i: Column) -> Column:
+            counts = F.sequence(F.least(F.lit(most), F.size(tokens) - i), F.lit(1), F.lit(-1))
+            texts = F.transform(
+                counts,
+                lambda n: F.struct(n.alias("n"), F.ltrim(joined(i, n), F.lit(" -")).alias("s")),
+            )
+
+            def chosen(own: Column) -> Column:
+                def first(rule: Callable[[Column], Column]) -> Column:
+                    return F.get(F.filter(own, lambda x: rule(x["s"])), F.lit(0))
+
+                return F.coalesce(*map(first, fits))
+
+            def taken(x: Column) -> Column:
+                before = F.concat(
+                    joined(state["until"], i - state["until"]),
+                    F.regexp_extract(F.get(tokens, i), "^[ -]?", 0),
+                )
+                more = F.concat(state["parts"], F.array(part(before, None), part(x["s"], kind)))
+                return F.when(x.isNotNull(), F.struct(
+                    (i + x["n"]).alias("until"), more.alias("parts")
+                )).otherwise(state)
+
+            tried = (i >= state["until"]) & F.get(tokens, i).rlike(begin)
+            return F.when(tried, _once(_once(texts, chosen), taken)).otherwise(state)
+
+        start = F.struct(
+            F.lit(0).alias("until"),
+            F.array().cast("array<struct<old:string,kind:string>>").alias("parts"),
+        )
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(tokens) - 1), start, turn,
+            lambda s: F.concat(s["parts"], F.array(
+                part(joined(s["until"], F.size(tokens) - s["until"]), None)
+            )),
+        )
+
+    return _once(F.regexp_extract_all(run, F.lit(groups), F.lit(0)), taken_apart)
+
+
+def _cards(run: Column, layouts: bool) -> Column:
+    # the layouts have up to four groups
+    fits = [lambda x: _card_fits(x, layouts)]
+    return _parts(run, "card", r"[ -]?\d+", r"\d", 4 if layouts else 19, fits)
+
+
+def _ibans(run: Column) -> Column:
+    fits = [lambda x: _iban_fits(x, True), lambda x: _iban_fits(x, False)]
+    return _parts(run, "iban", " ?[A-Z0-9]+", r"^ ?[A-Z]{2}\d{2}", 9, fits)
+
+
+def _passes(rules: PseudonymRules) -> list[tuple[str, tuple[str, ...], Callable]]:
+    """Patterns, the kinds that they find, and how a candidate is taken apart, one after the
+    other: each searches what the earlier ones left."""
+
+    def simple(kinds: tuple[str, ...]) -> tuple[str, tuple[str, ...], Callable]:
+        pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
+        # the patterns count their groups from the first of all
+        pattern = pattern.replace(r"([./])\d{1,2}\1", r"(?<mark>[./])\d{1,2}\k<mark>")
+        own = PseudonymRules(rules.key, kinds, rules.rounds)
+        return pattern, kinds, lambda x: F.array(
+            F.struct(x.alias("old"), kind_of(x, own).alias("kind"))
+        )
+
+    def runs(x: Column) -> Column:
+        if checked == ("iban",):
+            return _ibans(x)
+        cards = _cards(x, True)
+        return F.when(x.rlike("^[A-Z]"), _ibans(x)).otherwise(cards) if checked[1:] else cards
+
+    checked = tuple(k for k in rules.kinds if k in RUNS)
+    # a group behind + belongs to a telephone number as long as that may be one
+    written = "|".join(f"(?:{RUNS[k]})" for k in checked).replace(r"(?<![\w.])", r"(?<![\w.+])")
+    passes = [
+        simple(tuple(k for k in rules.kinds if k == "email")),
+        (written, checked, runs),
+        simple(tuple(k for k in rules.kinds if k != "email" and k not in RUNS)),
+        (RUNS["card"], tuple(k for k in checked if k == "card"), lambda x: _cards(x, False)),
+    ]
+    return [p for p in passes if p[1]]
+
+
+def _filled(text: Column, mark: str, new: Column) -> Column:
+    """The text with the values in place of the marks."""
+    return F.array_join(
+        F.zip_with(
+            F.split(text, mark), new,
+            lambda between, x: F.concat(between, F.coalesce(x, F.lit(""))),
+        ),
+        "",
+    )
+
+
 def pseudonymise(
     df: DataFrame, rules: PseudonymRules, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
 ) -> DataFrame:
@@ -345,39 +487,74 @@ def pseudonymise(
     to 2099), social security numbers (ranges), telephone numbers (7 to 15 digits), card numbers
     (check digit).  Other numbers, and everything else, stay as they are; a null text stays null
     with nothing replaced.  Texts are searched whole; repeated rows give repeated results.
+
+    Groups of digits that stand side by side are tried from left to right for card numbers in
+    their usual layouts, then, where no other kind is found, for any groups that together pass
+    the check; groups of four after a country code likewise for IBANs, of the country's length
+    first.  A group is never cut.
     """
-    pattern = "|".join(f"(?:{PATTERNS[k]})" for k in rules.kinds)
-    # the patterns count their groups from the first of all
-    pattern = pattern.replace(r"([./])\d{1,2}\1", r"(?<mark>[./])\d{1,2}\k<mark>")
+    passes = _passes(rules)
+    # what is replaced leaves a mark to later passes; marks of the text itself come back last
+    first = 0xE000
+    marks = [chr(first + i) for i in range(len(passes) + 1)]
+    own_marks = f"[{marks[0]}-{marks[-1]}]"
     rows = df.select(
         *[column(df, c).alias(f"k{i}") for i, c in enumerate(keep)],
         column(df, text).cast("string").alias("t"),
     )
     t = F.col("t")
     none = F.array().cast("array<string>")
-    candidate = t.rlike("[0-9@]") & t.rlike(pattern)
+    rows = rows.withColumn("candidate", F.coalesce(t.rlike("[0-9@]"), F.lit(False)))
+    rows = rows.withColumn("own", F.when(
+        F.col("candidate") & t.rlike(own_marks),
+        F.regexp_extract_all("t", F.lit(own_marks), F.lit(0)),
+    ))
     rows = rows.withColumn(
-        "found", F.when(candidate, F.regexp_extract_all("t", F.lit(pattern), F.lit(0)))
-    )
-    replaced = F.transform(
-        F.col("found"),
-        lambda x: _once(
-            kind_of(x, rules),
-            lambda kind: F.struct(pseudonym(x, kind, rules).alias("new"), kind.alias("kind")),
-        ),
-    )
-    rows = rows.withColumn("new", F.when(F.col("found").isNotNull(), replaced))
-    joined = F.array_join(
-        F.zip_with(
-            F.split("t", pattern), F.col("new"),
-            lambda between, x: F.concat(between, F.coalesce(x["new"], F.lit(""))),
-        ),
-        "",
+        "w", F.when(F.col("own").isNotNull(), F.regexp_replace("t", own_marks, marks[0]))
+        .otherwise(t),
     )
-    kinds = F.filter(F.col("new.kind"), lambda k: k.isNotNull())
-    return rows.select(
+
+    def marked(parts: Column, mark: str) -> Column:
+        return F.array_join(F.transform(
+            parts, lambda p: F.when(p["kind"].isNull(), p["old"]).otherwise(F.lit(mark))
+        ), "")
+
+    def made(part: Column, kinds: tuple[str, ...]) -> Column:
+        own = PseudonymRules(rules.key, kinds, rules.rounds)
+        new = pseudonym(part["old"], part["kind"], own)
+        return F.struct(new.alias("new"), part["kind"].alias("kind"))
+
+    def replaced(found: Column, kinds: tuple[str, ...]) -> Column:
+        of_kind = F.filter(F.flatten(found), lambda p: p["kind"].isNotNull())
+        return F.transform(of_kind, lambda p: made(p, kinds))
+
+    def left(found: Column, mark: str) -> Column:
+        return F.transform(found, lambda parts: marked(parts, mark))
+
+    for i, (pattern, kinds, apart) in enumerate(passes):
+        w, found = F.col("w"), F.col(f"found{i}")
+        parts = F.transform(F.regexp_extract_all("w", F.lit(pattern), F.lit(0)), apart)
+        rows = rows.withColumn(
+            f"found{i}", F.when(F.col("candidate") & w.rlike(pattern), parts)
+        )
+        rows = rows.withColumn(f"new{i}", replaced(found, kinds))
+        rows = rows.withColumn(
+            "w", F.when(
+                found.isNotNull(), _filled(w, pattern, left(found, marks[i + 1]))
+            ).otherwise(w)
+        )
+    for i in reversed(range(len(passes))):
+        w, new = F.col("w"), F.col(f"new{i}.new")
+        rows = rows.withColumn(
+            "w", F.when(F.size(new) > 0, _filled(w, marks[i + 1], new)).otherwise(w)
+        )
+    w = F.when(F.col("own").isNotNull(), _filled(F.col("w"), marks[0], F.col("own")))
+    kinds = F.concat(none, *[
+        F.coalesce(F.col(f"new{i}.kind"), none) for i in range(len(passes))
+    ])
+    return rows.withColumn("found", kinds).select(
         *[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)],
-        F.when(F.col("new").isNotNull(), joined).otherwise(t).alias(text),
-        F.coalesce(F.size(kinds), F.lit(0)).cast("long").alias("n_replaced"),
-        F.coalesce(F.array_sort(F.array_distinct(kinds)), none).alias("kinds"),
+        F.coalesce(w, F.col("w")).alias(text),
+        F.size("found").cast("long").alias("n_replaced"),
+        F.array_sort(F.array_distinct("found")).alias("kinds"),
     )

@@ -89,3 +89,47 @@ def test_several_in_one_text(spark):
     assert row["kinds"] == sorted(FORMATS)
     empty = spark.createDataFrame([], "doc_id int, text string")
     assert P.pseudonymise(empty, RULES).collect() == []
+
+
+CARDS = ["4901293795153942", "4901 2937 9515 3942", "4901-2937-9515-3942", "3782 822463 10005"]
+
+
+def test_cards_beside_other_numbers(spark):
+    """What stands next to a card number neither hides it nor goes with it."""
+    frames = ["{}", "{} 2024", "{} 123", "{} 12/27", "7 {}", "{} 2nd", "{}.50", "no {} {}"]
+    odd = [
+        "49012 93795 15394 2", f"\ue000 {CARDS[0]} \ue003\ue001 1984-02-29 \ue002",
+        "1 2 3 4 5 6 7 8 9 0 " * 200,
+    ]
+    rows = replaced(spark, [f.format(c, c) for c in CARDS for f in frames] + odd)
+    for i, card in enumerate(CARDS):
+        own = rows[i * len(frames):(i + 1) * len(frames)]
+        alone = own[0]["text"]
+        assert alone != card and luhn(re.sub(r"\D", "", alone)) == 0
+        assert [r["text"] for r in own] == [f.format(alone, alone) for f in frames]
+        assert [r["kinds"] for r in own] == [["card"]] * len(frames)
+    groups, marks, long = (r["text"] for r in rows[-3:])
+    assert groups.replace(" ", "") == rows[0]["text"] and rows[0]["text"] in marks
+    assert re.findall("[^0-9-]", marks) == re.findall("[^0-9-]", odd[1])
+    assert re.sub(r"\d", "0", long) == re.sub(r"\d", "0", odd[2])
+
+
+def test_cards_and_ibans_beside_other_kinds(spark):
+    values = ["1984-02-29", "29.02.1984", "123-45-6789", "171-555-2028", "64.147.79.24",
+              "the.72@mail3.example.com", "7536784127813050"]
+    ibans = ["ES91 2100 0418 4502 0005 1332", "DE89 3704 0044 0532 0130 00",
+             "GB82WEST12345698765432"]
+    frames = ["{} EUR 50", "{} 2024", "{} PAY NOW", "IBAN {} BIC ABCDEFGH", "AB12 {}", "{} {}"]
+    frames = [f.format("{0}", "{0}") for f in frames]
+    pairs = [(CARDS[0], v) for v in [*values, *ibans]]
+    pairs += [(v, w) for w, v in pairs]
+    rows = replaced(spark, [
+        CARDS[0], *values, *ibans, *(" ".join(p) for p in pairs),
+        *(f.format(i) for f in frames for i in ibans),
+    ])
+    texts = [r["text"] for r in rows]
+    known = dict(zip([CARDS[0], *values, *ibans], texts))
+    assert all(known[v] != v for v in known)
+    assert texts[len(known):] == [f"{known[a]} {known[b]}" for a, b in pairs] + [
+        f.format(known[i]) for f in frames for i in ibans
+    ]
