@@ -24,6 +24,8 @@ SEPARATOR, RARE = 0, 1
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1000
 PART_BYTES = 1 << 20
+#: hashes that rows are drawn by, and the labelled texts from which on some are held back
+PLACES, HELD_BACK_FROM = 1 << 20, 20
 
 
 @dataclass(frozen=True)
@@ -247,10 +249,16 @@ def _grams(symbol_of: np.ndarray):
     return count
 
 
-def _drawn(key: Column, first: float, last: float) -> Column:
+def _place(key: Column, text: Column) -> Column:
+    """Where a row's hash stands among all: by its key, by its text where that is null."""
+    return F.pmod(
+        F.xxhash64(F.coalesce(key.cast("string"), text), F.lit("language")), F.lit(PLACES)
+    )
+
+
+def _drawn(place: Column, first: float, last: float) -> Column:
     """Whether a row's hash falls between two shares of all hashes."""
-    place = F.pmod(F.xxhash64(key.cast("string"), F.lit("language")), F.lit(1 << 20))
-    return (place >= first * (1 << 20)) & (place < last * (1 << 20))
+    return (place >= first * PLACES) & (place < last * PLACES)
 
 
 def fit(
@@ -263,7 +271,11 @@ def fit(
     """Learn a model from the rows of ``df`` with a label.
 
     At most about ``rules.sample_chars`` code points of each language are counted, whole texts
-    drawn by a hash of their key; so the model's size is bounded, whatever the table's.  Rows
+    drawn by a hash of their key (of the text where that is null); so the model's size is
+    bounded, whatever the table's.  Every label with a text that has a letter is learnt: the
+    first such text by that hash is always drawn.  A language below the bound is learnt from four
+    fifths of its texts, from all of them if there are fewer than ``HELD_BACK_FROM``.  A language
+    with no other text to calibrate on has no limit, so no text is rejected under it.  Rows
     without label or text teach nothing; a table without any gives a model without languages.
     """
     spark = df.sparkSession
@@ -272,11 +284,20 @@ def fit(
         column(df, label).cast("string").alias("label"),
         column(df, key).alias("id"),
     ).filter("t IS NOT NULL AND label IS NOT NULL")
-    sizes = rows.groupBy("label").agg(F.sum(F.length("t")).alias("n"))
+    place = _place(F.col("id"), F.col("t"))
+    sizes = rows.groupBy("label").agg(
+        F.sum(F.length("t")).alias("n"),
+        F.count("*").alias("texts"),
+        F.min(F.when(F.col("t").rlike(r"\p{L}"), place)).alias("first"),
+    )
     sizes = sizes.filter("n > 0").limit(MOST_LANGUAGES + 1).collect()
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    shares = {r["label"]: min(0.8, rules.sample_chars / r["n"]) for r in sizes}
+    shares = {}
+    for r in sizes:
+        most = 0.8 if r["texts"] >= HELD_BACK_FROM else 1.0
+        begin = 0 if r["first"] is None else r["first"] + 1
+        shares[r["label"]] = max(min(most, rules.sample_chars / r["n"]), begin / PLACES)
     if not shares:
         return Model([], np.where(letters(), RARE, SEPARATOR).astype(np.uint16))
 
@@ -284,7 +305,7 @@ def fit(
         chosen = F.lit(False)
         for name, share in shares.items():
             own = F.col("label") == F.lit(name)
-            chosen = chosen | (own & _drawn(F.col("id"), first(share), last(share)))
+            chosen = chosen | (own & _drawn(place, first(share), last(share)))
         return rows.filter(chosen)
 
     sample = settle(part(lambda s: 0, lambda s: s))

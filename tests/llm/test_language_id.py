@@ -75,6 +75,20 @@ def test_folds(spark):
     assert found == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in range(50)}
 
 
+def test_no_language_is_lost(spark):
+    """Labels with one text, with texts far beyond the bound, and with null keys are all learnt."""
+    rnd = random.Random(5)
+    names = [f"l{i:02}" for i in range(40)]
+    letters = {n: chr(0x4E00 + 3 * i) + chr(0x4E01 + 3 * i) for i, n in enumerate(names)}
+    rows = [(i, "".join(rnd.choices(letters[n], k=30)), n) for i, n in enumerate(names)]
+    large = [(100 + i, text_of(rnd, "aa", 60), "aa") for i in range(3)]
+    null = [(None, text_of(rnd, "bb", 60), "bb"), (None, "123", "bb")]
+    df = spark.createDataFrame(rows + large + null, "doc_id long, text string, lang string")
+    model = L.fit(df, rules=L.LanguageRules(sample_chars=20))
+    assert model.languages == sorted([*names, "aa", "bb"])
+    assert model.judge([r[1] for r in rows])[0] == names
+
+
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tables")
 def test_held_out_accuracy(spark):
     documents = spark.read.parquet(f"{SF_DIR}/documents.parquet")
