@@ -18,12 +18,29 @@ from autoprofile.llm.common import column
 #: the first and last day that a date may be; 17 * 4297 days lie between them, both included
 FIRST_DAY, LAST_DAY, DAY_PARTS = "1900-01-01", "2099-12-31", (17, 4297)
 
+MONTHS = (
+    "January February March April May June July August September October November December"
+).split()
+MONTH = (
+    r"(?i:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|june?|july?|aug(?:ust)?"
+    r"|sept?(?:ember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)(?![A-Za-z])"
+)
+MONTH_DAY = r"\d{1,2}(?i:st|nd|rd|th)?(?!\w)"
+#: what stands between a day, a month's name and a year
+APART = r"(?:\.?,?\s{1,3}(?:of\s{1,3})?|\.?,|[-/])"
+
 PATTERNS = {
     "email": r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+)+",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "ip": r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)",
-    "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])",
-    "date": r"(?<![\w./])\d{1,2}([./])\d{1,2}\1\d{4}(?![\w/]|\.\d)",
+    "iso_date": r"(?<![\w-])\d{4}-\d{2}-\d{2}(?:(?=[Tt]\d{2})|(?![\w-]))",
+    "date": (
+        r"(?<![\w./])\d{1,2}(?<mark>[./])\d{1,2}\k<mark>\d{4}(?:(?=[Tt]\d{2})|(?![\w/]|\.\d))"
+        r"|(?<![\w./])\d{4}(?<sign>[./])\d{1,2}\k<sign>\d{1,2}(?:(?=[Tt]\d{2})|(?![\w/]|\.\d))"
+        rf"|(?<!\w)\d{{1,2}}(?i:st|nd|rd|th)?{APART}{MONTH}{APART}\d{{4}}(?!\w)"
+        rf"|(?<!\w){MONTH}{APART}{MONTH_DAY}{APART}\d{{4}}(?!\w)"
+        rf"|(?<!\w)\d{{4}}{APART}{MONTH}{APART}{MONTH_DAY}"
+    ),
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": (
         r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
@@ -249,8 +266,9 @@ def _ssn(text: Column, rules: PseudonymRules) -> Column:
 
 
 def _date_of(text: Column) -> Column:
-    """The day a text names: year first, else day or month first by what is possible, day first
-    where both are; NULL where none is."""
+    """The day a text names: by a month's name, else year first, else day or month first by what
+    is possible, day first where both are; NULL where none is."""
+    name = F.lower(F.substring(F.regexp_extract(text, MONTH, 0), 1, 3))
     parts = F.split(text, "[-./]")
     n = [F.get(parts, F.lit(i)).try_cast("int") for i in range(3)]
 
@@ -260,7 +278,12 @@ def _date_of(text: Column) -> Column:
                         F.lpad(d.cast("string"), 2, "0")), "yyyy-MM-dd")
 
     iso = F.length(F.get(parts, F.lit(0))) == 4
-    return F.when(iso, made(n[0], n[1], n[2])).otherwise(
+    named = made(
+        F.regexp_extract(text, r"\d{4}", 0).try_cast("int"),
+        F.array_position(F.array(*[F.lit(m[:3].lower()) for m in MONTHS]), name).cast("int"),
+        F.regexp_extract(text, r"(?<!\d)\d{1,2}(?!\d)", 0).try_cast("int"),
+    )
+    return F.when(name != "", named).when(iso, made(n[0], n[1], n[2])).otherwise(
         F.coalesce(made(n[2], n[1], n[0]), made(n[2], n[0], n[1]))
     )
 
@@ -269,17 +292,41 @@ def _day_number(text: Column) -> Column:
     return F.datediff(_date_of(text), F.lit(FIRST_DAY).cast("date"))
 
 
+def _named_date(text: Column, day: Column) -> Column:
+    """A day written like a text with a month's name: short or in full, in its case."""
+    word = F.regexp_extract(text, MONTH, 0)
+    full = F.date_format(day, "MMMM")
+    short = (F.length(word) <= 4) & ~F.lower(word).isin("may", "june", "july")
+    month = F.when(short, F.substring(full, 1, 3)).otherwise(full)
+    month = F.when(word == F.upper(word), F.upper(month)).when(
+        word == F.lower(word), F.lower(month)
+    ).otherwise(month)
+    number = F.dayofmonth(day)
+    ending = F.when(number.isin(1, 21, 31), "st").when(number.isin(2, 22), "nd").when(
+        number.isin(3, 23), "rd").otherwise("th")
+    old = F.regexp_extract(text, r"(?<!\d)(\d{1,2})((?i:st|nd|rd|th)?)(?!\w)", 0)
+    padded = F.when(old.startswith("0"), F.lpad(number.cast("string"), 2, "0")).otherwise(
+        number.cast("string")
+    )
+    written = F.concat(padded, F.when(old.rlike("[A-Za-z]"), ending).otherwise(""))
+    text = F.regexp_replace(text, F.lit(MONTH), month)
+    text = F.regexp_replace(text, F.lit(r"\d{4}"), F.date_format(day, "yyyy"))
+    return F.regexp_replace(text, F.lit(r"(?<!\d)\d{1,2}(?i:st|nd|rd|th)?(?!\w)"), written)
+
+
 def _date(text: Column, rules: PseudonymRules) -> Column:
     """The same way of writing; a date that only fits month first stays month first."""
     parts = F.split(text, "[-./]")
-    month_first = F.get(parts, F.lit(1)).cast("int") > 12
+    month_first = F.get(parts, F.lit(1)).try_cast("int") > 12
     mark = F.substring(F.regexp_extract(text, "([-./])", 1), 1, 1)
 
     def written(day: Column) -> Column:
         y, m, d = (f(day).cast("int") for f in (F.year, F.month, F.dayofmonth))
         first, second = F.when(month_first, m).otherwise(d), F.when(month_first, d).otherwise(m)
-        return F.when(
-            F.length(F.get(parts, F.lit(0))) == 4, F.date_format(day, "yyyy-MM-dd")
+        return F.when(text.rlike(MONTH), _named_date(text, day)).when(
+            F.length(F.get(parts, F.lit(0))) == 4,
+            F.concat(F.date_format(day, "yyyy"), mark, F.date_format(day, "MM"), mark,
+                     F.date_format(day, "dd")),
         ).otherwise(
             F.concat(F.lpad(first.cast("string"), 2, "0"), mark,
                      F.lpad(second.cast("string"), 2, "0"), mark,
@@ -442,8 +489,6 @@ def _passes(rules: PseudonymRules) -> list[tuple[str, tuple[str, ...], Callable]
 
     def simple(kinds: tuple[str, ...]) -> tuple[str, tuple[str, ...], Callable]:
         pattern = "|".join(f"(?:{PATTERNS[k]})" for k in kinds)
-        # the patterns count their groups from the first of all
-        pattern = pattern.replace(r"([./])\d{1,2}\1", r"(?<mark>[./])\d{1,2}\k<mark>")
         own = PseudonymRules(rules.key, kinds, rules.rounds)
         return pattern, kinds, lambda x: F.array(
             F.struct(x.alias("old"), kind_of(x, own).alias("kind"))
@@ -488,6 +533,12 @@ def pseudonymise(
     (check digit).  Other numbers, and everything else, stay as they are; a null text stays null
     with nothing replaced.  Texts are searched whole; repeated rows give repeated results.
 
+    Dates are read as yyyy-MM-dd, yyyy/M/d, yyyy.M.d, d.M.yyyy, d/M/yyyy and M/d/yyyy (also with
+    dots), each also before ``T`` and a time, which stays; and with an English month's name, in
+    full or short, as d MMM yyyy, MMM d yyyy and yyyy MMM d, apart by spaces, ``-``, ``/``,
+    commas or ``of``, the day also as 1st.  Not read: years of two digits, d-M-yyyy, dates
+    without marks (yyyyMMdd), without a day or year, and months' names of other languages.
+
     Groups of digits that stand side by side are tried from left to right for card numbers in
     their usual layouts, then, where no other kind is found, for any groups that together pass
     the check; groups of four after a country code likewise for IBANs, of the country's length

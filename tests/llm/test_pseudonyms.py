@@ -133,3 +133,21 @@ def test_cards_and_ibans_beside_other_kinds(spark):
     assert texts[len(known):] == [f"{known[a]} {known[b]}" for a, b in pairs] + [
         f.format(known[i]) for f in frames for i in ibans
     ]
+
+
+def test_layouts_of_dates(spark):
+    """One day in every layout becomes one other day in the same layout."""
+    layouts = ["%Y-%m-%d", "%Y/%m/%d", "%Y.%m.%d", "%d.%m.%Y", "%d/%m/%Y", "%d %B %Y", "%d %b %Y",
+               "%B %d, %Y", "%b. %d %Y", "%d-%b-%Y", "%d/%b/%Y:10:00", "%Y %B %d", "%d of %B %Y",
+               "%Y-%m-%dT10:00:00Z", "%Y/%m/%dT10:00", "%d. %B %Y"]
+    day = datetime.date(1984, 2, 29)
+    odd = ["FEB 29th, 1984", "february 29 1984", "Feb 30 1984", "Maybe 29 1984", "29 Mayor 1984"]
+    rows = replaced(spark, [f"on {day.strftime(f)}, x" for f in layouts] + odd)
+    texts = [r["text"] for r in rows]
+    new = datetime.date.fromisoformat(texts[0][3:13])
+    assert new != day and new.month != 5
+    for f, text in zip(layouts, texts):
+        assert datetime.datetime.strptime(text, f"on {f}, x").date() == new, (f, text)
+    assert re.fullmatch(r"[A-Z]{3} \d+(st|nd|rd|th), \d{4}", texts[-5])
+    assert texts[-4] == f"{new:%B} {new.day} {new.year}".lower()
+    assert texts[-3:] == odd[-3:]
