@@ -22,11 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below the one the cluster names for checkpoints.
 
-    A session without that setting, as in local tests, gets a folder in its warehouse.
+    A session without that setting gets a folder in its warehouse if it runs on one machine, as
+    in tests; elsewhere a machine's own folder would lose tables, so it is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get(
-        "spark.sql.warehouse.dir"
-    )
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/corpus-{uuid.uuid4().hex}"
 
 
@@ -40,6 +43,41 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+#: bits of the map that ``perhaps_among`` broadcasts, 8 MB whatever the number of keys
+MAP_BITS = 1 << 26
+
+
+def perhaps_among(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows of ``df`` whose key may be among the wanted ones: all that are, few others.
+
+    The wanted keys are hashed into a map of ``MAP_BITS`` bits, which every task holds, so the
+    other rows of ``df`` do not travel to be told apart.  With more wanted keys than the map has
+    room for, more rows pass and the result is as right.
+    """
+
+    def slot(k: Column) -> Column:
+        return F.pmod(F.xxhash64(k), F.lit(MAP_BITS))
+
+    slots = wanted.select(slot(wanted_key).alias("_slot"))
+    bits = slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")
+    )
+    marked = df.withColumn("_slot", slot(key)).withColumn(
+        "_bucket", F.bitmap_bucket_number("_slot")
+    )
+    position = F.bitmap_bit_position("_slot").cast("int")
+    byte = F.conv(
+        F.hex(F.substring("_bits", F.shiftright(position, 3) + 1, F.lit(1))), 16, 10
+    ).cast("int")
+    held = F.expr("shiftright(_byte, _bit) & 1") == 1
+    return (
+        marked.join(F.broadcast(bits), "_bucket")
+        .withColumns({"_byte": byte, "_bit": position % 8})
+        .filter(held)
+        .drop("_slot", "_bucket", "_bits", "_byte", "_bit")
+    )
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -14,6 +14,7 @@ from autoprofile.llm import (
     language_id,
     mixing,
     packing,
+    prefix_trie,
     pseudonyms,
     quotations,
     token_counts,
@@ -78,6 +79,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_pseudonyms": op8_pseudonyms,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
+    "op11_prefix_trie": op11_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -139,4 +145,46 @@ WITH t AS (
 SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY x) AS group_size,
        doc_id = first_value(doc_id) OVER w AS kept, sha256(x) AS text_sha256
 FROM t WINDOW w AS (PARTITION BY x ORDER BY n DESC, doc_id)""",
+    # crc32 bit by bit; a prefix is named by the digests of its turns, in order
+    "op11_prefix_trie": r"""
+WITH t AS (
+  SELECT conv_id, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))
+           AS said, len(coalesce(text, '')) AS points,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (
+  SELECT conv_id, list(said ORDER BY place) AS said, list(points ORDER BY place) AS points,
+         xor(4294967295, list_reduce(
+           list_prepend(4294967295, list_transform(
+             string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+           lambda crc, x: list_reduce(list_prepend(xor(crc, x), [0, 0, 0, 0, 0, 0, 0, 0]),
+             lambda y, _: CASE WHEN y % 2 = 1 THEN xor(y >> 1, 3988292384) ELSE y >> 1 END))) % 6 AS h
+  FROM t GROUP BY conv_id),
+rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.said[1:c.h], []), c.said[c.h + 1:]) AS said,
+         list_concat(coalesce(b.points[1:c.h], []), c.points[c.h + 1:]) AS points
+  FROM c LEFT JOIN c AS b ON b.conv_id = c.conv_id - c.conv_id % 100),
+prefixes AS (
+  SELECT conv_id, depth, array_to_string(said[1:depth], '') AS node, len(said) = depth AS ends,
+         array_to_string(said[1:depth - 1], '') AS parent,
+         CASE WHEN depth > 0 THEN points[depth] ELSE 0 END AS points
+  FROM rebuilt, unnest(range(0, len(said) + 1)) AS d(depth)),
+nodes AS (
+  SELECT depth, node, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(parent) AS parent,
+         (count(*) - 1) * any_value(points) AS saved,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)
+                           FILTER (ends), '')) AS ends_sha256
+  FROM prefixes GROUP BY depth, node),
+counted AS (
+  SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.depth = n.depth + 1 AND k.parent = n.node)
+           AS n_children FROM nodes n),
+subtrees AS (
+  SELECT p.depth, p.node, sum(k.saved) AS saved_tokens,
+         count(*) FILTER (k.n_children = 0) AS n_leaves
+  FROM counted k JOIN prefixes p ON p.conv_id = k.conv_id AND p.depth <= k.depth
+  GROUP BY p.depth, p.node)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves,
+       CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
+FROM counted n JOIN subtrees s ON s.depth = n.depth AND s.node = n.node
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent""",
 }
