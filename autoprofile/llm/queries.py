@@ -7,6 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from autoprofile.llm import (
+    archives,
     byte_bpe,
     exact_dedup,
     fingerprints,
@@ -83,6 +84,13 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = archives.archive_pages(table(spark, sf_dir, "pages"))
+    return found.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -95,6 +103,7 @@ QUERIES = {
     "op9_exact_dedup": op9_exact_dedup,
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_archives": op12_archives,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -187,4 +196,14 @@ SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children,
        CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256
 FROM counted n JOIN subtrees s ON s.depth = n.depth AND s.node = n.node
 LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.node = n.parent""",
+    "op12_archives": """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d
+  FROM pages),
+f AS (SELECT *, first_value(page_id) OVER w AS first_id, row_number() OVER w AS place FROM p
+      WINDOW w AS (PARTITION BY d ORDER BY page_id))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest,
+       CASE WHEN n >= 100 AND place > 1 THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 100 AND place > 1 THEN first_id END AS refers_to
+FROM f""",
 }
