@@ -19,6 +19,7 @@ from autoprofile.llm import (
     pseudonyms,
     quotations,
     token_counts,
+    whitening,
 )
 from autoprofile.llm.common import table
 
@@ -91,6 +92,10 @@ def op12_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_jaccard_join": op1_jaccard_join,
     "op2_byte_bpe": op2_byte_bpe,
@@ -104,6 +109,7 @@ QUERIES = {
     "op10_language_id": op10_language_id,
     "op11_prefix_trie": op11_prefix_trie,
     "op12_archives": op12_archives,
+    "op13_whitening": op13_whitening,
     "pipeline": corpus_pipeline.run,
 }
 
