@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import io
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,7 +12,8 @@ from pyspark.sql import functions as F
 from autoprofile.functions.coerce import NUMBER_PATTERN, quoted, strip
 from autoprofile.operators.wide import empty_frame, local_frame, pin
 from autoprofile.sources.names import clean_names
-from autoprofile.sources.texttypes import blank_markers, narrow_types
+from autoprofile.sources.records import cells, lines, records
+from autoprofile.sources.texttypes import blank_markers, narrow_types, unless_missing
 
 
 def read_tidy(spark: SparkSession, path: str, delimiter: str = ",", **options) -> DataFrame:
@@ -19,14 +21,20 @@ def read_tidy(spark: SparkSession, path: str, delimiter: str = ",", **options) -
 
     One look at the text finds the header of every file and whether quoted cells hold line
     breaks.  Files are read by their own header and matched by cleaned name; a file without a
-    column has NULL there.  Files with line breaks inside quotes are read as wholes, the others
-    in blocks.
+    column has NULL there.  All files are read in blocks.  Inside quotes a doubled quote is one;
+    with another ``quote`` or ``escape`` among the options, files that leave a quote open on
+    some line are read as wholes.
     """
-    layouts = _layouts(spark, path)
+    layouts = _layouts(spark, path, delimiter)
     if not layouts:
         return empty_frame(spark, "unnamed string").drop("unnamed")
-    parts = []
+    options = {"escape": '"', **options}
+    doubled = options["escape"] == '"' and options.get("quote", '"') == '"'
+    parts, broken_files = [], []
     for (header, broken), files in sorted(layouts.items()):
+        if broken and doubled:
+            broken_files += files
+            continue
         settings = {"sep": delimiter, **({"multiLine": "true"} if broken else {}), **options}
         reader = spark.read.options(**settings)
         source = path if len(layouts) == 1 else files
@@ -35,22 +43,28 @@ def read_tidy(spark: SparkSession, path: str, delimiter: str = ",", **options) -
             continue
         names = [v if v is not None else f"Unnamed: {i}" for i, v in enumerate(first[0])]
         parts.append(reader.csv(source, header=True).toDF(*clean_names(names)))
+    if broken_files:
+        found = lines(spark, broken_files, delimiter)
+        filled = _first_records(found, 1).where("record_no = 0")
+        headers = pin(filled.select(*HEADER_PLACE, F.col("value").alias("header")))
+        parts.append(_table(spark, records(found), headers, delimiter))
     if not parts:
         return empty_frame(spark, "unnamed string").drop("unnamed")
     table = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
     return narrow_types(blank_markers(table))
 
 
-def _layouts(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]]:
+def _layouts(
+    spark: SparkSession, path: str, delimiter: str
+) -> dict[tuple[str, bool], list[str]]:
     """The files by their first line that is not blank and by whether a line leaves a quote open.
 
     One row per file comes back; the driver lists the files in any case.
     """
-    filled = _lines(spark, path).where(strip(F.col("value")) != "")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    filled = lines(spark, path, delimiter).where(strip(F.col("value")) != "")
     found = filled.groupBy("file").agg(
         F.min_by("value", F.struct("block_start", "line_id")).alias("header"),
-        F.bool_or(quotes % 2 == 1).alias("broken"),
+        F.bool_or(F.col("kind") % 2 == 1).alias("broken"),
     )
     layouts: dict[tuple[str, bool], list[str]] = {}
     for row in sorted(found.collect()):
@@ -58,58 +72,65 @@ def _layouts(spark: SparkSession, path: str) -> dict[tuple[str, bool], list[str]
     return layouts
 
 
-# ------------------------------------------------------------------ title rows
+#: a header is looked for in so many lines for each record that it may be
+LINES_PER_RECORD = 20
+HEADER_PLACE = ["key", "file", "header_block", "header_id"]
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """Every line with its file, the start of its block, and a number that grows per file."""
-    return spark.read.text(path).select(
-        "value",
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_id"),
+def _first_records(found: DataFrame, count: int) -> DataFrame:
+    """The first records of each file that are not blank, numbered as they come, from 0.
+
+    The line limit applies per task before the shuffle, which carries ``count`` times
+    ``LINES_PER_RECORD`` lines per file; blank records count in the numbers.
+    """
+    place = F.struct("block_start", "line_id")
+    from_top = Window.partitionBy("key").orderBy("block_start", "line_id")
+    top = found.where(strip(F.col("value")) != "") if count == 1 else found
+    head = (
+        top.withColumn("line_no", F.row_number().over(from_top) - 1)
+        .where(F.col("line_no") < count * LINES_PER_RECORD)
+        .drop("line_no")
+    )
+    files = head.groupBy("key").agg(F.min("file").alias("file"))  # one row per file
+    return (
+        records(head, one_block=True)
+        .withColumn("record_no", F.row_number().over(Window.partitionBy("key").orderBy(place)) - 1)
+        .where((F.col("record_no") < count) & (strip(F.col("value")) != ""))
+        .join(F.broadcast(files), "key")
+        .withColumnsRenamed({"block_start": "header_block", "line_id": "header_id"})
     )
 
 
-def _split(line: Column, delimiter: str) -> Column:
-    """Cells of a line; delimiters inside double quotes do not split."""
-    sep = "".join("\\" + c if not c.isalnum() else c for c in delimiter)
-    return F.split(line, sep + r'(?=(?:[^"]*"[^"]*")*[^"]*$)')
+# ------------------------------------------------------------------ title rows
 
 
-def _header_of_each_file(lines: DataFrame, scan_rows: int, delimiter: str) -> DataFrame:
-    """The line of each file most likely to be the header, judged by its first lines.
+def _header_of_each_file(found: DataFrame, scan_rows: int, delimiter: str) -> DataFrame:
+    """The record of each file most likely to be the header, judged by its first ones.
 
     A header is dense with words: the score is the share of non-blank word cells, cut to 0.3
-    of it when numbers outweigh words.  The first of the best lines wins.  The line limit
-    applies per task before the shuffle, which carries ``scan_rows`` lines per file.
+    of it when numbers outweigh words.  The first of the best records wins.
     """
-    from_top = Window.partitionBy("file").orderBy("line_id")
-    head = (
-        lines.where(F.col("block_start") == 0)
-        .withColumn("line_no", F.row_number().over(from_top) - 1)
-        .where(F.col("line_no") < scan_rows)
-        .withColumn("cells", _split(F.col("value"), delimiter))
+    head = _first_records(found, scan_rows).withColumn(
+        "cells", cells(F.col("value"), delimiter)
     )
     words = F.filter("cells", lambda c: (strip(c) != "") & ~strip(c).rlike(NUMBER_PATTERN))
     numbers = F.filter("cells", lambda c: strip(c).rlike(NUMBER_PATTERN))
-    whole_head = Window.partitionBy("file")  # at most scan_rows lines
+    whole_head = Window.partitionBy("key")  # at most scan_rows records
     width = F.max(F.size("cells")).over(whole_head)
     share = F.size(words) / width
     score = F.when(F.size(numbers) > F.size(words), share * 0.3).otherwise(share)
+    best = F.struct("record_no", "header_block", "header_id", "value")
     return (
         head.withColumn("score", score)
         .where(F.size(words) + F.size(numbers) > 0)
-        .groupBy("file")
-        .agg(
-            F.max_by(
-                F.struct("line_no", "line_id", "value"), F.struct("score", -F.col("line_no"))
-            ).alias("best")
-        )
+        .groupBy("key", "file")
+        .agg(F.max_by(best, F.struct("score", -F.col("record_no"))).alias("best"))
         .select(
+            "key",
             "file",
-            F.col("best.line_no").cast("int").alias("header_row"),
-            F.col("best.line_id").alias("header_id"),
+            F.col("best.record_no").cast("int").alias("header_row"),
+            F.col("best.header_block").alias("header_block"),
+            F.col("best.header_id").alias("header_id"),
             F.col("best.value").alias("header"),
         )
     )
@@ -118,8 +139,12 @@ def _header_of_each_file(lines: DataFrame, scan_rows: int, delimiter: str) -> Da
 def detect_headers(
     spark: SparkSession, path: str, scan_rows: int = 20, delimiter: str = ","
 ) -> DataFrame:
-    """(file, header_row, header): 0-based line of the header in every file under ``path``."""
-    found = _header_of_each_file(_lines(spark, path), scan_rows, delimiter)
+    """(file, header_row, header): 0-based record of the header in every file under ``path``.
+
+    It is one of the first ``scan_rows`` records, as far as they lie in the first
+    ``scan_rows * LINES_PER_RECORD`` lines.
+    """
+    found = _header_of_each_file(lines(spark, path, delimiter), scan_rows, delimiter)
     return found.select("file", "header_row", "header")
 
 
@@ -130,9 +155,8 @@ def read_with_titles(
 
     Columns are matched by cleaned name over all files; a file without a column has NULL
     there.  All columns are text: pass the result on to
-    :func:`autoprofile.sources.texttypes.narrow_types`.  A line that leaves a quote open raises
-    an error when it is read: such files are for :func:`read_tidy`.  Write the result once if
-    several analyses follow, each use parses the text again.
+    :func:`autoprofile.sources.texttypes.narrow_types`.  Cells may hold line breaks inside
+    quotes.  Write the result once if several analyses follow, each use parses the text again.
     """
     return titled_table(spark, path, scan_rows, delimiter)[0]
 
@@ -141,23 +165,31 @@ def titled_table(
     spark: SparkSession, path: str, scan_rows: int = 20, delimiter: str = ","
 ) -> tuple[DataFrame, DataFrame]:
     """:func:`read_with_titles` and the headers it found, looked for once."""
-    lines = _lines(spark, path)
+    found = lines(spark, path, delimiter)
     # one row per file, which the driver lists in any case; the same listing serves the rows
-    headers = pin(_header_of_each_file(lines, scan_rows, delimiter))
+    headers = pin(_header_of_each_file(found, scan_rows, delimiter))
+    return _table(spark, records(found), headers, delimiter), headers
+
+
+def _table(
+    spark: SparkSession, rows: DataFrame, headers: DataFrame, delimiter: str
+) -> DataFrame:
+    """The records below each file's header as text columns, matched by cleaned name."""
     layouts = headers.groupBy("header").agg(F.count(F.lit(1)).alias("files")).collect()
     if not layouts:
-        return empty_frame(spark, "unnamed string").drop("unnamed"), headers
+        return empty_frame(spark, "unnamed string").drop("unnamed")
     names_of = {
         r["header"]: clean_names(
             [
                 cell if cell.strip() else f"Unnamed: {i}"
-                for i, cell in enumerate(next(csv.reader([r["header"]], delimiter=delimiter)))
+                for i, cell in enumerate(
+                    next(csv.reader(io.StringIO(r["header"], newline=""), delimiter=delimiter))
+                )
             ]
         )
         for r in sorted(layouts, key=lambda r: r["header"])
     }
     all_names = list(dict.fromkeys(n for names in names_of.values() for n in names))
-    width = max(len(names) for names in names_of.values())
     positions = local_frame(
         spark,
         [
@@ -167,31 +199,19 @@ def titled_table(
         "header string, positions array<int>",
     )
     by_file = headers.join(F.broadcast(positions), "header").select(
-        "file", "header_id", "positions"
+        "key", "header_block", "header_id", "positions"
     )
-    raw = ", ".join(f"c{i} string" for i in range(width))
-    parsed = F.from_csv("value", raw, {"sep": delimiter})
-    cells = F.array(*[F.col(f"row.c{i}") for i in range(width)])
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    whole = F.when(
-        quotes % 2 == 1,
-        F.raise_error(F.concat(F.lit("a quoted line break in "), "file")).cast("string"),
-    ).otherwise(F.col("value"))
-    rows = (
-        lines.join(F.broadcast(by_file), "file")  # one row per file
-        .withColumn("value", whole)
-        .where((F.col("block_start") > 0) | (F.col("line_id") > F.col("header_id")))
-        .where(strip(F.col("value")) != "")
-        .select(parsed.alias("row"), "positions")
-        .select(cells.alias("cells"), "positions")
+    below = F.struct("block_start", "line_id") > F.struct("header_block", "header_id")
+    table = (
+        rows.join(F.broadcast(by_file), "key")  # one row per file
+        .where(below & (strip(F.col("value")) != ""))
+        .select(cells(F.col("value"), delimiter).alias("cells"), "positions")
+        .withColumn("cells", F.transform("cells", unless_missing))
     )
-    table = rows.select(
-        *[
-            F.get("cells", F.col("positions")[k]).alias(name)
-            for k, name in enumerate(all_names)
-        ]
+    # expressions as text: a table may have thousands of columns
+    return table.selectExpr(
+        *[f"get(cells, positions[{k}]) AS `{name}`" for k, name in enumerate(all_names)]
     )
-    return blank_markers(table), headers
 
 
 def read_messy(

@@ -15,11 +15,16 @@ MISSING_MARKERS = (
 )
 
 
+def unless_missing(text: Column) -> Column:
+    """NULL for the texts that mean "missing"."""
+    return F.when(~text.isin(*MISSING_MARKERS), text)
+
+
 def blank_markers(df: DataFrame) -> DataFrame:
     """Texts that mean "missing" become NULL."""
     return df.select(
         *[
-            F.when(~quoted(f.name).isin(*MISSING_MARKERS), quoted(f.name)).alias(f.name)
+            unless_missing(quoted(f.name)).alias(f.name)
             if family(f.dataType) == "string"
             else quoted(f.name)
             for f in df.schema

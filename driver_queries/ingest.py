@@ -10,6 +10,7 @@ from autoprofile.sources.cleaning import drop_empty
 from autoprofile.sources.delimited import csv_line, detect_headers, read_messy
 from autoprofile.sources.names import clean_headers
 from autoprofile.sources.readers import load, pick_table, read_table
+from autoprofile.sources.records import cells
 from autoprofile.sources.sinks import write_sections, write_semantic_layer
 from driver_queries.registry import COLUMNS, query, scratch, table, types_sql
 
@@ -142,6 +143,54 @@ def messy_csv_load(spark, sf_dir):
     return read_messy(spark, _untidy_files(spark, sf_dir))
 
 
+@query(
+    "header_rows_quoted",
+    """SELECT n_regionkey, 1 AS header_row, count(*) * 300 AS cells,
+       count(*) * 300 AS quoted_cells FROM nation GROUP BY n_regionkey""",
+)
+def header_rows_quoted(spark, sf_dir):
+    """A file per region whose header has three hundred quoted cells for each nation."""
+    numbered = table(spark, sf_dir, "nation").select(
+        "n_regionkey", "n_name", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("i")
+    )
+    cell = F.concat(F.lit('"'), "n_name", F.lit(", "), "i", F.lit('"'))
+    header = numbered.groupBy("n_regionkey").agg(
+        F.array_join(F.collect_list(cell), ",").alias("header")
+    )
+    folder = scratch(spark)
+    title = F.concat(F.lit("Nations\n"), "header").alias("value")
+    header.select("n_regionkey", title).write.partitionBy("n_regionkey").text(folder)
+    found = detect_headers(spark, folder)
+    split = cells(F.col("header"))
+    return found.select(
+        F.regexp_extract("file", r"n_regionkey=(\d+)", 1).cast("long").alias("n_regionkey"),
+        "header_row",
+        F.size(split).cast("long").alias("cells"),
+        F.size(F.filter(split, lambda c: c.contains(", "))).cast("long").alias("quoted_cells"),
+    )
+
+
+@query(
+    "messy_quoted_breaks",
+    """SELECT c_custkey AS cust_key, concat(c_name, chr(10), 'of "', c_nationkey, '", abroad')
+       AS address, c_acctbal AS name FROM customer""",
+)
+def messy_quoted_breaks(spark, sf_dir):
+    """Below a title of two lines, cells with line breaks, in one file of many blocks."""
+    customers = table(spark, sf_dir, "customer")
+    address = F.concat(
+        F.col("c_name"), F.lit('\nof "'), F.col("c_nationkey"), F.lit('", abroad')
+    )
+    body = customers.select("c_custkey", address.alias("address"), "c_acctbal")
+    line = F.to_csv(F.struct(*body.columns), {"escape": '"', "quoteAll": "true"})
+    title = spark.createDataFrame([('"Report\nof customers",,\nCust Key,Address,Name',)], ["value"])
+    folder = scratch(spark)
+    lines = body.select(line.alias("value"), F.lit(1).alias("place"))
+    whole = title.withColumn("place", F.lit(0)).unionByName(lines)
+    whole.coalesce(1).sortWithinPartitions("place").select("value").write.text(folder)
+    return read_messy(spark, folder)
+
+
 @query(
     "clean_headers",
     """SELECT n_nationkey AS id, n_name AS nation_name, n_regionkey AS nation_name_1,

@@ -34,9 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder on shared storage: below the checkpoint folder the cluster names, else below
-    the warehouse."""
-    base = shared_folder(spark) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    """A new folder on shared storage: below the checkpoint folder the cluster names.  A session
+    on one machine without that setting gets one below the warehouse."""
+    base = shared_folder(spark)
+    if not base:
+        if not spark.conf.get("spark.master").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
     return f"{base}/{uuid.uuid4().hex}"
 
 
