@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from autoprofile.functions.coerce import NUMBER_PATTERN, quoted, strip
 from autoprofile.operators.wide import empty_frame, local_frame, pin
 from autoprofile.sources.names import clean_names
-from autoprofile.sources.records import cells, lines, records
+from autoprofile.sources.records import cells, first_records, lines, records
 from autoprofile.sources.texttypes import blank_markers, narrow_types, unless_missing
 
 
@@ -45,7 +45,7 @@ def read_tidy(spark: SparkSession, path: str, delimiter: str = ",", **options) -
         parts.append(reader.csv(source, header=True).toDF(*clean_names(names)))
     if broken_files:
         found = lines(spark, broken_files, delimiter)
-        filled = _first_records(found, 1).where("record_no = 0")
+        filled = _first_records(found.where(strip(F.col("value")) != ""), 1)
         headers = pin(filled.select(*HEADER_PLACE, F.col("value").alias("header")))
         parts.append(_table(spark, records(found), headers, delimiter))
     if not parts:
@@ -78,26 +78,10 @@ HEADER_PLACE = ["key", "file", "header_block", "header_id"]
 
 
 def _first_records(found: DataFrame, count: int) -> DataFrame:
-    """The first records of each file that are not blank, numbered as they come, from 0.
-
-    The line limit applies per task before the shuffle, which carries ``count`` times
-    ``LINES_PER_RECORD`` lines per file; blank records count in the numbers.
-    """
-    place = F.struct("block_start", "line_id")
-    from_top = Window.partitionBy("key").orderBy("block_start", "line_id")
-    top = found.where(strip(F.col("value")) != "") if count == 1 else found
-    head = (
-        top.withColumn("line_no", F.row_number().over(from_top) - 1)
-        .where(F.col("line_no") < count * LINES_PER_RECORD)
-        .drop("line_no")
-    )
-    files = head.groupBy("key").agg(F.min("file").alias("file"))  # one row per file
-    return (
-        records(head, one_block=True)
-        .withColumn("record_no", F.row_number().over(Window.partitionBy("key").orderBy(place)) - 1)
-        .where((F.col("record_no") < count) & (strip(F.col("value")) != ""))
-        .join(F.broadcast(files), "key")
-        .withColumnsRenamed({"block_start": "header_block", "line_id": "header_id"})
+    """The first records of each file that are not blank; blank ones count in the numbers."""
+    first = first_records(found, count, count * LINES_PER_RECORD)
+    return first.where(strip(F.col("value")) != "").withColumnsRenamed(
+        {"block_start": "header_block", "line_id": "header_id"}
     )
 
 

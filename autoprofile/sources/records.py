@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from autoprofile.operators.wide import local_frame
@@ -221,25 +221,63 @@ def _batch(out: dict[str, list]) -> pa.RecordBatch:
     return made
 
 
-def records(found: DataFrame, one_block: bool = False) -> DataFrame:
+def first_records(found: DataFrame, count: int, most_lines: int) -> DataFrame:
+    """The first ``count`` records of each file, numbered from 0, out of its first lines.
+
+    The line limit applies per task before the shuffle, which carries ``most_lines`` per file.
+    """
+    by_place = Window.partitionBy("key").orderBy("block_start", "line_id")
+    until = by_place.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = by_place.rowsBetween(Window.unboundedPreceding, -1)
+    swap = (F.col("kind") == SWAP).cast("int")
+    told = F.when(
+        F.col("kind").isin(TO_OUTSIDE, TO_INSIDE),
+        (F.col("kind") == TO_INSIDE).cast("int") + F.col("swaps"),
+    )
+    inside = (F.coalesce("told", F.lit(0)) + F.col("swaps") - swap) % 2
+    piece = F.struct("block_start", "line_id", "value")
+    return (
+        found.withColumn("line_no", F.row_number().over(by_place))
+        .where(F.col("line_no") <= most_lines)
+        .withColumn("swaps", F.sum(swap).over(until))
+        .withColumn("told", F.last(told, ignorenulls=True).over(before))
+        .withColumn("record_no", F.sum(1 - inside).over(until) - 1)
+        .where(F.col("record_no") < count)
+        .groupBy("key", "record_no")
+        .agg(F.min("file").alias("file"), F.sort_array(F.collect_list(piece)).alias("p"))
+        .select(
+            "key", "file", "record_no",
+            F.element_at("p.block_start", 1).alias("block_start"),
+            F.element_at("p.line_id", 1).alias("line_id"),
+            F.array_join("p.value", "\n").alias("value"),
+        )
+    )
+
+
+def records(found: DataFrame) -> DataFrame:
     """The records of :func:`lines`: key of the file, place (block_start, line_id) and value.
 
-    Line breaks inside quotes are single line feeds.  One row for each block comes to the
-    driver; with ``one_block`` the frame holds no more than the beginning of each file, in
-    order, and nothing does.
+    Line breaks inside quotes are single line feeds.  Files without any are read line by line
+    without leaving the JVM; of the others one row for each block comes to the driver.
     """
     needed = found.select("key", "block_start", "line_id", "kind", "value")
-    if one_block:
-        firsts = _StartOutside()
-        return needed.mapInArrow(_cut(firsts, False), RECORDS).drop("origin")
+    opening = found.where(F.col("kind") % 2 == 1).select("key").distinct()
+    broken = [(r["key"],) for r in opening.collect()]  # at most a row per file
+    plain = needed.drop("kind")
+    if not broken:
+        return plain
+    files = F.broadcast(local_frame(found.sparkSession, sorted(broken), "key long"))
+    plain = plain.join(files, "key", "left_anti")
+    needed = needed.join(files, "key", "left_semi")
     maps = needed.select("key", "block_start", "kind").mapInArrow(
         _maps,
         "key long, block_start long, from_outside boolean, from_inside boolean, closes boolean",
     )
     origins, cut = _origins(maps.collect())
     whole = needed.mapInArrow(_cut(origins, False), RECORDS).where("origin IS NULL")
+    read = plain.unionByName(whole.drop("origin"))
     if not cut:
-        return whole.drop("origin")
+        return read
     blocks = local_frame(found.sparkSession, sorted(cut), "key long, block_start long")
     pieces = needed.join(F.broadcast(blocks), ["key", "block_start"], "left_semi").mapInArrow(
         _cut(origins, True), RECORDS
@@ -254,14 +292,4 @@ def records(found: DataFrame, one_block: bool = False) -> DataFrame:
             F.array_join("p.value", "\n").alias("value"),
         )
     )
-    return whole.drop("origin").unionByName(joined)
-
-
-class _StartOutside(dict):
-    """No record is open where a file begins."""
-
-    def __contains__(self, block: object) -> bool:
-        return True
-
-    def __missing__(self, block: Block) -> None:
-        return None
+    return read.unionByName(joined)

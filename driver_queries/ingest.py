@@ -163,7 +163,7 @@ def header_rows_quoted(spark, sf_dir):
     found = detect_headers(spark, folder)
     split = cells(F.col("header"))
     return found.select(
-        F.regexp_extract("file", r"n_regionkey=(\d+)", 1).cast("long").alias("n_regionkey"),
+        F.regexp_extract("file", r"n_regionkey=(\d+)", 1).cast("int").alias("n_regionkey"),
         "header_row",
         F.size(split).cast("long").alias("cells"),
         F.size(F.filter(split, lambda c: c.contains(", "))).cast("long").alias("quoted_cells"),
