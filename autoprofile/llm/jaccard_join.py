@@ -430,7 +430,7 @@ def _open(rules: JaccardRules):
         texts = shingler.sets([r[6] for r in rows])
         digests = _summaries(texts)[1].view(np.int64).tolist()
         for r, found, digest in zip(rows, texts, digests, strict=True):
-            if digest == r[1]:  # else another row with the same id
+            if digest == r[1]:  # else another row with the key of the class
                 own = by_id.setdefault(r[0], [found, r[2], False, False])
                 own[2] |= r[3]
                 own[3] |= r[4]
@@ -452,7 +452,7 @@ def _open(rules: JaccardRules):
         held, name = [], None
         for batch in batches:
             columns = [batch.column(c) for c in
-                       ("rep", "d1", "copies", "member", "query", "block", "t")]
+                       ("c", "d1", "copies", "member", "query", "block", "t")]
             columns[-1] = columns[-1].cast(pa.binary())
             for row in zip(*[c.to_pylist() for c in columns], strict=True):
                 if row[5] != name and held:
@@ -488,6 +488,7 @@ def jaccard_join(
         .groupBy("d1", "d2")
         .agg(F.min("id").alias("rep"), F.min("n").alias("n"), F.min("m").alias("g"),
              F.count("*").alias("copies"))
+        .withColumn("c", F.monotonically_increasing_id())  # two classes may share a key
     )
     groups = settle(
         classes.groupBy("g").agg(
@@ -519,8 +520,8 @@ def jaccard_join(
         .select("d1", "d2", "g")
     )
     asked = settle(
-        opened.join(classes.select("d1", "d2", "rep", "n", "copies"), ["d1", "d2"])
-        .select("rep", "d1", "n", "copies", "g")
+        opened.join(classes.select("d1", "d2", "c", "rep", "n", "copies"), ["d1", "d2"])
+        .select("c", "rep", "d1", "n", "copies", "g")
     )
 
     # cut groups into blocks of members, and the sets that ask a block into lots
@@ -535,30 +536,30 @@ def jaccard_join(
     )
 
     def part(salt: str, count: str):
-        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(count)).cast("int")
+        return F.pmod(F.xxhash64("c", F.lit(salt)), F.col(count)).cast("int")
 
     as_query = (
         asked.join(cuts, "g")
         .withColumn("b", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "d1", "copies", "g", "b", part("lot", "lots").alias("lot"),
+        .select("c", "rep", "d1", "copies", "g", "b", part("lot", "lots").alias("lot"),
                 F.lit(False).alias("member"), F.lit(True).alias("query"))
     )
     as_member = (
         classes.join(cuts, "g")
         .withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1)))
-        .select("rep", "d1", "copies", "g", part("block", "blocks").alias("b"), "lot",
+        .select("c", "rep", "d1", "copies", "g", part("block", "blocks").alias("b"), "lot",
                 F.lit(True).alias("member"), F.lit(False).alias("query"))
     )
     block = F.struct("g", "b", "lot", "member", "query")
     wanted = (
         as_query.union(as_member)
-        .groupBy("rep", "d1", "copies")
+        .groupBy("c", "rep", "d1", "copies")
         .agg(F.collect_list(block).alias("blocks"))
     )
     checked = settle(
         source.join(wanted, F.col("id") == F.col("rep"))
-        .select("rep", "d1", "copies", F.explode("blocks").alias("x"), "t")
-        .select("rep", "d1", "copies", "x.member", "x.query",
+        .select("c", "d1", "copies", F.explode("blocks").alias("x"), "t")
+        .select("c", "d1", "copies", "x.member", "x.query",
                 F.concat_ws(".", "x.g", "x.b", "x.lot").alias("block"), "t")
         .repartition("block")
         .sortWithinPartitions("block")
@@ -566,10 +567,16 @@ def jaccard_join(
     )
     found = components(checked.filter("a <> b").select("a", "b"))
     links = checked.groupBy("a").agg(F.sum("links").alias("links"))
+    reached = (
+        classes.join(found, F.col("c") == F.col("node"))
+        .groupBy("component")
+        .agg(F.min("rep").alias("least"))
+    )
+    named = found.join(reached, "component").select("node", "least")
     classes = settle(
-        classes.join(found, F.col("rep") == F.col("node"), "left")
-        .join(links, F.col("rep") == F.col("a"), "left")
-        .select("d1", "d2", F.coalesce("component", "rep").alias("component"),
+        classes.join(named, F.col("c") == F.col("node"), "left")
+        .join(links, F.col("c") == F.col("a"), "left")
+        .select("d1", "d2", F.coalesce("least", "rep").alias("component"),
                 (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     )
     own = F.col("id").isNotNull()

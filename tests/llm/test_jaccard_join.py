@@ -117,3 +117,12 @@ def test_components(spark):
     frame = spark.createDataFrame(links, "x long, y long")
     assert dict(map(tuple, components(frame).collect())) == label
     assert components(frame.limit(0)).collect() == []
+
+
+def test_classes_that_share_a_key(spark):
+    """Unlike texts under one key have links of their own, and one component each by its key."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, b + " even more")]
+    found = J.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in found)
+    assert links == [(1, 57, 1, 1), (1, 57, 1, 2), (2, 58, 1, 1), (3, 58, 1, 2), (4, 59, 1, 2)]
