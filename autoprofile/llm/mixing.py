@@ -17,6 +17,10 @@ from pyspark.sql import functions as F
 from autoprofile.llm.common import WHITE, column, running_sums, settle
 
 
+#: the characters of WHITE themselves
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 @dataclass(frozen=True)
 class MixRules:
     """Weights go to the sources in order of their names (null last), again and again from the
@@ -30,7 +34,7 @@ class MixRules:
 
 def word_count(text: Column) -> Column:
     """Words ``[^\\x20\\x09-\\x0D]+`` of a text; 0 for null."""
-    plain = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{WHITE}]+|[{WHITE}]+$", "")
+    plain = F.btrim(F.coalesce(text, F.lit("")), F.lit(BLANKS))
     words = F.size(F.split(plain, f"[{WHITE}]+"))
     return F.when(plain == "", F.lit(0)).otherwise(words).cast("long")
 
@@ -99,7 +103,8 @@ def mix(
     and taken (words, copies counted).  queue: the mixture itself, one row per copy taken: keys,
     source, size, epoch, finish (virtual time), words_until (of the whole queue).
 
-    A null text has no words; documents without words are never taken.  A null source is a source
+    Texts are counted whole, in time that grows with their length, whatever they hold.  A null
+    text has no words; documents without words are never taken.  A null source is a source
     of its own, the last.  Rows that repeat keys are rows of their own.  The order within a
     source is that of the MD5 of seed and keys, so reruns agree.  A copy is taken while at least
     half of it fits the budget.  An empty table gives empty results.

@@ -1,3 +1,4 @@
+import time
 from collections import defaultdict
 from fractions import Fraction
 
@@ -80,3 +81,15 @@ def test_reruns_and_layouts_agree(documents):
 def test_empty_table(documents):
     found, queue = mix(documents.limit(0))
     assert found.collect() == [] and queue.collect() == []
+
+
+def test_long_white_space_takes_no_longer(spark):
+    blank = " \t\n\x0b\x0c\r" * 170_000
+    text = f"{blank}one{blank}two three{blank}"
+    df = spark.createDataFrame([(1, text), (2, blank), (3, None)], "doc_id long, text string")
+    started = time.perf_counter()
+    counts = {r["doc_id"]: r["n"] for r in df.select(
+        "doc_id", word_count(F.col("text")).alias("n")
+    ).collect()}
+    assert counts == {1: 3, 2: 0, 3: 0}
+    assert time.perf_counter() - started < 20
