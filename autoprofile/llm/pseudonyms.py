@@ -43,7 +43,9 @@ PATTERNS = {
     ),
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "phone": (
-        r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+        # groups of three, three and four apart by spaces are none amid other groups of digits
+        r"(?<![\w+])(?!\d{3} \d{3} \d{4} \d)(?:(?<![02-9] )(?<!\d1 )|(?!\d{3} \d{3} \d{4}))"
+        r"(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
         r"|(?<![\w+])\+\d{1,3}(?:[ .-]?\d{2,4}){2,4}(?!\w)"
     ),
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w|[ -]\d)",
@@ -56,6 +58,12 @@ RUNS = {
 }
 #: card numbers as they are written: in one, 4-4-4-4, 4-6-5 or 4-6-4 digits
 CARD_LAYOUTS = r"^(?:\d{13,19}|\d{4}([ -])\d{4}\1\d{4}\1\d{4}|\d{4}([ -])\d{6}\2\d{4,5})$"
+#: first digits of card numbers and how many digits they have (fixed values)
+ISSUERS = {
+    "^4": (13, 16, 19), "^(?:5[1-5]|2(?:22[1-9]|2[3-9]|[3-6]|7[01]|720))": (16,), "^3[47]": (15,),
+    "^3(?:0[0-5]|[68])": (14,), "^35(?:2[89]|[3-8])": (16,), "^6(?:011|4[4-9]|5)": (16, 17, 18, 19),
+    "^62": (16, 17, 18, 19),
+}
 #: characters of an IBAN by country
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
@@ -407,6 +415,21 @@ def _card_fits(text: Column, layouts: bool) -> Column:
     return fits & F.when(fits, luhn_valid(digits))
 
 
+def _issued(digits: Column) -> Column:
+    """Do the digits begin as an issuer of cards has them begin, and have its length?"""
+    size = F.length(digits)
+    return F.coalesce(
+        *[F.when(digits.rlike(begin), size.isin(*sizes)) for begin, sizes in ISSUERS.items()],
+        F.lit(False),
+    )
+
+
+def _odd_card(run: Column) -> Column:
+    """A whole run of groups as one card number in no usual layout, or as nothing."""
+    fits = _card_fits(run, False) & _issued(_digits(run))
+    return F.array(F.struct(run.alias("old"), F.when(fits, F.lit("card")).alias("kind")))
+
+
 def _iban_fits(text: Column, of_country: bool) -> Column:
     fits = text.rlike(_whole(PATTERNS["iban"]))
     if of_country:
@@ -472,10 +495,20 @@ def _parts(run: Column, kind: str, groups: str, begin: str, most: int, fits: lis
     return _once(F.regexp_extract_all(run, F.lit(groups), F.lit(0)), taken_apart)
 
 
-def _cards(run: Column, layouts: bool) -> Column:
+#: a run of more groups than two cards have is a list of numbers
+CROWDED = 8
+
+
+def _cards(run: Column) -> Column:
+    crowded = F.size(F.regexp_extract_all(run, F.lit(r"\d+"), F.lit(0))) > CROWDED
+
+    def fits(x: Column) -> Column:
+        return _card_fits(x, True) & (
+            ~crowded | x.rlike(r"^\d+$") | _issued(_digits(x))
+        )
+
     # the layouts have up to four groups
-    fits = [lambda x: _card_fits(x, layouts)]
-    return _parts(run, "card", r"[ -]?\d+", r"\d", 4 if layouts else 19, fits)
+    return _parts(run, "card", r"[ -]?\d+", r"\d", 4, [fits])
 
 
 def _ibans(run: Column) -> Column:
@@ -497,7 +530,7 @@ def _passes(rules: PseudonymRules) -> list[tuple[str, tuple[str, ...], Callable]
     def runs(x: Column) -> Column:
         if checked == ("iban",):
             return _ibans(x)
-        cards = _cards(x, True)
+        cards = _cards(x)
         return F.when(x.rlike("^[A-Z]"), _ibans(x)).otherwise(cards) if checked[1:] else cards
 
     checked = tuple(k for k in rules.kinds if k in RUNS)
@@ -507,7 +540,7 @@ def _passes(rules: PseudonymRules) -> list[tuple[str, tuple[str, ...], Callable]
         simple(tuple(k for k in rules.kinds if k == "email")),
         (written, checked, runs),
         simple(tuple(k for k in rules.kinds if k != "email" and k not in RUNS)),
-        (RUNS["card"], tuple(k for k in checked if k == "card"), lambda x: _cards(x, False)),
+        (RUNS["card"], tuple(k for k in checked if k == "card"), _odd_card),
     ]
     return [p for p in passes if p[1]]
 
@@ -540,8 +573,9 @@ def pseudonymise(
     without marks (yyyyMMdd), without a day or year, and months' names of other languages.
 
     Groups of digits that stand side by side are tried from left to right for card numbers in
-    their usual layouts, then, where no other kind is found, for any groups that together pass
-    the check; groups of four after a country code likewise for IBANs, of the country's length
+    their usual layouts, which in a row of more than eight groups need an issuer's prefix; where
+    no other kind is found, a whole run of groups is one if it passes
+    the check and has an issuer's prefix and length, so lists of numbers stay; groups of four after a country code likewise for IBANs, of the country's length
     first.  A group is never cut.
     """
     passes = _passes(rules)

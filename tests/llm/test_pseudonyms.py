@@ -1,4 +1,5 @@
 import datetime
+import random
 import re
 
 import pytest
@@ -151,3 +152,20 @@ def test_layouts_of_dates(spark):
     assert re.fullmatch(r"[A-Z]{3} \d+(st|nd|rd|th), \d{4}", texts[-5])
     assert texts[-4] == f"{new:%B} {new.day} {new.year}".lower()
     assert texts[-3:] == odd[-3:]
+
+
+def test_lists_of_numbers_stay(spark):
+    """Numbers that stand in rows are no card numbers because some of them pass a check digit."""
+    random_numbers = random.Random(3)
+    texts = [
+        "scores 12 15 18 22 35 41 55 60 71 84 90 93 97", "rows: " + " ".join(
+            str(100 * i) for i in range(1, 21)), " ".join(map(str, range(1, 21))),
+        "1984 1985 1986 1987 1988 1989 1990 1991 1992 1993",
+    ] + [
+        " ".join(str(random_numbers.randint(1, 10**size)) for _ in range(40))
+        for size in (1, 2, 3, 5, 6) for _ in range(20)
+    ]
+    rows = replaced(spark, texts)
+    assert [r["text"] for r in rows] == texts
+    odd = replaced(spark, ["49012 93795 15394 2", "49012 93795 15394 2 17"])
+    assert odd[0]["kinds"] == ["card"] and odd[1]["kinds"] == []
