@@ -83,7 +83,8 @@ def own_text(found: Column) -> Column:
     own = F.filter(found, lambda p: p["level"] == 0)
     text = F.array_join(F.transform(own, lambda p: p["content"]), "\n")
     kept = F.filter(F.split(text, "\n"), lambda line: ~line.rlike(ANNOUNCED))
-    return F.regexp_replace(F.array_join(kept, "\n"), r"^\s*\n|\s+$", "")
+    begun = F.regexp_replace(F.array_join(kept, "\n"), r"^\s*\n", "")
+    return F.rtrim(begun, F.lit(" \t\n\x0b\x0c\r"))
 
 
 def _messages(df: DataFrame, conversation: str, turn: str, role: str, text: str) -> DataFrame:
