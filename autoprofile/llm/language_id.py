@@ -33,12 +33,21 @@ class LanguageRules:
     """``sample_chars``: code points of labelled text to learn from, for each language; the
     sample is drawn by a hash of the key, whole documents at a time.  A text is rejected beyond
     ``deviations`` standard deviations, or ``least_margin`` bits, above its language's mean
-    cross-entropy, and ``short_margin`` bits over the root of its length on top of that."""
+    cross-entropy, and ``short_margin`` bits over the root of its length on top of that.
+
+    ``letters``: the most frequent letters of the sample, of all languages together, that are
+    told apart, up to 4094 (five of them have to fit a key of 60 bits); rarer ones count as one
+    and the same letter."""
 
     sample_chars: int = 4_000_000
     deviations: float = 6.0
     least_margin: float = 0.75
     short_margin: float = 18.0
+    letters: int = (1 << SYMBOL_BITS) - 2
+
+    def __post_init__(self):
+        if not 1 <= self.letters <= (1 << SYMBOL_BITS) - 2:
+            raise ValueError(f"letters must lie between 1 and {(1 << SYMBOL_BITS) - 2}")
 
 
 LETTERS = None
@@ -310,11 +319,10 @@ def fit(
 
     sample = settle(part(lambda s: 0, lambda s: s))
     found = sample.select("t").mapInArrow(_alphabet, "code int, n long")
-    most = (1 << SYMBOL_BITS) - 2
     alphabet = [
         r["code"]
         for r in found.groupBy("code").agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "code").limit(most).collect()
+        .orderBy(F.desc("n"), "code").limit(rules.letters).collect()
     ]
     if not alphabet:
         return Model([], np.where(letters(), RARE, SEPARATOR).astype(np.uint16))
