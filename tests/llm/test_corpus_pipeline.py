@@ -110,6 +110,34 @@ def _vocabulary():
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def test_rows_that_share_an_id(spark):
+    """Unlike texts under one id, or under none, are documents of their own."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (None, c), (None, c + " more"),
+            (None, "solo"), (4, "solo"), (4, "solo"), (None, None), (5, ""), (5, "")]
+    rows = [(key, text, "en", "src", "own") for key, text in rows]
+    docs = spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, row string"
+    )
+    stages = dict(corpus_pipeline.STAGES)
+    kept = stages["n-gram Jaccard join"](spark, docs, "")
+    assert kept.columns == docs.columns
+    by_text = Counter((r["doc_id"], r["text"]) for r in kept.collect())
+    nones = by_text.pop((None, c), 0) + by_text.pop((None, c + " more"), 0)
+    assert nones == 1
+    assert by_text == Counter([(1, a), (1, b), (4, "solo"), (None, None), (5, ""), (5, "")])
+
+    # two rows without an id: the mixture takes one twice, one once
+    words = [(None, "a " * 10, "s"), (None, "b " * 10, "s"), (7, "c " * 10, "t"), (7, "", "t")]
+    docs = spark.createDataFrame(words, "doc_id long, text string, source string")
+    mixed = stages["mixing sources to target weights"](spark, docs, "")
+    found = Counter(r["text"] for r in mixed.collect())
+    numbered = corpus_pipeline._by_row(docs, "row")
+    copies = mixing.mix(numbered, keys=("row",))[0].select("row", "copies")
+    assert sum(found.values()) == copies.agg(F.sum("copies")).first()[0] and "" not in found
+    assert sum(found.values()) == 3  # the budget is 30 words
+
+
 def test_stages_take_empty_tables(spark, documents):
     docs = documents.limit(0)
     for _, stage in corpus_pipeline.STAGES:
