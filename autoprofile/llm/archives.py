@@ -6,8 +6,8 @@ declared lengths, ``to_warc`` gives each the identifier, time, type and digests
 record has, and ``write_warc`` and ``read_warc`` store and restore them.
 
 Files are written by Spark's own writer, a row of the table per file, so a lost task leaves
-nothing behind.  A file holds about ``VOLUME_BYTES`` of records, or a single larger one, and is
-read as a whole, unpacked piece by piece.
+nothing behind.  A file holds about ``ArchiveRules.volume_bytes`` of records, or a single larger
+one, and is read as a whole, unpacked piece by piece.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ import uuid
 import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import partial
 from urllib.parse import quote
 
 import pyarrow as pa
@@ -27,8 +28,6 @@ from pyspark.sql import functions as F
 
 from autoprofile.llm.common import column, settle, shared_folder
 
-#: records of a file, before compression
-VOLUME_BYTES = 16 << 20
 #: rows of payload that go to or come from Python together
 BATCH_BYTES = 8 << 20
 #: bytes that are unpacked at a time
@@ -58,6 +57,8 @@ class ArchiveRules:
     #: when the pages were captured, as ARC files write it
     captured: str = "20000101000000"
     origin: str = "autoprofile"
+    #: records of a file, before compression; a task holds one such file
+    volume_bytes: int = 16 << 20
 
 
 def _batches(rows: Iterator[tuple], schema: pa.Schema, weigh: Callable) -> Iterator:
@@ -73,19 +74,26 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema, weigh: Callable) -> Itera
         yield _batch(held, schema)
 
 
+def _weight(row: tuple) -> int:
+    """Bytes of the block, the last of a record's fields."""
+    return len(row[-1] or b"")
+
+
 def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(x, f.type) for x, f in zip(zip(*rows), schema)], schema=schema
     )
 
 
-def _volumes(records: Iterator[bytes], begin: Callable, between: bytes) -> Iterator[bytes]:
+def _volumes(
+    records: Iterator[bytes], begin: Callable, between: bytes, most: int
+) -> Iterator[bytes]:
     """Records joined into the contents of files.  ``begin``: what the n-th file begins with."""
     number, held, size = 0, [], 0
     for record in records:
         held.append(record)
         size += len(record) + len(between)
-        if size >= VOLUME_BYTES:
+        if size >= most:
             yield begin(number) + between.join(held)
             number, held, size = number + 1, [], 0
     if held:
@@ -99,7 +107,9 @@ def _write(volumes: DataFrame, folder: str, end: str) -> None:
     """A gzip file per row; ``end`` is what the last record of a file ends with."""
     volumes.select(F.col("value").cast("string").alias("value")).write.option(
         "maxRecordsPerFile", 1
-    ).option("lineSep", end).option("compression", "gzip").text(folder)
+    ).option("lineSep", end).option("compression", "gzip").option(
+        "zlib.compress.level", "BEST_SPEED"
+    ).text(folder)
 
 
 def _contents(spark: SparkSession, folder: str) -> DataFrame:
@@ -229,8 +239,7 @@ def _pages_as_arc(rules: ArchiveRules) -> Callable:
                         fields = ARC_FIELDS[1 + (task + number) % 2].split()
                         yield " ".join(line[f] for f in fields).encode() + b"\n" + body
 
-        volumes = _volumes(records(), begin, b"\n")
-        for volume in volumes:
+        for volume in _volumes(records(), begin, b"\n", rules.volume_bytes):
             yield _batch([(volume,)], VOLUME)
 
     return write
@@ -292,14 +301,18 @@ def arc_records(path: str, pieces: Iterator[bytes]) -> Iterator[tuple]:
         )
 
 
-def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, content = (batch.column(x)[i].as_py() for x in ("path", "content"))
-                yield from arc_records(path, _unpacked(content))
+def _files(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, bytes]]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.column("path")[i].as_py(), batch.column("content")[i].as_py()
 
-    yield from _batches(rows(), ARC_RECORD, lambda r: len(r[-1]))
+
+def _read_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (
+        record for path, content in _files(batches)
+        for record in arc_records(path, _unpacked(content))
+    )
+    yield from _batches(rows, ARC_RECORD, _weight)
 
 
 def read_arc(spark: SparkSession, folder: str) -> DataFrame:
@@ -366,30 +379,50 @@ def warc_time(date: str) -> str:
     return f"{year}-{month}-{day}T{':'.join(clock)}Z"
 
 
-def _converted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = {n: batch.column(n)[i].as_py() for n in batch.schema.names}
-                block = row["block"]
-                head, payload = split_http(block)
-                kind = "response" if head else "resource"
-                yield (
-                    record_id(row["path"], row["place"]),
-                    _whole_number(http_fields(head).get(KEY_HEADER.lower())),
-                    kind,
-                    None if row["url"] == NO_VALUE else row["url"],
-                    None if row["address"] in (NO_VALUE, NO_ADDRESS) else row["address"],
-                    warc_time(row["date"]),
-                    "application/http;msgtype=response" if head else row["mime"],
-                    len(payload),
-                    hashlib.sha256(payload).hexdigest(),
-                    hashlib.sha256(block).hexdigest(),
-                    None, None, None,
-                    block,
-                )
-
-    yield from _batches(rows(), WARC_RECORD, lambda r: len(r[-1]))
+def _converted(arc: tuple, with_blocks: bool) -> tuple:
+    path, place, _, url, address, date, mime, block = arc
+    head, payload = split_http(block)
+    return (
+        record_id(path, place),
+        _whole_number(http_fields(head).get(KEY_HEADER.lower())),
+        "response" if head else "resource",
+        None if url == NO_VALUE else url,
+        None if address in (NO_VALUE, NO_ADDRESS) else address,
+        warc_time(date),
+        "application/http;msgtype=response" if head else mime,
+        len(payload),
+        hashlib.sha256(payload).hexdigest(),
+        hashlib.sha256(block).hexdigest() if with_blocks else None,
+        None, None, None,
+        block if with_blocks else None,
+    )
+
+
+def _convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = (
+        _converted(tuple(batch.column(n)[i].as_py() for n in ARC_RECORD.names), True)
+        for batch in batches for i in range(batch.num_rows)
+    )
+    yield from _batches(rows, WARC_RECORD, _weight)
+
+
+def _convert_files(with_blocks: bool) -> Callable:
+    """Files of ARC records straight to WARC records, so that blocks pass through Python once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (
+            _converted(record, with_blocks)
+            for path, content in _files(batches)
+            for record in arc_records(path, _unpacked(content))
+        )
+        yield from _batches(rows, WARC_RECORD, _weight)
+
+    return run
+
+
+def arc_as_warc(spark: SparkSession, folder: str, with_blocks: bool = True) -> DataFrame:
+    """``to_warc(read_arc(spark, folder))`` in one step, on request without the blocks."""
+    return _contents(spark, folder).mapInArrow(_convert_files(with_blocks), WARC_COLUMNS)
 
 
 def to_warc(arc: DataFrame) -> DataFrame:
@@ -399,31 +432,42 @@ def to_warc(arc: DataFrame) -> DataFrame:
     for what a server sent and resource for anything else, the digests SHA-256 of payload and
     block.  ``key`` is what the page header of the response says, null where it says nothing.
     """
-    return arc.mapInArrow(_converted, WARC_COLUMNS)
+    return arc.mapInArrow(_convert, WARC_COLUMNS)
 
 
 def _heads_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Revisits keep the head of the response, not its payload."""
     for batch in batches:
-        out = batch.to_pylist()
-        for row in out:
-            if row["type"] == "revisit":
-                row["block"] = split_http(row["block"])[0]
-                row["block_digest"] = hashlib.sha256(row["block"]).hexdigest()
-        yield pa.RecordBatch.from_pylist(out, schema=batch.schema)
-
-
-def share_payloads(records: DataFrame, rules: ArchiveRules = ArchiveRules()) -> DataFrame:
+        later = [i for i, kind in enumerate(batch.column("type").to_pylist()) if kind == "revisit"]
+        if later:
+            blocks, digests = (batch.column(x).to_pylist() for x in ("block", "block_digest"))
+            for i in later:
+                blocks[i] = split_http(blocks[i])[0]
+                digests[i] = hashlib.sha256(blocks[i]).hexdigest()
+            batch = batch.set_column(
+                batch.schema.get_field_index("block"), "block", pa.array(blocks, pa.binary())
+            ).set_column(
+                batch.schema.get_field_index("block_digest"), "block_digest", pa.array(digests)
+            )
+        yield batch
+
+
+def share_payloads(
+    records: DataFrame, rules: ArchiveRules = ArchiveRules(), slim: DataFrame | None = None
+) -> DataFrame:
     """Responses whose payload an earlier one has become revisits that refer to it.
 
+    ``slim``: the same records without their blocks, where these need not be made to count.
+
     Earlier is the smaller key, a null key last, then the smaller identifier.  Digests are counted
     without the payloads; only payloads that repeat are looked up again, from a list in every
     task while that is short, else by a shuffle.
     """
     place = F.struct(F.col("key").isNull(), "key", "record_id", "url", "date")
     repeated = settle(
-        records.filter((F.col("type") == "response")
-                       & (F.col("payload_bytes") >= rules.least_shared_bytes))
+        (records if slim is None else slim)
+        .filter((F.col("type") == "response")
+                & (F.col("payload_bytes") >= rules.least_shared_bytes))
         .groupBy("payload_digest", "payload_bytes")
         .agg(F.min(place).alias("first"), F.count("*").alias("copies"))
         .filter("copies > 1")
@@ -470,8 +514,22 @@ def warc_record(row: dict) -> bytes:
     return "\r\n".join(lines).encode() + END_OF_RECORD + row["block"]
 
 
-def _warc_volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    task = TaskContext.get().partitionId()
+def _warc_volumes(rules: ArchiveRules) -> Callable:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (
+            warc_record({n: batch.column(n)[i].as_py() for n in batch.schema.names})
+            for batch in batches for i in range(batch.num_rows)
+        )
+        task = TaskContext.get().partitionId()
+        volumes = _volumes(records, _warc_begin(task), END_OF_RECORD, rules.volume_bytes)
+        for volume in volumes:
+            yield _batch([(volume,)], VOLUME)
+
+    return write
+
+
+def _warc_begin(task: int) -> Callable:
+    """What the n-th file of a task begins with."""
 
     def begin(number: int) -> bytes:
         body = b"software: autoprofile\r\nformat: WARC File Format 1.1\r\n"
@@ -484,17 +542,15 @@ def _warc_volumes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         }
         return warc_record(info) + END_OF_RECORD
 
-    records = (
-        warc_record({n: batch.column(n)[i].as_py() for n in batch.schema.names})
-        for batch in batches for i in range(batch.num_rows)
-    )
-    for volume in _volumes(records, begin, END_OF_RECORD):
-        yield _batch([(volume,)], VOLUME)
+    return begin
 
 
-def write_warc(records: DataFrame, folder: str) -> None:
+def write_warc(
+    records: DataFrame, folder: str, rules: ArchiveRules = ArchiveRules()
+) -> None:
     """Records as a folder of gzip WARC files, each beginning with a warcinfo record."""
-    _write(records.mapInArrow(_warc_volumes, "value binary"), folder, END_OF_RECORD.decode())
+    volumes = records.mapInArrow(_warc_volumes(rules), "value binary")
+    _write(volumes, folder, END_OF_RECORD.decode())
 
 
 def warc_records(path: str, pieces: Iterator[bytes]) -> Iterator[dict]:
@@ -518,42 +574,48 @@ def warc_records(path: str, pieces: Iterator[bytes]) -> Iterator[dict]:
         yield row | {"block": block}
 
 
-def _read_warc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows() -> Iterator[tuple]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                path, content = (batch.column(x)[i].as_py() for x in ("path", "content"))
-                for row in warc_records(path, _unpacked(content)):
-                    head, payload = split_http(row["block"])
-                    named = http_fields(head)
-                    row["key"] = _whole_number(named.get(KEY_HEADER.lower()))
-                    if row["type"] == "revisit":
-                        row["payload_bytes"] = _whole_number(named.get("content-length"))
-                    else:
-                        row["payload_bytes"] = len(payload)
-                        whole = hashlib.sha256(payload).hexdigest()
-                        if row["payload_digest"] not in (None, whole):
-                            raise ValueError(f"{path}: payload of {row['record_id']} changed")
-                        row["payload_digest"] = whole
-                    yield tuple(row[n] for n in WARC_RECORD.names)
-
-    yield from _batches(rows(), WARC_RECORD, lambda r: len(r[-1]))
-
-
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
+def _read_warc(
+    batches: Iterator[pa.RecordBatch], with_blocks: bool = True
+) -> Iterator[pa.RecordBatch]:
+    def checked(path: str, row: dict) -> tuple:
+        head, payload = split_http(row["block"])
+        named = http_fields(head)
+        row["key"] = _whole_number(named.get(KEY_HEADER.lower()))
+        if row["type"] == "revisit":
+            row["payload_bytes"] = _whole_number(named.get("content-length"))
+        else:
+            row["payload_bytes"] = len(payload)
+            whole = hashlib.sha256(payload).hexdigest()
+            if row["payload_digest"] not in (None, whole):
+                raise ValueError(f"{path}: the payload of {row['record_id']} was changed")
+            row["payload_digest"] = whole
+        if not with_blocks:
+            row["block"] = None
+        return tuple(row[n] for n in WARC_RECORD.names)
+
+    rows = (
+        checked(path, row) for path, content in _files(batches)
+        for row in warc_records(path, _unpacked(content))
+    )
+    yield from _batches(rows, WARC_RECORD, _weight)
+
+
+def read_warc(spark: SparkSession, folder: str, with_blocks: bool = True) -> DataFrame:
     """Every record of the WARC files in a folder but for the warcinfo ones.
 
-    Digests are held against blocks and payloads; a revisit has the payload's digest and length
+    Blocks are checked, and left out of the result if not wanted.  Digests are held against blocks and payloads; a revisit has the payload's digest and length
     as the record it refers to had them.
     """
-    records = _contents(spark, folder).mapInArrow(_read_warc, WARC_COLUMNS)
+    read = partial(_read_warc, with_blocks=with_blocks)
+    records = _contents(spark, folder).mapInArrow(read, WARC_COLUMNS)
     return records.filter("type <> 'warcinfo'")
 
 
 def convert(spark: SparkSession, arc_folder: str, rules: ArchiveRules = ArchiveRules()) -> str:
     """The ARC files of a folder as WARC files in a new shared folder, whose name is returned."""
     folder = shared_folder(spark)
-    write_warc(share_payloads(to_warc(read_arc(spark, arc_folder)), rules), folder)
+    slim = arc_as_warc(spark, arc_folder, with_blocks=False)
+    write_warc(share_payloads(arc_as_warc(spark, arc_folder), rules, slim), folder, rules)
     return folder
 
 
@@ -573,7 +635,7 @@ def archive_pages(
     arc = shared_folder(spark)
     write_arc(pages, arc, rules, key, url, html)
     warc = convert(spark, arc, rules)
-    records = settle(read_warc(spark, warc).drop("block"))
+    records = settle(read_warc(spark, warc, with_blocks=False).drop("block"))
     wanted = records.filter("refers_to IS NOT NULL").select(F.col("refers_to").alias("own"))
     responses = records.select(F.col("record_id").alias("own"), F.col("key").alias("response"))
     referred = responses.join(wanted.distinct(), "own")

@@ -51,22 +51,21 @@ def test_against_brute_force(spark):
 
 def test_many_files(spark, monkeypatch):
     """Files of a few records, version 1 and 2, batches of a few rows, repeats by shuffle."""
-    monkeypatch.setattr(archives, "VOLUME_BYTES", 2000)
     monkeypatch.setattr(archives, "BATCH_BYTES", 1000)
     monkeypatch.setattr(archives, "BROADCAST_DIGESTS", 0)
     pages = [(i, f"http://x/{i}", f"{i % 40} " * 60) for i in range(200)] + PAGES
     df = spark.createDataFrame(pages, SCHEMA).repartition(3)
-    assert found(df) == expected(pages)
+    assert found(df, volume_bytes=2000) == expected(pages)
 
 
 def test_empty_table(spark):
     assert archive_pages(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
-def test_arc_round_trip(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(archives, "VOLUME_BYTES", 1500)
+def test_arc_round_trip(spark, tmp_path):
     folder = str(tmp_path / "arc")
-    write_arc(spark.createDataFrame(PAGES, SCHEMA).repartition(2), folder)
+    rules = ArchiveRules(volume_bytes=1500)
+    write_arc(spark.createDataFrame(PAGES, SCHEMA).repartition(2), folder, rules)
     rows = read_arc(spark, folder).collect()
     assert {r["version"] for r in rows} == {1, 2}
     assert {r["url"] for r in rows} == {
