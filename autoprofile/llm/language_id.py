@@ -23,7 +23,7 @@ SYMBOL_BITS = 12
 SEPARATOR, RARE = 0, 1
 UNDETERMINED = "und"
 MOST_LANGUAGES = 1000
-PART_BYTES = 1 << 20
+PART_BYTES = 1 << 18
 #: hashes that rows are drawn by, and the labelled texts from which on some are held back
 PLACES, HELD_BACK_FROM = 1 << 20, 20
 
@@ -358,15 +358,17 @@ def fit(
     return model
 
 
-def _judged(source: DataFrame, keep: list[str], model: Model, spark: SparkSession) -> DataFrame:
+def _judged(
+    source: DataFrame, keep: list[str], model: Model, spark: SparkSession, text: str = "t"
+) -> DataFrame:
     """c0.. the kept columns, then language, score, cross-entropy, rejected."""
     shared = spark.sparkContext.broadcast(model)
     kept = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for part in text_parts(batches, "t", PART_BYTES):
-            language, score, entropy, rejected = own.judge(part["t"].to_pylist())
+        for part in text_parts(batches, text, PART_BYTES):
+            language, score, entropy, rejected = own.judge(part[text].to_pylist())
             table = pa.table(
                 [*(part[c] for c in keep), pa.array(language, pa.string()),
                  pa.array(score, pa.float64()), pa.array(entropy, pa.float64()),
@@ -405,11 +407,14 @@ def identify(
 def accepted(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The rows of ``df`` whose text the model does not reject, with all their columns."""
     names = [f"k{i}" for i in range(len(df.columns))]
-    source = df.select(
-        *[column(df, c).alias(n) for n, c in zip(names, df.columns, strict=True)],
-        column(df, text).cast("string").alias("t"),
-    )
-    judged = _judged(source, names, model, df.sparkSession)
+    own = column(df, text)
+    kept = [column(df, c).alias(n) for n, c in zip(names, df.columns, strict=True)]
+    read = names[df.columns.index(text)]  # the text travels once, as the column it is
+    if df.select(own).schema[0].dataType.typeName() != "string":
+        read = "t"
+        kept.append(own.cast("string").alias(read))
+    source = df.select(*kept)
+    judged = _judged(source, names, model, df.sparkSession, read)
     return judged.filter(~F.col(f"c{len(names) + 3}")).select(
         *[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)]
     )
