@@ -152,14 +152,15 @@ needs_tables = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no test tab
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and set(SQL) <= set(entry.oracle_sql())
     numbers = {n.split("_")[0] for n in QUERIES if n != "pipeline"}
-    assert numbers == {f"op{i}" for i in range(1, 11)} and "pipeline" in QUERIES
+    assert numbers == {f"op{i}" for i in range(1, 14)} and "pipeline" in QUERIES
 
 
 @needs_tables
 @pytest.mark.parametrize("name", sorted(SQL))
 def test_twins(spark, name):
     duck = duckdb.connect()
-    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF_DIR}/documents.parquet'")
+    for table in ("documents", "conversations", "pages"):
+        duck.sql(f"CREATE VIEW {table} AS SELECT * FROM '{SF_DIR}/{table}.parquet'")
     relation = duck.sql(SQL[name])
     frame = QUERIES[name](spark, SF_DIR)
     assert sorted(frame.columns) == sorted(relation.columns)
@@ -201,3 +202,22 @@ def test_contract_columns(spark):
         if name == "op2_byte_bpe":
             same = frame.join(decoded, "doc_id").filter("sha = decoded_sha256")
             assert same.count() == documents.count()
+
+
+@needs_tables
+def test_contract_columns_of_other_tables(spark):
+    longs = "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens".split()
+    columns = {
+        "op11_prefix_trie": {**dict.fromkeys(longs, "bigint"), "ends_sha256": "string"},
+        "op12_archives": {"page_id": "bigint", "payload_bytes": "bigint", "payload_digest": "string",
+                          "record_type": "string", "refers_to": "bigint"},
+        "op13_whitening": {"vec_id": "bigint", "component": "int", "n": "bigint",
+                           "deviation": "bigint", "whitened": "double", "explained": "double",
+                           "identity_error": "double"},
+    }
+    for name, kinds in columns.items():
+        assert kinds.items() <= dict(QUERIES[name](spark, SF_DIR).dtypes).items()
+    vectors = spark.read.parquet(f"{SF_DIR}/embeddings.parquet").count()
+    white = QUERIES["op13_whitening"](spark, SF_DIR)
+    worst = white.agg(F.count("*"), F.max("identity_error"), F.max("n")).first()
+    assert worst[0] == 8 * vectors and worst[1] < 1e-4 and worst[2] == vectors
