@@ -12,6 +12,7 @@ from autoprofile import messages
 from autoprofile.config import ChartRules
 from autoprofile.functions.coerce import nan_to_null, number_columns, quoted, value_kind
 from autoprofile.operators.numbers import Distribution, distributions
+from autoprofile.operators.sums import exact_totals
 from autoprofile.operators.wide import empty_frame, local_frame, per_column, pin
 
 MIN_HISTOGRAM_VALUES = 5
@@ -239,12 +240,8 @@ def kpi_card(
 ) -> DataFrame:
     """Sum of the first measures that hold any number."""
     shown = measures[: rules.kpi_measures]
-    facts = [
-        [F.lit(name).alias("column"), F.round(F.sum(value), digits).alias("total")]
-        for name, value in number_columns(df, shown).items()
-    ]
-    schema = "column string, total double"
-    return per_column(df, facts, fields_per_column=1, schema=schema).where(F.col("total").isNotNull())
+    totals = exact_totals(df, number_columns(df, shown)).where(F.col("count") > 0)
+    return totals.select("column", F.round("total", digits).alias("total"))
 
 
 def kpi_card_of(

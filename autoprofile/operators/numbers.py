@@ -12,6 +12,14 @@ from pyspark.sql import functions as F
 from autoprofile.config import Config
 from autoprofile.functions.coerce import number_columns, quoted
 from autoprofile.operators.quantiles import CHUNK, exact_quantiles
+from autoprofile.operators.sums import (
+    exact_totals,
+    limb_sums,
+    totals_of,
+    unbounded_kind,
+    usual_share,
+    window_of,
+)
 from autoprofile.operators.wide import chunked, local_frame, per_column
 
 MIN_OUTLIER_VALUES = 4
@@ -57,10 +65,13 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, sum, extremes and the first four moments per column, in one scan.
 
     Skewness and kurtosis are the population figures, kurtosis as excess over the normal.
-    Columns are turned into rows first, so a wide table needs no wide aggregation; what is
-    shuffled is one row per task and column.
+    ``sum`` is that of the values in the usual range, whatever their order; ``beyond`` counts
+    the others, which :func:`distributions` sums in a scan of their own.  Columns are turned into
+    rows first, so a wide table needs no wide aggregation; what is shuffled is one row per task
+    and column.
     """
     parts = []
+    total = F.when(F.col("count") > 0, F.get(totals_of("parts", "kinds", "0", "0"), F.lit(0)))
     for names in chunked(list(columns), CHUNK):
         values = number_columns(df, names)
         slots = [str(i) for i in range(len(names))]
@@ -68,17 +79,29 @@ def moments(df: DataFrame, columns: list[str]) -> DataFrame:
         parts.append(
             df.select(*[values[n].alias(s) for n, s in zip(names, slots)])
             .unpivot([], [quoted(s) for s in slots], "slot", "value")
-            .groupBy(F.col("slot").cast("int").alias("slot"))
+            .select(
+                F.col("slot").cast("int").alias("slot"),
+                "value",
+                (window_of("value") != 0).alias("far"),
+                usual_share("value").alias("share"),
+                unbounded_kind("value").alias("kind"),
+            )
+            .groupBy("slot")
             .agg(
                 F.count("value").alias("count"),
-                F.sum("value").alias("sum"),
+                F.array(
+                    F.struct(F.lit(0).alias("window"), F.array(limb_sums("share")).alias("limbs"))
+                ).alias("parts"),
+                F.array(F.bit_or("kind")).alias("kinds"),
+                F.count_if("far").alias("beyond"),
                 F.stddev_samp("value").alias("std"),
                 F.min("value").alias("min"),
                 F.max("value").alias("max"),
                 F.skewness("value").alias("skewness"),
                 F.kurtosis("value").alias("kurtosis"),
             )
-            .select(F.get(labels, F.col("slot")).alias("column"), *MOMENT_NAMES)
+            .withColumn("sum", total)
+            .select(F.get(labels, F.col("slot")).alias("column"), *MOMENT_NAMES, "beyond")
         )
     return reduce(DataFrame.unionByName, parts)
 
@@ -90,6 +113,10 @@ def distributions(df: DataFrame, columns: list[str]) -> list[Distribution]:
     # a table without rows has no row per column
     nothing = {**dict.fromkeys(MOMENT_NAMES), "count": 0}
     found = {r["column"]: r.asDict() for r in moments(df, columns).collect()}
+    beyond = [c for c, row in found.items() if row.pop("beyond")]
+    if beyond:
+        for total in exact_totals(df, number_columns(df, beyond)).collect():
+            found[total["column"]]["sum"] = total["total"]
     rows = {c: found.get(c) or {"column": c, **nothing} for c in columns}
     quartiles = exact_quantiles(
         df,

@@ -9,6 +9,7 @@ from autoprofile.config import AnalysisRules
 from autoprofile.functions.coerce import family, nan_to_null, number_columns, quoted
 from autoprofile.functions.keys import text_key
 from autoprofile.operators.digests import first_by_text
+from autoprofile.operators.sums import exact_sums
 from autoprofile.operators.wide import empty_frame
 
 GRID_SCHEMA = (
@@ -45,28 +46,19 @@ def segment_grid(
         ],
         *[values[m].alias(name) for m, name in zip(measures, inputs)],
     )
-    rolled = (
-        narrow.unpivot(inputs, labels, "label", "segment")
-        .groupBy("label", "segment")
-        .agg(
-            *[
-                F.struct(
-                    F.coalesce(F.sum(m), F.lit(0.0)).alias("total"), F.count(m).alias("count")
-                ).alias(m)
-                for m in inputs
-            ]
-        )
+    rolled = exact_sums(
+        narrow.unpivot(inputs, labels, "label", "segment"), ["label", "segment"], inputs
     )
     cells = F.array(
         *[
             F.struct(
                 F.lit(i).alias("measure_no"),
                 F.lit(name).alias("measure"),
-                F.round(F.col(f"{m}.total"), digits).alias("total"),
+                F.round(F.coalesce(f"{m}_total", F.lit(0.0)), digits).alias("total"),
                 F.round(
-                    F.try_divide(F.col(f"{m}.total"), F.col(f"{m}.count")), digits
+                    F.try_divide(F.col(f"{m}_total"), F.col(f"{m}_count")), digits
                 ).alias("avg"),
-                F.col(f"{m}.count").alias("count"),
+                F.col(f"{m}_count").alias("count"),
             )
             for i, (m, name) in enumerate(zip(inputs, measures))
         ]

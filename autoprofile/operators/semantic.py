@@ -16,6 +16,7 @@ from autoprofile import messages
 from autoprofile.config import Config, SemanticRules
 from autoprofile.functions.coerce import WHITESPACE, nan_to_null, number_columns, quoted
 from autoprofile.operators.frequencies import dimension_values
+from autoprofile.operators.sums import exact_totals
 from autoprofile.operators.wide import empty_frame, local_frame, pin
 
 # Name parts that decide how a measure is aggregated.
@@ -320,42 +321,18 @@ def evaluate_kpis(
     before its shuffle.
     """
     rows = sorted(kpis.collect(), key=lambda r: r["seq"])
-    known = []
-    if sums is not None:
-        known = [
-            r for r in rows
-            if r["operation"] != "count_by" and all(c in sums for c in r["columns"])
-        ]
-        rows = [r for r in rows if r not in known]
-    used = sorted({c for r in rows if r["operation"] != "count_by" for c in r["columns"]})
-    values = number_columns(df, used)
-    scalars = {}
-    for r in rows:
-        inputs = [values[c] for c in r["columns"]] if r["operation"] != "count_by" else []
-        if r["operation"] == "sum":
-            scalars[r["name"]] = F.sum(inputs[0])
-        elif r["operation"] == "avg":
-            scalars[r["name"]] = F.avg(inputs[0])
-        elif r["operation"] == "ratio":
-            scalars[r["name"]] = F.try_divide(F.sum(inputs[0]), F.sum(inputs[1]))
+    scalars = [r for r in rows if r["operation"] != "count_by"]
+    sums = dict(sums or {})
+    missing = sorted({c for r in scalars for c in r["columns"]} - set(sums))
+    if missing:
+        sums |= dict.fromkeys(missing, (None, 0))
+        for t in exact_totals(df, number_columns(df, missing)).collect():
+            sums[t["column"]] = (t["total"], t["count"])
     parts = []
-    if known:
-        values_known = [(r["name"], None, _from_sums(r, sums)) for r in known]
-        frame = local_frame(
-            df.sparkSession, values_known, "name string, segment string, value double"
-        )
-        parts.append(frame.withColumn("value", F.round("value", digits)))
     if scalars:
-        wide = df.agg(*[value.alias(f"k{i}") for i, value in enumerate(scalars.values())])
-        cells = [
-            F.struct(
-                F.lit(name).alias("name"),
-                F.lit(None).cast("string").alias("segment"),
-                F.round(f"k{i}", digits).alias("value"),
-            )
-            for i, name in enumerate(scalars)
-        ]
-        parts.append(wide.select(F.inline(F.array(*cells))))
+        found = [(r["name"], None, _from_sums(r, sums)) for r in scalars]
+        frame = local_frame(df.sparkSession, found, "name string, segment string, value double")
+        parts.append(frame.withColumn("value", F.round("value", digits)))
     for r in rows:
         if r["operation"] == "count_by":
             parts.append(count_by(df, r["columns"][0], r["name"]))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from autoprofile.functions.coerce import number_columns
 from autoprofile.operators.dates import date_columns
+from autoprofile.operators.sums import exact_sums
 from autoprofile.operators.wide import empty_frame
 
 SERIES_SCHEMA = (
@@ -39,17 +40,14 @@ def _one_series(
 ) -> DataFrame:
     values = number_columns(df, measures)
     inputs = [f"m{i}" for i in range(len(measures))]
-    totals = (
-        df.select(
-            F.date_trunc(granularity, moment).alias("start"),
-            *[values[m].alias(name) for m, name in zip(measures, inputs)],
-        )
-        .where(F.col("start").isNotNull())
-        .groupBy("start")
-        .agg(
-            F.count(F.lit(1)).alias("points"),
-            *[F.coalesce(F.sum(name), F.lit(0.0)).alias(name) for name in inputs],
-        )
+    dated = df.select(
+        F.date_trunc(granularity, moment).alias("start"),
+        *[values[m].alias(name) for m, name in zip(measures, inputs)],
+    ).where(F.col("start").isNotNull())
+    totals = exact_sums(dated, ["start"], inputs).select(
+        "start",
+        F.col("rows").alias("points"),
+        *[F.coalesce(f"{name}_total", F.lit(0.0)).alias(name) for name in inputs],
     )
     # from here on there is one row per calendar period, so one task may see them all
     every_period = Window.partitionBy(F.lit(1))
