@@ -47,12 +47,14 @@ def settle(df: DataFrame) -> DataFrame:
 MAP_BITS = 1 << 26
 
 
-def perhaps_among(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """The rows of ``df`` whose key may be among the wanted ones: all that are, few others.
-
-    The wanted keys are hashed into a map of ``MAP_BITS`` bits, which every task holds, so the
-    other rows of ``df`` do not travel to be told apart.  With more wanted keys than the map has
-    room for, more rows pass and the result is as right.
+def marked_among(
+    df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column, mark: str
+) -> DataFrame:
+    """The rows with the boolean ``mark``: true if the key may be among the wanted ones.
+
+    True for all that are and for few others.  The wanted keys are hashed into a map of
+    ``MAP_BITS`` bits, which every task holds, so no row travels to be told apart.  With more
+    wanted keys than the map has room for, more rows are marked and the mark is as right.
     """
 
     def slot(k: Column) -> Column:
@@ -69,15 +71,20 @@ def perhaps_among(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Col
     byte = F.conv(
         F.hex(F.substring("_bits", F.shiftright(position, 3) + 1, F.lit(1))), 16, 10
     ).cast("int")
-    held = F.expr("shiftright(_byte, _bit) & 1") == 1
+    held = F.expr("coalesce(shiftright(_byte, _bit) & 1, 0)") == 1
     return (
-        marked.join(F.broadcast(bits), "_bucket")
+        marked.join(F.broadcast(bits), "_bucket", "left")
         .withColumns({"_byte": byte, "_bit": position % 8})
-        .filter(held)
+        .withColumn(mark, held)
         .drop("_slot", "_bucket", "_bits", "_byte", "_bit")
     )
 
 
+def perhaps_among(df: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
+    """The rows of ``df`` whose key may be among the wanted ones: all that are, few others."""
+    return marked_among(df, key, wanted, wanted_key, "_held").filter("_held").drop("_held")
+
+
 def column(df: DataFrame, name: str) -> Column:
     """A column by its exact name, dots and backticks included."""
     return df["`" + name.replace("`", "``") + "`"]

@@ -2,8 +2,9 @@
 
 Each task counts the 64-bit fingerprints of its documents in a counting quotient filter.  The
 filters are cut by the leading bits of the fingerprint and merged slice by slice, a merge of
-sorted remainders that loses nothing.  Only texts whose fingerprint counts more than one move,
-one copy per task and distinct text, and are compared byte by byte.
+sorted remainders that loses nothing.  Only rows whose fingerprint counts more than one are
+grouped, and only their texts move, one copy per task and distinct text, to be compared byte by
+byte.  All other rows are told apart by the filters alone.
 """
 
 from __future__ import annotations
@@ -18,7 +19,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from autoprofile.llm.common import WHITE, column, nullable, settle, text_parts
+from autoprofile.llm.common import (
+    WHITE,
+    column,
+    marked_among,
+    nullable,
+    perhaps_among,
+    settle,
+    text_parts,
+)
 
 #: what is deleted before texts are compared: space, tab, line feed, vertical tab, form feed,
 #: return
@@ -126,7 +135,9 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ]
         chars = pc.fill_null(pc.utf8_length(texts), 0).cast(pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), chars, pa.array(shas, pa.binary())], names=["id", "n", "sha"]
+            [batch.column("id"), chars, pa.array(shas, pa.binary()),
+             pa.array(_fingerprints(shas).view(np.int64))],
+            names=["id", "n", "sha", "print"],
         )
 
 
@@ -211,7 +222,10 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     source = df.select(column(df, key).alias("id"), column(df, text).cast("string").alias("t"))
     schema = nullable(
-        source.select("id", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sha"))
+        source.select(
+            "id", F.lit(0).cast("long").alias("n"), F.lit(b"").alias("sha"),
+            F.lit(0).cast("long").alias("print"),
+        )
     )
     rows = settle(
         source.mapInArrow(_digests, schema).withColumn("row", F.monotonically_increasing_id())
@@ -224,10 +238,12 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
         .groupBy("slice")
         .applyInArrow(_repeated(slice_bits), "print long, copies long")
     )
+    print_ = F.col("print")
+    texts = source.select("t").mapInArrow(
+        _distinct_texts, "print long, sha binary, text binary, copies long"
+    )
     verified = settle(
-        source.select("t")
-        .mapInArrow(_distinct_texts, "print long, sha binary, text binary, copies long")
-        .join(repeated.select("print"), "print", "left_semi")
+        perhaps_among(texts, print_, repeated, print_)
         .groupBy("sha", "text")
         .agg(F.sum("copies").alias("copies"))
         .filter("copies > 1")
@@ -237,15 +253,20 @@ def exact_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") ->
     if verified.filter("texts > 1").limit(1).count():
         raise ValueError("different texts share a SHA-256 digest")
     place = F.struct(-F.col("n"), F.col("id").isNull(), F.col("id"), F.col("row"))
+    marked = marked_among(rows, print_, repeated, print_, "seen")
     groups = settle(
-        rows.groupBy("sha")
+        marked.filter("seen")
+        .groupBy("sha")
         .agg(F.min(place).alias("best"), F.count("*").alias("size"))
         .filter("size > 1")
         .join(verified.select("sha"), "sha", "left_semi")
         .select("sha", "size", F.col("best.id").alias("keep"), F.col("best.row").alias("first"))
     )
     alone = F.col("size").isNull()
-    return rows.join(groups, "sha", "left").select(
+    joined = marked.filter("seen").join(groups, "sha", "left").unionByName(
+        marked.filter("NOT seen"), allowMissingColumns=True
+    )
+    return joined.select(
         F.col("id").alias(key),
         F.when(alone, F.col("id")).otherwise(F.col("keep")).alias("keep_id"),
         F.coalesce("size", F.lit(1)).cast("long").alias("group_size"),

@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from autoprofile.llm import exact_dedup
+from autoprofile.llm.common import marked_among
 from autoprofile.llm.exact_dedup import QuotientFilter, exact_duplicates, normalised
 
 PRINTS = st.lists(st.integers(0, 2**40 - 1), min_size=1, max_size=60)
@@ -72,3 +73,15 @@ def test_many_slices(spark, monkeypatch):
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert exact_duplicates(df).collect() == []
+
+
+def test_only_repeated_fingerprints_are_marked(spark):
+    rows = spark.range(5000).withColumn("k", F.col("id") % 4000)
+    often = spark.range(1000).select(F.col("id").alias("print"))
+    marked = marked_among(rows, F.col("k"), often, F.col("print"), "seen")
+    found = {r["k"]: r["seen"] for r in marked.collect()}
+    assert marked.count() == 5000
+    assert all(found[k] for k in range(1000))
+    assert sum(found.values()) <= 1010
+    nothing = marked_among(rows, F.col("k"), often.limit(0), F.col("print"), "seen")
+    assert not nothing.filter("seen").count()
