@@ -11,6 +11,7 @@ from autoprofile.functions.coerce import family, nan_to_null, quoted, strip, val
 from autoprofile.functions.keys import text_key
 from autoprofile.functions.numeric import percent
 from autoprofile.operators.digests import first_by_text
+from autoprofile.operators.heavy import heavy
 from autoprofile.operators.wide import empty_frame, local_frame, pin
 
 COUNTS_SCHEMA = "column string, value string, count long"
@@ -23,7 +24,8 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
 
     One shuffle for all columns of a kind; numbers become text only after it.  Repeated values
     are counted before it, so a value that fills a third of the table costs one row per task.
-    Meant for columns of labels, which travel whole; :func:`top_texts` is for long texts.
+    Meant for columns of labels, which travel whole; :func:`frequent_values` is for columns of
+    very many values, :func:`top_texts` for long texts.
     """
     return _counts(df, {c: quoted(c) for c in columns})
 
@@ -71,7 +73,12 @@ def with_share(counts: DataFrame, top_n: int = 15) -> DataFrame:
 
 
 def _shared(top: DataFrame, counts: DataFrame) -> DataFrame:
-    totals = counts.groupBy("column").agg(F.sum("count").alias("non_null_count"))
+    return _shared_in(
+        top, counts.groupBy("column").agg(F.sum("count").alias("non_null_count"))
+    )
+
+
+def _shared_in(top: DataFrame, totals: DataFrame) -> DataFrame:
     return (
         top.join(F.broadcast(totals), "column")  # one row per column
         .select(
@@ -84,15 +91,30 @@ def _shared(top: DataFrame, counts: DataFrame) -> DataFrame:
     )
 
 
+def frequent_values(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
+    """:func:`top_values` for columns of very many distinct values, which never move: only the
+    values of the fullest buckets are counted, and no other value can be among the top
+    (:mod:`autoprofile.operators.heavy`)."""
+
+    def rank(counts: DataFrame) -> DataFrame:
+        return pin(top_of(counts, top_n))  # top_n rows per column
+
+    return _shared_in(*heavy(df, columns, top_n, _counts, rank))
+
+
 def top_texts(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
-    """:func:`top_values` for columns of long texts.
+    """:func:`frequent_values` for columns of long texts.
 
     Texts are counted by digest, so that whole texts are not shuffled; only the few that are
     among the most frequent are looked up again.  Ties go by text.
     """
-    counts = _counts(df, {c: text_key(quoted(c)) for c in columns})
-    top = first_by_text(df, counts, ["column"], [F.desc("count")], "column", "value", top_n)
-    return pin(_shared(top, counts))
+
+    def rank(counts: DataFrame) -> DataFrame:
+        return pin(first_by_text(
+            df, counts, ["column"], [F.desc("count")], "column", "value", top_n
+        ))
+
+    return _shared_in(*heavy(df, columns, top_n, _counts, rank, text_key))
 
 
 def top_value(top: DataFrame, columns: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from autoprofile.operators.catalog import column_catalog
 from autoprofile.operators.frequencies import (
     category_share,
     dimension_values,
+    frequent_values,
     label_variants,
     top_texts,
     top_value,
@@ -369,3 +370,22 @@ def top_of_texts(spark, sf_dir):
     texts = table(spark, sf_dir, "documents").select("text")
     texts = texts.unionByName(table(spark, sf_dir, "conversations").select("text"))
     return top_texts(texts, ["text"], 10)
+
+
+@query("frequent_values", top_sql("lineitem", ["l_partkey", "l_suppkey", "l_orderkey"], 20))
+def frequent_of_lines(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem")
+    return frequent_values(lines, ["l_partkey", "l_suppkey", "l_orderkey"], 20)
+
+
+WORDS_SQL = """(SELECT unnest(string_split_regex(text, '[^a-z]+')) AS word
+  FROM (SELECT lower(text) AS text FROM documents UNION ALL SELECT lower(html) FROM pages) AS t
+  ) AS words"""
+
+
+@query("frequent_words", top_sql(WORDS_SQL, ["word"], 25))
+def frequent_of_words(spark, sf_dir):
+    texts = table(spark, sf_dir, "documents").select("text")
+    texts = texts.unionByName(table(spark, sf_dir, "pages").select(F.col("html").alias("text")))
+    words = texts.select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("word"))
+    return frequent_values(words, ["word"], 25)
