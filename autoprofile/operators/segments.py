@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from autoprofile.config import AnalysisRules
-from autoprofile.functions.coerce import family, nan_to_null, number_columns, quoted
+from autoprofile.functions.coerce import family, nan_to_null, quoted
 from autoprofile.functions.keys import text_key
 from autoprofile.operators.digests import first_by_text
-from autoprofile.operators.sums import exact_sums
+from autoprofile.operators.sums import exact_sums, summable_columns
 from autoprofile.operators.wide import empty_frame
 
 GRID_SCHEMA = (
@@ -36,7 +36,7 @@ def segment_grid(
         return empty_frame(df.sparkSession, GRID_SCHEMA)
     clean = nan_to_null(df)
     long_labels = _text_dimensions(clean, dimensions)
-    values = number_columns(clean, measures)
+    values = summable_columns(clean, measures)
     labels = [f"d{i}" for i in range(len(dimensions))]
     inputs = [f"m{i}" for i in range(len(measures))]
     narrow = clean.select(

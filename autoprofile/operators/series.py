@@ -7,9 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from autoprofile.functions.coerce import number_columns
 from autoprofile.operators.dates import date_columns
-from autoprofile.operators.sums import exact_sums
+from autoprofile.operators.sums import exact_sums, summable_columns
 from autoprofile.operators.wide import empty_frame
 
 SERIES_SCHEMA = (
@@ -38,7 +37,7 @@ def _one_series(
     min_points: int,
     granularity: str,
 ) -> DataFrame:
-    values = number_columns(df, measures)
+    values = summable_columns(df, measures)
     inputs = [f"m{i}" for i in range(len(measures))]
     dated = df.select(
         F.date_trunc(granularity, moment).alias("start"),

@@ -8,14 +8,18 @@ The sums of all windows are put together at the end, carries first: a result is
 sum by at most one unit in the last place, also where 1e300 and -1e300 cancel.
 
 A limb sum has room for 2**43 values of a group; beyond that the sum is an error, never wrong.
+
+Whole numbers and decimals need none of this: summed as decimals (:func:`summable_columns`) they
+are exact as they are, in one exchange.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from autoprofile.functions.coerce import quoted
+from autoprofile.functions.coerce import as_number, quoted
 from autoprofile.operators.wide import empty_frame
 
 LIMB_BITS = 20
@@ -27,6 +31,27 @@ LOW, HIGH, LARGEST = f"{2.0**-30!r}D", f"{2.0**30!r}D", "1.7976931348623157E308D
 UNIT = 2**LIMB_BITS
 
 
+#: decimals up to this many digits leave room for 10**14 of them in a sum
+SUMMABLE_DIGITS = 24
+WHOLE_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+
+
+def summable_columns(df: DataFrame, names: list[str]) -> dict[str, Column]:
+    """Columns as numbers to be summed: decimals where the type is exact, doubles elsewhere."""
+
+    def summable(name: str) -> Column:
+        dtype = df.schema[name].dataType
+        if type(dtype) in WHOLE_DIGITS:
+            return quoted(name).cast(T.DecimalType(WHOLE_DIGITS[type(dtype)], 0))
+        return quoted(name) if _is_exact(dtype) else as_number(name, dtype)
+
+    return {n: summable(n) for n in names}
+
+
+def _is_exact(dtype: T.DataType) -> bool:
+    return isinstance(dtype, T.DecimalType) and dtype.precision <= SUMMABLE_DIGITS
+
+
 def window_of(name: str) -> Column:
     """The window of a column's magnitude; 0 for zero, null and what is not finite.
 
@@ -113,13 +138,44 @@ def totals_of(parts: str, kinds: str, top: str, bottom: str) -> Column:
 def exact_sums(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:
     """One row per group: ``keys``, ``rows``, and ``{measure}_total``, ``{measure}_count`` each.
 
-    ``measures`` are double columns of ``df``.  The total of a group without values is NULL.  A
-    row counts in every window that one of its measures lies in.  What is shuffled is one row
-    per task, group and window, then one per group and window.
+    ``measures`` are columns of ``df``, of doubles or of decimals of up to ``SUMMABLE_DIGITS``
+    digits.  The total, a double, of a group without values is NULL.  What is shuffled is one
+    row per task and group.  With doubles among the measures a row counts in every window that
+    one of them lies in, and it is one row per task, group and window, then one per group and
+    window.
     """
-    numbers = range(len(measures))
+    exact = [i for i, m in enumerate(measures) if _is_exact(df.schema[m].dataType)]
+    numbers = [i for i in range(len(measures)) if i not in exact]
     groups = [quoted(k) for k in keys]
     values = df.select(*groups, *[quoted(m).alias(f"m{i}") for i, m in enumerate(measures)])
+    if numbers:
+        merged = _by_windows(values, groups, numbers, exact)
+        summed = merged.withColumn("totals", totals_of("parts", "kinds", "top", "bottom"))
+    else:
+        summed = values.groupBy(*groups).agg(
+            F.count(F.lit(1)).alias("rows"),
+            *[F.expr(f"cast(sum(m{i}) AS double) AS total{i}") for i in exact],
+            *[F.expr(f"count(m{i}) AS count{i}") for i in exact],
+        )
+
+    def total(i: int) -> str:
+        return f"total{i}" if i in exact else f"get(totals, {numbers.index(i)})"
+
+    return summed.select(
+        *groups,
+        "rows",
+        *[
+            F.expr(f"CASE WHEN count{i} > 0 THEN {total(i)} END").alias(f"{m}_total")
+            for i, m in enumerate(measures)
+        ],
+        *[F.col(f"count{i}").alias(f"{m}_count") for i, m in enumerate(measures)],
+    )
+
+
+def _by_windows(
+    values: DataFrame, groups: list[Column], numbers: list[int], exact: list[int]
+) -> DataFrame:
+    """Limbs of the doubles ``numbers``, and plain sums of the decimals ``exact``, by group."""
     windows = ", ".join(f"w{i}" for i in numbers)
     cut = (
         values.withColumns({f"w{i}": window_of(f"m{i}") for i in numbers})
@@ -129,6 +185,7 @@ def exact_sums(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame
             *[_share(f"m{i}", f"w{i}").alias(f"share{i}") for i in numbers],
             *[F.expr(f"m{i} IS NOT NULL AND w{i} = window AS has{i}") for i in numbers],
             *[unbounded_kind(f"m{i}").alias(f"kind{i}") for i in numbers],
+            *[F.expr(f"CASE WHEN copy = 0 THEN m{i} END AS m{i}") for i in exact],
         )
     )
     by_window = cut.groupBy(*groups, "window").agg(
@@ -136,26 +193,19 @@ def exact_sums(df: DataFrame, keys: list[str], measures: list[str]) -> DataFrame
         *[limb_sums(f"share{i}").alias(f"limbs{i}") for i in numbers],
         *[F.expr(f"count_if(has{i}) AS count{i}") for i in numbers],
         *[F.expr(f"bit_or(kind{i}) AS kind{i}") for i in numbers],
+        *[F.expr(f"sum(m{i}) AS total{i}") for i in exact],
+        *[F.expr(f"count(m{i}) AS count{i}") for i in exact],
     )
     limbs = ", ".join(f"limbs{i}" for i in numbers)
     kinds = ", ".join(f"bit_or(kind{i})" for i in numbers)
-    merged = by_window.groupBy(*groups).agg(
+    return by_window.groupBy(*groups).agg(
         F.expr("coalesce(sum(rows), 0L) AS rows"),
         F.expr(f"collect_list(struct(window, array({limbs}) AS limbs)) AS parts"),
         F.expr(f"array({kinds}) AS kinds"),
         F.expr("max(window) AS top"),
         F.expr("min(window) AS bottom"),
-        *[F.expr(f"coalesce(sum(count{i}), 0L) AS count{i}") for i in numbers],
-    )
-    summed = merged.withColumn("totals", totals_of("parts", "kinds", "top", "bottom"))
-    return summed.select(
-        *groups,
-        "rows",
-        *[
-            F.expr(f"CASE WHEN count{i} > 0 THEN get(totals, {i}) END").alias(f"{m}_total")
-            for i, m in enumerate(measures)
-        ],
-        *[F.col(f"count{i}").alias(f"{m}_count") for i, m in enumerate(measures)],
+        *[F.expr(f"cast(sum(total{i}) AS double) AS total{i}") for i in exact],
+        *[F.expr(f"coalesce(sum(count{i}), 0L) AS count{i}") for i in numbers + exact],
     )
 
 

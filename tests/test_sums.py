@@ -13,7 +13,7 @@ from autoprofile.operators.charts import kpi_card
 from autoprofile.operators.numbers import distributions
 from autoprofile.operators.segments import segment_rollup
 from autoprofile.operators.series import period_series
-from autoprofile.operators.sums import exact_sums, exact_totals
+from autoprofile.operators.sums import exact_sums, exact_totals, summable_columns
 
 RANDOM = random.Random(11)
 CASES = {
@@ -124,3 +124,32 @@ def test_one_row_per_group_and_window_is_shuffled(spark):
     plan = exact_sums(df, ["k"], ["v"])._jdf.queryExecution().executedPlan().toString()
     assert plan.index("partial_sum") > plan.index("Exchange hashpartitioning(k")
     assert "Python" not in plan
+
+
+def test_exact_types_are_summed_as_they_are(spark):
+    """Whole numbers and decimals, alone and beside doubles, in one exchange where alone."""
+    rows = 3000
+    df = spark.range(rows).selectExpr(
+        "id % 7 AS k", "9007199254740993 + id AS big", "cast(id % 256 - 128 AS tinyint) AS small",
+        "cast(id AS decimal(22,2)) + 0.1 AS money", "id * 0.1D AS d",
+        "CASE WHEN id % 7 > 1 THEN cast(id AS int) END AS gap",
+    )
+    names = ["big", "small", "money", "gap"]
+    exact = df.select("k", *[v.alias(n) for n, v in summable_columns(df, names).items()], "d")
+    alone = exact_sums(exact, ["k"], names)
+    assert alone._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    mixed = {r["k"]: r for r in exact_sums(exact, ["k"], ["big", "d", *names[1:]]).collect()}
+    for row in alone.collect():
+        ids = [i for i in range(rows) if i % 7 == row["k"]]
+        big = sum(9007199254740993 + i for i in ids)
+        money = sum(Fraction(10 * i + 1, 10) for i in ids)
+        small = sum(i % 256 - 128 for i in ids)
+        assert (row["rows"], row["big_total"], row["small_total"]) == (len(ids), float(big), small)
+        assert row["money_total"] == float(money)
+        gap = (None, 0) if row["k"] < 2 else (sum(ids), len(ids))
+        assert (row["gap_total"], row["gap_count"]) == gap
+        other = mixed[row["k"]]
+        assert [other[c] for c in alone.columns] == list(row)
+        assert near(other["d_total"], [i * 0.1 for i in ids])
+    empty = exact_sums(exact.limit(0), [], names).first()
+    assert (empty["rows"], empty["big_total"], empty["big_count"]) == (0, None, 0)
