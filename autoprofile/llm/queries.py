@@ -37,7 +37,9 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quotations.reply_ordered(table(spark, sf_dir, "conversations"))
+    # the table itself quotes nothing; as mail, every message quotes the two before it
+    mail = quotations.as_replies(table(spark, sf_dir, "conversations"))
+    return quotations.reply_ordered(mail)
 
 
 def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
