@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from autoprofile.functions.coerce import family, quoted
-from autoprofile.functions.keys import head, is_digest, text_key
-from autoprofile.operators.wide import local_frame
+from autoprofile.functions.keys import LONG_TEXT, head, is_digest, text_key
+from autoprofile.operators.wide import empty_frame, local_frame
 
 #: candidates up to this many are resolved on the driver, more of them by a join
 LOCAL_CANDIDATES = 10_000
@@ -43,11 +43,13 @@ def _looked_up(df: DataFrame, rows: list, column_field: str, key_field: str) ->
 
 
 def _joined_up(
-    df: DataFrame, candidates: DataFrame, column_field: str, key_field: str
+    df: DataFrame, names: list[str], firsts: DataFrame, column_field: str, key_field: str
 ) -> DataFrame:
-    """(column, key, text) for any number of candidates."""
-    wanted = candidates.select(column_field, key_field).distinct()
-    names = [r[0] for r in candidates.select(column_field).distinct().collect()]
+    """(column, key, text) of all long texts that begin like one of ``firsts``.
+
+    Whatever the number of candidates, a text is shuffled once per task, however often it is
+    there.
+    """
     texts = [
         df.select(
             F.lit(name).alias(column_field), text_key(quoted(name)).alias(key_field),
@@ -56,9 +58,15 @@ def _joined_up(
         for name in names
         if family(df.schema[name].dataType) == "string"
     ]
+    if not texts:
+        schema = f"{column_field} string, {key_field} string, full_text string"
+        return empty_frame(df.sparkSession, schema)
+    begins = firsts.select(column_field, "head").distinct()
     return (
         reduce(DataFrame.unionByName, texts)
-        .join(wanted, [column_field, key_field], "left_semi")
+        .where(F.octet_length("full_text") >= LONG_TEXT)
+        .withColumn("head", head(F.col("full_text")))
+        .join(F.broadcast(begins), [column_field, "head"], "left_semi")
         .groupBy(column_field, key_field)
         .agg(F.any_value("full_text").alias("full_text"))
     )
@@ -68,26 +76,38 @@ def first_by_text(
     df: DataFrame,
     counted: DataFrame,
     groups: list[str],
-    order: list[Column],
+    most: list[str],
+    names: list[str],
     column_field: str,
     key_field: str,
     top_n: int,
 ) -> DataFrame:
-    """The first ``top_n`` rows of every group by ``order`` and then by text, with ``rank``.
+    """The first ``top_n`` rows of every group, those with the ``most`` first and then by text,
+    with ``rank``.
 
-    ``counted`` has keys of texts in ``key_field``, ``column_field`` names the text's column.
-    Rows are pre-selected by the head of the key, with all that tie at the cut; the texts behind
-    these are looked up in one scan, and the rank is decided by the texts themselves.
+    ``counted`` has keys of texts in ``key_field``, ``column_field`` tells which of the columns
+    ``names`` a text is of; groups and ``most`` are never null.  Rows are pre-selected by the
+    head of the key, with all that tie at the cut; the texts behind these are looked up in one
+    scan, and the rank is decided by the texts themselves.  Any number of rows may tie: only the
+    first ``top_n`` of a task are ranked together, others are compared with these where they are.
     """
-    before = Window.partitionBy(*groups).orderBy(*order, head(F.col(key_field)))
-    chosen = counted.withColumn("rank", F.rank().over(before)).where(F.col("rank") <= top_n)
+    order = [F.desc(c) for c in most]
+    headed = counted.withColumn("head", head(F.col(key_field)))
+    tie = [*groups, *most, "head"]
+    before = Window.partitionBy(*groups).orderBy(*order, "head")
+    firsts = (
+        headed.withColumn("rank", F.row_number().over(before))
+        .where(F.col("rank") <= top_n)
+        .select(*dict.fromkeys([*tie, column_field]))  # top_n rows per group
+    )
+    chosen = headed.join(F.broadcast(firsts.select(*tie)), tie, "left_semi").drop("head")
     few = chosen.limit(LOCAL_CANDIDATES + 1).toArrow()
     if few.num_rows <= LOCAL_CANDIDATES:
         chosen = df.sparkSession.createDataFrame(few, chosen.schema)
         rows = few.select([column_field, key_field]).to_pylist()
         texts = _looked_up(df, rows, column_field, key_field)
     else:
-        texts = _joined_up(df, chosen, column_field, key_field)
+        texts = _joined_up(df, names, firsts, column_field, key_field)
     full = chosen.join(texts, [column_field, key_field], "left").select(
         *[
             F.coalesce("full_text", key_field).alias(c) if c == key_field else F.col(c)

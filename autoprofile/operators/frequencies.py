@@ -111,7 +111,7 @@ def top_texts(df: DataFrame, columns: list[str], top_n: int = 15) -> DataFrame:
 
     def rank(counts: DataFrame) -> DataFrame:
         return pin(first_by_text(
-            df, counts, ["column"], [F.desc("count")], "column", "value", top_n
+            df, counts, ["column"], ["count"], columns, "column", "value", top_n
         ))
 
     return _shared_in(*heavy(df, columns, top_n, _counts, rank, text_key))

@@ -68,12 +68,14 @@ def segment_grid(
     grid = rolled.select(number.alias("dimension_no"), "segment", F.inline(cells)).withColumn(
         "dimension", names[F.col("dimension_no")]
     )
-    groups, by_total = ["dimension_no", "measure_no"], F.desc("total")
+    groups = ["dimension_no", "measure_no"]
     if long_labels:
         # texts are rolled up by digest; ties go by the texts themselves
-        grid = first_by_text(clean, grid, groups, [by_total], "dimension", "segment", top_n)
+        grid = first_by_text(
+            clean, grid, groups, ["total"], long_labels, "dimension", "segment", top_n
+        )
     else:
-        order = Window.partitionBy(*groups).orderBy(by_total, "segment")
+        order = Window.partitionBy(*groups).orderBy(F.desc("total"), "segment")
         grid = grid.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top_n)
     return grid.select(
         "dimension_no", "measure_no", "dimension", "measure", "rank", "segment", "total",
